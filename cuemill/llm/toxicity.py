@@ -12,13 +12,14 @@ toxic text that scores highest, add the words of clean texts that score highest,
 kernel has explicit features, the fitted sum over landmarks is one table over three-letter codes: a word
 costs a few look-ups however many landmarks there are.
 
-The classifier is fitted on a bounded sample: at most ``fit_rows`` labelled texts per class with at most
-``FIT_CHARS`` characters, the first by a hash. Scoring reads every whole text.
+The classifier is fitted on a bounded sample: at most ``fit_rows`` distinct labelled texts per class with at
+most ``FIT_CHARS`` characters, chosen by hash. Scoring reads every whole text.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -251,9 +252,11 @@ def fit_texts(toxic: list[str], clean: list[str], *, rounds: int = 4, seed: int
 def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
     """Fit on documents with labels (null labels are left out; of repeated labels the largest counts)."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.max(label) > 0).cast("int").alias("y"))
+    # Keys are chosen before texts are read; twice as many, since some texts are too long.
+    some = [known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(2 * fit_rows) for y in (0, 1)]
     rows = docs.where(F.length(text).between(1, FIT_CHARS)).select(F.col(key).alias("d"), F.col(text).alias("t"))
-    texts = rows.join(known, F.col("d") == F.col("k")).select("y", "t", F.xxhash64("t").alias("h"))
-    sample = {y: [r["t"] for r in texts.where(F.col("y") == y).orderBy("h", "t").limit(fit_rows).select("t").collect()] for y in (0, 1)}
+    found = rows.join(F.broadcast(some[0].unionByName(some[1])), F.col("d") == F.col("k")).select("y", "t").dropDuplicates(["y", "t"]).collect()
+    sample = {y: sorted((r["t"] for r in found if r["y"] == y), key=lambda t: zlib.crc32(t.encode()))[:fit_rows] for y in (0, 1)}
     return fit_texts(sample[1], sample[0])
 
 
