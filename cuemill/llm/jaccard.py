@@ -14,6 +14,9 @@ compared with the list's other members. Members that it links are one component;
 compares only pairs that the lists suggest and that are not in one component yet. No link between two
 components is lost, and a group of n near copies costs about n comparisons.
 
+Before whole sets are compared, parity bitmaps bound what two sets can share: the bits in which they differ are
+at most the shingles in which the sets differ. They are two bits a shingle, so most suggested pairs end here.
+
 Sets are compared in full, by distributed cogroups of at most ``TOGETHER`` members with a head. Components come
 from label propagation with pointer jumping on tables; nothing is collected to the driver.
 """
@@ -67,11 +70,27 @@ def linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.
     return 100 * inter >= percent * (a + b - inter)
 
 
+def parity_bitmap(s: np.ndarray) -> bytes:
+    """Bit i is the parity of the shingles whose hash is i modulo the size, a power of two (64 to 65,536 bits)."""
+    bits = 1 << min(16, max(6, (2 * len(s) - 1).bit_length()))
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def most_shared(a: bytes, size_a: int, b: bytes, size_b: int) -> int:
+    """An upper bound of the shingles that two sets share. The longer bitmap is folded to the shorter one's size."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return (size_a + size_b - int(np.bitwise_count(x ^ y).sum())) // 2
+
+
 def summarise(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, size, set_a, set_b) for every row, with two hashes of its set; and (shingle, n) for locally common ones."""
+    """(doc_id, size, set_a, set_b, bitmap) for every row, with two hashes of its set; and (shingle, n) for locally common ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "size", "set_a", "set_b", "frequent"]
+        names = ["doc_id", "size", "set_a", "set_b", "bitmap", "frequent"]
         pending: list[np.ndarray] = []
         held = 0
 
@@ -85,9 +104,10 @@ def summarise(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
             return every[begins[often]].view(np.int64).tolist(), counts[often].tolist()
 
         for batch, data, offsets in batches_of(batches, "t"):
-            sizes, a, b, seen = [], [], [], set()
+            sizes, a, b, maps, seen = [], [], [], [], set()
             for s in shingle_sets(data, offsets, n):
                 sizes.append(len(s))
+                maps.append(parity_bitmap(s) if len(s) else None)
                 a.append(int(np.sum(mix64(s), dtype=np.uint64).view(np.int64)) if len(s) else None)
                 b.append(int(np.sum(mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)) * np.uint64(0x9E3779B97F4A7C15), dtype=np.uint64).view(np.int64)) if len(s) else None)
                 if len(s) and (a[-1], b[-1]) not in seen:
@@ -95,7 +115,7 @@ def summarise(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
                     pending.append(s)
                     held += len(s)
             none = pa.array([None] * len(batch), pa.list_(pa.struct([("g", pa.int64()), ("n", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), none], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(maps, pa.binary()), none], names)
             if held > 4_000_000:
                 yield frequent_rows(*report())
         yield frequent_rows(*report())
@@ -104,9 +124,9 @@ def summarise(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
         kind = pa.struct([("g", pa.int64()), ("n", pa.int64())])
         pairs = pa.StructArray.from_arrays([pa.array(grams, pa.int64()), pa.array(counts, pa.int64())], ["g", "n"])
         lists = pa.ListArray.from_arrays(pa.array([0, len(grams)], pa.int32()), pairs)
-        return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), lists.cast(pa.list_(kind))], ["doc_id", "size", "set_a", "set_b", "frequent"])
+        return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), lists.cast(pa.list_(kind))], ["doc_id", "size", "set_a", "set_b", "bitmap", "frequent"])
 
-    rows = docs.select("doc_id", F.col("text").alias("t")).mapInArrow(run, "doc_id long, size long, set_a long, set_b long, frequent array<struct<g:long,n:long>>")
+    rows = docs.select("doc_id", F.col("text").alias("t")).mapInArrow(run, "doc_id long, size long, set_a long, set_b long, bitmap binary, frequent array<struct<g:long,n:long>>")
     rows = materialize(rows, "sets")
     common = rows.where("frequent IS NOT NULL").select(F.explode("frequent").alias("f")).groupBy(F.col("f.g").alias("g")).agg(F.sum("f.n").alias("n"))
     return rows.where("size IS NOT NULL").drop("frequent"), common
@@ -252,8 +272,25 @@ def open_pairs(lists: DataFrame, roots: DataFrame, tried: DataFrame, percent: in
     return found.join(before, ["a", "b"], "left_anti")
 
 
-def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, common, size_a, size_b) of the pairs that link, by comparing their whole sets (doc_id, grams)."""
+def possible_pairs(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their bitmaps (doc_id, size, bitmap) don't rule out."""
+    one = lambda c: maps.select(F.col("doc_id").alias(c), F.col("size").alias(f"size_{c}"), F.col("bitmap").alias(f"map_{c}"))
+    rows = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "size_a", "size_b", "map_a", "map_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [c.to_numpy() for c in batch.columns[2:4]]
+            bounds = np.array([most_shared(x.as_py(), int(m), y.as_py(), int(n)) for x, y, m, n in zip(batch.column(4), batch.column(5), *sizes, strict=True)], np.int64)
+            ok = pa.array(linked(bounds, *sizes, percent)) if len(batch) else pa.array([], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def compare(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b, common, size_a, size_b) of the pairs that link, by comparing the whole sets of their ``rows`` (doc_id, text)."""
+    wanted = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
+    sets = materialize(sets_of(rows.join(broadcast_if_small(wanted, 2_000_000), "doc_id", "left_semi"), n), "grams")
     busy = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / TOGETHER).cast("int"))
     busy = materialize(busy.select("a", "parts"), "busy")
     spread = pairs.join(busy, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).select("a", "b", "part")
@@ -308,13 +345,12 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 75, key: str
     total = classes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
     buckets = int(max(64, total // 400_000))
     lists = materialize(index_lists(texts, frequent, n, percent, buckets), "lists")
+    maps = materialize(sets.where("size > 0").select("doc_id", "size", "bitmap").join(broadcast_if_small(copies, 2_000_000), "doc_id", "left_anti"), "bitmaps")
     first = materialize(head_pairs(lists, percent), "pairs-1")
-    wanted = lists.select(F.col("doc").alias("doc_id")).distinct()
-    grams = materialize(sets_of(rows.join(broadcast_if_small(materialize(wanted, "wanted"), 2_000_000), "doc_id", "left_semi"), n), "grams")
-    links = materialize(compare(first, grams, percent), "links-1")
+    links = materialize(compare(materialize(possible_pairs(first, maps, percent), "possible-1"), rows, n, percent), "links-1")
     roots = components(links)
     second = materialize(open_pairs(lists, roots, first, percent), "pairs-2")
-    more = materialize(compare(second, grams, percent), "links-2")
+    more = materialize(compare(materialize(possible_pairs(second, maps, percent), "possible-2"), rows, n, percent), "links-2")
     # Documents, linked through their class's representative; repeated ids link their classes.
     every = links.select("a", "b").union(more.select("a", "b"))
     own = sets.where("size > 0 AND doc_id IS NOT NULL").join(classes.where("copies > 1"), ["set_a", "set_b", "size"]).where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()

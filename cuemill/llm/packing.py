@@ -24,36 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm import _common  # noqa: F401  (sets TOKENIZERS_PARALLELISM)
+from cuemill.llm._tokens import encoder
 
 #: Pieces of less than a sequence that a task weighs against each other.
 POOL = 512
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, padded long"
 _ARROW = pa.schema([(x.split()[0], pa.int64()) for x in PIECE.split(", ")])
-_encoders: dict[str, object] = {}
-
-
-def encoder(path: str):
-    """The tokenizer at ``path``; strings of special tokens in a text are ordinary text."""
-    if path not in _encoders:
-        from tokenizers import Tokenizer
-
-        _encoders[path] = Tokenizer.from_file(path)
-        _encoders[path].encode_special_tokens = True
-    return _encoders[path]
-
-
-def encode_texts(tok, texts: list[str], chars: int = 1 << 20) -> Iterator[list[int]]:
-    """Ids of each text; batches are bounded by characters, so long texts don't pile up."""
-    batch, size = [], 0
-    for text in texts:
-        if batch and size + len(text) > chars:
-            yield from (x.ids for x in tok.encode_batch_fast(batch, add_special_tokens=False))
-            batch, size = [], 0
-        batch.append(text)
-        size += len(text)
-    if batch:
-        yield from (x.ids for x in tok.encode_batch_fast(batch, add_special_tokens=False))
 
 
 class Packer:
@@ -100,7 +76,7 @@ class Packer:
         return self.next - 1
 
     def _emit(self, doc_id, start, ids, bears, total, sequence, offset, padded) -> None:
-        self.rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, sequence, offset, len(ids) * bears, padded))
+        self.rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), total, sequence, offset, len(ids) * bears, padded))
 
     def _fill(self) -> None:
         """One sequence: pieces by the largest dot product, the last one cut to fit."""
@@ -187,15 +163,14 @@ def pack_documents(
         raise ValueError("limits must be at least 1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = encoder(tokenizer_path)
+        tok, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         packer = Packer(max_tokens, max_segments, loss_limit, TaskContext.get().partitionId() << 33)
         for batch in batches:
             keys = batch.column(0).to_pylist()
             bears = batch.column(2).to_pylist()
             texts = (x.as_py() or "" for x in batch.column(1))
-            for k, bear, ids in zip(keys, bears, encode_texts(tok, texts), strict=True):
-                ids = np.array([*ids, end_id], np.uint32)
-                packer.add(k, ids, bool(bear))
+            for k, bear, ids in zip(keys, bears, tok.encode(texts), strict=True):
+                packer.add(k, np.frombuffer(ids + end, "<u4"), bool(bear))
                 if len(packer.rows) >= 4096:
                     yield packer.drain()
         packer.close()

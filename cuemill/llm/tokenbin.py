@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuemill.llm._common import broadcast_if_small, put_file, scratch_path
-from cuemill.llm.packing import encode_texts, encoder
+from cuemill.llm._tokens import encoder
 
 MAGIC = b"CMTB1\0"
 #: Serialized bytes of a file beyond which the next one begins.
@@ -134,9 +134,10 @@ def write_tokens(
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     tok = encoder(tokenizer_path)
-    width = 2 if tok.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
+    width = 2 if tok.tok.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
+    end = np.array([end_id], "<u4").tobytes()
     some = rows.where(F.length("t") <= sample_chars).orderBy(F.xxhash64("k", "t")).limit(sample_docs).select("t")
-    samples = [np.array([*x, end_id], f"<u{width}").tobytes() for x in encode_texts(tok, [r["t"] for r in some.collect()])]
+    samples = [np.frombuffer(x + end, "<u4").astype(f"<u{width}").tobytes() for x in tok.encode([r["t"] for r in some.collect()])]
     dictionary = train_dictionary(samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,8 +156,8 @@ def write_tokens(
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for k, ids in zip(keys, encode_texts(coder, (x.as_py() for x in batch.column(1))), strict=True):
-                out.add(k, np.array([*ids, end_id], np.uint32))
+            for k, ids in zip(keys, coder.encode(x.as_py() for x in batch.column(1)), strict=True):
+                out.add(k, np.frombuffer(ids + end, "<u4"))
                 if out.size >= FILE_BYTES:
                     flush()
         flush()
