@@ -5,21 +5,30 @@ that is not white space and a single blank that another such character follows.
 are those of its parts at these places, each with its blank in front, one after the other. Parts repeat
 much more often than texts: each worker keeps the ids of parts it has seen. Tokenizers that split
 otherwise (see ``splits_at_blanks``) encode whole texts.
+
+A new part of common characters (``_COMMON``) is cut by the tokenizer's own splitting pattern, and the library's
+model encodes the pieces, each once: this saves the library's bookkeeping of alignments, which costs
+more than the merges. Whether that gives the tokenizer's ids is checked on ``_PROBE`` first.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
 from cuemill.llm import _common  # noqa: F401  (sets TOKENIZERS_PARALLELISM)
 
-#: Parts that a worker remembers, and characters of texts that are encoded together.
-CACHE, TOGETHER = 1_000_000, 1 << 20
-_ODD = re.compile(r"\s |^ | \s| $")
+#: Parts (and as many pieces) that a worker remembers, and characters of texts that are encoded together.
+CACHE, TOGETHER = 800_000, 1 << 20
+#: Characters whose class, case and normal form no two Unicode versions see differently; none combines with another.
+_COMMON = re.compile("[\n -~\u00c0-\u012f\u0131-\u017f\u0400-\u045f\u2010-\u2027\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5]*")
+_PROBE = ["It's we'LL I'm 12.5% \u00c9l\u00e8ve\u2026 snake_case\n\nnext \u2014 \u041c\u0438\u0440!?", " a--b ((c)) 'tis 2024-01-31\n", "don't   stop \u65e5\u672c\u8a9e x" * 3, "<|endoftext|> ~`@#$^&*{}[]|\\", "\n", "  "]
+#: Fixed value: the splitting pattern of byte-level tokenizers that name none.
+_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BLANK = re.compile(r"(?<=\S) (?=\S)")
 _encoders: dict[str, Encoder] = {}
 
@@ -35,6 +44,44 @@ def splits_at_blanks(spec: dict) -> bool:
     return spec.get("model", {}).get("type") == "BPE" and plain and kinds <= {"NFC", "Replace", "Lowercase"}
 
 
+def splitting_pattern(spec: dict) -> re.Pattern | None:
+    """The tokenizer's splitting pattern for texts of common characters; None if it has another form."""
+    before = spec.get("pre_tokenizer") or {}
+    steps = before.get("pretokenizers", [before])
+    split = next((s for s in steps if s.get("type") == "Split"), None)
+    if len(steps) != (1 if split is None else 2) or (split and (split.get("behavior"), split.get("invert")) != ("Removed", True)):
+        return None
+    text = _BYTE_LEVEL if split is None else split["pattern"].get("Regex", r"\p")
+    for unicode, own in ((r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)"), (r"[\p{L}]", r"[^\W\d_]"), (r"\p{L}", r"[^\W\d_]"), (r"[\p{N}]", r"\d"), (r"\p{N}", r"\d")):
+        text = text.replace(unicode, own)
+    return None if r"\p" in text else re.compile(text)
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level tokenizers write each byte: printable Latin-1 as it is, the others from U+0100 on."""
+    plain = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class NotBetweenBlanks(Exception):  # noqa: N818
+    """A text has white space beside a blank."""
+
+
+class Cache(dict):
+    """Remembers ``make(key)``; begins anew when it is full."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        self[key] = found = self.make(key)
+        return found
+
+
 class Encoder:
     """A tokenizer whose strings of special tokens in a text are ordinary text."""
 
@@ -44,60 +91,47 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            self.by_parts = splits_at_blanks(json.load(f))
-        self.mark, self.mark_id = self._find_mark() if self.by_parts else ("", -1)
-        self.firsts: dict[str, bytes] = {}
-        self.others: dict[str, bytes] = {}
+            spec = json.load(f)
+        self.by_parts = splits_at_blanks(spec)
+        self.model, self.letters = self.tok.model, byte_letters()
+        self.lower = "Lowercase" in json.dumps(spec.get("normalizer"))
+        self.splits = splitting_pattern(spec) if self.by_parts else None
+        self.firsts, self.others, self.loose = Cache(self._part), Cache(self._inner), Cache(lambda x: self._part(" " + x))
+        self.pieces = Cache(self._piece)
+        if self.splits and [self._part(x) for x in _PROBE] != self._raw(_PROBE):
+            self.splits = None
+
+    def _piece(self, piece: str) -> bytes:
+        spelt = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [x.id for x in self.model.tokenize(spelt)]).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        if self.splits and _COMMON.fullmatch(part):
+            return b"".join(map(self.pieces.__getitem__, self.splits.findall(part.lower() if self.lower else part)))
+        return self._raw([part])[0]
+
+    def _inner(self, part: str) -> bytes:
+        """A part that follows a single blank; it must begin and end with another character than white space."""
+        if not part or part[0].isspace() or part[-1].isspace():
+            raise NotBetweenBlanks
+        return self._part(" " + part)
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _find_mark(self) -> tuple[str, int]:
-        """A long word that is one id after a blank: put between parts, it shows where the ids of each end."""
-        words = (w.strip("\u0120").removesuffix("</w>") for w in self.tok.get_vocab())
-        for word in sorted((w for w in words if len(w) >= 10 and w.isascii() and w.isalpha()), key=lambda w: (-len(w), w)):
-            ids = self.tok.encode(" " + word, add_special_tokens=False).ids
-            if len(ids) == 1:
-                return word, ids[0]
-        return "", -1
-
-    def _marked(self, parts: list[str]) -> list[bytes] | None:
-        """Ids of parts that each follow a blank, encoded as one text; None if the marks can't be told apart."""
-        ids = np.array(self.tok.encode_batch_fast([" " + f" {self.mark} ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
-        at = np.flatnonzero(ids == self.mark_id)
-        if len(at) != len(parts) - 1:
-            return None
-        raw = ids.tobytes()
-        begins, ends = [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), len(raw)]
-        return [raw[a:b] for a, b in zip(begins, ends, strict=True)]
-
-    def _learn(self, known: dict[str, bytes], parts: set[str], blank: str) -> None:
-        if len(known) + len(parts) > CACHE:
-            known.clear()
-        new = list(parts)
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
-            ids = self._marked(some) if blank and self.mark else None
-            known.update(zip(some, ids or self._raw([blank + x for x in some]), strict=True))
-
     def _together(self, texts: list[str]) -> Iterator[bytes]:
         if not self.by_parts:
             yield from self._raw(texts)
             return
-        parts = [_BLANK.split(x) if _ODD.search(x) else x.split(" ") for x in texts]
-        firsts = {p[0] for p in parts}
-        if not firsts <= self.firsts.keys():
-            self._learn(self.firsts, firsts, "")
-        wanted = set().union(*(p[1:] for p in parts))
-        if fresh := wanted - self.others.keys():
-            if len(self.others) + len(fresh) > CACHE:
-                self.others.clear()
-                fresh = wanted
-            self._learn(self.others, fresh, " ")
-        for p in parts:
-            p[0] = self.firsts[p[0]]
-            p[1:] = map(self.others.__getitem__, p[1:])
-            yield b"".join(p)
+        for text in texts:
+            first, *rest = text.split(" ")
+            try:
+                if rest and (not first or first[-1].isspace()):
+                    raise NotBetweenBlanks
+                yield self.firsts[first] + b"".join(map(self.others.__getitem__, rest))
+            except NotBetweenBlanks:
+                first, *rest = _BLANK.split(text)
+                yield self.firsts[first] + b"".join(map(self.loose.__getitem__, rest))
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
