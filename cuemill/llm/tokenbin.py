@@ -136,7 +136,10 @@ def write_tokens(
     tok = encoder(tokenizer_path)
     width = 2 if tok.tok.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
     end = np.array([end_id], "<u4").tobytes()
-    some = rows.where(F.length("t") <= sample_chars).orderBy(F.xxhash64("k", "t")).limit(sample_docs).select("t")
+    # The hashes are ranked alone, so that tasks don't send texts which the sample then leaves out.
+    short = rows.where(F.length("t") <= sample_chars).select(F.xxhash64("k", "t").alias("h"), "t")
+    edge = short.select("h").distinct().orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    some = short.where(F.col("h") <= F.lit(edge)).dropDuplicates(["h"]).orderBy("h").select("t")
     samples = [np.frombuffer(x + end, "<u4").astype(f"<u{width}").tobytes() for x in tok.encode([r["t"] for r in some.collect()])]
     dictionary = train_dictionary(samples)
 
