@@ -173,6 +173,6 @@ def deliveries(events: DataFrame, hooks: DataFrame, *, kind: str = "event_type")
 
 def loudness(log: Column) -> Column:
     """(i, tp, lra) of the last JSON block with ``input_i`` in a log; "-inf" is null."""
-    LOUDNESS_LINE
+    last = F.try_element_at(F.filter(F.regexp_extract_all(log, F.lit(r"(?s)\{[^{}]*\}"), 0), lambda b: F.contains(b, F.lit('"input_i"'))), F.lit(-1))
     j = F.from_json(last, "input_i string, input_tp string, input_lra string")
     return F.struct(scalars.finite(j["input_i"]).alias("i"), scalars.finite(j["input_tp"]).alias("tp"), scalars.finite(j["input_lra"]).alias("lra"))
