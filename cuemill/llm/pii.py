@@ -97,6 +97,11 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _only_valid(kind: str, spans: Column) -> Column:
+    """Not a lambda with a default for ``kind``: Spark would pass the index as a second argument."""
+    return F.filter(spans, lambda s: _valid(kind, s["value"]))
+
+
 def find_base(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """``docs`` with ``base`` and ``candidates``: sorted arrays of (start, rank, end, value), candidates with ``pattern``.
 
@@ -111,7 +116,7 @@ def find_base(docs: DataFrame, *, text: str = "text") -> DataFrame:
     out = docs.withColumns(columns)
     out = out.withColumns({sums[k.name]: _prefix_sums(F.zip_with(pieces[k.name], matches[k.name], lambda a, b: F.length(a) + F.coalesce(F.length(b), F.lit(0)))) for k in kinds})
     spans = {k.name: _spans(F.col(pieces[k.name]), F.col(matches[k.name]), F.col(sums[k.name]), rank) for rank, k in enumerate(kinds)}
-    good = [F.filter(spans[k.name], lambda s, k=k: _valid(k.name, s["value"])) for k in KINDS]
+    good = [_only_valid(k.name, spans[k.name]) for k in KINDS]
     candidates = F.filter(spans[FOUND], lambda s: (F.length(s["value"]) <= MOST_CHARS) & (F.length(_digits(s["value"])) >= LEAST_DIGITS))
     out = out.withColumns({"base": F.array_sort(F.concat(*good)), "candidates": candidates})
     out = out.drop(*pieces.values(), *matches.values(), *sums.values())
