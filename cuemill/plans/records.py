@@ -80,7 +80,7 @@ def breaker(s, d):
 
 
 def suffixed(s, d):
-    rows = table(s, d, "documents").select("doc_id", scalars.slug(F.substring("text", 1, 4)).alias("base"))
+    rows = table(s, d, "documents").select("doc_id", scalars.slug(F.col("text")).alias("base"))
     return workbench.suffixed(rows, "base", ["doc_id"]).select("doc_id", "unique_id")
 
 

@@ -35,19 +35,17 @@ def durations(s, d):
 
 
 def candidate_pairs(s, d):
-    """Titles (first words of documents) against passages, blocked by their first word."""
-    a = docs(s, d).where("doc_id % 5 = 0").select("doc_id", scalars.normalise_title(F.substring("text", 1, 60)).alias("title"))
-    b = docs(s, d).where("doc_id % 5 = 1").select(F.col("doc_id").alias("other"), scalars.normalise_title(F.substring("text", 1, 60)).alias("other_title"))
-    return a.join(b, F.split("title", " ")[0] == F.split("other_title", " ")[0])
+    """Every document's title (its whole text) against every passage of the benchmark; a null ``other`` if there is none."""
+    a = docs(s, d).select("doc_id", scalars.normalise_title(F.col("text")).alias("title"))
+    b = table(s, d, "benchmark").select(F.col("item_id").alias("other"), scalars.normalise_title(F.col("text")).alias("other_title"))
+    return a.join(b, F.lit(True), "left")
 
 
 def duplicate_scores(s, d):
-    p = candidate_pairs(s, d)
-    once = p.select("title", "other_title").distinct()
-    scored = once.withColumn("ratio", tx.sequence_ratio("title", "other_title"))
-    rows = p.join(scored, ["title", "other_title"])
-    best = rows.groupBy("doc_id").agg(F.max(tx.duplicate_score(F.col("ratio"), F.col("doc_id") % 40, F.col("other") % 40)).alias("best"))
-    return best.withColumn("verdict", tx.duplicate_verdict(F.col("best")))
+    """Pairs aren't made distinct first: that would shuffle each text once per passage."""
+    scored = candidate_pairs(s, d).withColumn("ratio", tx.sequence_ratio("title", "other_title"))
+    best = F.max(F.when(F.col("other").isNotNull(), tx.duplicate_score(F.col("ratio"), F.col("doc_id") % 40, F.col("other") % 40)))
+    return scored.groupBy("doc_id").agg(best.alias("best")).withColumn("verdict", tx.duplicate_verdict(F.col("best")))
 
 
 def coverage(s, d):
@@ -190,7 +188,7 @@ QUERIES = {
     "source_bleed": lambda s, d: segments(s, d).select("job", "idx", F.size(tx.repeated_source_words(F.col("text"), F.col("translated"))).alias("repeated")),
     "translation_rejected": lambda s, d: segments(s, d).select("job", "idx", tx.rejected(F.col("text"), F.col("translated")).alias("why")),
     "word_boundary_contains": lambda s, d: docs(s, d).where(scalars.word_contains(F.col("text"), "the")).select("doc_id"),
-    "cer": lambda s, d: segments(s, d).select("job", "idx", scalars.error_rate(F.substring("translated", 1, 60), F.substring("text", 1, 60)).alias("cer")),
+    "cer": lambda s, d: segments(s, d).select("job", "idx", scalars.error_rate(F.col("translated"), F.col("text")).alias("cer")),
     "duplicate_score": duplicate_scores,
     "names": names,
     "flags_inconsistent": inconsistent_renderings,
@@ -204,7 +202,7 @@ QUERIES = {
     "checklist_score": lambda s, d: corpus_audit.checklist(docs(s, d).select(F.col("lang").alias("subject"), "text"), rules(s)),
     "speech_rate": lambda s, d: corpus_audit.speech_rate(docs(s, d).select("lang", "text", ((F.col("n_chars") % 90) + 10).cast("double").alias("seconds")), anchor="en"),
     "centroid": lambda s, d: corpus_audit.centroids(vectors(s, d), "label", "embedding").select("label", F.posexplode("centroid").alias("pos", "x")).select("label", "pos", F.round("x", 6).alias("x")),
-    "greedy_match": lambda s, d: folds.greedy_pairs(profile_matches(s, d).select((F.col("vec_id") % 20).alias("grp"), F.col("vec_id").alias("a"), F.col("profile").alias("b"), "score")),
+    "greedy_match": lambda s, d: folds.greedy_pairs(all_profile_matches(s, d).select((F.col("vec_id") % 20).alias("grp"), F.col("vec_id").alias("a"), F.col("profile").alias("b"), "score")),
     "stage_fingerprint": lambda s, d: fingerprints(s, d).groupBy("stage").agg(F.countDistinct("fingerprint").alias("distinct_prints"), F.count_if(F.col("fingerprint").isNull()).alias("without")),
     "reuse_plan": reuse,
     "upsert": upserted,
@@ -230,6 +228,13 @@ def profile_matches(s, d):
     return pairs.select("vec_id", "profile", F.round(corpus_audit.cosine(F.col("embedding"), F.col("centroid")), 6).alias("score")).where("score >= 0.1")
 
 
+def all_profile_matches(s, d):
+    """All vectors against the centroids of all, by label."""
+    p = corpus_audit.centroids(vectors(s, d), "label", "embedding").select(F.col("label").alias("profile"), "centroid")
+    pairs = vectors(s, d).crossJoin(F.broadcast(p))
+    return pairs.select("vec_id", "profile", F.round(corpus_audit.cosine(F.col("embedding"), F.col("centroid")), 6).alias("score")).where("score >= 0.1")
+
+
 QUERIES["cosine_topk"] = profile_matches
 
 _UNIT = "list_transform({v}, lambda x: x::DOUBLE / sqrt(list_sum(list_transform({v}, lambda y: y::DOUBLE * y::DOUBLE))))"
