@@ -146,36 +146,36 @@ def log_levels(s, d):
     return table(s, d, "events").where(rank >= 30).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _streamed(s, d, make, mode="append", name=None):
-    """A query over ``events`` as a stream of files, run to its end."""
-    import uuid
-
+def _streamed(s, d, make, mode, *, files_per_batch=100):
+    """Output rows of a query over ``events`` as a stream of files, run to its end; ``batch`` tells which batch gave a row."""
     from cuemill.sources.scratch import folder
 
     where = folder(s, "stream")
-    source = f"{where}/in"
-    events = table(s, d, "events")
-    events.coalesce(1).write.parquet(source)
-    stream = make(activity.watch_folder(s, source, events.schema))
-    if name is None:
-        activity.run_available(stream, where)
-        return s.read.parquet(f"{where}/out")
-    name = f"{name}_{uuid.uuid4().hex[:8]}"
-    activity.run_available(stream, where, mode=mode, name=name)
-    return s.table(name)
+    # A pattern, as the table may be one file or a folder of files, and a stream's plain path must be a folder.
+    source = f"{d}/events.parque[t]"
+    stream = make(activity.watch_folder(s, source, table(s, d, "events").schema, files_per_batch=files_per_batch))
+    activity.run_available(stream, where, mode=mode)
+    return s.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch long").parquet(f"{where}/out")
+
+
+def _complete(rows):
+    """What the last batch gave: complete output repeats all rows in each batch."""
+    last = rows.agg(F.max("batch").alias("last"))
+    return rows.join(F.broadcast(last), F.col("batch") == F.col("last"), "left_semi").drop("batch")
 
 
-def stream_daily(s, d):
-    return _streamed(s, d, activity.daily_usage, mode="complete", name="daily")
+def stream_daily(s, d, **options):
+    return _complete(_streamed(s, d, activity.daily_usage, "complete", **options))
 
 
-def stream_ring(s, d):
-    rows = _streamed(s, d, activity.ring, mode="update", name="ring")
-    return rows.groupBy("user_id").agg(F.max_by(F.struct("newest", "evicted"), F.col("evicted") + F.size("newest")).alias("r")).select("user_id", F.array_join("r.newest", ",").alias("newest"), "r.evicted")
+def stream_ring(s, d, **options):
+    rows = _streamed(s, d, activity.ring, "update", **options)
+    return rows.groupBy("user_id").agg(F.max_by(F.struct("newest", "evicted"), F.col("batch")).alias("r")).select("user_id", F.array_join("r.newest", ",").alias("newest"), "r.evicted")
 
 
-def stream_sessions(s, d):
-    return _streamed(s, d, activity.sessions)
+def stream_sessions(s, d, **options):
+    """Open sessions too."""
+    return _complete(_streamed(s, d, lambda e: activity.sessions(e, late=None), "complete", **options))
 
 
 QUERIES = {

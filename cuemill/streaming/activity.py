@@ -38,9 +38,11 @@ def daily_usage(events: DataFrame, *, late: str = "2 days") -> DataFrame:
     return g.select(F.date_format("w.start", "yyyy-MM-dd").alias("bucket"), F.col("m").cast("double").alias("minutes"), "jobs")
 
 
-def sessions(events: DataFrame, *, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Per user: spans of activity without a longer pause."""
-    e = with_event_time(events).withWatermark("ts", late)
+def sessions(events: DataFrame, *, gap: str = "30 minutes", late: str | None = "1 hour") -> DataFrame:
+    """Per user: spans of activity without a longer pause. Without ``late`` no event is too late (for complete output)."""
+    e = with_event_time(events)
+    if late is not None:
+        e = e.withWatermark("ts", late)
     g = e.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("events"))
     return g.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
@@ -81,10 +83,23 @@ def assemble_lines(chunks: DataFrame, *, longest: int = 8192) -> DataFrame:
 
 
 def run_available(stream: DataFrame, folder: str, *, mode: str = "append", name: str | None = None) -> None:
-    """Process all there is, exactly once per checkpoint folder, and wait. ``update`` and ``complete`` go to a memory table."""
+    """Process all there is, exactly once per checkpoint folder, and wait.
+
+    ``update`` and ``complete`` go to ``out/batch=N``, or with a name to a memory table (on the driver, for small results).
+    """
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint")
-    query = writer.format("memory").queryName(name).start() if name else writer.format("parquet").option("path", f"{folder}/out").start()
-    query.awaitTermination()
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # A batch that is tried again replaces its own rows.
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    if name:
+        writer = writer.format("memory").queryName(name)
+    elif mode == "append":
+        writer = writer.format("parquet").option("path", f"{folder}/out")
+    else:
+        writer = writer.foreachBatch(write)
+    writer.start().awaitTermination()
 
 
 def deliver(stream: DataFrame, folder: str, hooks: DataFrame, *, attempts: int = 2) -> None:
