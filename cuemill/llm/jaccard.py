@@ -212,7 +212,9 @@ def index_lists(reps: DataFrame, frequent: DataFrame, n: int, percent: int, buck
         lists: dict[tuple[int, int], tuple[int, int, np.ndarray]] = {}
         for b, m in zip(begins.tolist(), lengths.tolist(), strict=True):
             part = rows[b : b + m]
-            name = int(np.sum(mix64(part["doc"].astype(np.uint64) + np.uint64(0x1234567)), dtype=np.uint64).view(np.int64))
+            # With sizes, as an id's rows may have sets of several sizes.
+            member = mix64(part["doc"].astype(np.uint64) + np.uint64(0x1234567)) + part["size"].astype(np.uint64)
+            name = int(np.sum(mix64(member), dtype=np.uint64).view(np.int64))
             if (old := lists.get((name, m))) is None:
                 lists[(name, m)] = (b, m, part["pos"].copy())
             else:
@@ -302,17 +304,23 @@ def compare(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFram
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return out.empty_table()
-        head = np.frombuffer(right.column("head_grams")[0].as_py(), np.uint64)
+        # Rows that repeat the head's doc_id may have other texts: each distinct set is compared.
+        heads = [h for h in (np.frombuffer(x, np.uint64) for x in {raw.as_py() for raw in right.column("head_grams")}) if len(h)]
         got = []
         for b, raw in zip(left.column("b").to_pylist(), left.column("grams"), strict=True):
             other = np.frombuffer(raw.as_py(), np.uint64)
-            small, large = (head, other) if len(head) < len(other) else (other, head)
-            spot = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            got.append((b, int((large[spot] == small).sum()), len(other)))
-        b, common, size = (np.array(x, np.int64) for x in zip(*got, strict=True))
-        ok = linked(common, len(head), size, percent)
+            if not len(other):
+                continue
+            for head in heads:
+                small, large = (head, other) if len(head) < len(other) else (other, head)
+                spot = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                got.append((b, int((large[spot] == small).sum()), len(head), len(other)))
+        if not got:
+            return out.empty_table()
+        b, common, size_a, size_b = (np.array(x, np.int64) for x in zip(*got, strict=True))
+        ok = linked(common, size_a, size_b, percent)
         a = np.full(int(ok.sum()), left.column("a")[0].as_py(), np.int64)
-        return pa.table({"a": a, "b": b[ok], "common": common[ok], "size_a": np.full(len(a), len(head), np.int64), "size_b": size[ok]}, schema=out)
+        return pa.table({"a": a, "b": b[ok], "common": common[ok], "size_a": size_a[ok], "size_b": size_b[ok]}, schema=out)
 
     return members.groupBy("a", "part").cogroup(heads.groupBy("h", "part")).applyInArrow(run, "a long, b long, common long, size_a long, size_b long")
 

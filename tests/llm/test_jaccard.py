@@ -110,3 +110,14 @@ def test_very_long_text(spark, make_docs):
     long = " ".join(str(k) for k in range(120_000))
     rows = [(1, long), (2, long + " end"), (3, "short text only")]
     assert result(make_docs(rows)) == {1: (119_996, 1), 2: (119_997, 1), 3: (1, 3)}
+
+
+def test_repeated_ids_with_different_texts(spark, make_docs):
+    # Ids 0 to 29 have two texts each, in both orders; 100 + k is a near copy of one of them.
+    rows = []
+    for k in range(30):
+        own = [(k, " ".join(f"{side}{k}w{i}" for i in range(40))) for side in "ab"]
+        rows += own if k % 2 else own[::-1]
+        rows.append((100 + k, own[1][1] + f" z{k}"))
+    found = {(r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(make_docs(rows)).collect()}
+    assert found == {(k, k % 100) for k in [*range(30), *range(100, 130)]}
