@@ -62,12 +62,11 @@ def source_label(batch_label: Column, title: Column, label: Column, job_id: Colu
 
 
 def parse_duration(text: Column) -> Column:
-    """Seconds in "189", "189s", "m:ss" or "h:mm:ss"; null otherwise."""
-    t = F.trim(text)
-    parts = F.split(t, ":")
-    seconds = F.when(F.regexp_like(t, F.lit(r"^[0-9]+(\.[0-9]+)?s?$")), F.regexp_replace(t, "s$", "").try_cast("double"))
-    seconds = seconds.when(F.regexp_like(t, F.lit(r"^[0-9]+:[0-9]{1,2}$")), parts[0].try_cast("double") * 60 + parts[1].try_cast("double"))
-    return seconds.when(F.regexp_like(t, F.lit(r"^[0-9]+:[0-9]{1,2}:[0-9]{1,2}$")), parts[0].try_cast("double") * 3600 + parts[1].try_cast("double") * 60 + parts[2].try_cast("double"))
+    """Whole seconds in "189", "189.5", "189S", "m:ss" or "h:mm:ss" (any case); null otherwise."""
+    t = F.regexp_replace(F.lower(F.trim(text)), "s$", "")
+    parts = F.transform(F.split(t, ":"), lambda p: F.trim(p).try_cast("long"))
+    clock = F.aggregate(parts, F.lit(0).cast("long"), lambda total, n: total * 60 + n)
+    return F.when(F.contains(t, F.lit(":")), F.when(F.size(parts).between(2, 3), clock)).otherwise(finite(t).try_cast("long"))
 
 
 def normalise_title(text: Column) -> Column:
@@ -75,11 +74,19 @@ def normalise_title(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"(?U)[^\p{L}\p{N}]+", " "))
 
 
+#: What counts as a credential, most specific first, and what stays in front of it.
+SECRETS = [
+    (r"\bhf_[A-Za-z0-9]{8,}", "[redacted]"),
+    (r"(?i)(Bearer\s+)([A-Za-z0-9._\-]{8,})", "$1[redacted]"),
+    (r"(?i)((?:token|secret|api[_-]?key|password|authorization)\s*[=:]\s*)([\"']?)([^\s\"',}]{4,})\2", "$1[redacted]"),
+]
+
+
 def redact_secrets(text: Column) -> Column:
-    """Access tokens, bearer credentials and key=value secrets replaced."""
-    out = F.regexp_replace(text, r"\bhf_[A-Za-z0-9]{8,}", "hf_[redacted]")
-    out = F.regexp_replace(out, r"(?i)(bearer\s+)[A-Za-z0-9._~+/=-]{8,}", "$1[redacted]")
-    return F.regexp_replace(out, r"(?i)((?:api[_-]?key|token|password|secret)\s*[=:]\s*)[^\s,;&]+", "$1[redacted]")
+    """Access tokens, bearer credentials and key=value secrets of at least four characters replaced, quotes included."""
+    for pattern, kept in SECRETS:
+        text = F.regexp_replace(text, pattern, kept)
+    return text
 
 
 def mask(text: Column) -> Column:
@@ -87,19 +94,28 @@ def mask(text: Column) -> Column:
     return F.when(F.length(text) > 4, F.concat(F.substring(text, 1, 4), F.lit("…"))).when(F.length(text) > 0, F.lit("…"))
 
 
+#: The parts of an error message that differ from run to run, in the order in which they are replaced.
+VOLATILE = [
+    (r"[a-z]:\\[^\s'\"]+", "<path>"),
+    (r"(?U)(?:/[\w.@-]+){2,}", "<path>"),
+    (r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<id>"),
+    (r"\b[0-9a-f]{8,}\b", "<hex>"),
+    (r"0x[0-9a-f]+", "<hex>"),
+    (r"\b\d+(?:\.\d+)?", "<n>"),
+]
+
+
 def normalise_error(text: Column) -> Column:
     """Lower case with paths, ids, hexadecimal and other numbers as placeholders; at most 300 characters."""
-    out = F.lower(text)
-    out = F.regexp_replace(out, r"(?:[a-z]:)?(?:[/\\][\w.@%+-]+){2,}", "<path>")
-    out = F.regexp_replace(out, r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<uuid>")
-    out = F.regexp_replace(out, r"\b0x[0-9a-f]+\b|\b[0-9a-f]{12,}\b", "<hex>")
-    out = F.regexp_replace(out, r"[0-9]+(?:\.[0-9]+)?", "<n>")
+    out = F.lower(F.coalesce(text, F.lit("")))
+    for pattern, name in VOLATILE:
+        out = F.regexp_replace(out, pattern, name)
     return F.left(F.trim(F.regexp_replace(out, r"\s+", " ")), F.lit(300))
 
 
 def error_signature(stage: Column, message: Column) -> Column:
     """Twelve hexadecimal digits that equal failures share."""
-    return F.left(F.sha2(F.concat(stage, F.lit("|"), normalise_error(message)), 256), F.lit(12))
+    return F.left(F.sha2(F.concat(F.coalesce(stage, F.lit("")), F.lit("|"), normalise_error(message)), 256), F.lit(12))
 
 
 def iso_seconds(t: Column) -> Column:
@@ -129,26 +145,166 @@ def key_state(revoked: Column, expires: Column, last_used: Column, now: Column)
     return F.when(revoked, "revoked").when(expires < now, "expired").when(expires < now + week, "expiring").when(last_used.isNull(), "idle").otherwise("active")
 
 
-def failure_class(message: Column, needles: dict[str, list[str]]) -> Column:
-    """The first class one of whose needles occurs in the message; else unknown."""
-    low = F.replace(F.lower(message), F.lit("’"), F.lit("'"))
+#: Words of a failed download's output by shape, in the order in which they are looked for.
+FAILURE_SHAPES = {
+    "gone": ["video unavailable", "this video has been removed", "private video", "account associated with this video has been terminated", "video is not available"],
+    "bot-check": ["sign in to confirm you're not a bot", "use --cookies-from-browser or --cookies"],
+    "age-gate": ["sign in to confirm your age", "age-restricted", "inappropriate for some users"],
+    "geo-block": ["not available in your country", "not made this video available in your country", "video is geo restricted"],
+    "challenge-unsolved": ["challenge solving failed", "failed to solve", "unable to solve", "could not solve", "no challenge solver", "nsig extraction failed", "unable to extract nsig", "only images are available"],
+    "format-unavailable": ["requested format is not available", "requested format not available"],
+    "network": ["timed out", "connection reset", "temporary failure in name resolution", "connection refused", "network is unreachable"],
+    "forbidden": ["http error 403", "status code 403", "403: forbidden"],
+}
+#: The same for the classes that come with commands ("persistent-403" is found by its own rule).
+DOWNLOAD_CLASSES = {
+    "bot-check": ["sign in to confirm you're not a bot", "use --cookies-from-browser or --cookies"],
+    "age-gate": ["sign in to confirm your age", "age-restricted", "inappropriate for some users"],
+    "geo-block": ["not available in your country", "not made this video available in your country", "geo restriction", "geo-restricted", "unavailable from your location", "blocked it in your country"],
+    "persistent-403": [],
+    "format": ["requested format is not available", "no video formats found", "only images are available"],
+    "network": ["getaddrinfo failed", "temporary failure in name resolution", "name or service not known", "connection refused", "connection reset", "network is unreachable", "urlopen error", "timed out", "timeout", "ssl:"],
+}
+#: Which commands a class comes with; {} is the quoted source.
+COMMANDS = {
+    "embedded": 'yt-dlp --extractor-args "youtube:player_client=web_embedded" {}',
+    "cookies": "yt-dlp --cookies-from-browser firefox {}",
+    "plain": "yt-dlp {}",
+    "update": "yt-dlp -U",
+    "formats": "yt-dlp -F {}",
+}
+CLASS_COMMANDS = {
+    "bot-check": ["cookies", "embedded"],
+    "age-gate": ["cookies"],
+    "geo-block": ["embedded", "plain"],
+    "persistent-403": ["embedded", "cookies", "update", "plain"],
+    "format": ["plain", "formats", "update"],
+    "network": ["plain"],
+    "unknown": ["update", "plain"],
+}
+#: An unsolved challenge, as against a run that merely mentions one.
+CHALLENGE = ["failed to solve", "unable to solve", "could not solve", "no challenge solver", "nsig extraction failed", "unable to extract nsig"]
+
+
+def _any_in(low: Column, needles: list[str]) -> Column:
+    out = F.lit(False)
+    for n in needles:
+        out = out | F.contains(low, F.lit(n))
+    return out
+
+
+def output_blob(stderr: Column, stdout: Column) -> Column:
+    """Both outputs in lower case with plain apostrophes."""
+    return F.replace(F.lower(F.concat_ws(" ", F.coalesce(stderr, F.lit("")), F.coalesce(stdout, F.lit("")))), F.lit("’"), F.lit("'"))
+
+
+def is_forbidden(blob: Column) -> Column:
+    """Whether an output is about HTTP status 403."""
+    return _any_in(blob, ["http error 403"]) | (F.contains(blob, F.lit("403")) & _any_in(blob, ["forbidden", "status code 403"]))
+
+
+def needs_challenge_solver(blob: Column) -> Column:
+    return _any_in(blob, CHALLENGE)
+
+
+def failure_class(blob: Column, needles: dict[str, list[str]]) -> Column:
+    """The first class one of whose needles occurs in the blob; else unknown."""
     out = F.when(F.lit(False), "")
     for name, words in needles.items():
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | F.contains(low, F.lit(w))
-        out = out.when(hit, name)
+        out = out.when(_any_in(blob, words) if words else is_forbidden(blob), name)
     return out.otherwise("unknown")
 
 
+def error_line(stderr: Column, stdout: Column) -> Column:
+    """The last line that begins with ERROR:, 300 characters of it; else the last 300 of what was printed."""
+    lines = F.transform(F.split(F.coalesce(stderr, F.lit("")), r"\r\n|\n|\r"), F.trim)
+    last = F.try_element_at(F.filter(lines, lambda x: F.startswith(x, F.lit("ERROR:"))), F.lit(-1))
+    tail = F.coalesce(present(stderr), present(stdout))
+    return F.coalesce(F.left(last, F.lit(300)), F.right(tail, F.lit(300)), F.lit("no output"))
+
+
+def error_detail(stderr: Column) -> Column:
+    """The first line that begins with ERROR:, else the output's begin; 200 characters of it."""
+    lines = F.transform(F.split(F.coalesce(stderr, F.lit("")), r"\r\n|\n|\r"), F.trim)
+    first = F.try_element_at(F.filter(lines, lambda x: F.startswith(x, F.lit("ERROR:"))), F.lit(1))
+    return F.left(F.coalesce(first, F.trim(F.coalesce(stderr, F.lit("")))), F.lit(200))
+
+
+def shell_quoted(text: Column) -> Column:
+    """One shell word: as it is if harmless, else in single quotes."""
+    quoted = F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("'\"'\"'")), F.lit("'"))
+    return F.when(F.regexp_like(text, F.lit(r"^[A-Za-z0-9_@%+=:,./-]+$")), text).otherwise(quoted)
+
+
+def rescue_commands(name: Column, source: Column) -> Column:
+    """The commands of a failure class for a source ("<URL>" where it is blank)."""
+    target = F.when(F.coalesce(source, F.lit("")) != "", shell_quoted(source)).otherwise("<URL>")
+    out = F.when(F.lit(False), F.array().cast("array<string>"))
+    for kind, keys in CLASS_COMMANDS.items():
+        out = out.when(name == kind, F.array(*[F.replace(F.lit(COMMANDS[k]), F.lit("{}"), target) for k in keys]))
+    return out
+
+
+def epoch_seconds(text: Column) -> Column:
+    """Seconds since 1970 from a number or an ISO-8601 time (in the session's zone, if it names none); null otherwise."""
+    return F.coalesce(finite(F.trim(text)), F.try_to_timestamp(F.trim(text)).cast("double"))
+
+
+def qa_text(text: Column) -> Column:
+    """Lower case, punctuation as blanks, blanks collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
+
+
+def group_name(text: Column) -> Column:
+    return F.lower(F.trim(text))
+
+
+def base_language(code: Column) -> Column:
+    """The first two letters of a language code, in lower case."""
+    return F.left(F.lower(F.trim(code)), F.lit(2))
+
+
+def is_pair(source: Column, target: Column) -> Column:
+    """Whether two codes are of different languages, regions aside."""
+    return F.left(F.lower(F.coalesce(source, F.lit(""))), F.lit(2)) != F.left(F.lower(F.coalesce(target, F.lit(""))), F.lit(2))
+
+
+def salted_hash(token: Column, salt: Column) -> Column:
+    return F.sha2(F.concat(salt, token), 256)
+
+
+def guidance(base: Column, override: Column, floor: float, cross: Column) -> Column:
+    """The override, if there is one (0 is none); else the base, between languages at least ``floor``."""
+    return F.coalesce(F.nullif(override, F.lit(0)), F.when(cross, F.greatest(base, F.lit(floor))).otherwise(base))
+
+
+def batch_limits(context: Column, lines: Column, chars: Column) -> Column:
+    """(lines, chars) of one request: as set, or from the model's context (0 is unset)."""
+    size = F.coalesce(F.nullif(context, F.lit(0)), F.lit(8192))
+    most = F.coalesce(F.nullif(lines, F.lit(0)), F.greatest(F.lit(4), F.least(F.lit(24), F.floor(size / 512))))
+    text = F.coalesce(F.nullif(chars, F.lit(0)), F.greatest(F.lit(800), F.least(F.lit(6000), F.floor(size / 4))))
+    return F.struct(F.greatest(F.lit(1), F.least(most, F.lit(64))).cast("int").alias("lines"), F.greatest(F.lit(80), text).cast("int").alias("chars"))
+
+
+def output_budget(chars: Column, lines: Column, headroom: int = 4096) -> Column:
+    """Output tokens of a request: the headroom, 1.2 a character, 16 a line, 256."""
+    return (F.lit(headroom) + F.floor(chars * F.lit(1.2)) + lines * 16 + 256).cast("long")
+
+
+def batch_timeout(budget: Column, concurrency: Column, stretch: Column, *, seconds: float = 300.0, headroom: int = 4096) -> Column:
+    """Seconds for a request: in proportion to its budget, to the requests at once and to the stretch, each at least once."""
+    return F.lit(seconds) * F.greatest(F.lit(1.0), budget / F.lit(float(headroom))) * F.greatest(F.lit(1), concurrency) * F.greatest(F.lit(1), stretch)
+
+
 def slug(text: Column) -> Column:
     return F.left(F.lower(F.regexp_replace(F.regexp_replace(text, r"(?U)[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")), F.lit(48))
 
 
 def script_ratio(text: Column, ranges: str) -> Column:
     """Share of the letters that lie in ``ranges`` (a regular-expression class); 1 without letters."""
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    return F.when(letters == 0, 1.0).otherwise(F.regexp_count(text, F.lit(f"[{ranges}]")) / letters)
+    letters = F.regexp_replace(text, r"\P{L}+", "")
+    inside = F.length(F.regexp_replace(letters, f"[^{ranges}]+", ""))
+    return F.when(F.length(letters) == 0, 1.0).otherwise(inside / F.length(letters))
 
 
 def low_confidence(words: Column, mean: Column, least: Column, logprob: Column) -> Column:

@@ -1,160 +1,208 @@
-"""Order-dependent passes over one job's segments: parallel over jobs, one job at a time in a task.
+"""Order-dependent passes over a job's segments.
 
-A job's transcript is bounded by its media; each pass is one loop over rows that Spark has grouped by job.
+Where a rule only looks at neighbours it is a window over the job. Where it needs what has been built so
+far, the segments that may be joined form short runs by such a window, and only a run is folded. Limits are in
+milliseconds and characters.
 """
 
 from __future__ import annotations
 
 import re
-import textwrap
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from cuemill.operators import timeline
 
-_DONE = re.compile(r"[.!?…][\"'”’)\]]*$")
 SEGMENT = "job long, idx long, start_ms long, end_ms long, speaker string, text string"
 
 
-def _same(a: str | None, b: str | None) -> bool:
-    return not a or not b or a == b
-
-
-def _merge(rows: pd.DataFrame, gap: int, longest: int, chars: int) -> list[list]:
-    """[start, end, speaker, text] after joining each unfinished line with what continues it."""
-    out: list[list] = []
-    for start, end, who, text in rows[["start_ms", "end_ms", "speaker", "text"]].itertuples(index=False):
-        text = text or ""
-        if out:
-            last = out[-1]
-            head, wait = last[3].rstrip(), start - last[1]
-            open_end = not _DONE.search(head)
-            fits = end - last[0] <= longest and len(head) + 1 + len(text.strip()) <= chars
-            if _same(last[2], who) and wait <= gap and (open_end or wait < 200) and fits:
-                last[1], last[3] = end, f"{head} {text.lstrip()}".strip()
-                continue
-        out.append([start, end, who, text])
-    return out
-
-
-def _absorb(lines: list[list], short: int, chars: int) -> list[list]:
-    """Lines of under ``short`` ms and ``chars`` characters go to the line before, else to the one after."""
-    out: list[list] = []
-    waiting = [list(x) for x in lines]
-    for k, line in enumerate(waiting):
-        tiny = line[1] - line[0] < short and len(line[3].strip()) < chars
-        if tiny and out and _same(out[-1][2], line[2]) and line[0] - out[-1][1] < 1500:
-            out[-1][1], out[-1][3] = line[1], f"{out[-1][3].rstrip()} {line[3].strip()}".strip()
-        elif tiny and k + 1 < len(waiting) and _same(waiting[k + 1][2], line[2]) and waiting[k + 1][0] - line[1] < 1500:
-            after = waiting[k + 1]
-            after[0], after[3] = line[0], f"{line[3].strip()} {after[3].lstrip()}".strip()
-        else:
-            out.append(line)
-    return out
-
-
-def _per_job(segments: DataFrame, work) -> DataFrame:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        job = rows["job"].iloc[0]
-        lines = work(rows.sort_values("idx"))
-        return pd.DataFrame([(job, k, *x) for k, x in enumerate(lines)], columns=["job", "idx", "start_ms", "end_ms", "speaker", "text"])
+def _in_order():
+    return Window.partitionBy("job").orderBy("idx")
+
 
-    return segments.select("job", "idx", "start_ms", "end_ms", "speaker", "text").groupBy("job").applyInPandas(run, SEGMENT)
+def _agree(a: Column, b: Column) -> Column:
+    """Speakers that are equal, or one of which isn't known."""
+    return F.coalesce((a == b) | (a == "") | (b == ""), F.lit(True))
+
+
+def _joined(rows: DataFrame) -> DataFrame:
+    """Segments of one ``part`` of a ``run`` as one: first begin and speaker, last end, texts in order; numbered anew."""
+    parts = rows.groupBy("job", "run", "part").agg(
+        F.min("idx").alias("first"), F.min_by("start_ms", "idx").alias("start_ms"), F.max_by("end_ms", "idx").alias("end_ms"),
+        F.min_by("speaker", "idx").alias("speaker"), F.array_sort(F.collect_list(F.struct("idx", F.coalesce("text", F.lit("")).alias("text")))).alias("texts"),
+    )
+    one = F.element_at("texts", 1)["text"]
+    several = F.array_join(F.filter(F.transform("texts", lambda x: F.trim(x["text"])), lambda t: t != ""), " ")
+    number = F.row_number().over(Window.partitionBy("job").orderBy("first")) - 1
+    return parts.select("job", number.cast("long").alias("idx"), "start_ms", "end_ms", "speaker", F.when(F.size("texts") == 1, one).otherwise(several).alias("text"))
 
 
 def merge_continuations(segments: DataFrame, *, gap: int = 500, longest: int = 12_000, chars: int = 240) -> DataFrame:
-    """Segments of one sentence joined: same speaker, small gap, unfinished (or a gap under 200 ms), within limits."""
-    return _per_job(segments, lambda rows: _merge(rows, gap, longest, chars))
+    """Segments of one sentence joined: speakers agree, small gap, unfinished (or a gap under 200 ms), within limits.
 
+    Gap and sentence end are those of neighbours; limits and speaker depend on what the joined segment holds
+    already. So runs of neighbours that may continue each other are folded.
+    """
+    before = lambda c: F.lag(c).over(_in_order())
+    wait = F.col("start_ms") - before("end_ms")
+    open_end = ~F.regexp_like(F.rtrim(F.coalesce(before("text"), F.lit(""))), F.lit("[.!?…][\"'”’)\\]]*$"))
+    may = F.coalesce((wait <= gap) & (open_end | (wait < 200)), F.lit(False))
+    rows = segments.select("job", "idx", "start_ms", "end_ms", "speaker", "text").withColumn("run", F.sum((~may).cast("int")).over(_in_order().rowsBetween(Window.unboundedPreceding, 0)))
+    text = F.coalesce("text", F.lit(""))
+    member = F.struct("idx", "start_ms", "end_ms", F.coalesce("speaker", F.lit("")).alias("speaker"), F.length(F.trim(text)).alias("n"), F.length(F.rtrim(text)).alias("alone"))
+    runs = rows.groupBy("job", "run").agg(F.array_sort(F.collect_list(member)).alias("m"))
+    zero = F.struct(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("begin"), F.lit("").alias("who"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("parts"))
+
+    def step(s: Column, x: Column) -> Column:
+        fits = (s["part"] >= 0) & _agree(s["who"], x["speaker"]) & (x["end_ms"] - s["begin"] <= longest) & (s["n"] + 1 + x["n"] <= chars)
+        part = F.when(fits, s["part"]).otherwise(s["part"] + 1)
+        return F.struct(part.alias("part"), F.when(fits, s["begin"]).otherwise(x["start_ms"]).alias("begin"), F.when(fits, s["who"]).otherwise(x["speaker"]).alias("who"), F.when(~fits, x["alone"]).when((s["n"] == 0) | (x["n"] == 0), s["n"] + x["n"]).otherwise(s["n"] + 1 + x["n"]).alias("n"), F.concat(s["parts"], F.array(part)).alias("parts"))
+
+    folded = runs.select("job", "run", "m", F.aggregate("m", zero, step, lambda s: s["parts"]).alias("parts"))
+    places = folded.select("job", "run", F.inline(F.arrays_zip(F.col("m.idx").alias("idx"), F.col("parts").alias("part"))))
+    return _joined(rows.join(places, ["job", "run", "idx"]))
+
+
+def absorb_tiny(segments: DataFrame, *, short: int = 1000, chars: int = 40, gap: int = 1500) -> DataFrame:
+    """Segments shorter than ``short`` ms and ``chars`` characters go to the one before, else to the one after.
+
+    One pass over a job in order; a segment handed forward is part of the next one, which may be tiny again.
+    """
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        kept: list[list] = []
+        carried: list | None = None
+        items = rows.sort_values("idx")[["start_ms", "end_ms", "speaker", "text"]].to_numpy(dtype=object).tolist()
+        near = lambda a, b: (not a[2] or not b[2] or a[2] == b[2]) and b[0] - a[1] < gap
+        for k, (start, end, who, text) in enumerate(items):
+            now = [start, end, who, text or ""]
+            if carried is not None:
+                now[0], now[3], carried = carried[0], f"{carried[3].strip()} {now[3].lstrip()}".strip(), None
+            if now[1] - now[0] >= short or len(now[3].strip()) >= chars:
+                kept.append(now)
+            elif kept and near(kept[-1], now):
+                kept[-1][1], kept[-1][3] = now[1], f"{kept[-1][3].rstrip()} {now[3].strip()}".strip()
+            elif k + 1 < len(items) and near(now, items[k + 1]):
+                carried = now
+            else:
+                kept.append(now)
+        return pd.DataFrame([(rows["job"].iloc[0], k, *x) for k, x in enumerate(kept)], columns=["job", "idx", "start_ms", "end_ms", "speaker", "text"])
 
-def absorb_tiny(segments: DataFrame, *, short: int = 1000, chars: int = 40) -> DataFrame:
-    return _per_job(segments, lambda rows: _absorb([[a, b, c, d or ""] for a, b, c, d in rows[["start_ms", "end_ms", "speaker", "text"]].itertuples(index=False)], short, chars))
+    return segments.select("job", "idx", "start_ms", "end_ms", "speaker", "text").groupBy("job").applyInPandas(walk, SEGMENT)
 
 
 def postprocess(segments: DataFrame) -> DataFrame:
-    """Joined, then absorbed, numbered anew from 0."""
-    return _per_job(segments, lambda rows: _absorb(_merge(rows, 500, 12_000, 240), 1000, 40))
+    """Joined, absorbed, split where too long, numbered anew from 0."""
+    rows = timeline.split_long(absorb_tiny(merge_continuations(segments)))
+    number = F.row_number().over(Window.partitionBy("job").orderBy("idx", "part")) - 1
+    return rows.select("job", number.cast("long").alias("new"), "start_ms", "end_ms", "speaker", "text").withColumnRenamed("new", "idx")
 
 
-def rewrap(text: str, chars: int, lines: int) -> str:
-    """The text in lines of at most ``chars``; if they are too many, at clauses, else balanced."""
-    flat = " ".join(text.split())
-    got = textwrap.wrap(flat, chars, break_long_words=False, break_on_hyphens=False)
-    if len(got) > lines:
-        joined: list[str] = []
-        for clause in re.split(r"(?<=[.!?;:,])\s+", flat):
-            if joined and len(joined[-1]) + 1 + len(clause) <= chars:
-                joined[-1] += " " + clause
-            else:
-                joined.append(clause)
-        if len(joined) > 1 and len(joined) <= lines and max(map(len, joined)) <= chars:
-            got = joined
-    if len(got) > lines:
-        target, got = max(1, len(flat) // lines), [""]
-        for word in flat.split():
-            if len(got[-1]) >= target and len(got) < lines:
-                got.append(word)
+def layouts(text: str, chars: int, lines: int):
+    """Ways to set a text, the preferred one first: words as they fit, whole clauses, balanced lines."""
+    words = text.split()
+
+    def fill(pieces: list[str], full) -> list[str]:
+        out: list[str] = []
+        for p in pieces:
+            if out and not full(out, p):
+                out[-1] = f"{out[-1]} {p}"
             else:
-                got[-1] = f"{got[-1]} {word}".strip()
-    return "\n".join(got)
+                out.append(p)
+        return out
+
+    too_long = lambda out, p: len(out[-1]) + 1 + len(p) > chars
+    yield fill(words, too_long)
+    clauses = fill(re.split(r"(?<=[.!?;:,])\s+", " ".join(words)), too_long)
+    if len(clauses) > 1 and max(map(len, clauses)) <= chars:
+        yield clauses
+    share = max(1, len(" ".join(words)) // lines)
+    yield fill(words, lambda out, p: len(out[-1]) >= share and len(out) < lines)
 
 
-def _broken(cues: list[dict], chars: int, lines: int, cps: float, gap: int) -> int:
-    n = 0
-    for k, c in enumerate(cues):
-        parts, length = c["text"].split("\n"), c["end"] - c["start"]
-        n += max(map(len, parts)) > chars
-        n += len(parts) > lines
-        n += length > 0 and len(c["text"].replace("\n", "")) * 1000 / length > cps + 1e-9
-        n += k + 1 < len(cues) and cues[k + 1]["start"] - c["end"] < gap
-    return n
+def rewrap(text: str, chars: int, lines: int) -> str:
+    """The first layout of at most ``lines`` lines; the balanced one always is."""
+    return "\n".join(next((x for x in layouts(text, chars, lines) if len(x) <= lines), [])) if text.strip() else text
 
 
 def autofix_cues(cues: DataFrame, *, chars: int = 42, lines: int = 2, cps: float = 17.0, gap: int = 80, most: int = 500) -> DataFrame:
     """(job, idx, end_ms, text): rewrapped, extended into free time for reading speed, shaved for the gap.
 
-    A job's fixes are kept only if its violations become strictly fewer.
+    Begins never change, so each step is a window over the next cue. A job's fixes are kept only if its
+    violations become strictly fewer.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx")
-        before = [{"start": a, "end": b, "text": t or ""} for a, b, t in rows[["start_ms", "end_ms", "text"]].itertuples(index=False)]
-        work = [dict(c) for c in before]
-        for k, c in enumerate(work):
-            parts = c["text"].split("\n")
-            if (max(map(len, parts)) > chars or len(parts) > lines) and c["text"].strip():
-                c["text"] = rewrap(c["text"], chars, lines)
-            length = c["end"] - c["start"]
-            size = len(c["text"].replace("\n", ""))
-            if length > 0 and size * 1000 / length > cps:
-                room = work[k + 1]["start"] - gap - c["end"] if k + 1 < len(work) else most
-                c["end"] += max(0, int(min(size * 1000 / cps - length, room, most)))
-        for c, after in zip(work, work[1:], strict=False):
-            shaved = after["start"] - gap
-            if after["start"] - c["end"] < gap and c["end"] - shaved <= most and shaved > c["start"] + 200:
-                c["end"] = shaved
-        kept = work if _broken(work, chars, lines, cps, gap) < _broken(before, chars, lines, cps, gap) else before
-        return pd.DataFrame({"job": rows["job"].to_numpy(), "idx": rows["idx"].to_numpy(), "end_ms": [c["end"] for c in kept], "text": [c["text"] for c in kept]})
-
-    return cues.select("job", "idx", "start_ms", "end_ms", "text").groupBy("job").applyInPandas(run, "job long, idx long, end_ms long, text string")
-
-
-def reference_chunks(turns: DataFrame, *, low: int = 1500, high: int = 12_000, target: int = 30_000, least: int = 6_000) -> DataFrame:
+    @F.pandas_udf(StringType())
+    def wrapped(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: rewrap(t, chars, lines))
+
+    def longest(text: Column) -> Column:
+        return F.array_max(F.transform(F.split(text, "\n"), F.length))
+
+    def size(text: Column) -> Column:
+        return F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+    def broken(end: Column, text: Column) -> Column:
+        length = end - F.col("start_ms")
+        kinds = [longest(text) > chars, F.size(F.split(text, "\n")) > lines, (length > 0) & (size(text) * 1000 / length > cps + 1e-9), F.coalesce(F.col("next") - end < gap, F.lit(False))]
+        return sum((k.cast("int") for k in kinds[1:]), kinds[0].cast("int"))
+
+    rows = cues.select("job", "idx", "start_ms", "end_ms", F.coalesce("text", F.lit("")).alias("text")).withColumn("next", F.lead("start_ms").over(_in_order()))
+    wide = (longest(F.col("text")) > chars) | (F.size(F.split("text", "\n")) > lines)
+    rows = rows.withColumn("set", F.when(wide & (F.trim("text") != ""), wrapped("text")).otherwise(F.col("text")))
+    length = F.col("end_ms") - F.col("start_ms")
+    wanted = size(F.col("set")) * 1000 / F.lit(cps) - length
+    room = F.coalesce(F.col("next") - gap - F.col("end_ms"), F.lit(most))
+    grown = F.when((length > 0) & (size(F.col("set")) * 1000 / length > cps), F.greatest(F.lit(0), F.floor(F.least(wanted, room, F.lit(most))))).otherwise(0)
+    rows = rows.withColumn("grown", (F.col("end_ms") + grown).cast("long"))
+    cut = F.col("next") - gap
+    shave = F.coalesce((F.col("next") - F.col("grown") < gap) & (F.col("grown") - cut <= most) & (cut > F.col("start_ms") + 200), F.lit(False))
+    rows = rows.withColumn("fixed", F.when(shave, cut).otherwise(F.col("grown")))
+    whole = Window.partitionBy("job")
+    better = F.sum(broken(F.col("fixed"), F.col("set"))).over(whole) < F.sum(broken(F.col("end_ms"), F.col("text"))).over(whole)
+    rows = rows.withColumn("better", better)
+    return rows.select("job", "idx", F.when(F.col("better"), F.col("fixed")).otherwise(F.col("end_ms")).alias("end_ms"), F.when(F.col("better"), F.col("set")).otherwise(F.col("text")).alias("text"))
+
+
+def _in_turns(spans: DataFrame, keys: list[str], turns: list[tuple[Column, int | None]], target: int) -> DataFrame:
+    """Spans (keys, start_ms, end_ms, ms) chosen in turns, each turn by length until the target is reached.
+
+    A turn is (which spans, the total that makes it needless). All are running sums over a key.
+    """
+    group = Window.partitionBy(*keys)
+    number = F.when(F.lit(False), 0)
+    for k, (which, _) in enumerate(turns):
+        number = number.when(which, k)
+    rows = spans.withColumn("turn", number).where("turn IS NOT NULL")
+    before = group.orderBy(F.desc("ms"), "start_ms", "end_ms").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("taken", F.lit(False)).withColumn("total", F.lit(0).cast("long"))
+    for k, (_, enough) in enumerate(turns):
+        mine = F.col("turn") == k
+        needed = F.lit(True) if enough is None else F.col("total") < enough
+        so_far = F.col("total") + F.coalesce(F.sum(F.when(mine, F.col("ms"))).over(before), F.lit(0))
+        rows = rows.withColumn("taken", F.col("taken") | (mine & needed & (so_far < target)))
+        rows = rows.withColumn("total", F.coalesce(F.sum(F.when(F.col("taken"), F.col("ms"))).over(group), F.lit(0)))
+    return rows.where("taken").drop("taken", "total", "turn")
+
+
+def reference_chunks(turns: DataFrame, *, low: int = 1500, high: int = 12_000, target: int = 30_000, least: int = 6_000, cap: int = 15_000) -> DataFrame:
     """(job, speaker, start_ms, end_ms): a voice sample's turns, best lengths first, then short ones, then long ones capped."""
+    length = F.col("end_ms") - F.col("start_ms")
+    spans = turns.select("job", "speaker", "start_ms", (F.col("start_ms") + F.least(length, F.lit(cap))).alias("end_ms"), length.alias("whole")).withColumn("ms", F.least("whole", F.lit(cap)))
+    whole = F.col("whole")
+    chosen = _in_turns(spans, ["job", "speaker"], [(whole.between(low, high), None), ((whole >= 400) & (whole < low), least), (whole > high, least)], target)
+    return chosen.select("job", "speaker", "start_ms", "end_ms")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        spans = sorted(zip(rows["start_ms"], rows["end_ms"], strict=True), key=lambda x: (x[0] - x[1], x[0]))
-        chosen, total = [], 0
-        for keep, enough in ((lambda d: low <= d <= high, None), (lambda d: 400 <= d < low, least), (lambda d: d > high, least)):
-            if enough is not None and total >= enough:
-                break
-            for a, b in spans:
-                if keep(b - a) and total < target:
-                    b = a + min(b - a, 15_000)
-                    chosen.append((a, b))
-                    total += b - a
-        return pd.DataFrame([(rows["job"].iloc[0], rows["speaker"].iloc[0], a, b) for a, b in sorted(chosen)], columns=["job", "speaker", "start_ms", "end_ms"])
 
-    return turns.select("job", "speaker", "start_ms", "end_ms").groupBy("job", "speaker").applyInPandas(run, "job long, speaker string, start_ms long, end_ms long")
+def fallback_reference(segments: DataFrame, *, low: int = 1500, high: int = 12_000, target: int = 30_000, least: int = 6_000) -> DataFrame:
+    """(job, start_ms, end_ms): a single speaker's sample, from segments with text: good lengths, then whatever has half a second."""
+    length = F.col("end_ms") - F.col("start_ms")
+    spans = segments.where(F.trim("text") != "").select("job", "start_ms", "end_ms", length.alias("ms"))
+    good = F.col("ms").between(low, high)
+    return _in_turns(spans, ["job"], [(good, None), (~good & (F.col("ms") >= 500), least)], target).select("job", "start_ms", "end_ms")
 
 
 def greedy_pairs(scores: DataFrame) -> DataFrame:
@@ -172,22 +220,25 @@ def greedy_pairs(scores: DataFrame) -> DataFrame:
     return scores.select("grp", "a", "b", "score").groupBy("grp").applyInPandas(run, "grp long, a long, b long, score double")
 
 
-def numbered_reply(replies: DataFrame) -> DataFrame:
-    """(id, line, text): lines "1. ..." in ascending order; other lines continue the one before."""
-
-    def run(batches):
-        for rows in batches:
-            out = []
-            for key, text in zip(rows["id"], rows["text"], strict=True):
-                at, lines = 0, {}
-                for line in (text or "").splitlines():
-                    m = re.match(r"\s*(\d+)[.):]\s*(.*)", line)
-                    if m and int(m[1]) > at:
-                        at = int(m[1])
-                        lines[at] = m[2].strip()
-                    elif at and line.strip():
-                        lines[at] = f"{lines[at]} {line.strip()}".strip()
-                out += [(key, k, v) for k, v in lines.items()]
-            yield pd.DataFrame(out, columns=["id", "line", "text"]).astype({"id": "int64", "line": "int64"})
-
-    return replies.select("id", "text").mapInPandas(run, "id long, line long, text string")
+#: Fixed value: how a reply numbers its lines.
+NUMBERED = r"^\s*[*#]*\s*[\[(]?(\d{1,3})[\])]?\s*(?:[.):\]|\-]\s*|\s+)\**\s*(.*)$"
+
+
+def numbered_reply(text: Column, expected: Column) -> Column:
+    """The lines 1, 2, 3, ... of a reply, exactly ``expected`` of them and none blank; null for any other reply.
+
+    Only the next number begins a line; what stands between continues the line before, what stands ahead of 1 is dropped.
+    """
+    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit(False).alias("over"))
+
+    def step(s: Column, line: Column) -> Column:
+        n, last = F.size(s["done"]), F.coalesce(F.try_element_at(s["done"], F.lit(-1)), F.lit(""))
+        begins = F.coalesce(F.nullif(F.regexp_extract(line, NUMBERED, 1), F.lit("")).cast("int"), F.lit(-1)) == n + 1
+        more = F.concat(s["done"], F.array(F.trim(F.regexp_extract(line, NUMBERED, 2))))
+        longer = F.concat(F.slice(s["done"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.trim(F.concat_ws(" ", last, F.trim(line)))))
+        done = F.when(begins & (n < expected), more).when(~begins & (n > 0) & (F.trim(line) != ""), longer).otherwise(s["done"])
+        return F.struct(done.alias("done"), (s["over"] | (begins & (n >= expected))).alias("over"))
+
+    lines = F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r")
+    right = lambda s: F.when(~s["over"] & (F.size(s["done"]) == expected) & F.forall(s["done"], lambda x: x != ""), s["done"])
+    return F.aggregate(lines, zero, step, right)

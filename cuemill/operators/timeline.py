@@ -189,7 +189,8 @@ def split_long(segments: DataFrame, *, longest: int = 15_000) -> DataFrame:
     part = lambda k, a, b, t: F.struct(F.lit(k).alias("part"), a.alias("start_ms"), b.alias("end_ms"), t.alias("text"))
     whole = F.array(part(0, F.col("start_ms"), F.col("end_ms"), F.col("text")))
     halves = F.array(part(0, F.col("start_ms"), at, F.trim(F.substring("text", F.lit(1), F.col("cut")))), part(1, at, F.col("end_ms"), F.trim(F.substring("text", F.col("cut") + 1, n))))
-    return s.select("job", "idx", F.explode(F.when(F.col("cut").isNull(), whole).otherwise(halves)).alias("p")).select("job", "idx", "p.*")
+    who = [c for c in ("speaker",) if c in segments.columns]
+    return s.select("job", "idx", *who, F.explode(F.when(F.col("cut").isNull(), whole).otherwise(halves)).alias("p")).select("job", "idx", *who, "p.*")
 
 
 def take_longest(clips: DataFrame, *, total: int = 60_000, each: int = 15_000, least: int = 1000) -> DataFrame:

@@ -22,7 +22,7 @@ def newest(rows: DataFrame, key: str, order: list[str], keep: int) -> DataFrame:
 def attempts(runs: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Runs with their attempt number per key and whether they are the latest."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return runs.withColumns({"attempt": F.row_number().over(w), "latest": F.lead(order[0]).over(w).isNull()})
+    return runs.withColumns({"attempt": F.row_number().over(w), "latest": F.lead(F.lit(1)).over(w).isNull()})
 
 
 def upstream(stages: DataFrame, key: str, nth: str, present: Column) -> DataFrame:
@@ -126,6 +126,13 @@ def breaker(outcomes: DataFrame, key: str, order: str, *, limit: int = 3) -> Dat
     return rows.withColumn("open", F.col("in_a_row") >= limit).drop("island")
 
 
+def budget_multiplier(outcomes: DataFrame, key: str, order: str, *, step: int = 4, most: int = 16) -> DataFrame:
+    """Outcomes (key, order, starved) with the multiplier that the next request gets: ``step`` times more after each starved one, at most ``most``."""
+    so_far = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    times = F.sum(F.col("starved").cast("int")).over(so_far)
+    return outcomes.withColumn("multiplier", F.least(F.pow(F.lit(float(step)), F.least(times, F.lit(30))), F.lit(float(most))).cast("long"))
+
+
 def suffixed(rows: DataFrame, base: str, order: list[str]) -> DataFrame:
     """Ids made unique: the second of a base gets -2, the third -3."""
     nth = F.row_number().over(Window.partitionBy(base).orderBy(*order))
@@ -133,12 +140,15 @@ def suffixed(rows: DataFrame, base: str, order: list[str]) -> DataFrame:
 
 
 def around(log: DataFrame, key: str, failures: DataFrame, *, before: int = 20, after: int = 5) -> DataFrame:
-    """Log rows (key, seq) from ``before`` rows ahead of each failure (key, at) to ``after`` rows behind it."""
-    hit = log.join(failures, key).where("seq >= at - 10000 AND seq <= at + 10000")
-    back, forth = Window.partitionBy(key, "at").orderBy(F.desc("seq")), Window.partitionBy(key, "at").orderBy("seq")
-    ahead = hit.where("seq <= at").withColumn("n", F.row_number().over(back)).where(F.col("n") <= before)
-    behind = hit.where("seq > at").withColumn("n", F.row_number().over(forth)).where(F.col("n") <= after)
-    return ahead.unionByName(behind).drop("n")
+    """Log rows (key, seq) from ``before`` rows ahead of each failure (key, at) to ``after`` rows behind it.
+
+    Failures are marked in the log; a row belongs to the failures among the rows around it, so one window finds
+    them all, however far apart sequence numbers are.
+    """
+    marks = failures.groupBy(key, F.col("at").alias("seq")).agg(F.first("at").alias("at"))
+    w = Window.partitionBy(key).orderBy("seq")
+    rows = log.join(marks, [key, "seq"], "left").withColumn("near", F.collect_list("at").over(w.rowsBetween(-after, before - 1)))
+    return rows.drop("at").withColumn("at", F.explode("near")).drop("near")
 
 
 def merge_terms(old: DataFrame, new: DataFrame) -> DataFrame:

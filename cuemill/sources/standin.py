@@ -79,7 +79,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("start_ms").cast("long").alias("start_ms"),
         (F.col("start_ms") + F.col("ms")).cast("long").alias("end_ms"),
         F.floor(F.col("ms") * (F.lit(80) + F.pmod(F.col("h"), F.lit(60))) / 100).cast("long").alias("dub_ms"),
-        F.when(F.col("h") % 20 == 0, F.col("text")).when(F.col("h") % 27 == 0, F.lit("")).otherwise(F.concat(F.lit("x "), F.substring("text", 1, 1000), F.lit(" "), F.repeat(F.lit("ab "), F.pmod(F.col("h"), F.lit(9)).cast("int")))).alias("translated"),
+        F.when(F.col("h") % 20 == 0, F.col("text")).when(F.col("h") % 27 == 0, F.lit("")).otherwise(F.concat(F.lit("x "), F.col("text"), F.lit(" "), F.repeat(F.lit("ab "), F.pmod(F.col("h"), F.lit(9)).cast("int")))).alias("translated"),
         (-F.col("h") / F.lit(64.0)).alias("logprob"),
         (F.pmod(F.col("h") * 7, F.lit(100)) / F.lit(100.0)).alias("no_speech"),
         (F.pmod(F.col("h") * 3, F.lit(64)) / F.lit(64.0)).alias("cer"),
@@ -95,6 +95,6 @@ SEGMENTS_SQL = """segments AS (
     b AS (SELECT *, coalesce(sum(ms + 300) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_ms FROM c)
     SELECT conv_id AS job, turn AS idx, role AS speaker, text, start_ms, start_ms + ms AS end_ms,
            floor(ms * (80 + h % 60) / 100)::BIGINT AS dub_ms,
-           CASE WHEN h % 20 = 0 THEN text WHEN h % 27 = 0 THEN '' ELSE 'x ' || substr(text, 1, 1000) || ' ' || repeat('ab ', (h % 9)::INTEGER) END AS translated,
+           CASE WHEN h % 20 = 0 THEN text WHEN h % 27 = 0 THEN '' ELSE 'x ' || text || ' ' || repeat('ab ', (h % 9)::INTEGER) END AS translated,
            -h / 64.0::DOUBLE AS logprob, (h * 7 % 100) / 100.0::DOUBLE AS no_speech, (h * 3 % 64) / 64.0::DOUBLE AS cer, (h % 4)::INTEGER AS tier,
            h % 5 != 0 AS measured, h % 13 != 0 AS lang_match FROM b)"""

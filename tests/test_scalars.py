@@ -18,7 +18,7 @@ def one(spark, column):
 
 @pytest.mark.parametrize(
     ("text", "seconds"),
-    [("189", 189.0), ("189s", 189.0), ("1.5s", 1.5), ("3:07", 187.0), ("1:02:03", 3723.0), ("N/A", None), ("", None), ("-4", None), ("1:2:3:4", None)],
+    [("189", 189), ("189s", 189), ("189.5", 189), ("189S", 189), ("1.5s", 1), ("3:07", 187), ("3:7", 187), ("1:02:03", 3723), ("N/A", None), ("", None), ("-4", -4), ("1:2:3:4", None), ("a:b", None), ("nan", None)],
 )
 def test_durations(spark, text, seconds):
     assert one(spark, scalars.parse_duration(F.lit(text))) == seconds
@@ -43,8 +43,8 @@ def test_source_label(spark):
 
 
 def test_secrets_and_masks(spark):
-    text = "hf_abcdefgh12 Bearer abcdefgh.12345 api_key=zzz, token: t1; rest"
-    assert one(spark, scalars.redact_secrets(F.lit(text))) == "hf_[redacted] Bearer [redacted] api_key=[redacted], token: [redacted]; rest"
+    text = "hf_abcdefgh12 Bearer abcdefgh.12345 api_key=zzzz, token: t1; password='hunter22' Authorization: abcd rest"
+    assert one(spark, scalars.redact_secrets(F.lit(text))) == "[redacted] Bearer [redacted] api_key=[redacted], token: t1; password=[redacted] Authorization: [redacted] rest"
     assert [x for (x,) in values(spark, [("abcdefgh",), ("abc",), ("",)], "s string", x=scalars.mask(F.col("s")))] == ["abcd…", "…", None]
 
 
@@ -53,6 +53,7 @@ def test_signatures_ignore_what_varies(spark):
     b = "cannot  read /data/jobs/999/other.wav at 0x1a after 12 s"
     sign = lambda t, stage="tts": one(spark, scalars.error_signature(F.lit(stage), F.lit(t)))
     assert sign(a) == sign(b) and len(sign(a)) == 12
+    assert one(spark, scalars.normalise_error(F.lit("Job 1234abcd failed: C:\\tmp\\x y 12.5s 0x1F 01234567-89ab-cdef-0123-456789abcdef"))) == "job <hex> failed: <path> y <n>s <hex> <id>"
     assert sign(a) != sign(a, "translate") and sign(a) != sign("Cannot write it")
 
 
@@ -84,7 +85,7 @@ def test_foreign_letters(spark):
 
 def test_rejections(spark):
     cases = [("hi", "", "empty"), ("hi", "x" * 81, "too long"), ("hi", "Here is the translation: ho", "prose about the task"), ("hello there", "hello there friend", "wrong script"), ("hello", "привет", None), ("hi", None, "empty")]
-    got = values(spark, [(a, b) for a, b, _ in cases], "a string, b string", x=tx.rejected(F.col("a"), F.col("b"), script="cyrillic"))
+    got = values(spark, [(a, b) for a, b, _ in cases], "a string, b string", x=tx.rejected(F.col("a"), F.col("b"), language="ru"))
     assert [x for (x,) in got] == [c for *_, c in cases]
 
 
@@ -102,10 +103,64 @@ def test_ratio_is_the_standard_library_one(spark):
 
 def test_sentences(spark):
     text = "Dr. Smith came at 5 p.m. on Monday. He said: “Go!” Then J. Doe left... and nobody spoke. ¿Why?"
-    assert one(spark, tx.split_sentences(F.lit(text))) == ["Dr. Smith came at 5 p.m. on Monday.", "He said: “Go!”", "Then J. Doe left... and nobody spoke.", "¿Why?"]
-    assert one(spark, tx.split_sentences(F.lit(None).cast("string"))) == []
+    assert one(spark, tx.sentences(F.lit(text))) == ["Dr. Smith came at 5 p.m. on Monday.", "He said: “Go!”", "Then J. Doe left... and nobody spoke.", "¿Why?"]
+    assert one(spark, tx.sentences(F.lit(None).cast("string"))) == []
 
 
 def test_markup_and_replies(spark):
     assert one(spark, tx.strip_markup(F.lit("**bold** [x](http://y) `code` *it*"))) == "bold x code it"
     assert one(spark, tx.clean_reply(F.lit('<think>hm</think>Translation: "Hola"'))) == "Hola"
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("The U.S. Supreme Court ruled in No. 34. It took 3.5 years.", ["The U.S. Supreme Court ruled in No. 34.", "It took 3.5 years."]),
+        ('He said "Stop." Then he left.', ['He said "Stop."', "Then he left."]),
+        ("It cost 1,672 days. 2021 came and went.", ["It cost 1,672 days.", "2021 came and went."]),
+        ("wait... and see", ["wait... and see"]),
+        ("Wait... Then go", ["Wait...", "Then go"]),
+        ("  spaced \n out.   Twice.  ", ["spaced out.", "Twice."]),
+        ("(Mr. Smith) left. lower stays", ["(Mr. Smith) left. lower stays"]),
+        ("Is it Mr.! No", ["Is it Mr.! No"]),
+        ("11 Dec. 2014 was cold", ["11 Dec. 2014 was cold"]),
+    ],
+)
+def test_sentence_ends(spark, text, want):
+    assert one(spark, tx.sentences(F.lit(text))) == want
+
+
+def test_chunks_keep_all_words_within_the_limit():
+    text = "First, the court ordered a delimitation; second, it set a deadline of twelve months, which passed in February 2021, and third, it archived the file three days later without checking whether anything had actually been done."
+    for most in (40, 78, 120, 220):
+        got = tx.balanced_chunks(text, most)
+        assert " ".join(got) == text and max(map(len, got)) <= most
+        assert not any(x.endswith("third,") for x in got)
+    assert tx.balanced_chunks("a " + "x" * 50 + " b", 10) == ["a", "x" * 50, "b"]
+    assert tx.balanced_chunks("", 10) == [] and tx.balanced_chunks(None, 10) == [] and tx.balanced_chunks("short", 10) == ["short"]
+    even = tx.balanced_chunks("word " * 20, 80)
+    assert len(even) == 2 and min(map(len, even)) > 30
+
+
+def test_failed_downloads(spark):
+    blob = lambda t: scalars.output_blob(F.lit(t), F.lit(None))
+    shape = lambda t: one(spark, scalars.failure_class(blob(t), scalars.FAILURE_SHAPES))
+    assert [shape(t) for t in ("HTTP Error 403: Forbidden and Sign in to confirm you’re not a bot", "n challenge solving failed", "timed out", "403: Forbidden", "?")] == ["bot-check", "challenge-unsolved", "network", "forbidden", "unknown"]
+    kind = lambda t: one(spark, scalars.failure_class(blob(t), scalars.DOWNLOAD_CLASSES))
+    assert [kind(t) for t in ("status code 403", "error 403 forbidden", "timeout", "Requested format is not available", "only 403")] == ["persistent-403", "persistent-403", "network", "format", "unknown"]
+    assert one(spark, scalars.error_line(F.lit("WARNING: a\nERROR: b\n ERROR: c \nend"), F.lit(""))) == "ERROR: c"
+    assert one(spark, scalars.error_line(F.lit(" "), F.lit("x" * 400))) == "x" * 300
+    assert one(spark, scalars.error_detail(F.lit("ERROR: b\nERROR: c"))) == "ERROR: b"
+    assert one(spark, scalars.rescue_commands(F.lit("age-gate"), F.lit("http://a b'c"))) == ["yt-dlp --cookies-from-browser firefox 'http://a b'\"'\"'c'"]
+    assert one(spark, scalars.rescue_commands(F.lit("network"), F.lit(None))) == ["yt-dlp <URL>"]
+
+
+def test_other_small_rules(spark):
+    assert one(spark, scalars.epoch_seconds(F.lit("1754300000"))) == 1754300000.0
+    assert one(spark, scalars.epoch_seconds(F.lit("2026-08-05T02:00"))) == 1785895200.0
+    assert one(spark, scalars.epoch_seconds(F.lit("soon"))) is None
+    assert one(spark, scalars.qa_text(F.lit("Hello,  «мир»!\t(ok)"))) == "hello мир ok"
+    assert [one(spark, scalars.is_pair(F.lit(a), F.lit(b))) for a, b in (("es", "es-419"), ("pt-BR", "PT"), ("en", "de"))] == [False, False, True]
+    assert one(spark, tx.digits(F.lit("18 ١٨ १८ 十八"))) == 6 and one(spark, tx.digits(F.lit("18 ١٨ १८ 十八"), "ja")) == 8
+    assert [one(spark, tx.rejected(F.lit("hello"), F.lit(t))) for t in ("Okay, so the user wants", "Source text: x", "I'll translate", "ok")] == ["prose about the task"] * 3 + [None]
+    assert [one(spark, tx.has_phrase(F.lit("In New-York (C++) today"), F.lit(p))) for p in ("new-york", "York", "C++", "tod", "In")] == [True, True, True, False, True]

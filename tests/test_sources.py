@@ -23,13 +23,37 @@ def test_feed_ranks_follow_lines_that_count(spark):
     lines = ['{"id": "a", "duration": "3:07"}', "broken", '{"title": "no id"}', '{"id": "s", "is_short": 1}', '{"id": "b", "duration": "12s", "category_id": 10}']
     rows = spark.createDataFrame(list(enumerate(lines)), "pos int, value string")
     got = files.ranked_feed(rows).orderBy("rank").collect()
-    assert [(r["rank"], r["id"], r["seconds"], r["is_music"]) for r in got] == [(1, "a", 187.0, None), (2, "b", 12.0, True)]
+    assert [(r["rank"], r["id"], r["seconds"], r["is_music"]) for r in got] == [(1, "a", 187, None), (2, "b", 12, True)]
 
 
 def test_script(spark):
-    text = "# Intro\n<!-- not\nspoken -->\nHello\nthere.\n\n![x](a.png)\n[pause 1.5s]\n# Intro\nBye."
-    got = files.scripts(spark.createDataFrame([(1, text)], "id int, text string")).orderBy("position").collect()
-    assert [(r["s.id"] if "s.id" in r else r[2], r["image"], r["pause_after"], r["paragraphs"]) for r in got] == [("intro", "a.png", 1.5, ["Hello there."]), ("intro-2", "", None, ["Bye."])]
+    text = "# Talk\n<!-- not\nspoken -->\nHello <!-- aside -->\nthere.\n\n![x](img/a.png)\n<!-- pause: 1.5 -->\n## Intro ##\n- **Bye** [now](http://x).\n> quoted\n\n## Intro\n"
+    got = files.scripts(spark.createDataFrame([(1, text)], "id int, text string").withColumnRenamed("id", "script"), key="script").orderBy("position").collect()
+    assert [(r["id"], r["title"], r["image"], r["pause_after"], r["paragraphs"]) for r in got] == [
+        ("talk", "Talk", "a.png", 1.5, ["Hello there."]),
+        ("intro", "Intro", "", None, ["Bye now. quoted"]),
+        ("intro-2", "Intro", "", None, []),
+    ]
+
+
+def test_json_script_and_bad_ones(spark):
+    doc = json.dumps({"title": "T", "slides": ["plain text", {"id": "x", "narration": ["a  b", "c\n\nd"], "pause_after": 99}, {"title": "Über", "text": "e"}]})
+    rows = spark.createDataFrame([(1, doc), (2, "{broken"), (3, None)], "script int, text string")
+    got = files.scripts(rows, key="script").orderBy("position").collect()
+    assert [(r["script"], r["id"], r["pause_after"], r["paragraphs"]) for r in got] == [(1, "slide-1", None, ["plain text"]), (1, "x", 30.0, ["a b", "c", "d"]), (1, "ber", None, ["e"])]
+
+
+def test_fixtures_and_hashes(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a.json").write_text(json.dumps({"id": "one", "segments": [1]}))
+    (tmp_path / "rates.json").write_text(json.dumps({"rates": {}}))
+    assert [r["id"] for r in files.fixtures(spark, str(tmp_path), "id string, segments array<int>").collect()] == ["one"]
+    raw = (tmp_path / "a.json").read_bytes()
+    want = {n: hashlib.sha256(str(len(raw)).encode() + raw[: n or None]).hexdigest() for n in (0, 4)}
+    for n in (0, 4):
+        got = {r["path"].rpartition("/")[2]: r["hash"] for r in files.file_hashes(spark, str(tmp_path), prefix=n).collect()}
+        assert got["a.json"] == want[n]
 
 
 def test_csv_has_a_header(spark, tmp_path):

@@ -67,10 +67,54 @@ def test_tiny_segments_go_to_a_neighbour(spark):
     assert [(r["start_ms"], r["end_ms"], r["text"]) for r in got] == [(0, 4400, "Oh that was long enough. yes")]
 
 
-def test_numbered_replies(spark):
-    text = "1. one\n2) two\nmore\n\n2. again\n4: four"
-    got = folds.numbered_reply(spark.createDataFrame([(7, text), (8, None)], "id long, text string")).orderBy("line").collect()
-    assert [(r["id"], r["line"], r["text"]) for r in got] == [(7, 1, "one"), (7, 2, "two more 2. again"), (7, 4, "four")]
+@pytest.mark.parametrize(
+    ("text", "n", "want"),
+    [
+        ("1. one\n2) two\nmore\n\n[3] three", 3, ["one", "two more", "three"]),
+        ("1. one\n2. two\n4. four", 3, None),
+        ("1. one\n2. two\n3. three", 2, None),
+        ("1. one", 2, None),
+        ("preamble\n**1.** one\n2: 2. again", 2, ["one", "2. again"]),
+        ("1. one\n2. ", 2, None),
+        (None, 1, None),
+        ("", 0, []),
+    ],
+)
+def test_numbered_replies(spark, text, n, want):
+    rows = spark.createDataFrame([(text, n)], "t string, n int")
+    assert rows.select(folds.numbered_reply(F.col("t"), F.col("n")).alias("r")).first()["r"] == want
+
+
+def test_limits_and_speakers_end_a_joined_segment(spark):
+    rows = [(0, 6000, "A", "a" * 100), (6100, 9000, None, "b" * 100), (9100, 12000, "A", "c" * 60), (12100, 12500, "B", "d"), (12600, 12700, None, "e")]
+    got = folds.merge_continuations(segments(spark, rows)).orderBy("idx").collect()
+    assert [(r["start_ms"], r["end_ms"], r["speaker"], len(r["text"])) for r in got] == [(0, 9000, "A", 201), (9100, 12000, "A", 60), (12100, 12700, "B", 3)]
+
+
+def test_a_tiny_segment_is_handed_forward(spark):
+    rows = [(0, 3000, "A", "long enough to stay."), (3100, 3400, "B", "Oh"), (3500, 3900, "B", "no"), (4000, 8000, "B", "and then more.")]
+    got = folds.absorb_tiny(segments(spark, rows)).orderBy("idx").collect()
+    assert [(r["start_ms"], r["end_ms"], r["text"]) for r in got] == [(0, 3000, "long enough to stay."), (3100, 8000, "Oh no and then more.")]
+
+
+def test_samples_are_chosen_in_turns(spark):
+    rows = [(1, "A", 0, 5000), (1, "A", 6000, 6900), (1, "A", 8000, 28_000), (1, "B", 0, 20_000), (1, "B", 30_000, 42_000), (1, "B", 50_000, 61_000), (1, "B", 70_000, 79_000)]
+    got = folds.reference_chunks(spark.createDataFrame(rows, "job long, speaker string, start_ms long, end_ms long")).collect()
+    assert sorted(tuple(r)[1:] for r in got) == [("A", 0, 5000), ("A", 6000, 6900), ("A", 8000, 23_000), ("B", 30_000, 42_000), ("B", 50_000, 61_000), ("B", 70_000, 79_000)]
+
+
+def test_log_rows_around_failures(spark):
+    log = spark.createDataFrame([(u, 100_000 * k) for u in (1, 2) for k in range(12)], "u long, seq long")
+    failures = spark.createDataFrame([(1, 500_000), (1, 600_000), (2, 0)], "u long, at long")
+    got = sorted((r["u"], r["at"] // 100_000, r["seq"] // 100_000) for r in workbench.around(log, "u", failures, before=3, after=2).collect())
+    assert got == sorted([(1, 5, k) for k in range(3, 8)] + [(1, 6, k) for k in range(4, 9)] + [(2, 0, k) for k in range(3)])
+
+
+def test_cues_are_fixed_only_if_that_helps(spark):
+    cues = spark.createDataFrame([(1, 0, 0, 1000, "one two three four five six seven eight nine ten eleven"), (1, 1, 2000, 4000, "fine"), (2, 0, 0, 1000, "fine"), (2, 1, 1010, 2000, "also fine")], "job long, idx long, start_ms long, end_ms long, text string")
+    got = {(r["job"], r["idx"]): (r["end_ms"], r["text"]) for r in folds.autofix_cues(cues).collect()}
+    assert got[1, 0] == (1500, "one two three four five six seven eight\nnine ten eleven") and got[1, 1] == (4000, "fine")
+    assert got[2, 0] == (930, "fine")
 
 
 def test_pairs_are_one_to_one(spark):
