@@ -25,8 +25,8 @@ def totals(s, d):
 
 
 def speech(s, d):
-    """Every other segment of a job, as what voice detection kept."""
-    return segments(s, d).where("idx % 2 = 0 AND end_ms > start_ms").select("job", "start_ms", "end_ms")
+    """All segments of a job that have a length, as what voice detection kept."""
+    return segments(s, d).where("end_ms > start_ms").select("job", "start_ms", "end_ms")
 
 
 def with_next(s, d):
@@ -66,7 +66,7 @@ def speaker_rollup(s, d):
 def context_lines(s, d):
     """Each segment with the two before it, as a translator sees them."""
     w = Window.partitionBy("job").orderBy("idx").rowsBetween(-2, -1)
-    return segments(s, d).select("job", "idx", F.array_join(F.collect_list(F.substring("text", 1, 20)).over(w), " | ").alias("context"))
+    return segments(s, d).select("job", "idx", F.array_join(F.collect_list("text").over(w), " | ").alias("context"))
 
 
 def edit_cost(s, d):
@@ -79,7 +79,7 @@ def edit_cost(s, d):
 
 def repeat_keys(s, d):
     """Short lines (case and blanks folded) that occur more than once in a job: processed once, reused."""
-    key = F.lower(F.trim(F.regexp_replace(F.substring("text", 1, 12), r"\s+", " ")))
+    key = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
     return segments(s, d).groupBy(key.alias("line")).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("job") * 1000 + F.col("idx")).alias("first")).where("n > 1")
 
 
@@ -111,7 +111,7 @@ def srt(s, d):
     """One SRT text per job from its clamped cues."""
     from cuemill.sources.sinks import srt_text
 
-    c = timeline.clamp_cues(cues(s, d)).join(segments(s, d).select("job", "idx", F.substring("text", 1, 40).alias("text")), ["job", "idx"])
+    c = timeline.clamp_cues(cues(s, d)).join(segments(s, d).select("job", "idx", "text"), ["job", "idx"])
     return srt_text(c)
 
 
@@ -123,7 +123,7 @@ def thousandths(df, *names):
 QUERIES = {
     "overlap_speaker": lambda s, d: timeline.overlap_speaker(segments(s, d), turns(s, d)),
     "interval_coalesce": lambda s, d: timeline.coalesce_intervals(segments(s, d).where("end_ms - start_ms > 500").select("job", "start_ms", "end_ms"), pad=200),
-    "longest_gap": lambda s, d: timeline.longest_gap(segments(s, d).where("idx % 3 = 1").select("job", "start_ms", "end_ms"), totals(s, d)),
+    "longest_gap": lambda s, d: timeline.longest_gap(segments(s, d).where("end_ms > start_ms").select("job", "start_ms", "end_ms"), totals(s, d)),
     "vad_remap": lambda s, d: timeline.remap(segments(s, d).select("job", F.col("idx").alias("key"), F.floor(F.col("start_ms") / 2).alias("t")), speech(s, d)),
     "next_start": lambda s, d: with_next(s, d),
     "predicted_drift": lambda s, d: timeline.place(segments(s, d).select("job", "idx", "start_ms", "dub_ms")).select("job", "idx", "dub_start", "dub_end", (F.col("dub_start") - F.col("start_ms")).alias("drift_ms")),
@@ -196,12 +196,12 @@ ORACLES = {
         b AS (SELECT *, max(e) OVER (PARTITION BY job ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p),
         i AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY job ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM b)
         SELECT job, min(s) AS start_ms, max(e) AS end_ms FROM i GROUP BY job, island""",
-    "longest_gap": f"""WITH {SEGMENTS_SQL}, t AS (SELECT job, max(end_ms) + 4000 AS total_ms FROM segments GROUP BY job), p AS (SELECT * FROM segments WHERE idx % 3 = 1),
+    "longest_gap": f"""WITH {SEGMENTS_SQL}, t AS (SELECT job, max(end_ms) + 4000 AS total_ms FROM segments GROUP BY job), p AS (SELECT * FROM segments WHERE end_ms > start_ms),
         c AS (SELECT job, start_ms, coalesce(max(end_ms) OVER (PARTITION BY job ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cursor FROM p WHERE end_ms > start_ms),
         g AS (SELECT job, cursor AS from_ms, start_ms - cursor AS gap FROM c UNION ALL SELECT job, last_ms, total_ms - last_ms FROM (SELECT job, max(end_ms) AS last_ms FROM p GROUP BY job) JOIN t USING (job)),
         r AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY gap DESC, from_ms) AS nth FROM g WHERE gap >= 3000)
         SELECT job, from_ms + 500 AS from_ms, gap - 1000 AS length_ms FROM r WHERE nth = 1""",
-    "vad_remap": f"""WITH {SEGMENTS_SQL}, s AS (SELECT job, start_ms, end_ms, sum(end_ms - start_ms) OVER (PARTITION BY job ORDER BY start_ms) AS cum FROM segments WHERE idx % 2 = 0 AND end_ms > start_ms),
+    "vad_remap": f"""WITH {SEGMENTS_SQL}, s AS (SELECT job, start_ms, end_ms, sum(end_ms - start_ms) OVER (PARTITION BY job ORDER BY start_ms) AS cum FROM segments WHERE end_ms > start_ms),
         q AS (SELECT job, idx AS key, floor(start_ms / 2)::BIGINT AS t FROM segments),
         h AS (SELECT q.job, key, t, end_ms - (cum - t) AS o, row_number() OVER (PARTITION BY q.job, key ORDER BY cum) AS nth FROM q JOIN s ON q.job = s.job AND t <= cum),
         l AS (SELECT job, max(end_ms) AS last_ms FROM s GROUP BY job)
@@ -264,9 +264,9 @@ ORACLES = {
     "reuse_stats": f"WITH {SEGMENTS_SQL}, {_ARTIFACTS} SELECT stage, count(*) AS n, sum(idx)::BIGINT AS hits, max(job) AS latest FROM artifacts GROUP BY stage",
     "speaker_rollup": f"""WITH {SEGMENTS_SQL}, g AS (SELECT job, speaker, sum(greatest(end_ms - start_ms, 0))::BIGINT AS talk_ms, count(*) AS n FROM segments GROUP BY job, speaker)
         SELECT *, talk_ms / sum(talk_ms) OVER (PARTITION BY job) AS share, row_number() OVER (PARTITION BY job ORDER BY talk_ms DESC, speaker) AS nth FROM g""",
-    "context_lines": f"WITH {SEGMENTS_SQL} SELECT job, idx, coalesce(string_agg(substr(text, 1, 20), ' | ') OVER (PARTITION BY job ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS context FROM segments",
+    "context_lines": f"WITH {SEGMENTS_SQL} SELECT job, idx, coalesce(string_agg(text, ' | ') OVER (PARTITION BY job ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS context FROM segments",
     "edit_cost": f"WITH {SEGMENTS_SQL} SELECT job, sum(end_ms - start_ms)::BIGINT AS touched_ms, count(*) AS segments FROM segments WHERE speaker = 'user' OR idx % 3 = 0 GROUP BY job",
-    "repeat_lines": f"WITH {SEGMENTS_SQL} SELECT lower(trim(regexp_replace(substr(text, 1, 12), '\\s+', ' ', 'g'))) AS line, count(*) AS n, min(job * 1000 + idx) AS first FROM segments GROUP BY 1 HAVING count(*) > 1",
+    "repeat_lines": f"WITH {SEGMENTS_SQL} SELECT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS line, count(*) AS n, min(job * 1000 + idx) AS first FROM segments GROUP BY 1 HAVING count(*) > 1",
     "stage_report": f"""WITH {SEGMENTS_SQL}, x AS (SELECT job, idx, start_ms + dub_ms * (tier % 2) * 3 AS done_ms FROM segments)
         SELECT job, idx, done_ms, CASE WHEN max(done_ms) OVER (PARTITION BY job ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > done_ms THEN 'stale' ELSE 'done' END AS status FROM x""",
     "partial_retry": f"""WITH {SEGMENTS_SQL}, k AS (SELECT job, idx % 4 != 3 AND NOT (length(trim(text)) > 0 AND (length(trim(translated)) = 0 OR trim(translated) = trim(text))) AS keep FROM segments)
@@ -274,7 +274,7 @@ ORACLES = {
     "qc_checklist": f"""WITH {_ALL} SELECT job, 'sync' AS "check", CASE WHEN max_stretch > 1.05 THEN 'warn' ELSE 'pass' END AS result FROM timing
         UNION ALL SELECT job, 'translation', CASE WHEN untranslated > 0 THEN 'warn' ELSE 'pass' END FROM translation
         UNION ALL SELECT job, 'voices', CASE WHEN count(DISTINCT speaker) > 2 THEN 'warn' ELSE 'pass' END FROM segments GROUP BY job""",
-    "srt": f"""WITH RECURSIVE {SEGMENTS_SQL}, n AS (SELECT job, idx, substr(text, 1, 40) AS text, start_ms - 400 AS s, end_ms + 100 AS e, row_number() OVER (PARTITION BY job ORDER BY idx) AS nth FROM segments),
+    "srt": f"""WITH RECURSIVE {SEGMENTS_SQL}, n AS (SELECT job, idx, text, start_ms - 400 AS s, end_ms + 100 AS e, row_number() OVER (PARTITION BY job ORDER BY idx) AS nth FROM segments),
         f AS (SELECT job, idx, nth, text, greatest(s, 0) AS a, greatest(e, greatest(s, 0) + 500) AS b FROM n WHERE nth = 1
               UNION ALL SELECT n.job, n.idx, n.nth, n.text, greatest(n.s, f.b, 0), greatest(n.e, greatest(n.s, f.b, 0) + 500) FROM f JOIN n ON n.job = f.job AND n.nth = f.nth + 1)
         SELECT job, string_agg(nth || chr(10) || printf('%02d:%02d:%02d,%03d', a // 3600000, a // 60000 % 60, a // 1000 % 60, a % 1000) || ' --> ' || printf('%02d:%02d:%02d,%03d', b // 3600000, b // 60000 % 60, b // 1000 % 60, b % 1000)

@@ -86,7 +86,7 @@ def suffixed(s, d):
 
 def log_windows(s, d):
     log = table(s, d, "events").select("user_id", F.col("event_id").alias("seq"))
-    failures = table(s, d, "events").where("event_type = 'error' AND event_id % 50 = 0").select("user_id", F.col("event_id").alias("at"))
+    failures = table(s, d, "events").where("event_type = 'error'").select("user_id", F.col("event_id").alias("at"))
     return workbench.around(log, "user_id", failures, before=3, after=2)
 
 
@@ -198,10 +198,8 @@ ORACLES = {
         i AS (SELECT *, count(*) FILTER (NOT failed) OVER (PARTITION BY batch_id ORDER BY id ROWS UNBOUNDED PRECEDING) AS island FROM o),
         r AS (SELECT *, count(*) FILTER (failed) OVER (PARTITION BY batch_id, island ORDER BY id ROWS UNBOUNDED PRECEDING) AS in_a_row FROM i)
         SELECT batch_id, id, failed, in_a_row, in_a_row >= 3 AS open FROM r""",
-    "log_window": """WITH f AS (SELECT user_id, event_id AS "at" FROM events WHERE event_type = 'error' AND event_id % 50 = 0),
-        l AS (SELECT e.user_id, e.event_id AS seq, f."at" FROM events e JOIN f USING (user_id) WHERE abs(e.event_id - f."at") <= 10000),
-        r AS (SELECT *, row_number() OVER (PARTITION BY user_id, "at", seq <= "at" ORDER BY abs(seq - "at")) AS n FROM l)
-        SELECT user_id, seq, "at" FROM r WHERE n <= CASE WHEN seq <= "at" THEN 3 ELSE 2 END""",
+    "log_window": """WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)
+        SELECT l.user_id, l.event_id AS seq, f.event_id AS "at" FROM r l JOIN r f ON l.user_id = f.user_id AND f.event_type = 'error' AND l.n BETWEEN f.n - 2 AND f.n + 2""",
     "glossary_merge": """SELECT c_custkey::VARCHAR AS term, CASE WHEN c_custkey % 9 = 0 THEN 'new' WHEN c_custkey % 2 = 0 THEN 'old' END AS dst,
         CASE WHEN c_custkey % 3 = 0 THEN 'b' WHEN c_custkey % 4 = 0 THEN 'a' END AS say FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0""",
     "speaker_edits": f"WITH {SEGMENTS_SQL} SELECT job, idx, CASE speaker WHEN 'user' THEN 'guest' WHEN 'system' THEN NULL ELSE speaker END AS speaker, speaker = 'system' AS non_speech FROM segments",

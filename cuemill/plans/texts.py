@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cuemill.functions import scalars
 from cuemill.functions import text as tx
-from cuemill.operators import corpus_audit, folds
+from cuemill.operators import corpus_audit, flags, folds
 from cuemill.sources.standin import JOBS_SQL, NOW, SEGMENTS_SQL, jobs, segments, table
 from cuemill.streaming import activity
 
@@ -35,17 +35,16 @@ def durations(s, d):
 
 
 def candidate_pairs(s, d):
-    """Every document's title (its whole text) against every passage of the benchmark; a null ``other`` if there is none."""
-    a = docs(s, d).select("doc_id", scalars.normalise_title(F.col("text")).alias("title"))
-    b = table(s, d, "benchmark").select(F.col("item_id").alias("other"), scalars.normalise_title(F.col("text")).alias("other_title"))
-    return a.join(b, F.lit(True), "left")
+    """Every part's name as a new title against the names of the 25 nations, a table of fixed size, as known titles."""
+    a = table(s, d, "part").select("p_partkey", scalars.normalise_title(F.col("p_name")).alias("title"))
+    b = table(s, d, "nation").select(F.col("n_nationkey").alias("other"), scalars.normalise_title(F.col("n_name")).alias("other_title"))
+    return a.join(F.broadcast(b), F.lit(True), "left")
 
 
 def duplicate_scores(s, d):
-    """Pairs aren't made distinct first: that would shuffle each text once per passage."""
     scored = candidate_pairs(s, d).withColumn("ratio", tx.sequence_ratio("title", "other_title"))
-    best = F.max(F.when(F.col("other").isNotNull(), tx.duplicate_score(F.col("ratio"), F.col("doc_id") % 40, F.col("other") % 40)))
-    return scored.groupBy("doc_id").agg(best.alias("best")).withColumn("verdict", tx.duplicate_verdict(F.col("best")))
+    best = F.max(F.when(F.col("other").isNotNull(), tx.duplicate_score(F.col("ratio"), F.col("p_partkey") % 40, F.col("other") % 40)))
+    return scored.groupBy("p_partkey").agg(best.alias("best")).withColumn("verdict", tx.duplicate_verdict(F.col("best")))
 
 
 def coverage(s, d):
@@ -103,7 +102,7 @@ def fingerprints(s, d):
 def reuse(s, d):
     order = s.createDataFrame([(x,) for x in ("transcribe", "translate", "tts")], "stage string")
     f = fingerprints(s, d)
-    return corpus_audit.reuse_plan(order, f.where("job % 2 = 0"), f.where("job % 2 = 1"))
+    return corpus_audit.reuse_plan(order, f, f.withColumn("job", -F.col("job")))
 
 
 def upserted(s, d):
@@ -127,13 +126,14 @@ def names(s, d):
     return x.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).where("n >= 3")
 
 
-def inconsistent_renderings(s, d):
-    """Pairs of names that begin alike, read alike and aren't one word inflected (blocked by four letters)."""
-    n = names(s, d).where("length(name) >= 5")
-    a = n.select(F.col("name").alias("a"), F.substring("name", 1, 4).alias("block"))
-    b = n.select(F.col("name").alias("b"), F.substring("name", 1, 4).alias("block"))
-    pairs = a.join(b, "block").where("a < b").where(~tx.same_stem(F.col("a"), F.col("b")))
-    return pairs.withColumn("ratio", tx.sequence_ratio("a", "b")).where("ratio >= 0.8").select("a", "b", "ratio")
+def renderings(s, d):
+    """Names with two renderings, where every second line of a job names its speaker in one of two ways."""
+    x = segments(s, d)
+    said = F.when(F.col("idx") % 4 == 0, "Kyoto").when(F.col("idx") % 4 == 2, "Kioto").otherwise("here")
+    text = F.concat("text", F.lit(" in "), F.when(F.col("idx") % 2 == 0, "Kyoto").otherwise("here"))
+    rows = x.select("job", "idx", "start_ms", text.alias("text"), F.concat(F.lit("auf "), said, F.lit(" ende")).alias("translated"))
+    found = flags.inconsistent_names(rows, target="de", stopwords=STOPWORDS)
+    return found.where("source_span = 'Kyoto'").select("job", "idx", "source_span", "target_span", F.array_join("variants", "|").alias("variants"))
 
 
 def activity_recent(s, d):
@@ -182,7 +182,7 @@ QUERIES = {
     "redact": lambda s, d: messages(s, d).select("event_id", scalars.redact_secrets(F.col("message")).alias("message")),
     "error_signature": lambda s, d: messages(s, d).select("event_id", scalars.normalise_error(F.col("message")).alias("normal"), scalars.error_signature(F.col("stage"), F.col("message")).alias("signature")),
     "duration_parse": lambda s, d: durations(s, d).select("event_id", scalars.parse_duration(F.col("text")).alias("seconds")),
-    "title_normalize": lambda s, d: docs(s, d).select("doc_id", scalars.normalise_title(F.substring("text", 1, 80)).alias("title")),
+    "title_normalize": lambda s, d: docs(s, d).select("doc_id", scalars.normalise_title(F.col("text")).alias("title")),
     "script_ratio": lambda s, d: docs(s, d).select("doc_id", scalars.script_ratio(F.col("text"), tx.SCRIPTS["latin"]).alias("ratio")),
     "foreign_letters": lambda s, d: docs(s, d).select("doc_id", tx.foreign_letters(F.concat("text", F.when(F.col("doc_id") % 3 == 0, "їжак ё").otherwise("")), "ru").alias("letters")),
     "source_bleed": lambda s, d: segments(s, d).select("job", "idx", F.size(tx.repeated_source_words(F.col("text"), F.col("translated"))).alias("repeated")),
@@ -191,7 +191,7 @@ QUERIES = {
     "cer": lambda s, d: segments(s, d).select("job", "idx", scalars.error_rate(F.col("translated"), F.col("text")).alias("cer")),
     "duplicate_score": duplicate_scores,
     "names": names,
-    "flags_inconsistent": inconsistent_renderings,
+    "flags_inconsistent": renderings,
     "glossary_miss": glossary_miss,
     "word_coverage": coverage,
     "stage_audit": lambda s, d: corpus_audit.stage_audit(stage_rows(s, d)),
@@ -214,20 +214,13 @@ QUERIES = {
     "segment_postprocess": lambda s, d: folds.postprocess(segments(s, d)).select("job", "idx", "start_ms", "end_ms", "speaker"),
     "cue_autofix": lambda s, d: folds.autofix_cues(segments(s, d).select("job", "idx", "start_ms", "end_ms", "text"), lines=3, cps=14.0),
     "reference_chunks": lambda s, d: folds.reference_chunks(segments(s, d)),
-    "sentences": lambda s, d: docs(s, d).select("doc_id", F.size(tx.split_sentences("text")).alias("sentences")),
+    "sentences": lambda s, d: docs(s, d).select("doc_id", F.size(tx.sentences(F.col("text"))).alias("sentences")),
     "stream_usage_daily": stream_daily,
     "stream_ring": stream_ring,
     "stream_sessions": stream_sessions,
 }
 
 
-def profile_matches(s, d):
-    """Vectors of the even ids against centroids of the odd ones, by label."""
-    p = corpus_audit.centroids(vectors(s, d).where("vec_id % 2 = 1"), "label", "embedding").select(F.col("label").alias("profile"), "centroid")
-    pairs = vectors(s, d).where("vec_id % 2 = 0").crossJoin(F.broadcast(p))
-    return pairs.select("vec_id", "profile", F.round(corpus_audit.cosine(F.col("embedding"), F.col("centroid")), 6).alias("score")).where("score >= 0.1")
-
-
 def all_profile_matches(s, d):
     """All vectors against the centroids of all, by label."""
     p = corpus_audit.centroids(vectors(s, d), "label", "embedding").select(F.col("label").alias("profile"), "centroid")
@@ -235,7 +228,7 @@ def all_profile_matches(s, d):
     return pairs.select("vec_id", "profile", F.round(corpus_audit.cosine(F.col("embedding"), F.col("centroid")), 6).alias("score")).where("score >= 0.1")
 
 
-QUERIES["cosine_topk"] = profile_matches
+QUERIES["cosine_topk"] = all_profile_matches
 
 _UNIT = "list_transform({v}, lambda x: x::DOUBLE / sqrt(list_sum(list_transform({v}, lambda y: y::DOUBLE * y::DOUBLE))))"
 _CENTROIDS = """u AS (SELECT vec_id, label, unnest({unit}) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings {where}),
@@ -243,9 +236,27 @@ _CENTROIDS = """u AS (SELECT vec_id, label, unnest({unit}) AS x, generate_subscr
     c AS (SELECT label, pos, x / n AS x FROM m JOIN n USING (label))"""
 
 ORACLES = {
-    "redact": f"WITH {_MESSAGES} SELECT event_id, regexp_replace(regexp_replace(message, '\\bhf_[A-Za-z0-9]{{8,}}', 'hf_[redacted]', 'g'), '(?i)((?:api[_-]?key|token|password|secret)\\s*[=:]\\s*)[^\\s,;&]+', '\\1[redacted]', 'g') AS message FROM messages",
-    "duration_parse": """WITH t AS (SELECT event_id, event_id AS k FROM events) SELECT event_id, CASE k % 4 WHEN 0 THEN k::DOUBLE WHEN 1 THEN (k % 60) * 60.0::DOUBLE + 7 WHEN 2 THEN (k % 9) * 3600.0::DOUBLE + 720 + (k % 50 + 10) END AS seconds FROM t""",
-    "title_normalize": "SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 80)), '[^\\pL\\pN]+', ' ', 'g')) AS title FROM documents",
+    "redact": f"WITH {_MESSAGES} SELECT event_id, regexp_replace(regexp_replace(message, '\\bhf_[A-Za-z0-9]{{8,}}', '[redacted]', 'g'), '(?i)((?:token|secret|api[_-]?key|password|authorization)\\s*[=:]\\s*)([^\\s\"'',}}]{{4,}})', '\\1[redacted]', 'g') AS message FROM messages",
+    "error_signature": f"""WITH {_MESSAGES}, l AS (SELECT event_id, stage, lower(message) AS m FROM messages),
+        n AS (SELECT event_id, stage, left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(m, '(?:/[\\w.@-]+){{2,}}', '<path>', 'g'), '\\b[0-9a-f]{{8,}}\\b', '<hex>', 'g'), '0x[0-9a-f]+', '<hex>', 'g'),
+            '\\b\\d+(?:\\.\\d+)?', '<n>', 'g'), '\\s+', ' ', 'g')), 300) AS normal FROM l)
+        SELECT event_id, normal, left(sha256(stage || '|' || normal), 12) AS signature FROM n""",
+    "script_ratio": """WITH l AS (SELECT doc_id, regexp_replace(text, '\\PL+', '', 'g') AS l FROM documents)
+        SELECT doc_id, CASE WHEN length(l) = 0 THEN 1.0::DOUBLE ELSE length(regexp_replace(l, '[^A-Za-z\\x{00C0}-\\x{024F}]+', '', 'g')) / length(l) END AS ratio FROM l""",
+    "translation_rejected": f"""WITH {SEGMENTS_SQL} SELECT job, idx, CASE WHEN length(trim(translated)) = 0 THEN 'empty' WHEN length(trim(translated)) > greatest(80, length(text) * 5) THEN 'too long' END AS why FROM segments""",
+    "word_boundary_contains": "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|\\PL)the(\\PL|$)')",
+    "cer": f"""WITH {SEGMENTS_SQL} SELECT job, idx, CASE WHEN length(text) = 0 THEN CASE WHEN length(translated) = 0 THEN 0.0 ELSE 1.0 END::DOUBLE ELSE levenshtein(translated, text) / greatest(length(text), length(translated)) END AS cer FROM segments""",
+    "flags_inconsistent": f"""WITH {SEGMENTS_SQL}, n AS (SELECT job, count(*) FILTER (idx % 4 = 0) AS same, count(*) FILTER (idx % 4 = 2) AS other FROM segments GROUP BY job)
+        SELECT job, 0::BIGINT AS idx, 'Kyoto' AS source_span, 'Kyoto' AS target_span, 'Kyoto|Kioto' AS variants FROM n WHERE same > 0 AND other > 0""",
+    "greedy_match": f"""WITH RECURSIVE {_CENTROIDS.format(unit=_UNIT.format(v='embedding'), where='')}, p AS (SELECT label AS profile, list(x ORDER BY pos) AS centroid FROM c GROUP BY label),
+        s AS (SELECT vec_id % 20 AS grp, vec_id AS a, profile AS b, round(list_inner_product({_UNIT.format(v='embedding')}, {_UNIT.format(v='centroid')}), 6) AS score FROM embeddings, p),
+        k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, a, b) AS nth FROM s WHERE score >= 0.1),
+        f AS (SELECT grp, nth, [a] AS left_, [b] AS right_, a, b, score FROM k WHERE nth = 1
+              UNION ALL (SELECT k.grp, k.nth, list_append(f.left_, k.a), list_append(f.right_, k.b), k.a, k.b, k.score FROM f JOIN k ON k.grp = f.grp AND k.nth > f.nth AND NOT list_contains(f.left_, k.a) AND NOT list_contains(f.right_, k.b)
+                         QUALIFY row_number() OVER (PARTITION BY k.grp ORDER BY k.nth) = 1))
+        SELECT grp, a, b::BIGINT AS b, score FROM f""",
+    "duration_parse": """WITH t AS (SELECT event_id, event_id AS k FROM events) SELECT event_id, CASE k % 4 WHEN 0 THEN k WHEN 1 THEN (k % 60) * 60 + 7 WHEN 2 THEN (k % 9) * 3600 + 720 + (k % 50 + 10) END AS seconds FROM t""",
+    "title_normalize": "SELECT doc_id, trim(regexp_replace(lower(text), '[^\\pL\\pN]+', ' ', 'g')) AS title FROM documents",
     "source_bleed": f"""WITH {SEGMENTS_SQL} SELECT job, idx, len(list_filter(list_intersect(list_distinct(regexp_extract_all(lower(translated), '[\\pL\\pN_]{{5,}}')), list_distinct(regexp_extract_all(lower(text), '[\\pL\\pN_]{{5,}}'))), lambda w: NOT regexp_matches(w, '[0-9]')))::INTEGER AS repeated FROM segments""",
     "foreign_letters": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'ї' ELSE '' END AS letters FROM documents",
     "word_coverage": f"""WITH {SEGMENTS_SQL}, a AS (SELECT job, w, count(*) AS n FROM (SELECT job, unnest(regexp_extract_all(lower(text), '[\\pL\\pN_]+')) AS w FROM segments) GROUP BY job, w),
@@ -264,15 +275,14 @@ ORACLES = {
         m AS (SELECT lang, median(length(text) / seconds) AS rate, count(*) AS samples FROM r WHERE nth <= 8 GROUP BY lang)
         SELECT lang, rate, samples, rate / (SELECT rate FROM m WHERE lang = 'en') AS scale FROM m""",
     "centroid": f"WITH {_CENTROIDS.format(unit=_UNIT.format(v='embedding'), where='')} SELECT label, pos::INTEGER AS pos, round(x, 6) AS x FROM c",
-    "cosine_topk": f"""WITH {_CENTROIDS.format(unit=_UNIT.format(v='embedding'), where='WHERE vec_id % 2 = 1')}, p AS (SELECT label AS profile, list(x ORDER BY pos) AS centroid FROM c GROUP BY label),
-        s AS (SELECT vec_id, profile, round(list_inner_product({_UNIT.format(v='embedding')}, {_UNIT.format(v='centroid')}), 6) AS score FROM embeddings, p WHERE vec_id % 2 = 0) SELECT * FROM s WHERE score >= 0.1""",
+    "cosine_topk": f"""WITH {_CENTROIDS.format(unit=_UNIT.format(v='embedding'), where='')}, p AS (SELECT label AS profile, list(x ORDER BY pos) AS centroid FROM c GROUP BY label),
+        s AS (SELECT vec_id, profile, round(list_inner_product({_UNIT.format(v='embedding')}, {_UNIT.format(v='centroid')}), 6) AS score FROM embeddings, p) SELECT * FROM s WHERE score >= 0.1""",
     "upsert": f"WITH {JOBS_SQL}, r AS (SELECT id % 500 AS key, id AS version, status, target_lang, row_number() OVER (PARTITION BY id % 500 ORDER BY id DESC) AS nth FROM jobs) SELECT key, version, status, target_lang FROM r WHERE nth = 1",
     "retention": f"WITH {JOBS_SQL} SELECT id FROM jobs WHERE created >= TIMESTAMP '{NOW}' - INTERVAL 3 DAY OR id > (SELECT max(id) FROM jobs) - 2000",
     "activity_recent": "SELECT event_id, event_type, user_id FROM events WHERE event_type IN ('error', 'purchase') AND event_id > 500 ORDER BY event_id DESC LIMIT 100",
     "log_level_filter": "SELECT event_type, count(*) AS n FROM events WHERE event_type != 'view' GROUP BY event_type",
     "reuse_plan": f"""WITH {JOBS_SQL}, f AS (SELECT id AS job, stage, CASE WHEN id % 9 != 0 THEN concat_ws('|', target_lang, n_langs, batch_id) END AS print FROM jobs)
-        SELECT a.job, a.stage, a.print IS NOT NULL AS known, b.print IS NOT NULL AS hit FROM f a LEFT JOIN (SELECT DISTINCT stage, print FROM f WHERE job % 2 = 1) b ON a.stage = b.stage AND a.print = b.print
-        WHERE a.job % 2 = 0 AND a.stage IN ('transcribe', 'translate', 'tts')""",
+        SELECT job, stage, print IS NOT NULL AS known, print IS NOT NULL AS hit FROM f WHERE stage IN ('transcribe', 'translate', 'tts')""",
     "stage_fingerprint": f"""WITH {JOBS_SQL} SELECT stage, count(DISTINCT CASE WHEN id % 9 != 0 THEN concat_ws('|', target_lang, n_langs, batch_id) END) AS distinct_prints, count(*) FILTER (id % 9 = 0) AS without FROM jobs GROUP BY stage""",
     "glossary_miss": f"""WITH {SEGMENTS_SQL}, t(term, mapped) AS (VALUES ('the', 'zz'), ('der', 'ab'), ('la', 'qq'), ('de', 'x')),
         l AS (SELECT job, idx, ' ' || lower(regexp_replace(text, '[^\\pL]+', ' ', 'g')) || ' ' AS a, ' ' || lower(regexp_replace(translated, '[^\\pL]+', ' ', 'g')) || ' ' AS b FROM segments WHERE trim(translated) != ''),

@@ -109,7 +109,7 @@ QUERIES = {
     "stage_health": lambda s, d: console.stage_health(stage_samples(s, d)),
     "stage_alerts": lambda s, d: console.stage_alerts(console.stage_health(stage_samples(s, d))),
     "key_issues": lambda s, d: console.key_issues(keys(s, d), now=NOW),
-    "attention": lambda s, d: console.attention(jobs(s, d), keys(s, d).where("key_id < 100"), console.stage_alerts(console.stage_health(stage_samples(s, d))), now=NOW),
+    "attention": lambda s, d: console.attention(jobs(s, d), keys(s, d), console.stage_alerts(console.stage_health(stage_samples(s, d))), now=NOW),
     "review_queue": lambda s, d: console.usage_anomaly(jobs(s, d), since="2024-01-16 00:00:00", now="2024-01-30 12:00:00"),
     "fleet": lambda s, d: console.fleet(jobs(s, d), now=NOW),
     "pctl_nearest": lambda s, d: console.nearest_rank(jobs(s, d), "status", "factor", {"p50": 0.5, "p95": 0.95}),
@@ -163,7 +163,7 @@ ORACLES = {
             WHEN state = 'active' AND created < TIMESTAMP '{NOW}' - INTERVAL 1 DAY THEN 'stale' END AS kind, id FROM metered)
         SELECT kind, count(*) AS n, min(id)::VARCHAR AS target, CASE kind WHEN 'failed' THEN 'bad' ELSE 'warn' END AS severity FROM k WHERE kind IS NOT NULL GROUP BY kind
         UNION ALL SELECT 'slow stage', runs, stage, severity FROM health WHERE severity IN ('warn', 'bad')
-        UNION ALL SELECT 'key ' || issue, 1, key_id::VARCHAR, CASE issue WHEN 'expired' THEN 'bad' ELSE 'warn' END FROM issues WHERE issue IS NOT NULL AND key_id < 100""",
+        UNION ALL SELECT 'key ' || issue, 1, key_id::VARCHAR, CASE issue WHEN 'expired' THEN 'bad' ELSE 'warn' END FROM issues WHERE issue IS NOT NULL""",
     "review_queue": f"""WITH {JOBS_SQL}, {_series("2024-01-16 00:00:00", "2024-01-30 12:00:00")}, l AS (SELECT max(bucket) AS last_bucket FROM series),
         m AS (SELECT list(minutes ORDER BY minutes) AS m FROM series, l WHERE bucket < last_bucket)
         SELECT bucket, minutes, m[len(m) // 2 + 1] AS median, (len(m) + 1)::INTEGER AS buckets,

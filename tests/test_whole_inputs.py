@@ -15,7 +15,8 @@ def tables(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("whole"))
     docs = [(2, "a short text"), (3, LONG + "then apples"), (4, LONG + "then oranges"), (5, LONG + "then apples"), (7, "Other, words!")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
-    spark.createDataFrame([(43, LONG + "then apples"), (1, "not the first word: a short text")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(k, t) for k, t in docs], "p_partkey long, p_name string").write.parquet(f"{d}/part.parquet")
+    spark.createDataFrame([(43, LONG + "then apples"), (1, "not the first word: a short text")], "n_nationkey long, n_name string").write.parquet(f"{d}/nation.parquet")
     talk = [(1, 0, "user", "x" * 90), (1, 1, "assistant", "y" * 60 + "different after sixty")]
     spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
     near = [(k, [float(k % 2 == 0), float(k % 2), 0.01 * k], k % 2) for k in (1, 21, 41, 2, 22, 3)]
@@ -30,14 +31,14 @@ def read(d, name, spark):
 def test_duplicate_score(spark, tables):
     plain = lambda t: re.sub(r"[^a-z0-9]+", " ", t.lower()).strip()
     want = {}
-    for a in read(tables, "documents", spark):
+    for a in read(tables, "part", spark):
         scores = []
-        for b in read(tables, "benchmark", spark):
-            ratio = difflib.SequenceMatcher(None, plain(a["text"]), plain(b["text"])).ratio()
-            scores.append(ratio * (0.5 if abs(a["doc_id"] % 40 - b["item_id"] % 40) > 5 else 1))
+        for b in read(tables, "nation", spark):
+            ratio = difflib.SequenceMatcher(None, plain(a["p_name"]), plain(b["n_name"])).ratio()
+            scores.append(ratio * (0.5 if abs(a["p_partkey"] % 40 - b["n_nationkey"] % 40) > 5 else 1))
         best = max(scores)
-        want[a["doc_id"]] = (pytest.approx(best), "likely_duplicate" if best >= 0.85 else "possible" if best >= 0.6 else "clear")
-    got = {r["doc_id"]: (r["best"], r["verdict"]) for r in registry.QUERIES["duplicate_score"](spark, tables).collect()}
+        want[a["p_partkey"]] = (pytest.approx(best), "likely_duplicate" if best >= 0.85 else "possible" if best >= 0.6 else "clear")
+    got = {r["p_partkey"]: (r["best"], r["verdict"]) for r in registry.QUERIES["duplicate_score"](spark, tables).collect()}
     assert got == want and want[3][1] == "likely_duplicate"
 
 
