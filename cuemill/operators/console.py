@@ -13,20 +13,61 @@ LEAST_RECENT, LEAST_BASELINE, WARN_RATIO, BAD_RATIO = 4, 8, 1.5, 3.0
 ANOMALY_RATIO, ANOMALY_MINUTES = 3.0, 30.0
 
 
+#: Groups up to this size are ranked whole; of larger ones only the values within ``MARGIN`` of a share.
+SMALL, MARGIN = 10_000, 1e-3
+
+
+def at_ranks(values: DataFrame, by: list[str], value: str, shares: dict[str, float], place) -> DataFrame:
+    """(by, n, a column for each share): exact order statistics, interpolated between neighbours.
+
+    ``place(n, share)`` is the position from 0, perhaps between two. A mergeable sketch brackets each share
+    first, with an error of a tenth of ``MARGIN``; values below the bracket are only counted, those in it are counted by
+    value and summed up in order. So no task sorts a whole group, and no group is a list or a map.
+    """
+    same = lambda left, right: F.lit(True) if not by else [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in by]
+    v = values.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    points = [x for p in shares.values() for x in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
+    sizes = v.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", F.array(*[F.lit(x) for x in points]), F.lit(10_000)).alias("_q"))
+    rows = v.alias("a").join(sizes.alias("b"), same("a", "b")).select("a.*", "b.n", "b._q")
+    whole = F.col("n") <= SMALL
+    below = [(~whole & (F.col("_v") < F.col("_q")[2 * k])).alias(f"_b{k}") for k in range(len(shares))]
+    inside = [F.when(whole | F.col("_v").between(F.col("_q")[2 * k], F.col("_q")[2 * k + 1]), F.lit(k)) for k in range(len(shares))]
+    under = rows.select(*by, "n", *below).groupBy(*by, "n").agg(F.array(*[F.count_if(f"_b{k}") for k in range(len(shares))]).alias("_under"))
+    near = rows.select(*by, "_v", F.explode(F.filter(F.array(*inside), lambda x: x.isNotNull())).alias("_k")).groupBy(*by, "_k", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    near = near.alias("a").join(under.alias("b"), same("a", "b")).select("a.*", "b.n", "b._under")
+    ends = F.sum("_c").over(Window.partitionBy(*by, "_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_under")[F.col("_k")]
+    near = near.withColumn("_to", ends)
+    spot = F.when(F.lit(False), F.lit(0.0))
+    for k, p in enumerate(shares.values()):
+        spot = spot.when(F.col("_k") == k, place(F.col("n"), F.lit(p)).cast("double"))
+    near = near.withColumn("_r", spot)
+    covers = lambda r: (F.col("_to") - F.col("_c") <= r) & (r < F.col("_to"))
+    low, high = F.floor("_r"), F.least(F.floor("_r") + 1, F.col("n") - 1)
+    found = near.groupBy(*by, "n", "_k", "_r").agg(F.max(F.when(covers(low), F.col("_v"))).alias("_x"), F.max(F.when(covers(high), F.col("_v"))).alias("_y"))
+    part = F.col("_r") - F.floor("_r")
+    found = found.withColumn("_z", F.when(part == 0, F.col("_x")).otherwise((1 - part) * F.col("_x") + part * F.col("_y")))
+    return found.groupBy(*by, "n").agg(*[F.max(F.when(F.col("_k") == k, F.col("_z"))).alias(name) for k, name in enumerate(shares)])
+
+
+def _nearest(n, p):
+    return F.greatest(F.ceil(n * p) - 1, F.lit(0))
+
+
 def nearest_rank(values: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles per group."""
-    return values.groupBy(by).agg(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").alias(n) for n, p in shares.items()], F.count(value).alias("samples"))
+    """Nearest-rank percentiles per group, and how many values there are; groups without values have none."""
+    found = at_ranks(values, [by], value, shares, _nearest).withColumnsRenamed({"n": "samples", by: "_by"})
+    every = values.select(by).distinct()
+    rows = every.join(found, F.col(by).eqNullSafe(F.col("_by")), "left")
+    return rows.select(by, *shares, F.coalesce("samples", F.lit(0)).alias("samples"))
 
 
 def linear_percentiles(values: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
-    return values.groupBy(by).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in shares.items()])
+    return at_ranks(values, [by], value, shares, lambda n, p: (n - 1) * p).drop("n")
 
 
 def upper_median(values: DataFrame, by: str, value: str) -> DataFrame:
-    """The element at half the count of the sorted values, by rank (no list of a whole group)."""
-    w = Window.partitionBy(by)
-    ranked = values.withColumns({"nth": F.row_number().over(w.orderBy(value)) - 1, "all": F.count(F.lit(1)).over(w)})
-    return ranked.where(F.col("nth") == F.floor(F.col("all") / 2)).select(by, F.col(value).alias("upper_median"))
+    """The element at half the count of the sorted values."""
+    return at_ranks(values, [by], value, {"upper_median": 0.5}, lambda n, p: F.floor(n / 2)).drop("n")
 
 
 def most_common_error(jobs: DataFrame, *, chars: int = 80) -> DataFrame:
@@ -39,9 +80,12 @@ def most_common_error(jobs: DataFrame, *, chars: int = 80) -> DataFrame:
 
 def stage_health(samples: DataFrame) -> DataFrame:
     """``samples`` (stage, rate, recent boolean): p50 and p95 against the baseline's p95, and a severity."""
-    rate = lambda recent: F.when(F.col("recent") == recent, F.col("rate"))
-    disc = lambda p, recent: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY CASE WHEN recent = {recent} THEN rate END)")
-    g = samples.groupBy("stage").agg(F.count(rate(True)).alias("runs"), F.count(rate(False)).alias("baseline_runs"), disc(0.5, "true").alias("p50"), disc(0.95, "true").alias("p95"), disc(0.95, "false").alias("baseline_p95"))
+    found = at_ranks(samples, ["stage", "recent"], "rate", {"p50": 0.5, "p95": 0.95}, _nearest)
+    side = lambda name, recent: F.max(F.when(F.col("recent") == recent, F.col(name)))
+    count = lambda recent: F.coalesce(side("n", recent), F.lit(0))
+    some = samples.select("stage").distinct()
+    g = found.groupBy("stage").agg(count(True).alias("runs"), count(False).alias("baseline_runs"), side("p50", True).alias("p50"), side("p95", True).alias("p95"), side("p95", False).alias("baseline_p95"))
+    g = some.join(g, "stage", "left").fillna(0, ["runs", "baseline_runs"])
     zero = F.lit(0.0)
     g = g.withColumns({c: F.coalesce(c, zero) for c in ("p50", "p95", "baseline_p95")})
     enough = (F.col("runs") >= LEAST_RECENT) & (F.col("baseline_runs") >= LEAST_BASELINE) & (F.col("baseline_p95") > 0)

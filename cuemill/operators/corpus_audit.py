@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuemill.functions import text as tx
+from cuemill.operators import console
 
 
 def word_coverage(before: DataFrame, after: DataFrame, *, loss_percent: float = 0.5) -> DataFrame:
@@ -37,7 +38,7 @@ def checklist(texts: DataFrame, rules: DataFrame) -> DataFrame:
 
     ``rules`` (rule, kind, expect, reject) is a small dimension, joined to every text.
     """
-    pairs = texts.crossJoin(F.broadcast(rules))
+    pairs = texts.crossJoin(rules)
     hit = F.regexp_like("text", "expect") & ~F.coalesce(F.regexp_like("text", "reject"), F.lit(False))
     return pairs.groupBy("subject").agg(F.count_if((F.col("kind") == "check") & hit).alias("passed"), F.count_if(F.col("kind") == "check").alias("total"), F.sum(F.when(F.col("kind") == "penalty", F.regexp_count("text", "expect")).otherwise(0)).alias("penalty_hits"))
 
@@ -47,17 +48,16 @@ def grades(runs: DataFrame) -> DataFrame:
 
     ``runs`` (model, target, run, segments, fallback, meta, script_ok, digits_kept, seconds, failed).
     """
-    w = Window.partitionBy("model", "target")
-    ranked = runs.withColumns({"nth": F.row_number().over(w.orderBy("seconds", "run")) - 1, "all": F.count(F.lit(1)).over(w)})
-    g = ranked.groupBy("model", "target").agg(
+    g = runs.groupBy("model", "target").agg(
         F.count_if("failed").alias("failed"),
         F.avg("fallback").alias("fallback"),
         F.max("segments").alias("segments"),
         F.avg("meta").alias("meta"),
         F.min("script_ok").alias("script_ok"),
         F.min("digits_kept").alias("digits_kept"),
-        F.max(F.when(F.col("nth") == F.floor(F.col("all") / 2), F.col("seconds"))).alias("median_seconds"),
     )
+    middle = console.at_ranks(runs, ["model", "target"], "seconds", {"median_seconds": 0.5}, lambda n, p: F.floor(n / 2))
+    g = g.join(middle.drop("n"), ["model", "target"], "left")
     bad = (F.col("failed") > 0) | (F.col("fallback") > F.col("segments") * 0.2) | (F.col("meta") > 0)
     doubtful = (F.col("fallback") > 0) | (F.col("script_ok") < 0.99) | (F.col("digits_kept") < 0.5)
     return g.withColumn("grade", F.when(bad, "unusable").when(doubtful, "risky").otherwise("good")).select("model", "target", "grade", "median_seconds")
@@ -101,8 +101,8 @@ def centroids(vectors: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def profile_scores(vectors: DataFrame, profiles: DataFrame, *, threshold: float) -> DataFrame:
-    """(vec_id, label, score): each vector against each profile's centroid (a few rows, broadcast)."""
-    pairs = vectors.crossJoin(F.broadcast(profiles))
+    """(vec_id, label, score): each vector against each profile's centroid (a few rows)."""
+    pairs = vectors.crossJoin(profiles)
     return pairs.select("vec_id", "label", cosine(F.col("embedding"), F.col("centroid")).alias("score")).where(F.col("score") >= threshold)
 
 

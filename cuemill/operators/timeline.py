@@ -106,17 +106,18 @@ def fit(segments: DataFrame, *, gap: int = GAP_MS, most: int = 1400) -> DataFram
 
 
 def clamp_cues(cues: DataFrame, *, least: int = 500) -> DataFrame:
-    """(job, idx, start_ms, end_ms) so that no cue begins before the previous end and each lasts ``least``."""
-    rows = cues.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("idx", "start_ms", "end_ms"))).alias("s"))
-    empty = F.array().cast("array<struct<idx:bigint,start_ms:bigint,end_ms:bigint>>")
-    zero = F.struct(F.lit(0).cast("long").alias("end"), empty.alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = F.greatest(x["start_ms"], acc["end"], F.lit(0)).cast("long")
-        end = F.greatest(x["end_ms"], start + least).cast("long")
-        return F.struct(end.alias("end"), F.concat(acc["out"], F.array(F.struct(x["idx"].alias("idx"), start.alias("start_ms"), end.alias("end_ms")))).alias("out"))
+    """(job, idx, start_ms, end_ms) so that no cue begins before the previous end and each lasts ``least``.
 
-    return rows.select("job", F.explode(F.aggregate("s", zero, step, lambda a: a["out"])).alias("p")).select("job", "p.*")
+    An end is the largest of the own end, the own start plus ``least`` and the previous end plus ``least``: less
+    ``least`` for each cue before, that is a running maximum.
+    """
+    w = Window.partitionBy("job").orderBy("idx")
+    steps = (F.row_number().over(w) * least).cast("long")
+    own = F.greatest("end_ms", F.col("start_ms") + least, F.lit(least))
+    rows = cues.select("job", "idx", "start_ms", "end_ms", steps.alias("steps")).withColumn("own", own - F.col("steps"))
+    rows = rows.withColumn("last", (F.max("own").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("steps")).cast("long"))
+    start = F.greatest(F.col("start_ms"), F.coalesce(F.lag("last").over(w), F.lit(0)), F.lit(0)).cast("long")
+    return rows.select("job", "idx", start.alias("start_ms"), F.col("last").alias("end_ms"))
 
 
 def cue_metrics(cues: DataFrame) -> DataFrame:

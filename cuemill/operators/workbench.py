@@ -41,7 +41,7 @@ def speaker_rows(segments: DataFrame) -> DataFrame:
 
 def edit_speakers(segments: DataFrame, edits: DataFrame) -> DataFrame:
     """Segments with new speakers: ``edits`` (speaker, becomes) is a small table; null removes speech, indices stay."""
-    found = segments.join(F.broadcast(edits.withColumn("edited", F.lit(True))), "speaker", "left")
+    found = segments.join(edits.withColumn("edited", F.lit(True)), "speaker", "left")
     return found.select("job", "idx", F.when(F.col("edited"), F.col("becomes")).otherwise(F.col("speaker")).alias("speaker"), (F.coalesce("edited", F.lit(False)) & F.col("becomes").isNull()).alias("non_speech"))
 
 
@@ -92,7 +92,7 @@ def running_total(rows: DataFrame, bucket: Column, order: list[str], value: str)
     earlier = days.select("bucket", F.coalesce(F.sum("all").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
     inner = Window.partitionBy("bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    return rows.join(F.broadcast(earlier), "bucket").withColumn("before", F.col("earlier") + F.col("within")).drop("bucket", "earlier", "within")
+    return rows.join(earlier, "bucket").withColumn("before", F.col("earlier") + F.col("within")).drop("bucket", "earlier", "within")
 
 
 def job_costs(jobs: DataFrame) -> DataFrame:
@@ -177,8 +177,9 @@ def hmac_sha256(text: Column, key: bytes) -> Column:
 
 
 def deliveries(events: DataFrame, hooks: DataFrame, *, kind: str = "event_type") -> DataFrame:
-    """Each event for each enabled hook (a small table) that subscribes to its kind."""
-    return events.join(F.broadcast(hooks.where("enabled")), F.array_contains("events", F.col(kind)))
+    """Each event for each enabled hook that subscribes to its kind, once."""
+    wanted = hooks.where("enabled").withColumn(kind, F.explode(F.array_distinct("events")))
+    return events.join(wanted, kind)
 
 
 def loudness(log: Column) -> Column:

@@ -113,7 +113,7 @@ def upserted(s, d):
 def glossary_miss(s, d):
     """A term in the source without its mapping in the target, once per term: the first segment by job and idx."""
     terms = s.createDataFrame([("the", "ZZ"), ("der", "ab"), ("la", "QQ"), ("de", "x")], "term string, mapped string")
-    x = segments(s, d).where("trim(translated) != ''").crossJoin(F.broadcast(terms))
+    x = segments(s, d).where("trim(translated) != ''").crossJoin(terms)
     low = lambda c: F.concat(F.lit(" "), F.lower(F.regexp_replace(c, r"[^\p{L}]+", " ")), F.lit(" "))
     has = lambda c, t: F.contains(low(c), F.concat(F.lit(" "), F.lower(t), F.lit(" ")))
     hit = x.where(has("text", F.col("term")) & ~has("translated", F.col("mapped")))
@@ -224,7 +224,7 @@ QUERIES = {
 def all_profile_matches(s, d):
     """All vectors against the centroids of all, by label."""
     p = corpus_audit.centroids(vectors(s, d), "label", "embedding").select(F.col("label").alias("profile"), "centroid")
-    pairs = vectors(s, d).crossJoin(F.broadcast(p))
+    pairs = vectors(s, d).crossJoin(p)
     return pairs.select("vec_id", "profile", F.round(corpus_audit.cosine(F.col("embedding"), F.col("centroid")), 6).alias("score")).where("score >= 0.1")
 
 

@@ -106,7 +106,7 @@ def deliver(stream: DataFrame, folder: str, hooks: DataFrame, *, attempts: int =
     """A delivery log: each event for each enabled hook that subscribes to its type, written per micro-batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        wanted = batch.join(F.broadcast(hooks.where("enabled")), F.array_contains("events", F.col("event_type")))
+        wanted = batch.join(hooks.where("enabled").withColumn("event_type", F.explode(F.array_distinct("events"))), "event_type")
         body = F.to_json(F.struct("event_id", "event_type", "value"))
         wanted.select("hook_id", "event_id", "event_type", body.alias("payload"), F.lit(attempts).alias("attempts"), F.lit(batch_id).alias("batch")).write.mode("append").parquet(f"{folder}/deliveries")
 

@@ -127,3 +127,19 @@ def test_rewrap_keeps_words_and_limits():
     text = "one two three, four five six seven eight nine ten eleven twelve"
     got = folds.rewrap(text, 24, 2)
     assert got.split() == text.split() and got.count("\n") <= 1
+
+
+def test_order_statistics_of_large_groups(spark, monkeypatch):
+    import numpy as np
+    from cuemill.operators import console
+
+    monkeypatch.setattr(console, "SMALL", 50)
+    rng = np.random.default_rng(4)
+    rows = [(g, float(v)) for g, n in (("a", 30_000), ("b", 40), ("c", 2001)) for v in np.round(rng.normal(0, 5, n), 2)] + [("a", 1.0)] * 8000 + [("d", None), (None, 3.0)]
+    got = {r["g"]: (r["p10"], r["p99"]) for r in console.linear_percentiles(spark.createDataFrame(rows, "g string, v double").repartition(5), "g", "v", {"p10": 0.1, "p99": 0.99}).collect()}
+    for g in ("a", "b", "c", None):
+        own = [v for k, v in rows if k == g]
+        assert got[g] == pytest.approx(tuple(np.percentile(own, [10, 99])))
+    assert "d" not in got
+    near = {r["g"]: (r["p50"], r["samples"]) for r in console.nearest_rank(spark.createDataFrame(rows, "g string, v double"), "g", "v", {"p50": 0.5}).collect()}
+    assert near["d"] == (None, 0) and near["a"] == (sorted(v for k, v in rows if k == "a")[18_999], 38_000)
