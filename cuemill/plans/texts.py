@@ -245,6 +245,19 @@ ORACLES = {
         SELECT doc_id, CASE WHEN length(l) = 0 THEN 1.0::DOUBLE ELSE length(regexp_replace(l, '[^A-Za-z\\x{00C0}-\\x{024F}]+', '', 'g')) / length(l) END AS ratio FROM l""",
     "translation_rejected": f"""WITH {SEGMENTS_SQL} SELECT job, idx, CASE WHEN length(trim(translated)) = 0 THEN 'empty' WHEN length(trim(translated)) > greatest(80, length(text) * 5) THEN 'too long' END AS why FROM segments""",
     "word_boundary_contains": "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|\\PL)the(\\PL|$)')",
+    "stream_sessions": """WITH l AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 30 MINUTE, true) AS fresh FROM events),
+        n AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM l)
+        SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS events FROM n GROUP BY user_id, nth""",
+    "names": """WITH w AS (SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '\\b[A-Z][A-Za-z’''-]{2,}'), lambda x: regexp_replace(x, '(?i)(.)[’''](?:s|m|d|t|re|ve|ll)$', '\\1')))) AS name FROM documents)
+        SELECT name, count(*) AS n, min(doc_id) AS first_doc FROM w WHERE length(name) >= 3 AND name != upper(name) AND lower(name) NOT IN ('the', 'and', 'for', 'der', 'die', 'les', 'los', 'las') GROUP BY name HAVING count(*) >= 3""",
+    "reference_chunks": f"""WITH {SEGMENTS_SQL}, p AS (SELECT job, speaker, start_ms, start_ms + least(end_ms - start_ms, 15000) AS end_ms, least(end_ms - start_ms, 15000) AS ms,
+            CASE WHEN end_ms - start_ms BETWEEN 1500 AND 12000 THEN 0 WHEN end_ms - start_ms > 12000 THEN 2 WHEN end_ms - start_ms >= 400 THEN 1 END AS turn FROM segments),
+        b AS (SELECT *, coalesce(sum(ms) OVER (PARTITION BY job, speaker, turn ORDER BY ms DESC, start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p),
+        a0 AS (SELECT * FROM b WHERE turn = 0 AND before < 30000), t0 AS (SELECT job, speaker, sum(ms) AS total FROM a0 GROUP BY ALL),
+        a1 AS (SELECT b.* FROM b LEFT JOIN t0 USING (job, speaker) WHERE turn = 1 AND coalesce(total, 0) < 6000 AND coalesce(total, 0) + before < 30000),
+        t1 AS (SELECT job, speaker, sum(ms) AS total FROM (SELECT * FROM a0 UNION ALL SELECT * FROM a1) GROUP BY ALL),
+        a2 AS (SELECT b.* FROM b LEFT JOIN t1 USING (job, speaker) WHERE turn = 2 AND coalesce(total, 0) < 6000 AND coalesce(total, 0) + before < 30000)
+        SELECT job, speaker, start_ms, end_ms FROM (SELECT * FROM a0 UNION ALL SELECT * FROM a1 UNION ALL SELECT * FROM a2)""",
     "cer": f"""WITH {SEGMENTS_SQL} SELECT job, idx, CASE WHEN length(text) = 0 THEN CASE WHEN length(translated) = 0 THEN 0.0 ELSE 1.0 END::DOUBLE ELSE levenshtein(translated, text) / greatest(length(text), length(translated)) END AS cer FROM segments""",
     "flags_inconsistent": f"""WITH {SEGMENTS_SQL}, n AS (SELECT job, count(*) FILTER (idx % 4 = 0) AS same, count(*) FILTER (idx % 4 = 2) AS other FROM segments GROUP BY job)
         SELECT job, 0::BIGINT AS idx, 'Kyoto' AS source_span, 'Kyoto' AS target_span, 'Kyoto|Kioto' AS variants FROM n WHERE same > 0 AND other > 0""",
