@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task looks at together; bounds its arrays, not the text.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -187,6 +187,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, bytes_to: np.ndarray) ->
     return (np.concatenate(hashes) if hashes else np.empty(0, np.uint64)), np.searchsorted(at, offsets)
 
 
+def without_rows(batch: pa.RecordBatch, gone: np.ndarray) -> pa.RecordBatch:
+    """The rows of a batch that aren't marked in ``gone``."""
+    return batch.filter(pa.array(~gone)) if gone.any() else batch
+
+
 def size_class(df: DataFrame, column: str) -> tuple[int, int]:
     """Rows and total bytes of a string column, to decide whether it may be broadcast."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("b")).first()

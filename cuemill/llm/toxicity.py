@@ -13,7 +13,7 @@ kernel has explicit features, the fitted sum over landmarks is one table over th
 costs a few look-ups however many landmarks there are.
 
 The classifier is fitted on a bounded sample: at most ``fit_rows`` distinct labelled texts per class with at
-most ``FIT_CHARS`` characters, chosen by hash. Scoring reads every whole text.
+most ``fit_chars`` characters, chosen by hash. Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -29,14 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuemill.llm._common import without_rows
+
 #: Labelled texts per class for the fit, and their greatest length in characters.
 FIT_ROWS, FIT_CHARS = 1000, 20_000
 DECAY, SPAN = 0.6, 7
 LANDMARKS = 240
 #: Longer words are scored in overlapping pieces of this length.
 WORD = 24
-#: Words a task remembers the scores of.
-CACHE = 400_000
+#: Words a task remembers the scores of, and words that it scores together.
+CACHE, TOGETHER = 150_000, 8_000
 _GAP = "\0" * SPAN
 _PARTS = re.compile(r"[^\W\d_]+")
 _SPELT = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[\W\d_]{1,3}[^\W\d_](?![^\W\d_])){2,}")
@@ -249,17 +251,50 @@ def fit_texts(toxic: list[str], clean: list[str], *, rounds: int = 4, seed: int
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
     """Fit on documents with labels (null labels are left out; of repeated labels the largest counts)."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.max(label) > 0).cast("int").alias("y"))
     # Keys are chosen before texts are read; twice as many, since some texts are too long.
     some = [known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(2 * fit_rows) for y in (0, 1)]
-    rows = docs.where(F.length(text).between(1, FIT_CHARS)).select(F.col(key).alias("d"), F.col(text).alias("t"))
+    rows = docs.where(F.length(text).between(1, fit_chars)).select(F.col(key).alias("d"), F.col(text).alias("t"))
     found = rows.join(F.broadcast(some[0].unionByName(some[1])), F.col("d") == F.col("k")).select("y", "t").dropDuplicates(["y", "t"]).collect()
     sample = {y: sorted((r["t"] for r in found if r["y"] == y), key=lambda t: zlib.crc32(t.encode()))[:fit_rows] for y in (0, 1)}
     return fit_texts(sample[1], sample[0])
 
 
+def _scored(batches: Iterator[pa.RecordBatch], text: str, m: Model | None) -> Iterator[tuple[pa.RecordBatch, list[float], list[str | None]]]:
+    """Slices of the batches with each row's score and the word that decided."""
+    known: dict[str, float] = {}
+    for batch in batches:
+        texts = batch.column(batch.schema.get_field_index(text))
+        lo = 0
+        while lo < len(batch):
+            sets, fresh, size, hi = [], set(), 0, lo
+            while hi < len(batch) and (hi == lo or size < 1 << 20):
+                words = texts[hi].as_py() or ""
+                tokens = tokens_of(words) if m is not None else set()
+                fresh.update(t for t in tokens if t not in known)
+                sets.append(tokens)
+                size += len(words)
+                hi += 1
+            if fresh:
+                if len(known) + len(fresh) > CACHE:
+                    known = {}
+                    fresh = set().union(*sets)
+                tokens = list(fresh)
+                for first in range(0, len(tokens), TOGETHER):
+                    some = tokens[first : first + TOGETHER]
+                    parts = [words_of(t) for t in some]
+                    values = m.words([w for p in parts for w in p])
+                    at = 0
+                    for t, p in zip(some, parts, strict=True):
+                        known[t] = float(values[at : at + len(p)].max(initial=m.bias))
+                        at += len(p)
+            worst = [max(s, key=lambda t: (known[t], t)) if s else None for s in sets]
+            yield batch.slice(lo, hi - lo), [0.0 if m is None else m.score(m.bias if w is None else known[w]) for w in worst], worst
+            lo = hi
+
+
 def score(docs: DataFrame, model: Model | None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score, predicted, worst (the word that decided) for every row.
 
@@ -269,39 +304,22 @@ def score(docs: DataFrame, model: Model | None, *, key: str = "doc_id", text: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = shared.value, {}
-        for batch in batches:
-            texts = batch.column(1)
-            lo = 0
-            while lo < len(batch):
-                sets, fresh, size, hi = [], set(), 0, lo
-                while hi < len(batch) and (hi == lo or size < 1 << 20):
-                    text = texts[hi].as_py() or ""
-                    tokens = tokens_of(text) if m is not None else set()
-                    fresh.update(t for t in tokens if t not in known)
-                    sets.append(tokens)
-                    size += len(text)
-                    hi += 1
-                if fresh:
-                    if len(known) + len(fresh) > CACHE:
-                        known = {}
-                        fresh = set().union(*sets)
-                    tokens = list(fresh)
-                    parts = [words_of(t) for t in tokens]
-                    values = m.words([w for p in parts for w in p])
-                    at = 0
-                    for t, p in zip(tokens, parts, strict=True):
-                        known[t] = float(values[at : at + len(p)].max(initial=m.bias))
-                        at += len(p)
-                worst = [max(s, key=lambda t: (known[t], t)) if s else None for s in sets]
-                scores = [0.0 if m is None else m.score(m.bias if w is None else known[w]) for w in worst]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(worst, pa.string())], ["doc_id", "score", "predicted", "worst"])
-                lo = hi
+        for part, scores, worst in _scored(batches, "t", shared.value):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(worst, pa.string())], ["doc_id", "score", "predicted", "worst"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, score double, predicted int, worst string")
 
 
-def without_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` without the documents that are predicted toxic; rows with a null doc_id stay."""
-    toxic = score(docs, model).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(toxic, docs["doc_id"] == toxic["doc_id"], "left_anti")
+def without_toxic(docs: DataFrame, model: Model | None, *, text: str = "text") -> DataFrame:
+    """``docs`` without the rows that are predicted toxic; same columns.
+
+    Each row is judged by its own text in the pass that scores it, so nothing is shuffled, null keys are
+    like others, and repeated rows share their fate. Null texts stay unless the empty text is toxic.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, scores, _ in _scored(batches, text, shared.value):
+            yield without_rows(part, np.array(scores) >= 0.5)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -73,6 +73,17 @@ def test_blocks_of_the_benchmark_give_the_same(spark, make_docs, monkeypatch):
     once = result(make_docs(texts), bench)
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 300)
     assert result(make_docs(texts), bench) == once == brute(list(enumerate(texts)), items)
+    mixed = make_docs([*enumerate(texts), (90, "clean words"), (91, None), (None, texts[0]), (3, texts[3])])
+    assert sorted(r["doc_id"] for r in decontam.decontaminate(mixed, bench).collect()) == [90, 91]
+    assert decontam.match_documents(mixed, bench).count() == 24
+
+
+def test_a_passage_shared_by_items_and_documents(spark, make_docs):
+    passage = " ".join(f"p{k}" for k in range(15))
+    items = [(k, f"{passage} own{k}") for k in range(40)]
+    texts = [f"x{k} {passage} y" for k in range(30)] + [f"{passage} own3"]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert result(make_docs(texts), bench) == brute(list(enumerate(texts)), items)
 
 
 def test_very_long_text(spark, make_docs):
