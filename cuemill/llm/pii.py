@@ -1,21 +1,23 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contextual extraction.
 
 In DataFrame operations only. Base spans of four kinds come from regular expressions and checks (Luhn, digit
-counts, octets). They seed the bootstrap: the two tokens to the left of a span are its lexical pattern.
-Candidates are other words with digits, with their own patterns. In each round a pattern's precision is
-the share of its distinct instances that are accepted (base entities at first), a pattern with enough
-support and precision is trusted, and candidates that trusted patterns introduce are accepted. They
+counts, octets). They and opaque keys (long tokens that mix digits and letters) seed the bootstrap: the two
+tokens to the left of a seed are its lexical pattern. Candidates are other tokens with digits, with their own
+patterns. In each round a pattern's precision is the share of its distinct instances that are accepted
+(seeds at first), a pattern with enough support and precision is trusted, and candidates that trusted
+patterns introduce are accepted. Rounds end when no pattern is added. Accepted candidates and opaque keys
 become spans of kind ``context``.
 
 Regular expressions are possessive and begin only where a run begins (or a match ended), so they take
-linear time and no recursion on long runs, and match what the plain patterns match.
+linear time and no recursion on long runs, and match what the plain patterns match. Matches become rows: places
+are running sums over a text's matches, so the work grows in proportion to their number.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuemill.llm._common import materialize
@@ -38,42 +40,28 @@ KINDS = (
 )
 FOUND = "context"
 _CANDIDATE = Kind(FOUND, r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{6,}+", r"[0-9]")
-#: Digits and greatest length of a candidate; characters to the left in which its pattern is looked for.
-LEAST_DIGITS, MOST_CHARS, LEFT = 3, 64, 64
+#: Digits of a candidate at least, and characters to the left in which its pattern is looked for.
+LEAST_DIGITS, LEFT = 3, 64
+#: An opaque key: at least 24 characters, six digits and six letters.
+_OPAQUE = r"^(?=.{24})(?=(?:[^0-9]*+[0-9]){6})(?=(?:[^A-Za-z]*+[A-Za-z]){6})"
 #: A pattern is trusted with this many distinct accepted instances and this precision.
-SUPPORT, PRECISION, ROUNDS = 5, 0.6, 3
+SUPPORT, PRECISION = 5, 0.6
+#: Characters of a piece in which text is cut for redaction.
+_CUT = 4096
 
 
-def _prefix_sums(sizes: Column) -> Column:
-    """Sums of all earlier elements, through sums of blocks (n ** 1.5 steps, not n ** 2)."""
-    block = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(sizes))).cast("int"))
+def _columns(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are evaluated once a row, not anew wherever a lambda names them."""
+    once = F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+    return df.select("*", once)
 
-    def total(part: Column) -> Column:
-        return F.aggregate(part, F.lit(0), lambda a, x: a + x)
 
-    blocks = F.transform(F.sequence(F.lit(0), block), lambda b: total(F.slice(sizes, b * block + 1, block)))
-    before = F.transform(blocks, lambda _, b: total(F.slice(blocks, F.lit(1), b)))
-    return F.transform(sizes, lambda _, i: before[F.floor(i / block).cast("int")] + total(F.slice(sizes, F.floor(i / block).cast("int") * block + 1, i % block)))
-
-
-def _matches(text: Column, kind: Kind) -> tuple[Column, Column]:
-    """The pieces of text around all matches, and the matches; empty arrays where the guard fails."""
-    some = F.regexp_like(text, F.lit(kind.guard))
-    none = F.array().cast("array<string>")
-    return F.when(some, F.split(text, kind.pattern, -1)).otherwise(none), F.when(some, F.regexp_extract_all(text, F.lit(kind.pattern), 0)).otherwise(none)
-
-
-def _spans(pieces: Column, found: Column, sums: Column, rank: int) -> Column:
-    """Structs (start, rank, end, value) in code points; ``sums``: sums of the earlier pieces' and matches' lengths."""
-    return F.transform(
-        found,
-        lambda m, i: F.struct(
-            (sums[i] + F.length(pieces[i])).alias("start"),
-            F.lit(rank).alias("rank"),
-            (sums[i] + F.length(pieces[i]) + F.length(m)).alias("end"),
-            m.alias("value"),
-        ),
-    )
+def _matches(text: Column, kind: Kind, rank: int) -> Column:
+    """Structs (rank, i, gap, tail, value) of all matches: the characters since the last match, and the last of those."""
+    pieces, found = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), 0)
+    both = F.zip_with(pieces, found, lambda p, m: F.struct(F.length(p).alias("gap"), F.right(p, F.lit(LEFT)).alias("tail"), m.alias("value")))
+    rows = F.transform(F.filter(both, lambda x: x["value"].isNotNull()), lambda x, i: F.struct(F.lit(rank).alias("rank"), i.alias("i"), x["gap"].alias("gap"), x["tail"].alias("tail"), x["value"].alias("value")))
+    return F.when(F.regexp_like(text, F.lit(kind.guard)), rows).otherwise(F.array().cast("array<struct<rank:int,i:int,gap:int,tail:string,value:string>>"))
 
 
 def _digits(value: Column) -> Column:
@@ -97,52 +85,58 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _only_valid(kind: str, spans: Column) -> Column:
-    """Not a lambda with a default for ``kind``: Spark would pass the index as a second argument."""
-    return F.filter(spans, lambda s: _valid(kind, s["value"]))
-
-
-def find_base(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """``docs`` with ``base`` and ``candidates``: sorted arrays of (start, rank, end, value), candidates with ``pattern``.
+def match_rows(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep`` columns, ``uid`` (a number for each row) and ``raw``: all matches of all kinds. A null text has none.
 
-    A null text has no spans.
+    Write it before use: numbers of rows are those of one run.
     """
-    kinds = (*KINDS, _CANDIDATE)
     whole = F.coalesce(F.col(text), F.lit(""))
-    pieces, matches, sums = ({k.name: f"_{name}_{k.name}" for k in kinds} for name in ("p", "m", "s"))
-    columns = {}
-    for k in kinds:
-        columns[pieces[k.name]], columns[matches[k.name]] = _matches(whole, k)
-    out = docs.withColumns(columns)
-    out = out.withColumns({sums[k.name]: _prefix_sums(F.zip_with(pieces[k.name], matches[k.name], lambda a, b: F.length(a) + F.coalesce(F.length(b), F.lit(0)))) for k in kinds})
-    spans = {k.name: _spans(F.col(pieces[k.name]), F.col(matches[k.name]), F.col(sums[k.name]), rank) for rank, k in enumerate(kinds)}
-    good = [_only_valid(k.name, spans[k.name]) for k in KINDS]
-    candidates = F.filter(spans[FOUND], lambda s: (F.length(s["value"]) <= MOST_CHARS) & (F.length(_digits(s["value"])) >= LEAST_DIGITS))
-    out = out.withColumns({"base": F.array_sort(F.concat(*good)), "candidates": candidates})
-    out = out.drop(*pieces.values(), *matches.values(), *sums.values())
-    # A candidate inside a base span is that span.
-    apart = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return out.withColumn("candidates", apart).withColumns({name: F.transform(name, lambda s: _with_pattern(whole, s)) for name in ("base", "candidates")})
-
-
-def _with_pattern(text: Column, span: Column) -> Column:
-    """The span with its lexical pattern: up to two tokens to its left, digits as 0, in lower case."""
-    first = F.greatest(F.lit(1), span["start"] - LEFT + 1)
-    left = F.substring(text, first, span["start"] + 1 - first)
-    tokens = F.regexp_extract(left, r"(\S*\s*\S*\s*\S*)$", 1)
-    return F.struct(span["start"].alias("start"), span["rank"].alias("rank"), span["end"].alias("end"), span["value"].alias("value"), F.lower(F.regexp_replace(F.trim(tokens), "[0-9]", "0")).alias("pattern"))
-
-
-def trusted_patterns(spans: DataFrame, *, rounds: int = ROUNDS, support: int = SUPPORT, precision: float = PRECISION) -> DataFrame:
+    raw = F.concat(*[_matches(whole, k, rank) for rank, k in enumerate((*KINDS, _CANDIDATE))])
+    return docs.select(*keep, F.monotonically_increasing_id().alias("uid"), raw.alias("raw"))
+
+
+def spans_of(raw: DataFrame) -> DataFrame:
+    """(uid, rank, start, end, value, pattern) of base spans and of candidates that overlap none, from ``match_rows``."""
+    last = len(KINDS)
+    rows = raw.select("uid", F.inline("raw")).repartition("uid")
+    own = Window.partitionBy("uid", "rank").orderBy("i")
+    before = F.coalesce(F.sum(F.col("gap") + F.length("value")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.right(F.concat(F.coalesce(F.lag("tail").over(own), F.lit("")), F.coalesce(F.lag("value").over(own), F.lit("")), "tail"), F.lit(LEFT))
+    rows = rows.select("uid", "rank", (before + F.col("gap")).cast("int").alias("start"), "value", left.alias("left"))
+    rows = rows.withColumn("end", F.col("start") + F.length("value"))
+    good = F.when(F.col("rank") == last, F.length(_digits(F.col("value"))) >= LEAST_DIGITS)
+    for rank, k in enumerate(KINDS):
+        good = good.when(F.col("rank") == rank, _valid(k.name, F.col("value")))
+    rows = rows.where(good)
+    # A candidate inside or across a base span is that span.
+    is_base = F.col("rank") < last
+    ahead = Window.partitionBy("uid").orderBy("start", "rank", "end").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy("uid").orderBy(F.desc("start"), F.desc("rank"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("reach", F.max(F.when(is_base, F.col("end"))).over(ahead)).withColumn("next", F.min(F.when(is_base, F.col("start"))).over(behind))
+    apart = (F.coalesce("reach", F.lit(0)) <= F.col("start")) & F.coalesce(F.col("next") >= F.col("end"), F.lit(True))
+    short = F.when(F.length("value") <= LEFT, F.col("value")).otherwise(F.sha2("value", 256))
+    opaque = (F.col("rank") == last) & F.regexp_like("value", F.lit(_OPAQUE))
+    rows = rows.where(is_base | apart)
+    return rows.select("uid", "rank", "start", "end", short.alias("value"), _pattern(F.col("left")).alias("pattern"), (is_base | opaque).cast("int").alias("seed"))
+
+
+def _pattern(left: Column) -> Column:
+    """Up to two tokens and what touches the span, digits as 0, in lower case."""
+    tokens = F.split(F.regexp_replace(left, r"\s++", " "), " ")
+    return F.lower(F.regexp_replace(F.trim(F.array_join(F.slice(tokens, F.greatest(F.lit(1), F.size(tokens) - 2), 3), " ")), "[0-9]", "0"))
+
+
+def trusted_patterns(spans: DataFrame, *, rounds: int | None = None, support: int = SUPPORT, precision: float = PRECISION) -> DataFrame:
     """Patterns that introduce identifiers, by iteration over the graph of patterns and instances.
 
     ``spans`` (pattern, value, seed): one row per occurrence. Counts are of distinct values, so copies of a text
-    add nothing. An instance is accepted if it is a seed or if a trusted pattern introduces it.
+    add nothing. An instance is accepted if it is a seed or if a trusted pattern introduces it. A trusted
+    pattern stays one, so rounds end, at the latest when no pattern is added; ``rounds`` ends them earlier.
     """
     edges = spans.where("pattern != ''").groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
     edges = materialize(edges, "edges")
-    trusted = None
-    for turn in range(rounds):
+    trusted, known, turn = None, 0, 0
+    while rounds is None or turn < rounds:
         if trusted is None:
             marked = edges.withColumn("ok", F.col("seed"))
         else:
@@ -150,9 +144,10 @@ def trusted_patterns(spans: DataFrame, *, rounds: int = ROUNDS, support: int = S
             marked = edges.join(accepted, "value", "left").withColumn("ok", F.greatest("seed", F.coalesce("hit", F.lit(0))))
         scores = marked.groupBy("pattern").agg(F.sum("ok").alias("good"), F.count(F.lit(1)).alias("all"))
         trusted = materialize(scores.where((F.col("good") >= support) & (F.col("good") / F.col("all") >= precision)).select("pattern"), f"patterns-{turn}")
-        if trusted.isEmpty():
+        before, known, turn = known, trusted.count(), turn + 1
+        if known == before:
             break
-    return trusted
+    return edges.select("pattern").limit(0) if trusted is None else trusted
 
 
 def find_pii(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -162,15 +157,14 @@ def find_pii(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Dat
     different kinds may overlap; found spans overlap no base span.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_t")).withColumn("row", _row_key(F.col("doc_id"), F.col("_t")))
-    spans = materialize(find_base(rows, text="_t").drop("_t"), "spans")
-    each = lambda name, seed: spans.select("row", F.explode(name).alias("s")).select("row", "s.*", F.lit(seed).alias("seed"))
-    occurrences = each("base", 1).unionByName(each("candidates", 0))
-    trusted = trusted_patterns(occurrences.select("pattern", "value", "seed"))
-    more = each("candidates", 0).join(trusted, "pattern", "left_semi")
-    more = materialize(more.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "rank", "end"))).alias("found")), "found")
-    base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
+    raw = materialize(match_rows(rows, text="_t", keep=("doc_id", "row")), "matches")
+    spans = materialize(spans_of(raw.where("size(raw) > 0")), "spans")
+    trusted = trusted_patterns(spans.select("pattern", "value", "seed")).withColumn("trusted", F.lit(True))
+    base, place = F.col("rank") < len(KINDS), F.struct("start", "rank", "end")
+    kept = spans.join(trusted, "pattern", "left").where(F.col("trusted") | (F.col("seed") == 1))
+    each = kept.groupBy("uid").agg(F.array_sort(F.collect_list(F.when(base, place))).alias("base"), F.array_sort(F.collect_list(F.when(~base, place))).alias("found"))
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
-    return spans.select("doc_id", "row", base.alias("base")).join(more, "row", "left").withColumn("found", F.coalesce("found", none))
+    return raw.select("uid", "doc_id", "row").join(each, "uid", "left").select("doc_id", "row", F.coalesce("base", none).alias("base"), F.coalesce("found", none).alias("found"))
 
 
 def _row_key(key: Column, text: Column) -> Column:
@@ -182,33 +176,41 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["rank"]], s["start"], s["end"])), ",")
 
 
+def merged(found: DataFrame) -> DataFrame:
+    """(row, spans): each row's spans (start, rank, end) in order, overlapping ones as one with the first's rank."""
+    spans = found.select("row", F.explode(F.concat("base", "found")).alias("s")).select("row", "s.*").distinct()
+    order = Window.partitionBy("row").orderBy("start", "rank", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("fresh", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int"))
+    spans = spans.withColumn("nth", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.groupBy("row", "nth").agg(F.min("start").alias("start"), F.min_by("rank", F.struct("start", "rank", "end")).alias("rank"), F.max("end").alias("end"))
+    return spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end"))).alias("spans"))
+
+
 def redact(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with each span (overlapping ones as one) replaced by its kind in brackets; same columns.
 
     ``n_chars``, if there is one, is counted anew. Null texts stay null.
     """
-    found = find_pii(docs, key=key, text=text)
-    spans = found.where("size(base) + size(found) > 0").select(F.col("row").alias("_row"), F.array_sort(F.concat("base", "found")).alias("_spans")).dropDuplicates(["_row"])
-    spans = materialize(spans, "redactions")
-    # Overlapping spans become one, named after the first.
-    empty = F.array().cast("array<struct<start:int,rank:int,end:int>>")
-
-    def add(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        longer = F.struct(last["start"].alias("start"), last["rank"].alias("rank"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when(F.size(done) == 0, F.array(s)).when(s["start"] < last["end"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(s)))
-
+    spans = materialize(merged(find_pii(docs, key=key, text=text)).withColumnsRenamed({"row": "_row", "spans": "_spans"}), "redactions")
     names = F.array(*[F.lit(f"[{k.name.upper()}]") for k in (*KINDS, _CANDIDATE)])
     whole = F.col(text)
-    rows = docs.withColumn("_row", _row_key(F.col(key).cast("long"), whole)).join(spans, "_row", "left")
-    rows = rows.withColumn("_spans", F.aggregate(F.coalesce("_spans", empty), empty, add))
+    rows = docs.withColumn("_row", _row_key(F.col(key).cast("long"), whole)).join(spans.hint("shuffle_hash"), "_row", "left")
+    # Cut once into pieces of bounded size: a place is then found without reading the text from its start.
+    rows = _columns(rows, _cut=F.when(F.col("_spans").isNotNull(), F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{_CUT}}}"), 0)), _n=F.length(whole))
+
+    def between(a: Column, b: Column) -> Column:
+        first, last = F.floor(a / _CUT).cast("int"), F.floor(b / _CUT).cast("int")
+        head = F.substring(F.get("_cut", first), a % _CUT + 1, F.least(b - a, F.lit(_CUT)))
+        middle = F.array_join(F.slice("_cut", first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        tail = F.coalesce(F.substring(F.get("_cut", last), F.lit(1), b % _CUT), F.lit(""))
+        return F.when(b <= a, "").when(first == last, head).otherwise(F.concat(head, middle, tail))
 
     def piece(s: Column, i: Column) -> Column:
-        end = F.when(i + 1 < F.size("_spans"), F.col("_spans")[i + 1]["start"]).otherwise(F.length(whole))
-        return F.concat(names[s["rank"]], F.substring(whole, s["end"] + 1, end - s["end"]))
+        return F.concat(names[s["rank"]], between(s["end"], F.coalesce(F.get("_spans", i + 1)["start"], F.col("_n"))))
 
-    clean = F.concat(F.substring(whole, F.lit(1), F.col("_spans")[0]["start"]), F.array_join(F.transform("_spans", piece), ""))
-    rows = rows.withColumn(text, F.when(F.size("_spans") > 0, clean).otherwise(whole))
+    clean = F.concat(between(F.lit(0), F.get("_spans", F.lit(0))["start"]), F.array_join(F.transform("_spans", piece), ""))
+    rows = rows.withColumn(text, F.when(F.col("_spans").isNotNull(), clean).otherwise(whole))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return rows.select(*[F.col(c) for c in docs.columns])
