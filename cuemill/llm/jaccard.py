@@ -3,19 +3,25 @@
 A document's set holds the hashes of its distinct word shingles. Equal sets are one class from the start:
 only one representative of each goes on. Two sets with similarity t share a shingle among the first
 size - ceil(t * size) + 1 of each in any common order; the order is by a coarse frequency (shingles that
-occur often within some task's rows come last), then by hash.
+occur often within some task's rows, or whose lists turn out long, come last), then by hash.
 
-Index lists (the representatives that hold a shingle in their prefix) are built by hash bucket. Within
-a list, entries are sorted by size, so a set skips the blocks of entries that are too small or too
-large; of the rest it skips those whose positions leave too few shingles to share. Lists that hold the
-same representatives are kept once. Then answers are derived from those of similar sets: in a first round only the
-head of each list (the member whose set is most common, that is, the likeliest origin of the others) is
-compared with the list's other members. Members that it links are one component; a second round
-compares only pairs that the lists suggest and that are not in one component yet. No link between two
-components is lost, and a group of n near copies costs about n comparisons.
+Index lists hold the representatives that have a shingle in their prefix. Lists with the same members are
+kept once. The lists of rare shingles are built by hash bucket; the postings of shingles that are known to
+be frequent are dealt by shingle and document, so no task holds such a list.
 
-Before whole sets are compared, parity bitmaps bound what two sets can share: the bits in which they differ are
-at most the shingles in which the sets differ. They are two bits a shingle, so most suggested pairs end here.
+Relations between sets save most comparisons, in two rounds:
+
+1. In each list the head (the member whose set is most common, that is, the likeliest origin of the
+   others) is compared with the other members. Members that it links are one component.
+2. Answers of the other members are derived from the head's. What a set shares with the head, and how much
+   of it lies outside, is known by then; two sets share at most the smaller of what they share with the
+   head and the smaller of what they have outside. Only pairs in different components that this bound, size and
+   position leave open are compared. Long lists are cut into blocks by size, position and whether
+   the head's component holds the set; a pair of blocks is skipped as a whole if its bounds rule it out.
+
+No link between two components is lost, and a group of n near copies costs about n comparisons. Before whole
+sets are compared, parity bitmaps bound what two sets can share: the bits in which they differ are at most
+the shingles in which the sets differ. They are two bits a shingle, so most suggested pairs end here.
 
 Sets are compared in full, by distributed cogroups of at most ``TOGETHER`` members with a head. Components come
 from label propagation with pointer jumping on tables; nothing is collected to the driver.
@@ -27,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuemill.llm._common import batches_of, broadcast_if_small, byte_table, materialize, mix64, word_hashes
@@ -35,10 +41,14 @@ from cuemill.llm._common import batches_of, broadcast_if_small, byte_table, mate
 #: Words are runs of anything but blanks and the five ASCII control characters of white space.
 WORDS = byte_table({0x20, *range(0x09, 0x0E)})
 #: Shingles that may be kept as frequent (16 bytes each in a broadcast); others count as rare.
-FREQUENT = 1 << 18
-#: Local occurrences from which a task reports a shingle.
-REPORTED = 4
+FREQUENT = 1 << 20
+#: Local occurrences from which a task reports a shingle, and known ones from which its list is dealt by document too.
+REPORTED, HOT = 3, 4096
+#: Members from which the list of a shingle makes it a frequent one, and rounds of building lists at most.
+LONG, TRIES = 128, 2
 TOGETHER = 256
+#: Members of a list that stay one block, and members of a block of a longer list (about).
+SHORT, BLOCK = 128, 1024
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -96,8 +106,9 @@ def summarise(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
 
         def report() -> pa.Array:
             nonlocal pending, held
-            every = np.sort(np.concatenate(pending)) if pending else np.empty(0, np.uint64)
+            every = np.concatenate(pending) if pending else np.empty(0, np.uint64)
             pending, held = [], 0
+            every.sort()
             begins = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.empty(0, int)
             counts = np.diff(np.r_[begins, len(every)])
             often = counts >= REPORTED
@@ -152,8 +163,8 @@ def components(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         labels = new.select("node", "root")
 
 
-def index_lists(reps: DataFrame, frequent: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
-    """(list, doc, size, pos, rank): members of each distinct index list of at least two representatives.
+def index_lists(reps: DataFrame, frequent: DataFrame, n: int, percent: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(list, doc, size, pos, rank): members of each distinct index list of at least two representatives; and (g, n) of shingles with long lists.
 
     ``pos`` is the earliest position that the list's shingle had in any equal list; ``rank`` orders heads.
     """
@@ -169,13 +180,17 @@ def index_lists(reps: DataFrame, frequent: DataFrame, n: int, percent: int, buck
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, freq, bits = shared.value
         held: list[np.ndarray] = []
+        hot: list[np.ndarray] = []
         count = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal held, count
+            nonlocal held, hot, count
             rows = np.concatenate(held) if held else np.empty(0, posting)
-            held, count = [], 0
-            own = (mix64(rows["g"]) % np.uint64(buckets)).astype(np.int64)
+            many = np.concatenate(hot) if hot else np.empty(0, bool)
+            held, hot, count = [], [], 0
+            # Buckets of frequent shingles are numbered from -1 downwards.
+            own = (mix64(np.where(many, mix64(rows["g"]) + rows["doc"].view(np.uint64), rows["g"])) % np.uint64(buckets)).astype(np.int64)
+            own = np.where(many, -1 - own, own)
             turn = np.argsort(own, kind="stable")
             rows, own = rows[turn], own[turn]
             begins = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.empty(0, int)
@@ -198,17 +213,22 @@ def index_lists(reps: DataFrame, frequent: DataFrame, n: int, percent: int, buck
                 rows["g"], rows["doc"], rows["size"], rows["pos"] = s[order], doc, size, np.arange(keep)
                 rows["rank"] = int(1e6 * (1 - np.mean(often > 0)))
                 held.append(rows)
+                hot.append(often[order] >= HOT)
                 count += keep
-            if count > 1_000_000:
-                yield flush()
+                if count > 250_000:
+                    yield flush()
         yield flush()
 
     def merge(t: pa.Table) -> pa.Table:
-        rows = np.frombuffer(b"".join(t.column("rows").to_pylist()), posting)
+        rows = np.frombuffer(b"".join(x.as_py() for x in t.column("rows")), posting)
+        if t.num_rows and t.column("bucket")[0].as_py() < 0:
+            return table_of(rows["g"].view(np.int64), rows, rows["pos"], 1)
         rows = rows[np.lexsort((rows["doc"], rows["size"], rows["g"]))]
         begins = np.flatnonzero(np.r_[True, rows["g"][1:] != rows["g"][:-1]])
         lengths = np.diff(np.r_[begins, len(rows)])
         begins, lengths = begins[lengths > 1], lengths[lengths > 1]
+        marks = np.zeros(int((lengths >= LONG).sum()), posting)
+        marks["g"], marks["size"] = rows["g"][begins[lengths >= LONG]], lengths[lengths >= LONG]
         lists: dict[tuple[int, int], tuple[int, int, np.ndarray]] = {}
         for b, m in zip(begins.tolist(), lengths.tolist(), strict=True):
             part = rows[b : b + m]
@@ -220,77 +240,120 @@ def index_lists(reps: DataFrame, frequent: DataFrame, n: int, percent: int, buck
             else:
                 np.minimum(old[2], part["pos"], out=old[2])
         at = np.concatenate([np.arange(b, b + m) for b, m, _ in lists.values()]) if lists else np.empty(0, int)
-        part = rows[at]
         pos = np.concatenate([p for _, _, p in lists.values()]) if lists else np.empty(0, np.uint32)
         names = np.repeat(np.array([k[0] for k in lists], np.int64), [k[1] for k in lists])
-        return pa.table({"list": names, "doc": part["doc"].astype(np.int64), "size": part["size"].astype(np.int64), "pos": pos.astype(np.int64), "rank": part["rank"].astype(np.int64)})
+        return pa.concat_tables([table_of(names, rows[at], pos, 0), table_of(marks["g"].view(np.int64), marks, marks["pos"], 2)])
+
+    def table_of(names: np.ndarray, rows: np.ndarray, pos: np.ndarray, kind: int) -> pa.Table:
+        columns = {"list": names, "doc": rows["doc"], "size": rows["size"].astype(np.int64), "pos": pos.astype(np.int64), "rank": rows["rank"].astype(np.int64)}
+        return pa.table(columns | {"kind": np.full(len(rows), kind)})
 
     packed = reps.select("doc_id", F.col("text").alias("t")).mapInArrow(emit, "bucket long, rows binary")
-    found = packed.groupBy("bucket").applyInArrow(merge, "list long, doc long, size long, pos long, rank long")
-    return found.groupBy("list", "doc", "size", "rank").agg(F.min("pos").alias("pos"))
+    found = packed.groupBy("bucket").applyInArrow(merge, "list long, doc long, size long, pos long, rank long, kind long")
+    found = materialize(found, "postings")
+    rare = found.where("kind = 0").groupBy("list", "doc", "size", "rank").agg(F.min("pos").alias("pos"))
+    hot = found.where("kind = 1").drop("kind")
+    # Equal lists: one order of shingles holds for all sets, so the list with the least positions has the earliest of each member.
+    member = F.xxhash64("doc", "size")
+    # Sums of halves, as whole hashes would overflow.
+    halves = F.sum(member.bitwiseAND(F.lit(0xFFFFFFFF))).alias("x"), F.sum(F.shiftrightunsigned(member, 32)).alias("y")
+    names = hot.groupBy("list").agg(F.count(F.lit(1)).alias("n"), *halves, F.sum("pos").alias("pos"))
+    kept = names.where("n > 1").groupBy("n", "x", "y").agg(F.min_by("list", F.struct("pos", "list")).alias("list")).select("list")
+    hot = hot.join(broadcast_if_small(materialize(kept, "hot-lists"), FREQUENT), "list")
+    return rare.unionByName(hot), found.where("kind = 2").select(F.col("list").alias("g"), F.col("size").alias("n"))
+
+
+def best_lists(reps: DataFrame, frequent: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """Index lists in an order of shingles that also knows those with long lists: built again with these as frequent ones.
+
+    The first order comes from what single tasks see, which leaves out shingles that are common in the whole
+    table but rare in each task. Their lists show them, as long as there are any.
+    """
+    for turn in range(TRIES):
+        lists, long = index_lists(reps, frequent, n, percent, buckets)
+        if turn + 1 == TRIES or long.isEmpty():
+            break
+        frequent = materialize(frequent.unionByName(long).groupBy("g").agg(F.max("n").alias("n")), "frequent")
+    return lists
 
 
-def head_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of each list's head with the members that size and position don't rule out."""
-    heads = lists.groupBy("list").agg(F.min(F.struct("rank", "doc", "size", "pos")).alias("h"))
-    heads = materialize(heads, "heads")
+def head_pairs(lists: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of each list's head (list, h) with the members that size and position don't rule out."""
     both = lists.join(heads, "list").where("doc != h.doc")
     return both.where(_possible("size", "pos", "h.size", "h.pos", percent)).select(F.col("h.doc").alias("a"), F.col("doc").alias("b")).distinct()
 
 
-def _possible(size_a: str, pos_a: str, size_b: str, pos_b: str, percent: int):
+def _needed(a: Column, b: Column, percent: int) -> Column:
+    """100 + percent times the shingles that sets of these sizes share if they link, at least."""
+    return (a + b) * percent
+
+
+def _possible(size_a: str, pos_a: str, size_b: str, pos_b: str, percent: int) -> Column:
     """Sizes near enough, and enough shingles left after both positions for the overlap that a link needs."""
     a, b = F.col(size_a), F.col(size_b)
     shared = F.least(a - F.col(pos_a), b - F.col(pos_b))
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (shared * (100 + percent) >= (a + b) * percent)
+    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (shared * (100 + percent) >= _needed(a, b, percent))
+
 
+def open_pairs(lists: DataFrame, heads: DataFrame, roots: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of members of one list that are in different components and that no bound rules out.
 
-def open_pairs(lists: DataFrame, roots: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of members of one list that are in different components and were not compared yet."""
-    marked = lists.join(roots, F.col("doc") == F.col("node"), "left").select("list", "doc", "size", "pos", F.coalesce("root", "doc").alias("root"))
+    ``known`` (a, b, least, most): bounds of what head a shares with b. Pairs with their list's head were compared.
+    """
+    label = roots.select(F.col("node").alias("doc"), "root")
+    marked = lists.join(label, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     marked = materialize(marked, "marked")
     # A list whose members are all in one component has nothing left to say.
-    mixed = marked.groupBy("list").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("list")
-    mixed = materialize(mixed, "mixed-lists")
-    marked = materialize(marked.join(mixed, "list"), "mixed")
-
-    def pairs(t: pa.Table) -> pa.Table:
-        doc, size, pos, root = (t.column(c).to_numpy() for c in ("doc", "size", "pos", "root"))
-        turn = np.lexsort((doc, size))
-        doc, size, pos, root = doc[turn], size[turn], pos[turn], root[turn]
-        a, b = [], []
-        last = np.searchsorted(size, size * 100 // percent, side="right")
-        for k in range(len(doc)):
-            j = slice(k + 1, int(last[k]))
-            shared = np.minimum(size[k] - pos[k], size[j] - pos[j])
-            ok = np.flatnonzero((root[j] != root[k]) & (shared * (100 + percent) >= (size[k] + size[j]) * percent)) + k + 1
-            a.append(np.full(len(ok), doc[k]))
-            b.append(doc[ok])
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    found = marked.groupBy("list").applyInArrow(pairs, "a long, b long")
-    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    before = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return found.join(before, ["a", "b"], "left_anti")
-
-
-def possible_pairs(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that their bitmaps (doc_id, size, bitmap) don't rule out."""
+    mixed = marked.groupBy("list").agg((F.min("root") != F.max("root")).alias("mixed"), F.count(F.lit(1)).alias("n")).where("mixed AND n > 2")
+    mixed = materialize(mixed.select("list", "n").join(heads, "list"), "mixed-lists")
+    rows = marked.join(mixed, "list").join(label.withColumnsRenamed({"doc": "head", "root": "head_root"}), F.col("h.doc") == F.col("head"), "left")
+    rows = rows.where("doc != h.doc OR size != h.size").select("list", "doc", "size", "pos", "root", "n", F.col("h.doc").alias("a"), F.col("h.size").alias("head_size"), (F.col("root") == F.coalesce("head_root", "h.doc")).alias("near"))
+    rows = rows.join(known.withColumnRenamed("b", "doc"), ["a", "doc"], "left")
+    most = F.coalesce("most", F.least("size", "head_size"))
+    band = F.floor(F.log("size") / F.lit(np.log(100 / percent) / 2) + 1e-9) if percent < 100 else F.col("size")
+    part = F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / BLOCK)).cast("int")
+    block = F.when(F.col("n") > SHORT, F.xxhash64(band, F.floor(16 * F.col("pos") / F.col("size")), "near", part)).otherwise(0)
+    rows = rows.select("list", "doc", "size", "pos", "root", most.alias("most"), (F.col("size") - F.coalesce("least", F.lit(0))).alias("outside"), block.alias("block"))
+    rows = materialize(rows, "mixed")
+    blocks = rows.groupBy("list", "block").agg(
+        *(F.min(c).alias(f"min_{c}") for c in ("size", "root")), *(F.max(c).alias(f"max_{c}") for c in ("size", "root", "most", "outside")), F.max(F.col("size") - F.col("pos")).alias("left")
+    )
+    x, y = blocks.alias("x"), blocks.alias("y")
+    share = F.least("x.left", "y.left", F.least("x.max_most", "y.max_most") + F.least("x.max_outside", "y.max_outside"))
+    fits = (F.col("x.min_size") * percent <= F.col("y.max_size") * 100) & (F.col("y.min_size") * percent <= F.col("x.max_size") * 100)
+    fits &= share * (100 + percent) >= _needed(F.col("x.min_size"), F.col("y.min_size"), percent)
+    several = (F.col("x.min_root") != F.col("y.max_root")) | (F.col("x.max_root") != F.col("y.min_root"))
+    turns = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.block") <= F.col("y.block")) & fits & several)
+    turns = turns.select(F.col("x.list").alias("list"), F.col("x.block").alias("block"), F.col("y.block").alias("other"))
+    p = rows.join(turns, ["list", "block"]).alias("p")
+    q = rows.alias("q")
+    share = F.least("p.most", "q.most") + F.least("p.outside", "q.outside")
+    ok = (F.col("p.list") == F.col("q.list")) & (F.col("p.other") == F.col("q.block")) & (F.col("p.root") != F.col("q.root")) & ((F.col("p.block") != F.col("q.block")) | (F.col("p.doc") < F.col("q.doc")))
+    ok &= _possible("p.size", "p.pos", "q.size", "q.pos", percent) & (share * (100 + percent) >= _needed(F.col("p.size"), F.col("q.size"), percent))
+    return p.join(q, ok).select(F.least("p.doc", "q.doc").alias("a"), F.greatest("p.doc", "q.doc").alias("b")).distinct()
+
+
+def bounded_pairs(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """The pairs (a, b) with what they share at most, by their bitmaps (doc_id, size, bitmap); ids with several sets keep the largest bound."""
     one = lambda c: maps.select(F.col("doc_id").alias(c), F.col("size").alias(f"size_{c}"), F.col("bitmap").alias(f"map_{c}"))
     rows = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "size_a", "size_b", "map_a", "map_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = [c.to_numpy() for c in batch.columns[2:4]]
-            bounds = np.array([most_shared(x.as_py(), int(m), y.as_py(), int(n)) for x, y, m, n in zip(batch.column(4), batch.column(5), *sizes, strict=True)], np.int64)
-            ok = pa.array(linked(bounds, *sizes, percent)) if len(batch) else pa.array([], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
+            bounds = [most_shared(x.as_py(), int(m), y.as_py(), int(n)) for x, y, m, n in zip(batch.column(4), batch.column(5), *sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(bounds, pa.int64())], ["a", "b", "size_a", "size_b", "most"])
+
+    return rows.mapInArrow(run, "a long, b long, size_a long, size_b long, most long")
+
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+def _open(bounded: DataFrame, percent: int) -> DataFrame:
+    """Pairs that their bounds leave open."""
+    return bounded.where(F.col("most") * (100 + percent) >= _needed(F.col("size_a"), F.col("size_b"), percent)).select("a", "b").distinct()
 
 
 def compare(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b, common, size_a, size_b) of the pairs that link, by comparing the whole sets of their ``rows`` (doc_id, text)."""
+    """(a, b, common, size_a, size_b, link) of the pairs, by comparing the whole sets of their ``rows`` (doc_id, text)."""
     wanted = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
     sets = materialize(sets_of(rows.join(broadcast_if_small(wanted, 2_000_000), "doc_id", "left_semi"), n), "grams")
     busy = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / TOGETHER).cast("int"))
@@ -299,7 +362,7 @@ def compare(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFram
     members = spread.join(sets.select(F.col("doc_id").alias("b"), "grams"), "b")
     heads = busy.join(sets.select(F.col("doc_id").alias("h"), F.col("grams").alias("head_grams")), F.col("a") == F.col("h"))
     heads = heads.select(F.col("h"), "head_grams", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("size_a", pa.int64()), ("size_b", pa.int64())])
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("size_a", pa.int64()), ("size_b", pa.int64()), ("link", pa.bool_())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -318,11 +381,10 @@ def compare(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFram
         if not got:
             return out.empty_table()
         b, common, size_a, size_b = (np.array(x, np.int64) for x in zip(*got, strict=True))
-        ok = linked(common, size_a, size_b, percent)
-        a = np.full(int(ok.sum()), left.column("a")[0].as_py(), np.int64)
-        return pa.table({"a": a, "b": b[ok], "common": common[ok], "size_a": size_a[ok], "size_b": size_b[ok]}, schema=out)
+        a = np.full(len(b), left.column("a")[0].as_py(), np.int64)
+        return pa.table({"a": a, "b": b, "common": common, "size_a": size_a, "size_b": size_b, "link": linked(common, size_a, size_b, percent)}, schema=out)
 
-    return members.groupBy("a", "part").cogroup(heads.groupBy("h", "part")).applyInArrow(run, "a long, b long, common long, size_a long, size_b long")
+    return members.groupBy("a", "part").cogroup(heads.groupBy("h", "part")).applyInArrow(run, "a long, b long, common long, size_a long, size_b long, link boolean")
 
 
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
@@ -351,14 +413,20 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 75, key: str
     copies = materialize(copies, "copies")
     texts = rows.where("doc_id IS NOT NULL").join(broadcast_if_small(copies, 2_000_000), "doc_id", "left_anti")
     total = classes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
-    buckets = int(max(64, total // 400_000))
-    lists = materialize(index_lists(texts, frequent, n, percent, buckets), "lists")
+    buckets = int(max(64, total // 150_000))
+    lists = materialize(best_lists(texts, frequent, n, percent, buckets), "lists")
     maps = materialize(sets.where("size > 0").select("doc_id", "size", "bitmap").join(broadcast_if_small(copies, 2_000_000), "doc_id", "left_anti"), "bitmaps")
-    first = materialize(head_pairs(lists, percent), "pairs-1")
-    links = materialize(compare(materialize(possible_pairs(first, maps, percent), "possible-1"), rows, n, percent), "links-1")
+    heads = materialize(lists.groupBy("list").agg(F.min(F.struct("rank", "doc", "size", "pos")).alias("h")), "heads")
+    first = materialize(bounded_pairs(head_pairs(lists, heads, percent), maps), "pairs-1")
+    done = materialize(compare(materialize(_open(first, percent), "open-1"), rows, n, percent), "compared-1")
+    links = done.where("link")
     roots = components(links)
-    second = materialize(open_pairs(lists, roots, first, percent), "pairs-2")
-    more = materialize(compare(materialize(possible_pairs(second, maps, percent), "possible-2"), rows, n, percent), "links-2")
+    # Ids with several sets have several bounds: the widest holds for each.
+    exact = done.groupBy("a", "b").agg(F.min("common").alias("low"), F.max("common").alias("high"))
+    known = first.groupBy("a", "b").agg(F.max("most").alias("most")).join(exact, ["a", "b"], "left")
+    known = known.select("a", "b", F.coalesce("low", F.lit(0)).alias("least"), F.coalesce("high", "most").alias("most"))
+    second = materialize(bounded_pairs(open_pairs(lists, heads, roots, known, percent), maps), "pairs-2")
+    more = materialize(compare(materialize(_open(second, percent), "open-2"), rows, n, percent), "compared-2").where("link")
     # Documents, linked through their class's representative; repeated ids link their classes.
     every = links.select("a", "b").union(more.select("a", "b"))
     own = sets.where("size > 0 AND doc_id IS NOT NULL").join(classes.where("copies > 1"), ["set_a", "set_b", "size"]).where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
@@ -370,8 +438,19 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 75, key: str
 def one_of_each(docs: DataFrame, *, n: int = 5, percent: int = 75) -> DataFrame:
     """``docs`` with one document of each component (the smallest doc_id; one row of it); same columns.
 
-    Rows with a null doc_id stay; so does every document with an empty set, once per doc_id.
+    Rows with a null doc_id count as documents behind all others, one for each text. Of rows that repeat a
+    doc_id the one with the least hash of its text stays. Documents with empty sets all stay.
     """
-    found = near_duplicates(docs, n=n, percent=percent)
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2))
+    keyed = docs.withColumn("_key", key)
+    found = materialize(near_duplicates(keyed, n=n, percent=percent, key="_key").select("doc_id", "component_id"), "found")
+    gone = materialize(found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    kept = keyed.join(broadcast_if_small(gone, 2_000_000), F.col("_key") == F.col("_gone"), "left_anti")
+    again = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again")
+    again = materialize(again, "again")
+    if not again.isEmpty():
+        again = broadcast_if_small(again, 2_000_000)
+        order = Window.partitionBy("_key").orderBy(F.xxhash64("text"), F.length("text"))
+        once = kept.join(again, F.col("_key") == F.col("_again"), "left_semi").withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+        kept = kept.join(again, F.col("_key") == F.col("_again"), "left_anti").unionByName(once)
+    return kept.drop("_key")

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from cuemill.llm import jaccard
 
@@ -63,6 +64,36 @@ def test_against_brute_force(spark, make_docs):
     assert result(make_docs(rows)) == brute(rows)
 
 
+def common(seed):
+    """Most documents share a passage; many differ in little else, some are near copies of each other."""
+    rng = random.Random(seed)
+    passage, rows = [f"p{k}" for k in range(60)], []
+    for _ in range(70):
+        own = [f"r{rng.randrange(10**6)}" for _ in range(rng.randint(0, 45))]
+        rows.append(" ".join(own + passage if rng.random() < 0.5 else passage + own))
+        if rng.random() < 0.3:
+            rows.append(" ".join(edited(rng, rows[-1].split(), rng.randint(1, 3))))
+    rows += [" ".join(edited(rng, [f"g{k}" for k in range(80)], 4)) for _ in range(40)]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_common_shingles_in_long_lists_cut_into_blocks(spark, make_docs, monkeypatch, seed):
+    for name, value in (("HOT", 6), ("REPORTED", 2), ("LONG", 5), ("SHORT", 4), ("BLOCK", 8), ("TOGETHER", 5)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = common(seed)
+    assert result(make_docs([*rows, rows[0], rows[1]])) == brute(rows)
+
+
+def test_one_of_each_with_null_and_repeated_ids(spark, make_docs):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "own text of no id here"), (None, "own text of no id here"), (None, None), (2, ""), (3, None), (4, "x y z w v u"), (4, "quite another text for this id")]
+    kept = sorted(((r["doc_id"], r["text"]) for r in jaccard.one_of_each(make_docs(rows)).collect()), key=str)
+    assert [k for k, _ in kept if k is not None] == [1, 2, 3, 4]
+    assert [t for k, t in kept if k is None] == ["own text of no id here", None]
+    assert jaccard.one_of_each(make_docs(rows).limit(0)).count() == 0
+
+
 def test_threshold_is_inclusive(spark, make_docs):
     # 7 of 8, 6 of 8 and 5 of 8 shingles shared: words 0..10 against shorter runs.
     w = [f"x{k}" for k in range(12)]
