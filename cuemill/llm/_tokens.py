@@ -22,15 +22,17 @@ import numpy as np
 
 from cuemill.llm import _common  # noqa: F401  (sets TOKENIZERS_PARALLELISM)
 
-#: Parts (and as many pieces) that a worker remembers, and characters of texts that are encoded together.
-CACHE, TOGETHER = 800_000, 1 << 20
+#: Bytes (about) of parts that a worker's cache remembers, and characters of texts that are encoded together.
+CACHE_BYTES, TOGETHER = 48 << 20, 1 << 20
+#: What an entry of a cache costs besides its characters.
+_ENTRY = 200
 #: Characters whose class, case and normal form no two Unicode versions see differently; none combines with another.
 _COMMON = re.compile("[\n -~\u00c0-\u012f\u0131-\u017f\u0400-\u045f\u2010-\u2027\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5]*")
-_PROBE = ["It's we'LL I'm 12.5% \u00c9l\u00e8ve\u2026 snake_case\n\nnext \u2014 \u041c\u0438\u0440!?", " a--b ((c)) 'tis 2024-01-31\n", "don't   stop \u65e5\u672c\u8a9e x" * 3, "<|endoftext|> ~`@#$^&*{}[]|\\", "\n", "  "]
+_PROBE = ["It's we'LL I'm 12.5% \u00c9l\u00e8ve\u2026 snake_case\n\nnext \u2014 \u041c\u0438\u0440!?", " a--b ((c)) 'tis 2024-01-31\n", "don't   stop \u65e5\u672c\u8a9e x" * 3, "~`@#$^&*{}[]|\\ <|x|>", "\n", "  "]
 #: Fixed value: the splitting pattern of byte-level tokenizers that name none.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BLANK = re.compile(r"(?<=\S) (?=\S)")
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def splits_at_blanks(spec: dict) -> bool:
@@ -73,25 +75,43 @@ class Cache(dict):
 
     def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
-        self.make = make
+        self.make, self.held = make, 0
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= CACHE:
+        found = self.make(key)
+        size = _ENTRY + 2 * len(key) + len(found)
+        if self.held + size > CACHE_BYTES:
             self.clear()
-        self[key] = found = self.make(key)
+            self.held = 0
+        self[key] = found
+        self.held += size
         return found
 
 
+def added_marks(spec: dict) -> list[str]:
+    """Strings one of which every text with an added token contains; for a normalised token, what no letter case changes."""
+    marks = []
+    for token in spec.get("added_tokens", []):
+        runs = re.findall(r"[\W\d_]+", token["content"])
+        marks.append(max(runs, key=len, default="") if token.get("normalized") else token["content"])
+    return marks
+
+
 class Encoder:
-    """A tokenizer whose strings of special tokens in a text are ordinary text."""
+    """A tokenizer's own ids: added tokens that a text spells out are those tokens.
+
+    With ``special_as_text``, special tokens that a text spells out are ordinary text instead. Texts that may
+    hold an added token are encoded whole.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = special_as_text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.marks = added_marks(spec)
         self.by_parts = splits_at_blanks(spec)
         self.model, self.letters = self.tok.model, byte_letters()
         self.lower = "Lowercase" in json.dumps(spec.get("normalizer"))
@@ -124,6 +144,9 @@ class Encoder:
             yield from self._raw(texts)
             return
         for text in texts:
+            if any(m in text for m in self.marks):
+                yield self._raw([text])[0]
+                continue
             first, *rest = text.split(" ")
             try:
                 if rest and (not first or first[-1].isspace()):
@@ -146,8 +169,8 @@ class Encoder:
             yield from self._together(batch)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
     """The process's encoder for the tokenizer at ``path``."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, special_as_text) not in _encoders:
+        _encoders[path, special_as_text] = Encoder(path, special_as_text)
+    return _encoders[path, special_as_text]

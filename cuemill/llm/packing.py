@@ -1,6 +1,6 @@
 """Packing tokenised documents into training sequences: vector bin packing by dot product.
 
-Every piece has a demand vector (tokens, segments, loss-bearing tokens) and every sequence a vector of
+Every piece has a demand vector (tokens, segments, loss-bearing tokens: those behind its document's prompt) and every sequence a vector of
 what it has left. A sequence takes, again and again, the piece that fits in all three dimensions and has
 the largest dot product of its demand with what is left, both as shares of the limits. When nothing
 fits any more, the piece with the largest dot product is cut to fill the gap ("cut" mode), so padding
@@ -39,20 +39,31 @@ class Packer:
         self.limits = np.array([limit, segments, loss], float)
         self.limit, self.max_segments, self.max_loss, self.pool = limit, segments, loss, pool
         self.next = first_sequence
-        #: Waiting pieces (document, start, ids, loss-bearing or not, ids of the document) and their demands.
-        self.items: list[tuple[int | None, int, np.ndarray, bool, int]] = []
+        #: Waiting pieces (document, start, ids, first loss-bearing id of the document, its ids) and their demands.
+        self.items: list[tuple[int | None, int, np.ndarray, int, int]] = []
         self.demand = np.zeros((pool + 1, 3))
         self.rows: list[tuple] = []
 
-    def add(self, doc_id: int | None, ids: np.ndarray, bears: bool) -> None:
+    @staticmethod
+    def bearing(start: int, size: int, prompt: int) -> int:
+        """Loss-bearing ids among ``size`` ids from ``start`` of a document whose first ``prompt`` ids bear none."""
+        return max(0, start + size - max(start, prompt))
+
+    @staticmethod
+    def most(start: int, room: float, loss: float, prompt: int) -> int:
+        """Ids from ``start`` that fit into ``room`` ids and ``loss`` loss-bearing ids."""
+        return int(min(room, max(0, prompt - start) + loss))
+
+    def add(self, doc_id: int | None, ids: np.ndarray, prompt: int) -> None:
         n, at = len(ids), 0
-        step = min(self.limit, self.max_loss) if bears else self.limit
-        while n - at >= self.limit and step == self.limit:
-            self._emit(doc_id, at, ids[at : at + step], bears, n, self._open(), 0, step)
-            at += step
         while at < n:
-            self._wait((doc_id, at, ids[at : at + step], bears, n))
-            at += step
+            take = self.most(at, min(self.limit, n - at), self.max_loss, prompt)
+            if take == self.limit:
+                # It fills a sequence alone, so no other piece has a say.
+                self._emit(doc_id, at, ids[at : at + take], prompt, n, self._open(), 0, take)
+            else:
+                self._wait((doc_id, at, ids[at : at + take], prompt, n))
+            at += take
 
     def close(self) -> None:
         while self.items and not self._tail():
@@ -60,7 +71,7 @@ class Packer:
 
     def _wait(self, item: tuple) -> None:
         size = len(item[2])
-        self.demand[len(self.items)] = size, 1, size * item[3]
+        self.demand[len(self.items)] = size, 1, self.bearing(item[1], size, item[3])
         self.items.append(item)
         if len(self.items) > self.pool:
             self._fill()
@@ -75,8 +86,8 @@ class Packer:
         self.next += 1
         return self.next - 1
 
-    def _emit(self, doc_id, start, ids, bears, total, sequence, offset, padded) -> None:
-        self.rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), total, sequence, offset, len(ids) * bears, padded))
+    def _emit(self, doc_id, start, ids, prompt, total, sequence, offset, padded) -> None:
+        self.rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), total, sequence, offset, self.bearing(start, len(ids), prompt), padded))
 
     def _fill(self) -> None:
         """One sequence: pieces by the largest dot product, the last one cut to fit."""
@@ -92,25 +103,27 @@ class Packer:
                 self._drop(k)
                 continue
             # Nothing fits whole: cut the piece with the largest dot product that can give something.
-            can = (demand[:, 2] == 0) | (left[2] > 0)
-            if can.any():
-                k = int(np.argmax(np.where(can, score, -1.0)))
-                doc_id, start, ids, bears, total = self.items[k]
-                take = int(min(left[0], left[2])) if bears else int(left[0])
-                chosen.append((doc_id, start, ids[:take], bears, total))
-                left -= take, 1, take * bears
-                self.items[k] = (doc_id, start + take, ids[take:], bears, total)
-                self.demand[k] -= take, 0, take * bears
-                continue
-            break
+            open_to = (demand[:, 2] < demand[:, 0]) | (left[2] > 0)
+            for k in np.argsort(np.where(open_to, -score, np.inf), kind="stable")[: int(open_to.sum())].tolist():
+                doc_id, start, ids, prompt, total = self.items[k]
+                take = self.most(start, min(left[0], len(ids)), left[2], prompt)
+                if take:
+                    break
+            else:
+                break
+            chosen.append((doc_id, start, ids[:take], prompt, total))
+            loss = self.bearing(start, take, prompt)
+            left -= take, 1, loss
+            self.items[k] = (doc_id, start + take, ids[take:], prompt, total)
+            self.demand[k] -= take, 0, loss
         self._place(chosen)
 
     def _place(self, chosen: list[tuple]) -> None:
         sequence, offset = self._open(), 0
         size = sum(len(x[2]) for x in chosen)
         padded = size if size & (size - 1) == 0 else self.limit
-        for doc_id, start, ids, bears, total in chosen:
-            self._emit(doc_id, start, ids, bears, total, sequence, offset, padded)
+        for doc_id, start, ids, prompt, total in chosen:
+            self._emit(doc_id, start, ids, prompt, total, sequence, offset, padded)
             offset += len(ids)
 
     def _tail(self) -> bool:
@@ -123,14 +136,14 @@ class Packer:
             size -= want
             chosen = []
             while want:
-                doc_id, start, ids, bears, total = self.items[-1]
+                doc_id, start, ids, prompt, total = self.items[-1]
                 take = min(want, len(ids))
-                chosen.append((doc_id, start, ids[:take], bears, total))
+                chosen.append((doc_id, start, ids[:take], prompt, total))
                 want -= take
                 if take == len(ids):
                     self.items.pop()
                 else:
-                    self.items[-1] = (doc_id, start + take, ids[take:], bears, total)
+                    self.items[-1] = (doc_id, start + take, ids[take:], prompt, total)
             self._place(chosen)
         return True
 
@@ -146,38 +159,41 @@ def pack_documents(
     *,
     end_id: int = 1,
     max_tokens: int = 2048,
-    max_segments: int = 512,
+    max_segments: int = 64,
     max_loss_tokens: int | None = None,
-    loss_from: str | None = None,
+    prompt_chars: str | None = None,
+    special_as_text: bool = False,
     text: str = "text",
     key: str = "doc_id",
 ) -> DataFrame:
     """Pieces of all rows of ``docs`` in sequences of at most ``max_tokens`` ids.
 
-    ``loss_from`` names a boolean column: False rows (prompts) bear no loss. One row per piece, as in
-    ``PIECE``. Null text is an empty text: its only id is ``end_id``. Repeated rows are packed each on
-    its own; a null key stays null; an empty table gives no rows; other columns are not read.
+    ``prompt_chars`` names a column with the number of leading characters that are prompt (null: none): the
+    ids of those characters bear no loss, all later ids of the row do. One row per piece, as in ``PIECE``. Null
+    text is an empty text: its only id is ``end_id``. Repeated rows are packed each on its own; a null key
+    stays null; an empty table gives no rows; other columns are not read. ``special_as_text``: see ``Encoder``.
     """
     loss_limit = max_tokens if max_loss_tokens is None else max_loss_tokens
     if min(max_tokens, max_segments, loss_limit) < 1:
         raise ValueError("limits must be at least 1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        tok, end = encoder(tokenizer_path, special_as_text), np.array([end_id], "<u4").tobytes()
         packer = Packer(max_tokens, max_segments, loss_limit, TaskContext.get().partitionId() << 33)
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            bears = batch.column(2).to_pylist()
+            heads = [max(0, x or 0) for x in batch.column(2).to_pylist()]
             texts = (x.as_py() or "" for x in batch.column(1))
-            for k, bear, ids in zip(keys, bears, tok.encode(texts), strict=True):
-                packer.add(k, np.frombuffer(ids + end, "<u4"), bool(bear))
+            prompts = (len(ids) // 4 for ids in tok.encode((x.as_py() or "")[:n] if n else "" for x, n in zip(batch.column(1), heads, strict=True)))
+            for k, prompt, ids in zip(keys, prompts, tok.encode(texts), strict=True):
+                packer.add(k, np.frombuffer(ids + end, "<u4"), prompt)
                 if len(packer.rows) >= 4096:
                     yield packer.drain()
         packer.close()
         yield packer.drain()
 
-    bears = F.lit(True) if loss_from is None else F.coalesce(F.col(loss_from), F.lit(True))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), bears.alias("bears"))
+    prompt = F.lit(0).cast("long") if prompt_chars is None else F.col(prompt_chars).cast("long")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), prompt.alias("prompt"))
     return rows.mapInArrow(run, PIECE)
 
 

@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 from cuemill.llm import decontam, jaccard, langid, packing, pii, sharding, tokenbin, topk, toxicity, warc
 from cuemill.llm._common import table
 
+#: A document's first line, if another follows, is its prompt: those characters bear no loss.
+FIRST_LINE = "instr(text, '\n')"
+#: Both limits bind: most sequences would hold more loss-bearing tokens, and sequences of tiny documents more segments.
+PACKING = {"max_tokens": 2048, "max_segments": 64, "max_loss_tokens": 2032}
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), packing.default_tokenizer())
+    docs = table(spark, sf_dir, "documents").withColumn("prompt", F.expr(FIRST_LINE))
+    return packing.pack_documents(docs, packing.default_tokenizer(), prompt_chars="prompt", **PACKING)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +46,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
     model = langid.fit(docs.where(~held_out).select("text", "lang"))
     found = langid.predict(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "distance")
+    # The query's language is the nearest one; whether the distance rejects it stands beside it.
+    return found.select("doc_id", held_out.alias("held_out"), F.col("nearest").alias("lang_pred"), "score", "distance", "rejected")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +64,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count(rank).alias(f"n_{kind.name}") for rank, kind in enumerate(pii.KINDS)],
         F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"),
         pii.spans_text(F.array_sort(F.concat("base", "found"))).alias("spans"),
+        F.size("found").cast("long").alias("n_context"),
+        (F.size("base") + F.size("found")).cast("long").alias("n_spans"),
     )
 
 

@@ -17,7 +17,7 @@ def test_ids_are_the_tokenizers(name, monkeypatch):
     want = encoder._raw(ODD)
     assert list(encoder.encode(ODD)) == want
     assert list(encoder.encode(ODD)) == want  # through the caches
-    monkeypatch.setattr("cuemill.llm._tokens.CACHE", 3)
+    monkeypatch.setattr("cuemill.llm._tokens.CACHE_BYTES", 800)
     assert list(encoder.encode(ODD)) == want
     encoder.splits = None
     for cache in (encoder.firsts, encoder.others, encoder.loose):
