@@ -61,9 +61,28 @@ def test_pruning_skips_blocks():
     docs = np.concatenate([rng.integers(0, 4, (4000, 16)), rng.integers(50, 60, (256, 16))])
     ids = np.arange(len(docs))
     q = docs[-3:]
-    scores, best, scored = topk.search_shard(docs, ids, q, ids[-3:], 10)
+    own, order = ids[-3:], topk.order_of_blocks(docs, ids)
+    scores, best, scored = topk.search_shard(docs[order], ids[order], q, own, 10)
     exact = q @ docs.T
     for r in range(3):
         exact[r, ids[-3:][r]] = -1
         assert sorted(scores[r], reverse=True) == sorted(exact[r], reverse=True)[:10]
-    assert scored < 3 * len(range(0, len(docs), topk.BLOCK)) / 2
+    assert scored.sum() < 3 * len(range(0, len(docs), topk.BLOCK)) / 2
+
+
+def test_queries_visit_few_shards_and_rounds_give_the_same(spark, monkeypatch):
+    for name, value in (("SHARD", 50), ("CHUNK", 7), ("BLOCK", 8)):
+        monkeypatch.setattr(topk, name, value)
+    rng = random.Random(3)
+    centers = [[rng.gauss(0, 3) for _ in range(12)] for _ in range(8)]
+    rows = [(k, [c + rng.gauss(0, 0.1) for c in centers[k % 8]]) for k in range(1000)]
+    rows += [(k, rows[8][1]) for k in range(1000, 1400)]  # one hot vector
+    assert result(spark, rows, 20) == brute(rows, 20)
+    v = spark.createDataFrame([(i, [math.floor(64 * x) for x in y]) for i, y in rows], "vec_id long, v array<long>")
+    q = v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    found = topk.visits(v, q, k=20)
+    shards, queries = topk.index_shards(v, v.count()).count(), q.count()
+    assert found.count() < 0.6 * shards * queries
+    assert found.agg(F.sum("scored")).first()[0] < found.agg(F.sum("blocks")).first()[0]
+    monkeypatch.setattr(topk, "BOUNDS", 12 * 2 * 5)
+    assert result(spark, rows, 20) == brute(rows, 20)
