@@ -88,3 +88,64 @@ def test_language_rejection_by_distance(spark, make_docs):
     model = langid.fit(labelled, reject_beyond=0.5)
     got = {r["doc_id"]: (r["lang_pred"], r["rejected"]) for r in langid.predict(make_docs(["the cat sat on the mat", "ξένη γλώσσα"]), model).collect()}
     assert got == {0: ("aa", False), 1: ("und", True)}
+
+
+def test_calibrated_rejection(spark, make_docs):
+    rng = random.Random(5)
+    words = {"aa": ["the", "cat", "sat", "mat", "house", "which"], "bb": ["der", "hund", "lief", "über", "straße", "nicht"]}
+    rows = [(lang, " ".join(rng.choice(w) for _ in range(rng.randint(5, 40)))) for lang, w in words.items() for _ in range(150)]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert 0 < model.reject_beyond < 1
+    texts = ["the cat sat which house mat " * 4, "ξένη γλώσσα και άλλα πολλά ακόμη", "der hund lief über nicht straße " * 4]
+    got = {r["doc_id"]: (r["nearest"] != "und", r["lang_pred"], r["rejected"]) for r in langid.predict(make_docs(texts), model).collect()}
+    assert got == {0: (True, "aa", False), 1: (True, "und", True), 2: (True, "bb", False)}
+
+
+def test_language_sample_is_bounded_and_covers_copies(spark, make_docs):
+    rows = [("aa", f"text {k} of many") for k in range(3000)] + [("aa", "a hot copy")] * 2000 + [("bb", f"rare {k}") for k in range(7)] + [("aa", "x" * 500)]
+    table = spark.createDataFrame(rows, "l string, t string").repartition(4)
+    found = langid.sample_of(table, 100, 400).to_pylist()
+    assert sum(r["l"] == "aa" for r in found) == 100 and sum(r["l"] == "bb" for r in found) == 7
+    assert len({r["t"] for r in found}) == len(found)
+    assert found == langid.sample_of(table.repartition(7), 100, 400).to_pylist()
+
+
+def test_grams_of_long_texts_are_those_of_the_whole(monkeypatch):
+    import numpy as np
+
+    text = np.frombuffer("Größe und Häuser, viele! ".encode() * 40, np.uint8)
+    whole = langid.term_counts(text, np.array([0, len(text)]))
+    monkeypatch.setattr(langid, "PART", 7)
+    assert (langid.term_counts(text, np.array([0, len(text)])) == whole).all()
+
+
+def test_toxicity_kernel_against_plain_subsequences():
+    from collections import Counter
+    from itertools import combinations
+
+    import numpy as np
+
+    def weights(word):
+        out = Counter()
+        for i in combinations(range(len(word)), 3):
+            if i[2] - i[0] < toxicity.SPAN:
+                out["".join(word[k] for k in i)] += toxicity.DECAY ** (i[2] - i[0] + 1)
+        return out
+
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(3, 12))) for _ in range(30)]
+    kernel = toxicity.Kernel.of(Counter("".join(words)))
+    got = kernel.matrix(words, words[:10])
+    for i, a in enumerate(words):
+        for j, b in enumerate(words[:10]):
+            x, y = weights(a), weights(b)
+            norms = kernel.norms(np.array([len(a), len(b)]))
+            assert abs(got[i, j] - sum(v * y[k] for k, v in x.items()) / norms.prod()) < 1e-5
+
+
+def test_toxicity_fit_limits(spark, make_docs):
+    docs = make_docs(["zwickel " * 30, "a clean text", "too long " * 50])
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.fit(docs, labels, fit_chars=300) is not None
+    assert toxicity.fit(docs, labels, fit_chars=100) is None
+    assert toxicity.fit(docs, labels, fit_rows=1) is not None
