@@ -22,7 +22,9 @@ from cuemill.llm._common import materialize
 LAW = "rows"
 #: Rows of a cell: a 2048th of all rows within these bounds.
 CELL_LEAST, CELL_MOST = 128, 1 << 16
-ROUNDS = 8
+ROUNDS = 12
+#: Buckets of cells that are summed together.
+STRIPE = 1 << 12
 _UNIT = float(1 << 53)
 
 
@@ -50,8 +52,9 @@ def propagate(linked: DataFrame, groups: DataFrame, shards: int, capacity: int,
         loads = _loads(state, shards).withColumn("room", F.greatest(F.lit(capacity) - F.col("held"), F.lit(0)))
         cells = state.groupBy("grp", "salt", "shard").agg(F.count(F.lit(1)).alias("n")).groupBy("grp", "shard").agg(F.sum("n").alias("n"))
         cells = cells.join(F.broadcast(loads), "shard")
+        # A shard that is almost full would only take a few and keep a large group from the next one.
         best = F.struct("n", -F.col("shard"))
-        wish = cells.groupBy("grp").agg(F.max(F.when(F.col("room") > 0, best)).alias("best"), F.sum("n").alias("all"))
+        wish = cells.groupBy("grp").agg(F.max(F.when(F.col("room") >= max(1, capacity // 32), best)).alias("best"), F.sum("n").alias("all"))
         wish = wish.select("grp", (-F.col("best.col2")).alias("target"), F.col("best.n").alias("there"))
         # A cell follows its group's wish if fewer of the group are in it (or as many, in a later shard).
         moves = cells.join(wish, "grp").where("target IS NOT NULL AND shard != target AND (n < there OR (n = there AND shard > target))")
@@ -68,16 +71,32 @@ def propagate(linked: DataFrame, groups: DataFrame, shards: int, capacity: int,
 
 
 def _ranked(rows: DataFrame, cell: list[str], order: list[str], within: list[str]) -> DataFrame:
-    """``rows`` with ``place``: a gapless number from 0 in each ``within``, following cells, then ``order``."""
+    """``rows`` with ``place``: a gapless number from 0 in each ``within``, following cells (``bucket`` among them), then ``order``."""
     own = Window.partitionBy(*within, *cell)
     numbered = rows.withColumn("nth", F.row_number().over(own.orderBy(*order)) - 1)
-    counts = rows.groupBy(*within, *cell).agg(F.count(F.lit(1)).alias("n"))
-    # One row per cell: running sums over cells, not over documents.
-    before = Window.orderBy(*cell) if not within else Window.partitionBy(*within).orderBy(*cell)
-    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    # Running sums over cells, not over documents; in two levels, so that no task holds all cells.
+    counts = rows.groupBy(*within, *cell).agg(F.count(F.lit(1)).alias("n")).withColumn("stripe", F.floor(F.col("bucket") / STRIPE))
+    lead = [*cell[: cell.index("bucket")], "stripe"]
+    stripes = counts.groupBy(*within, *lead).agg(F.sum("n").alias("all"))
+    whole = Window.partitionBy(*within).orderBy(*lead).rowsBetween(Window.unboundedPreceding, -1)
+    stripes = stripes.select(*within, *lead, F.coalesce(F.sum("all").over(whole), F.lit(0)).alias("earlier"))
+    inside = Window.partitionBy(*within, *lead).orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(stripes, [*within, *lead])
+    counts = counts.select(*within, *cell, (F.col("before") + F.col("earlier")).alias("before"))
     return numbered.join(counts, [*within, *cell]).withColumn("place", F.col("before") + F.col("nth")).drop("before", "nth")
 
 
+def cut_edges(placed: DataFrame, *, group: str = "grp", shard: str = "shard") -> DataFrame:
+    """One row (edges, cut): links between documents of a group, and those whose ends are in two shards.
+
+    Counted from sizes: a group of n documents has n * (n - 1) / 2 links, its part in one shard likewise.
+    """
+    pairs = lambda n: F.col(n).cast("double") * (F.col(n) - 1) / 2
+    parts = placed.where(F.col(group).isNotNull()).groupBy(group, shard).agg(F.count(F.lit(1)).alias("n"))
+    whole = parts.groupBy(group).agg(F.sum("n").alias("all"), F.sum(pairs("n")).alias("inside"))
+    return whole.agg(F.coalesce(F.sum(pairs("all")), F.lit(0.0)).alias("edges"), F.coalesce(F.sum(pairs("all") - F.col("inside")), F.lit(0.0)).alias("cut"))
+
+
 def assign_shards(docs: DataFrame, *, shards: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law) for every row of ``docs``.
 

@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -5,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from cuemill.llm import sharding
+from cuemill.llm.queries import op2_sharding
 
 
 def check(rows, texts, shards):
@@ -62,3 +64,41 @@ def test_repeated_and_null_ids_long_text_and_clashing_columns(spark, make_docs):
     rows = [(1, "same"), (1, "same"), (None, "x"), (None, None), (4, long), (5, long)]
     docs = make_docs(rows).withColumnRenamed("source", "shard").withColumnRenamed("lang", "grp")
     check(sharding.assign_shards(docs, shards=3).collect(), rows, 3)
+
+
+def placed(spark, rows, texts):
+    kept = [(r["shard"], zlib.crc32((t or "").encode())) for t, r in zip(texts, sorted(rows, key=lambda r: r["doc_id"]), strict=True)]
+    return spark.createDataFrame(kept, "shard int, grp long")
+
+
+def test_few_edges_are_cut(spark, make_docs):
+    rng = random.Random(6)
+    texts = [f"group {k}" for k in range(50) for _ in range(rng.randint(2, 9))] + [f"s{k}" for k in range(300)]
+    rows = list(enumerate(texts))
+    after = sharding.cut_edges(placed(spark, sharding.assign_shards(make_docs(rows), shards=6).collect(), texts)).first()
+    start = spark.createDataFrame([(k * 7919 % 6, zlib.crc32(t.encode())) for k, t in rows], "shard int, grp long")
+    before = sharding.cut_edges(start).first()
+    assert after["edges"] == before["edges"] > 0
+    assert after["cut"] < 0.1 * before["cut"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cut_near_the_best_of_small_graphs(spark, make_docs, seed):
+    """Against the least cut of all placements of groups in two even shards."""
+    rng = random.Random(seed)
+    sizes = [rng.randint(2, 4) for _ in range(3)]
+    texts = [f"g{k}" for k, n in enumerate(sizes) for _ in range(n)] + ["own a", "own b"]
+    rows, half = list(enumerate(texts)), (len(texts) + 1) // 2
+    pairs = lambda n: n * (n - 1) // 2
+    best = min(
+        sum(pairs(n) - pairs(k) - pairs(n - k) for n, k in zip(sizes, split, strict=True))
+        for split in itertools.product(*(range(n + 1) for n in sizes))
+        if half - 2 - len(texts) % 2 <= sum(split) <= half
+    )
+    got = sharding.cut_edges(placed(spark, sharding.assign_shards(make_docs(rows), shards=2).collect(), texts)).first()["cut"]
+    assert best <= got <= best + 4
+
+
+def test_registered_query(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    check(op2_sharding(spark, "/root/testdata/sf0.001").collect(), [(r[0], r[1]) for r in docs], 24)
