@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuemill.llm._common import broadcast_if_small, materialize, put_file, scratch_path
@@ -134,13 +134,23 @@ def gzip_member(data: bytes, level: int = 3) -> bytes:
     return box.compress(data) + box.flush()
 
 
+def gzip_members(content: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The members' contents, in time proportional to the file: the decompressor is fed by offset."""
+    view, at = memoryview(content), 0
+    while at < len(view):
+        box, parts = zlib.decompressobj(31), []
+        while not box.eof:
+            if at >= len(view):
+                raise ValueError("the last gzip member is cut off")
+            parts.append(box.decompress(view[at : at + step]))
+            at += step
+        at = min(at, len(view)) - len(box.unused_data)
+        yield b"".join(parts)
+
+
 def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields and block of every record of a file of gzip members."""
-    rest = content
-    while rest:
-        box = zlib.decompressobj(31)
-        record = box.decompress(rest)
-        rest = box.unused_data
+    for record in gzip_members(content):
         head, _, body = record.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
@@ -248,22 +258,28 @@ def archive_pages(pages: DataFrame, *, key: str = "page_id", date: str = "202401
 def convert_archives(spark: SparkSession, paths: list[str] | str, folder: str) -> DataFrame:
     """Convert ARC files (gzip members or plain) to WARC files in ``folder``; returns what was written, as read back.
 
-    A record's key is its place: the file's position by name times 2^32 plus its number in the file.
+    A record's key is its place: the file's position by path times 2^32 plus its number in the file. A file with a
+    wrong header line, length or gzip member is left out as a whole; ``folder``/_refused (path, error) names it.
     """
-    files = spark.read.format("binaryFile").load(paths).select(F.xxhash64("path").alias("f"), "content")
+    files = spark.read.format("binaryFile").load(paths)
+    # One row a file.
+    order = files.select("path").distinct().withColumn("f", F.row_number().over(Window.orderBy("path")).cast("long") - 1)
+    files = files.select("path", "content").join(broadcast_if_small(materialize(order, "files")), "path")
+    names = ["key", "url", "ip", "date", "mime", "payload", "version", "path", "error"]
+    schema = pa.schema(list(zip(names, [pa.int64(), *[pa.string()] * 4, pa.binary(), pa.int32(), pa.string(), pa.string()], strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for f, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = content.as_py()
-                plain, rest = [], raw
-                while rest[:2] == b"\x1f\x8b":
-                    box = zlib.decompressobj(31)
-                    plain.append(box.decompress(rest))
-                    rest = box.unused_data
-                for n, r in enumerate(parse_arc(b"".join(plain) or raw)):
-                    yield pa.RecordBatch.from_pylist([{"key": ((f & 0x3FFFFFFF) << 32) + n, "url": r.url, "ip": r.ip, "date": r.date, "mime": r.mime, "payload": r.payload, "version": r.version}])
-
-    rows = files.mapInArrow(run, "key long, url string, ip string, date string, mime string, payload binary, version int")
+            for path, content, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    plain = b"".join(gzip_members(content)) if content[:2] == b"\x1f\x8b" else content
+                    rows = [{"key": (f << 32) + n, "url": r.url, "ip": r.ip, "date": r.date, "mime": r.mime, "payload": r.payload, "version": r.version} for n, r in enumerate(parse_arc(plain))]
+                except (ValueError, zlib.error) as e:
+                    rows = [{"path": path, "error": str(e)}]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    parsed = materialize(files.select("path", "content", "f").mapInArrow(run, "key long, url string, ip string, date string, mime string, payload binary, version int, path string, error string"), "captures")
+    parsed.where("error IS NOT NULL").select("path", "error").write.parquet(f"{folder}/_refused")
+    rows = parsed.where("error IS NULL").drop("path", "error")
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload")})
     return read_warc(spark, folder, write_warc(mark_revisits(rows), folder))

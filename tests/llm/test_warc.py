@@ -65,3 +65,31 @@ def test_dates_and_headers():
     arc = warc.ArcRecord("http://h/", "1.1.1.1", "20000102030405", "text/html", b"HTTP/1.0 200 OK\r\nX: y\r\n\r\nbody", 1)
     (head, block), = warc.parse_warc(warc.gzip_member(warc.warc_record(arc, 5, 2)))
     assert head["WARC-Type"] == "revisit" and head["WARC-Refers-To"] == warc.record_id(2) and block == b"HTTP/1.0 200 OK\r\nX: y\r\n\r\n"
+
+
+def test_gzip_members_are_read_by_offset():
+    parts = [bytes([k % 256]) * (k * 37 % 5000) for k in range(300)]
+    raw = b"".join(warc.gzip_member(p) for p in parts)
+    for step in (1, 100, 1 << 16):
+        assert list(warc.gzip_members(raw, step)) == parts
+    with pytest.raises(ValueError):
+        list(warc.gzip_members(raw[:-3]))
+
+
+def test_archives_have_keys_of_their_own_and_bad_ones_are_named(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    for name in ("a.arc.gz", "b.arc", "bad.arc", "cut.arc.gz"):
+        raw = warc.arc_header(1, name, "19990102030405") + warc.arc_record(1, f"http://h/{name}", "1.2.3.4", "1999", "text/html", http + name.encode() * 9)
+        raw += b"broken line\n" if name == "bad.arc" else b""
+        raw = warc.gzip_member(raw) if name.endswith("gz") else raw
+        (tmp_path / name).write_bytes(raw[:-4] if name.startswith("cut") else raw)
+    folder = scratch_path(spark, "arc")
+    rows = warc.convert_archives(spark, str(tmp_path / "*.arc*"), folder).orderBy("key").collect()
+    assert [(r["key"], r["url"]) for r in rows] == [(0, "http://h/a.arc.gz"), (1 << 32, "http://h/b.arc")]
+    refused = spark.read.parquet(f"{folder}/_refused").collect()
+    assert sorted(r["path"].rpartition("/")[2] for r in refused) == ["bad.arc", "cut.arc.gz"]
+
+
+def test_clashing_columns(spark):
+    table = pages(spark, [(1, "u", "x" * 200), (2, "u", "x" * 200)]).selectExpr("*", "7 AS digest", "'s' AS size", "1 AS refers_to", "'k' AS key")
+    assert result(warc.archive_pages(table)) == expected([(1, "u", "x" * 200), (2, "u", "x" * 200)])
