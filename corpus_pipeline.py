@@ -36,7 +36,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in training sequences."""
-    return packing.pack_documents(docs, packing.default_tokenizer())
+    return packing.pack_documents(docs, packing.default_tokenizer(), max_segments=64)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
