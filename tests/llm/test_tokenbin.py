@@ -65,3 +65,29 @@ def test_query_over_whole_table(spark):
     got = [tuple(r) for r in op6_token_files(spark, "/root/testdata/sf0.001").orderBy("doc_id").collect()]
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     assert got == [x[:4] for x in expected(rows)]
+
+
+def test_repeated_and_null_keys_long_texts_and_clashing_columns(spark, make_docs):
+    rows = [(7, "same row"), (7, "same row"), (None, "no key"), (None, None), (2, "wörd " * 200_000), (7, "other text <|endoftext|> here")]
+    docs = make_docs(rows).withColumnRenamed("source", "k").withColumnRenamed("lang", "h")
+    folder = tokenbin.new_folder(spark)
+    manifest = tokenbin.write_tokens(docs, folder, PATH)
+    got = tokenbin.read_tokens(spark, folder, manifest).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, None, 2, 7, 7, 7]
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1].tolist()
+    want = {(k, crc) for k, _, _, crc, _ in expected([(k or -1, t) for k, t in rows])}
+    assert {(-1 if r["doc_id"] is None else r["doc_id"], r["ids_crc32"]) for r in got} == want
+
+
+def test_the_dictionary_pays_for_itself():
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 40_000, 60).astype(np.uint32)
+    docs = [np.concatenate([common[k % 30 : k % 30 + 20], rng.integers(0, 40_000, 5).astype(np.uint32)]) for k in range(3000)]
+    raw = tokenbin.train_dictionary([d.astype("<u2").tobytes() for d in docs[:1000]])
+    sizes = {}
+    for name, dictionary in (("with", raw), ("without", b"")):
+        out = tokenbin.TokenFileWriter(dictionary)
+        for k, d in enumerate(docs):
+            out.add(k, d)
+        sizes[name] = len(out.to_bytes())
+    assert sizes["with"] < 0.8 * sizes["without"]
