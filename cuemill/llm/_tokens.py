@@ -23,7 +23,7 @@ import numpy as np
 from cuemill.llm import _common  # noqa: F401  (sets TOKENIZERS_PARALLELISM)
 
 #: Bytes (about) of parts that a worker's cache remembers, and characters of texts that are encoded together.
-CACHE_BYTES, TOGETHER = 48 << 20, 1 << 20
+CACHE_BYTES, TOGETHER = 96 << 20, 1 << 20
 #: What an entry of a cache costs besides its characters.
 _ENTRY = 200
 #: Characters whose class, case and normal form no two Unicode versions see differently; none combines with another.
