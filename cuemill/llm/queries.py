@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuemill.llm import decontam, jaccard, langid, packing, pii, sharding, tokenbin, topk, toxicity, warc
+from cuemill.llm import decontam, jaccard, langid, lloyd, packing, pii, sharding, tokenbin, topk, toxicity, warc
 from cuemill.llm._common import table
 
 #: A document's first line, if another follows, is its prompt: those characters bear no loss.
@@ -90,6 +90,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), n=5, percent=75)
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantise(F.col("embedding")).alias("v"))
+    return lloyd.cluster(vectors, k=16, rounds=3, width=64)
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
@@ -101,10 +106,35 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_jaccard_join": op10_jaccard_join,
+    "op12_centroid_clustering": op12_centroid_clustering,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _lloyd_sql(rounds: int) -> str:
+    """One CTE for each round's assignment and means; floor division is spelt out, as DuckDB's cuts towards zero."""
+    far = "list_sum(list_transform(list_zip(x.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    nearest = "SELECT vec_id, any_value(v) AS v, min(ROW(d, n)) AS best FROM (SELECT x.vec_id, x.v, c.n, {far}::BIGINT AS d FROM x, {cents} c) GROUP BY vec_id"
+    steps = []
+    for r in range(rounds):
+        own = nearest.format(far=far, cents=f"c{r}")
+        steps.append(f"a{r} AS ({own})")
+        steps.append(f"""m{r} AS (
+            SELECT n, list(((s - ((s % k) + k) % k) // k)::BIGINT ORDER BY i) AS v
+            FROM (SELECT best[2] AS n, i, sum(v[i])::BIGINT AS s, count(*) AS k FROM a{r}, range(1, 65) t(i) GROUP BY ALL) GROUP BY n)""")
+        steps.append(f"c{r + 1} AS (SELECT c.n, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN m{r} m USING (n))")
+    steps.append(f"f AS ({nearest.format(far=far, cents=f'c{rounds}')})")
+    return f"""
+        WITH x AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS n, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM x ORDER BY h LIMIT 16)),
+        {", ".join(steps)}
+        SELECT vec_id, best[2]::INTEGER AS cluster, best[1] AS distance, (sum(best[1]) OVER (PARTITION BY best[2]))::BIGINT AS cluster_inertia,
+               (sum(best[1]) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+        FROM f JOIN c{rounds} c ON best[2] = c.n"""
+
+
 ORACLES: dict[str, str] = {
     "op3_exact_top_k": """
         WITH v AS (
@@ -148,4 +178,5 @@ ORACLES: dict[str, str] = {
         k AS (SELECT node, min(reached) AS component_id FROM r GROUP BY node)
         SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, coalesce(component_id, d.doc_id) AS component_id
         FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k ON d.doc_id = k.node""",
+    "op12_centroid_clustering": _lloyd_sql(3),
 }
