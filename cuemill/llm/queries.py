@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuemill.llm import decontam, jaccard, langid, lloyd, packing, pii, sharding, tokenbin, topk, toxicity, warc
+from cuemill.llm import decontam, jaccard, langid, lloyd, negatives, packing, pii, sharding, tokenbin, topk, toxicity, warc
 from cuemill.llm._common import table
 
 #: A document's first line, if another follows, is its prompt: those characters bear no loss.
@@ -90,6 +90,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), n=5, percent=75)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), topk.quantise(F.col("embedding"), 256).alias("v"))
+    return negatives.mine(rows, rows.where("vec_id % 100 = 0"), positives=5, k=10, low_percent=30, high_percent=90)
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantise(F.col("embedding")).alias("v"))
     return lloyd.cluster(vectors, k=16, rounds=3, width=64)
@@ -106,6 +112,7 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_centroid_clustering": op12_centroid_clustering,
 }
 
@@ -178,5 +185,21 @@ ORACLES: dict[str, str] = {
         k AS (SELECT node, min(reached) AS component_id FROM r GROUP BY node)
         SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, coalesce(component_id, d.doc_id) AS component_id
         FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k ON d.doc_id = k.node""",
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, d.vec_id, a.label = d.label AS same, list_inner_product(a.v, d.v)::BIGINT AS score
+            FROM v a JOIN v d ON a.vec_id % 100 = 0 AND a.vec_id != d.vec_id),
+        p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        n AS (
+            SELECT p.*, vec_id AS negative_id, score AS negative_score,
+                   row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+            FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+        SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
     "op12_centroid_clustering": _lloyd_sql(3),
 }
