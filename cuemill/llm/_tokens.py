@@ -22,8 +22,8 @@ import numpy as np
 
 from cuemill.llm import _common  # noqa: F401  (sets TOKENIZERS_PARALLELISM)
 
-#: Bytes (about) of parts that a worker's cache remembers, and characters of texts that are encoded together.
-CACHE_BYTES, TOGETHER = 96 << 20, 1 << 20
+#: Bytes (about) that all caches of an encoder hold together, and characters of texts that are encoded together.
+CACHE_BYTES, TOGETHER = 144 << 20, 1 << 20
 #: What an entry of a cache costs besides its characters.
 _ENTRY = 200
 #: Characters whose class, case and normal form no two Unicode versions see differently; none combines with another.
@@ -71,21 +71,26 @@ class NotBetweenBlanks(Exception):  # noqa: N818
 
 
 class Cache(dict):
-    """Remembers ``make(key)``; begins anew when it is full."""
+    """Remembers ``make(key)``. Caches that share ``group`` are bounded together: when they are full, all begin anew."""
 
-    def __init__(self, make: Callable[[str], bytes]):
+    def __init__(self, make: Callable[[str], bytes], group: list[Cache]):
         super().__init__()
-        self.make, self.held = make, 0
+        self.make, self.held, self.group = make, 0, group
+        group.append(self)
 
     def __missing__(self, key: str) -> bytes:
         found = self.make(key)
+        self.keep(key, found)
+        return found
+
+    def keep(self, key: str, found: bytes) -> None:
         size = _ENTRY + 2 * len(key) + len(found)
-        if self.held + size > CACHE_BYTES:
-            self.clear()
-            self.held = 0
+        if sum(c.held for c in self.group) + size > CACHE_BYTES:
+            for c in self.group:
+                c.clear()
+                c.held = 0
         self[key] = found
         self.held += size
-        return found
 
 
 def added_marks(spec: dict) -> list[str]:
@@ -116,8 +121,9 @@ class Encoder:
         self.model, self.letters = self.tok.model, byte_letters()
         self.lower = "Lowercase" in json.dumps(spec.get("normalizer"))
         self.splits = splitting_pattern(spec) if self.by_parts else None
-        self.firsts, self.others, self.loose = Cache(self._part), Cache(self._inner), Cache(lambda x: self._part(" " + x))
-        self.pieces = Cache(self._piece)
+        self.caches: list[Cache] = []
+        makers = (self._part, self._inner, lambda x: self._part(" " + x), self._piece)
+        self.firsts, self.others, self.loose, self.pieces = (Cache(make, self.caches) for make in makers)
         if self.splits and [self._part(x) for x in _PROBE] != self._raw(_PROBE):
             self.splits = None
 

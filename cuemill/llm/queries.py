@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuemill.llm import decontam, jaccard, langid, lloyd, negatives, packing, pii, sharding, tokenbin, topk, toxicity, warc
+from cuemill.llm import bpe, decontam, jaccard, langid, lloyd, negatives, packing, pii, sharding, tokenbin, topk, toxicity, warc
 from cuemill.llm._common import table
 
 #: A document's first line, if another follows, is its prompt: those characters bear no loss.
@@ -101,6 +101,10 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lloyd.cluster(vectors, k=16, rounds=3, width=64)
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.default_tokenizer())
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
@@ -114,6 +118,7 @@ QUERIES: dict[str, Query] = {
     "op10_jaccard_join": op10_jaccard_join,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_bpe": op13_bpe,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
