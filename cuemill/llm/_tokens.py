@@ -70,13 +70,27 @@ class NotBetweenBlanks(Exception):  # noqa: N818
     """A text has white space beside a blank."""
 
 
+class Bound:
+    """What caches hold together; when that is too much, all begin anew."""
+
+    def __init__(self) -> None:
+        self.held, self.caches = 0, []
+
+    def add(self, size: int) -> None:
+        if self.held + size > CACHE_BYTES:
+            for c in self.caches:
+                c.clear()
+            self.held = 0
+        self.held += size
+
+
 class Cache(dict):
-    """Remembers ``make(key)``. Caches that share ``group`` are bounded together: when they are full, all begin anew."""
+    """Remembers ``make(key)`` within ``bound``."""
 
-    def __init__(self, make: Callable[[str], bytes], group: list[Cache]):
+    def __init__(self, make: Callable[[str], bytes], bound: Bound):
         super().__init__()
-        self.make, self.held, self.group = make, 0, group
-        group.append(self)
+        self.make, self.bound = make, bound
+        bound.caches.append(self)
 
     def __missing__(self, key: str) -> bytes:
         found = self.make(key)
@@ -84,13 +98,8 @@ class Cache(dict):
         return found
 
     def keep(self, key: str, found: bytes) -> None:
-        size = _ENTRY + 2 * len(key) + len(found)
-        if sum(c.held for c in self.group) + size > CACHE_BYTES:
-            for c in self.group:
-                c.clear()
-                c.held = 0
+        self.bound.add(_ENTRY + 2 * len(key) + len(found))
         self[key] = found
-        self.held += size
 
 
 def added_marks(spec: dict) -> list[str]:
@@ -121,9 +130,9 @@ class Encoder:
         self.model, self.letters = self.tok.model, byte_letters()
         self.lower = "Lowercase" in json.dumps(spec.get("normalizer"))
         self.splits = splitting_pattern(spec) if self.by_parts else None
-        self.caches: list[Cache] = []
+        self.bound = Bound()
         makers = (self._part, self._inner, lambda x: self._part(" " + x), self._piece)
-        self.firsts, self.others, self.loose, self.pieces = (Cache(make, self.caches) for make in makers)
+        self.firsts, self.others, self.loose, self.pieces = (Cache(make, self.bound) for make in makers)
         if self.splits and [self._part(x) for x in _PROBE] != self._raw(_PROBE):
             self.splits = None
 

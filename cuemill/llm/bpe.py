@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm._tokens import _COMMON, Cache, Encoder, byte_letters
+from cuemill.llm._tokens import _COMMON, Bound, Cache, Encoder, byte_letters
 
 #: Symbols of a piece at most that is merged in a forest, and pieces of a forest.
 SHORT, FOREST = 64, 1 << 14
@@ -165,10 +165,12 @@ class TreeEncoder(Encoder):
         self.added = {t["content"]: t["id"] for t in added}
         longest = sorted(self.added, key=len, reverse=True)
         self.spelt_added = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
-        self.spelt = Cache(self._merge, [])
+        letters = byte_letters()
+        self.inner, self.final = (np.array([self.vocab.get(letters[b] + end, -1) for b in range(256)], np.int64) for end in ("", self.suffix))
+        self.spelt = Cache(self._merge, Bound())
         super().__init__(path)
-        self.caches.append(self.spelt)
-        self.spelt.group = self.caches
+        self.spelt.bound = self.bound
+        self.bound.caches.append(self.spelt)
 
     def _symbols(self, spelt: str) -> list[int]:
         """Symbols of a piece in byte letters; the last one carries the word-end mark. Letters that the vocabulary lacks are dropped."""
@@ -198,38 +200,49 @@ class TreeEncoder(Encoder):
             out.append(b"".join(ids))
         return out
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Remember the ids of new pieces: short ones in forests of equal trees."""
-        by_size: dict[int, list[tuple[str, list[int]]]] = {}
-        for piece in pieces:
-            symbols = self._symbols(self._letters(piece))
-            if 1 < len(symbols) <= SHORT:
-                by_size.setdefault((len(symbols) - 1).bit_length(), []).append((piece, symbols))
-        for group in by_size.values():
+    def merge_all(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of pieces: short ones in forests of equal trees."""
+        raws = [p.encode() for p in pieces]
+        sizes = np.array([len(r) for r in raws], np.int64)
+        flat, ends = np.frombuffer(b"".join(raws), np.uint8), np.cumsum(sizes)
+        symbols = self.inner[flat]
+        symbols[ends - 1] = self.final[flat[ends - 1]]
+        # Trees of one size class are merged together; a letter that the vocabulary lacks (-1) is left to ``_piece``.
+        odd = np.add.reduceat(symbols < 0, ends - sizes) if len(pieces) else np.empty(0, np.int64)
+        classes = np.where((sizes > SHORT) | (odd > 0), -1, np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+        out = {pieces[k]: self._piece(pieces[k]) for k in np.flatnonzero(classes < 0)}
+        for c in np.unique(classes[classes >= 0]):
+            group = np.flatnonzero(classes == c)
             for first in range(0, len(group), FOREST):
                 some = group[first : first + FOREST]
-                sizes = np.array([len(s) for _, s in some])
-                rows = np.full((len(some), sizes.max()), -1, np.int64)
-                rows[np.arange(sizes.max())[None, :] < sizes[:, None]] = [x for _, s in some for x in s]
-                done = merge_forest(rows, self.merges)
+                width = np.arange(1 << int(c))[None, :]
+                inside = width < sizes[some][:, None]
+                place = np.where(inside, (ends - sizes)[some][:, None] + width, 0)
+                done = merge_forest(np.where(inside, symbols[place], -1), self.merges)
                 kept = done >= 0
-                flat, ends = done[kept].astype("<u4"), np.cumsum(kept.sum(axis=1))
-                raw = flat.tobytes()
-                for (piece, _), a, b in zip(some, np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
-                    self.pieces.keep(piece, raw[4 * a : 4 * b])
+                raw, stops = done[kept].astype("<u4").tobytes(), 4 * np.cumsum(kept.sum(axis=1))
+                for k, a, b in zip(some.tolist(), [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
+                    out[pieces[k]] = raw[a:b]
+        return out
+
+    def learn(self, texts: list[str]) -> None:
+        """Remember the ids of all new parts of texts that begin with a blank."""
+        known = self.others
+        new = {p for t in texts for p in t.split(" ")[1:] if p not in known}
+        cut = {p: self.splits.findall((" " + p).lower() if self.lower else " " + p) for p in new if p and not p[0].isspace() and not p[-1].isspace() and _COMMON.fullmatch(p)}
+        done = self.merge_all(list({x for pieces in cut.values() for x in pieces if x and x not in self.pieces}))
+        for p, pieces in cut.items():
+            if len(pieces) == 1 and pieces[0] in done:
+                self.others.keep(p, done[pieces[0]])
+                continue
+            for x in pieces:
+                if x not in self.pieces and x in done:
+                    self.pieces.keep(x, done[x])
+            self.others.keep(p, b"".join([done[x] if x in done else self.pieces[x] for x in pieces]))
 
     def _together(self, texts: list[str]) -> Iterator[bytes]:
-        if not self.by_parts:
-            yield from self._raw(texts)
-            return
-        if self.splits:
-            parts = {" " + p for t in texts for p in t.split(" ")[1:] if p and p not in self.others and not p.isspace()}
-            parts |= {p for p in (t.partition(" ")[0] for t in texts) if p not in self.firsts}
-            new: set[str] = set()
-            for p in parts:
-                if _COMMON.fullmatch(p):
-                    new.update(self.splits.findall(p.lower() if self.lower else p))
-            self.learn(p for p in new if p not in self.pieces)
+        if self.by_parts and self.splits:
+            self.learn([t for t in texts if not any(m in t for m in self.marks)])
         yield from super()._together(texts)
 
 
