@@ -65,6 +65,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"),
         pii.spans_text(F.array_sort(F.concat("base", "found"))).alias("spans"),
         F.size("found").cast("long").alias("n_context"),
+        "n_seeds",
         (F.size("base") + F.size("found")).cast("long").alias("n_spans"),
     )
 

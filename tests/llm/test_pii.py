@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from cuemill.llm import pii
 from cuemill.llm.queries import op7_pii
 
@@ -126,11 +128,47 @@ def test_found_spans_against_the_planted_ones(spark):
     sf = "/root/testdata/sf0.01"
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     planted = {(d, m.start(1), m.end(1)) for d, t in texts.items() for m in re.finditer(r'token = "([0-9a-f]{40})"', t)}
-    found = {(r["doc_id"], s["start"], s["end"]) for r in pii.find_pii(spark.read.parquet(f"{sf}/documents.parquet")).collect() for s in r["found"]}
+    rows = pii.find_pii(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    found = {(r["doc_id"], s["start"], s["end"]) for r in rows for s in r["found"]}
     assert planted and len(found & planted) / len(planted) > 0.95
+    assert sum(r["n_seeds"] for r in rows) < len(found)
     assert len(found & planted) / len(found) > 0.9
 
 
+def keys(n):
+    return [hashlib.sha1(f"k{k}".encode()).hexdigest() for k in range(n)]
+
+
+def found_values(spark, make_docs, texts, **options):
+    rows = pii.find_pii(make_docs(texts), **options).collect()
+    return {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["found"]] for r in rows}, sum(r["n_seeds"] for r in rows)
+
+
+def test_withheld_keys_are_found_through_patterns_and_keys_alone_are_not(spark, make_docs):
+    # Words around the keys differ from text to text: only what touches them repeats.
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(120)]
+    texts = [f"{w} key=<{v}> {w}x" for w, v in zip(words, keys(120), strict=True)] + [f"{w}y {v} {w}z" for w, v in zip(words, [x[::-1] for x in keys(60)], strict=False)]
+    got, seeds = found_values(spark, make_docs, texts)
+    assert all(got[k] == [v] for k, v in enumerate(keys(120)))
+    assert all(got[k] == [] for k in range(120, 180))  # opaque, but no pattern introduces them
+    assert 25 <= seeds <= 75
+    assert found_values(spark, make_docs, texts, seed_percent=0) == ({k: [] for k in range(180)}, 0)
+
+
+def test_a_pattern_with_other_instances_is_not_trusted(spark, make_docs):
+    texts = [f"ref <{v}> end" for v in keys(20)] + [f"ref <{1000 + k}-{k}x> end" for k in range(200)]
+    got, _ = found_values(spark, make_docs, texts)
+    # Two tokens to the left introduce mostly other things; with the form of the value they introduce keys alone.
+    assert all(got[k] == [v] for k, v in enumerate(keys(20))) and all(got[k] == [] for k in range(20, 220))
+
+
+def test_contexts_to_the_right_and_to_the_left(spark):
+    row = spark.sql("SELECT 'the  Key no. 77 (' AS l, ') of\nuser' AS r, 'ab12' AS v").select(pii._patterns(F.col("l"), F.col("r"), F.col("v")).alias("p")).first()
+    assert row["p"] == ["l2 no. 00 (", "l1 00 ( h4", "r1 ) of h4", "lr ( h4 )"]
+    row = spark.sql("SELECT '' AS l, '' AS r, '9' AS v").select(pii._patterns(F.col("l"), F.col("r"), F.col("v")).alias("p")).first()
+    assert row["p"] == []
+
+
 def test_no_python_in_the_plan(spark, make_docs):
     rows = pii.match_rows(make_docs(["x"]), keep=("doc_id",))
     for df in (rows, pii.spans_of(rows), pii.redact(make_docs(["a@b.cd"]))):
