@@ -71,13 +71,13 @@ class NotBetweenBlanks(Exception):  # noqa: N818
 
 
 class Bound:
-    """What caches hold together; when that is too much, all begin anew."""
+    """What caches hold together; beyond ``most`` bytes (about) all begin anew."""
 
-    def __init__(self) -> None:
-        self.held, self.caches = 0, []
+    def __init__(self, most: int | None = None) -> None:
+        self.held, self.caches, self.most = 0, [], most
 
     def add(self, size: int) -> None:
-        if self.held + size > CACHE_BYTES:
+        if self.held + size > (CACHE_BYTES if self.most is None else self.most):
             for c in self.caches:
                 c.clear()
             self.held = 0
@@ -118,7 +118,7 @@ class Encoder:
     hold an added token are encoded whole.
     """
 
-    def __init__(self, path: str, special_as_text: bool = False):
+    def __init__(self, path: str, special_as_text: bool = False, cache_bytes: int | None = None):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -130,7 +130,7 @@ class Encoder:
         self.model, self.letters = self.tok.model, byte_letters()
         self.lower = "Lowercase" in json.dumps(spec.get("normalizer"))
         self.splits = splitting_pattern(spec) if self.by_parts else None
-        self.bound = Bound()
+        self.bound = Bound(cache_bytes)
         makers = (self._part, self._inner, lambda x: self._part(" " + x), self._piece)
         self.firsts, self.others, self.loose, self.pieces = (Cache(make, self.bound) for make in makers)
         if self.splits and [self._part(x) for x in _PROBE] != self._raw(_PROBE):
