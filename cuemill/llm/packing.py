@@ -153,6 +153,12 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_ARROW)
 
 
+#: A document's first line, if another follows, is its prompt: those characters bear no loss.
+FIRST_LINE = "instr(text, '\n')"
+#: Limits of the query and of the pipeline, each of which decides for some sequences of the test tables.
+LIMITS = {"max_tokens": 2048, "max_segments": 8, "max_loss_tokens": 2032}
+
+
 def pack_documents(
     docs: DataFrame,
     tokenizer_path: str,

@@ -10,17 +10,12 @@ from pyspark.sql import functions as F
 from cuemill.llm import bpe, decontam, jaccard, langid, lloyd, negatives, packing, pii, sharding, tokenbin, topk, toxicity, warc
 from cuemill.llm._common import table
 
-#: A document's first line, if another follows, is its prompt: those characters bear no loss.
-FIRST_LINE = "instr(text, '\n')"
-#: Both limits bind: most sequences would hold more loss-bearing tokens, and sequences of tiny documents more segments.
-PACKING = {"max_tokens": 2048, "max_segments": 64, "max_loss_tokens": 2032}
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("prompt", F.expr(FIRST_LINE))
-    return packing.pack_documents(docs, packing.default_tokenizer(), prompt_chars="prompt", **PACKING)
+    docs = table(spark, sf_dir, "documents").withColumn("prompt", F.expr(packing.FIRST_LINE))
+    return packing.pack_documents(docs, packing.default_tokenizer(), prompt_chars="prompt", **packing.LIMITS)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

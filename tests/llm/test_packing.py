@@ -125,6 +125,6 @@ def test_query_over_whole_table(spark):
     rows = op1_packing(spark, "/root/testdata/sf0.001").collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     waste, sequences = check(rows, texts)
-    # The loss limit leaves at most 16 of 2048 places open.
+    # The loss limit leaves at most 16 of 2048 places open, the segment limit more where documents are tiny.
     assert waste <= 0.01 * sum(r["length"] for r in rows)
-    assert all(len(own) <= 64 and sum(r["loss_tokens"] for r in own) <= 2032 for own in sequences.values())
+    assert all(len(own) <= 8 and sum(r["loss_tokens"] for r in own) <= 2032 for own in sequences.values())
