@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cuemill.llm import decontam, jaccard, packing, pii, toxicity
 from cuemill.llm._common import materialize, table
@@ -35,8 +36,9 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in training sequences."""
-    return packing.pack_documents(docs, packing.default_tokenizer(), max_segments=64)
+    """Pieces of all documents in training sequences; a document's first line, if another follows, bears no loss."""
+    docs = docs.withColumn("_prompt", F.expr(packing.FIRST_LINE))
+    return packing.pack_documents(docs, packing.default_tokenizer(), prompt_chars="_prompt", **packing.LIMITS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
