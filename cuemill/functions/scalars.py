@@ -215,19 +215,29 @@ def failure_class(blob: Column, needles: dict[str, list[str]]) -> Column:
     return out.otherwise("unknown")
 
 
+#: Fixed value: what is said of a run that printed nothing.
+SILENT = "yt-dlp failed without writing an error"
+
+
+def _stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends; null stays null."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def _error_lines(stderr: Column) -> Column:
+    lines = F.transform(F.split(F.coalesce(stderr, F.lit("")), r"\r\n|\n|\r"), lambda x: _stripped(x))
+    return F.filter(lines, lambda x: F.startswith(x, F.lit("ERROR:")))
+
+
 def error_line(stderr: Column, stdout: Column) -> Column:
-    """The last line that begins with ERROR:, 300 characters of it; else the last 300 of what was printed."""
-    lines = F.transform(F.split(F.coalesce(stderr, F.lit("")), r"\r\n|\n|\r"), F.trim)
-    last = F.try_element_at(F.filter(lines, lambda x: F.startswith(x, F.lit("ERROR:"))), F.lit(-1))
-    tail = F.coalesce(present(stderr), present(stdout))
-    return F.coalesce(F.left(last, F.lit(300)), F.right(tail, F.lit(300)), F.lit("no output"))
+    """The last line that begins with ERROR:, indented or not, 300 characters of it; else the last 300 of what was printed."""
+    tail = F.coalesce(F.nullif(_stripped(stderr), F.lit("")), F.nullif(_stripped(stdout), F.lit("")))
+    return F.coalesce(F.left(F.try_element_at(_error_lines(stderr), F.lit(-1)), F.lit(300)), F.right(tail, F.lit(300)), F.lit(SILENT))
 
 
 def error_detail(stderr: Column) -> Column:
     """The first line that begins with ERROR:, else the output's begin; 200 characters of it."""
-    lines = F.transform(F.split(F.coalesce(stderr, F.lit("")), r"\r\n|\n|\r"), F.trim)
-    first = F.try_element_at(F.filter(lines, lambda x: F.startswith(x, F.lit("ERROR:"))), F.lit(1))
-    return F.left(F.coalesce(first, F.trim(F.coalesce(stderr, F.lit("")))), F.lit(200))
+    return F.left(F.coalesce(F.try_element_at(_error_lines(stderr), F.lit(1)), _stripped(F.coalesce(stderr, F.lit("")))), F.lit(200))
 
 
 def shell_quoted(text: Column) -> Column:

@@ -22,12 +22,20 @@ OUTPUTS = [
     ("ERROR: unable to download video data: HTTP Error 403: Forbidden", "forbidden", "persistent-403"),
     ("something else", "unknown", "unknown"),
     ("", "unknown", "unknown"),
+    ("WARNING: 1 of 2\n\t  ERROR: 0 first 1 \r\n  ERROR: 2nd HTTP Error 403: Forbidden 2  \n 3 more", "forbidden", "persistent-403"),
+    ("[x] Solving\nWARNING: [x] n challenge solving failed: Some formats may be missing.\n 2 ERROR: no\nERROR: [x] 1: Requested format is not available. Use --list-formats", "challenge-unsolved", "format"),
+    ("ERROR: HTTP Error 403: Forbidden\n  ERROR: Sign in to confirm you're not a bot.", "bot-check", "bot-check"),
+    (" \t\n ", "unknown", "unknown"),
+    (" 1 " + "long line " * 40 + "\n 9 ", "unknown", "unknown"),
 ]
 STOPWORDS = ["the", "and", "for", "that", "this", "are", "was", "with", "from"]
 
 
 def _quoted(values):
-    return "[" + ", ".join("'" + str(v).replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for v in values) + "]"
+    texts = (str(v).replace("'", "''") for v in values)
+    for letter in "\n\r\t":
+        texts = [t.replace(letter, f"' || chr({ord(letter)}) || '") for t in texts]
+    return "[" + ", ".join(f"'{t}'" for t in texts) + "]"
 
 
 def _pick(values, k):
@@ -44,8 +52,10 @@ def failed(s, d):
     return events(s, d).select("event_id", _pick([o for o, *_ in OUTPUTS], k).alias("stderr"), F.when(k % 20 == 19, "tail of stdout").otherwise("").alias("stdout"), source.alias("source"))
 
 
-_FAILED = f"""failed AS (SELECT event_id, {_quoted(o for o, *_ in OUTPUTS)}[event_id % 10 + 1] AS stderr, CASE WHEN event_id % 20 = 19 THEN 'tail of stdout' ELSE '' END AS stdout,
-    CASE WHEN event_id % 3 = 0 THEN '' ELSE 'https://v/watch?v=' || event_id END AS source FROM events)"""
+_FAILED = f"""printed AS (SELECT event_id, {_quoted(o for o, *_ in OUTPUTS)}[event_id % {len(OUTPUTS)} + 1] AS stderr, CASE WHEN event_id % 20 = 19 THEN 'tail of stdout' ELSE '' END AS stdout,
+    CASE WHEN event_id % 3 = 0 THEN '' ELSE 'https://v/watch?v=' || event_id END AS source FROM events),
+failed AS (SELECT *, regexp_replace(stderr, '^\\s+|\\s+$', '', 'g') AS shown, list_filter(list_transform(string_split_regex(stderr, '\\r\\n|\\n|\\r'),
+    lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: starts_with(x, 'ERROR:')) AS errors FROM printed)"""
 
 
 def download_failures(s, d):
@@ -324,11 +334,13 @@ QUERIES = {
 
 _SPEECH = "least(end_ms - start_ms, 15000)"
 ORACLES = {
-    "failure_shape": f"SELECT event_id, {_quoted(c for _, c, _ in OUTPUTS)}[event_id % 10 + 1] AS shape FROM events",
-    "download_failure": f"""WITH {_FAILED}, c AS (SELECT *, {_quoted(c for *_, c in OUTPUTS)}[event_id % 10 + 1] AS failure_class, CASE WHEN source = '' THEN '<URL>' ELSE '''' || source || '''' END AS q FROM failed)
-        SELECT event_id, failure_class, CASE WHEN contains(stderr, 'ERROR:') THEN regexp_extract(stderr, 'ERROR:[^\\n]*') ELSE stderr END AS detail, CASE failure_class {_commands_sql()} END AS commands FROM c""",
-    "error_line": f"""WITH {_FAILED} SELECT event_id, CASE WHEN contains(stderr, 'ERROR:') THEN regexp_extract(stderr, 'ERROR:[^\\n]*') WHEN stderr != '' THEN stderr WHEN stdout != '' THEN stdout ELSE 'no output' END AS line FROM failed""",
-    "challenge_403": "SELECT event_id, event_id % 10 IN (1, 7) AS forbidden, event_id % 10 = 4 AS challenge FROM events",
+    "failure_shape": f"SELECT event_id, {_quoted(c for _, c, _ in OUTPUTS)}[event_id % {len(OUTPUTS)} + 1] AS shape FROM events",
+    "download_failure": f"""WITH {_FAILED}, c AS (SELECT *, {_quoted(c for *_, c in OUTPUTS)}[event_id % {len(OUTPUTS)} + 1] AS failure_class, CASE WHEN source = '' THEN '<URL>' ELSE '''' || source || '''' END AS q FROM failed)
+        SELECT event_id, failure_class, left(coalesce(errors[1], shown), 200) AS detail, CASE failure_class {_commands_sql()} END AS commands FROM c""",
+    "error_line": f"""WITH {_FAILED} SELECT event_id, coalesce(left(errors[-1], 300), nullif(right(shown, 300), ''), nullif(stdout, ''), '{scalars.SILENT}') AS line FROM failed""",
+    "challenge_403": f"""WITH {_FAILED}, l AS (SELECT event_id, lower(stderr || ' ' || stdout) AS b FROM failed)
+        SELECT event_id, contains(b, 'http error 403') OR contains(b, '403') AND (contains(b, 'forbidden') OR contains(b, 'status code 403')) AS forbidden,
+               {" OR ".join(f"contains(b, '{x}')" for x in scalars.CHALLENGE)} AS challenge FROM l""",
     "metadata_curated": """WITH i AS (SELECT *, string_split(text, ' ')[1:20] AS t, list_filter(list_transform(string_split(text, chr(10)), lambda x, i: {'start': i - 1, 'title': trim(x)}), lambda c: c.title != '') AS ch FROM documents)
         SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN source || ' Official Video' ELSE source END AS title, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS channel, len(t)::INTEGER AS n_tags, md5(array_to_string(t, '|')) AS tags,
                md5(substr(text, 1, 10000)) AS description, len(ch)::INTEGER AS chapters, ch[-1].start::INTEGER AS last_start, doc_id % 7 = 0 OR doc_id % 5 = 0 OR doc_id % 11 = 0 AS is_music FROM i""",

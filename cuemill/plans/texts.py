@@ -258,7 +258,13 @@ ORACLES = {
         t1 AS (SELECT job, speaker, sum(ms) AS total FROM (SELECT * FROM a0 UNION ALL SELECT * FROM a1) GROUP BY ALL),
         a2 AS (SELECT b.* FROM b LEFT JOIN t1 USING (job, speaker) WHERE turn = 2 AND coalesce(total, 0) < 6000 AND coalesce(total, 0) + before < 30000)
         SELECT job, speaker, start_ms, end_ms FROM (SELECT * FROM a0 UNION ALL SELECT * FROM a1 UNION ALL SELECT * FROM a2)""",
-    "cer": f"""WITH {SEGMENTS_SQL} SELECT job, idx, CASE WHEN length(text) = 0 THEN CASE WHEN length(translated) = 0 THEN 0.0 ELSE 1.0 END::DOUBLE ELSE levenshtein(translated, text) / greatest(length(text), length(translated)) END AS cer FROM segments""",
+    # DuckDB's levenshtein counts bytes. Over letters of one byte each it counts code points: the k-th letter of a
+    # pair's own alphabet is written as the k-th such letter. A pair's alphabet has at most 127 letters here; a longer one gives null.
+    "cer": f"""WITH {SEGMENTS_SQL}, l AS (SELECT job, idx, text, translated, list_sort(list_distinct(string_split(text || translated, ''))) AS letters FROM segments),
+        m AS (SELECT *, length(text) AS a, length(translated) AS b, CASE WHEN len(letters) < 128 THEN
+                  levenshtein(array_to_string(list_transform(string_split(translated, ''), lambda x: chr(list_position(letters, x)::INTEGER)), ''),
+                              array_to_string(list_transform(string_split(text, ''), lambda x: chr(list_position(letters, x)::INTEGER)), '')) END AS d FROM l)
+        SELECT job, idx, CASE WHEN a = 0 THEN CASE WHEN b = 0 THEN 0.0 ELSE 1.0 END::DOUBLE WHEN b = 0 THEN 1.0::DOUBLE ELSE d / greatest(a, b) END AS cer FROM m""",
     "flags_inconsistent": f"""WITH {SEGMENTS_SQL}, n AS (SELECT job, count(*) FILTER (idx % 4 = 0) AS same, count(*) FILTER (idx % 4 = 2) AS other FROM segments GROUP BY job)
         SELECT job, 0::BIGINT AS idx, 'Kyoto' AS source_span, 'Kyoto' AS target_span, 'Kyoto|Kioto' AS variants FROM n WHERE same > 0 AND other > 0""",
     "greedy_match": f"""WITH RECURSIVE {_CENTROIDS.format(unit=_UNIT.format(v='embedding'), where='')}, p AS (SELECT label AS profile, list(x ORDER BY pos) AS centroid FROM c GROUP BY label),

@@ -150,7 +150,11 @@ def test_failed_downloads(spark):
     assert [kind(t) for t in ("status code 403", "error 403 forbidden", "timeout", "Requested format is not available", "only 403")] == ["persistent-403", "persistent-403", "network", "format", "unknown"]
     assert one(spark, scalars.error_line(F.lit("WARNING: a\nERROR: b\n ERROR: c \nend"), F.lit(""))) == "ERROR: c"
     assert one(spark, scalars.error_line(F.lit(" "), F.lit("x" * 400))) == "x" * 300
+    assert one(spark, scalars.error_line(F.lit("1 a\n\tERROR: 0 x 1 \r\n2"), F.lit(None))) == "ERROR: 0 x 1"
+    assert one(spark, scalars.error_line(F.lit("\t\n"), F.lit(" "))) == one(spark, scalars.error_line(F.lit(None), F.lit(None))) == scalars.SILENT
     assert one(spark, scalars.error_detail(F.lit("ERROR: b\nERROR: c"))) == "ERROR: b"
+    assert one(spark, scalars.error_detail(F.lit("0 x\n  ERROR: 1 b 1 \nERROR: c"))) == "ERROR: 1 b 1"
+    assert one(spark, scalars.error_detail(F.lit(" 7 end 7 "))) == "7 end 7"
     assert one(spark, scalars.rescue_commands(F.lit("age-gate"), F.lit("http://a b'c"))) == ["yt-dlp --cookies-from-browser firefox 'http://a b'\"'\"'c'"]
     assert one(spark, scalars.rescue_commands(F.lit("network"), F.lit(None))) == ["yt-dlp <URL>"]
 
