@@ -23,7 +23,7 @@ import numpy as np
 from cuemill.llm import _common  # noqa: F401  (sets TOKENIZERS_PARALLELISM)
 
 #: Bytes (about) that all caches of an encoder hold together, and characters of texts that are encoded together.
-CACHE_BYTES, TOGETHER = 144 << 20, 1 << 20
+CACHE_BYTES, TOGETHER = 192 << 20, 1 << 20
 #: What an entry of a cache costs besides its characters.
 _ENTRY = 200
 #: Characters whose class, case and normal form no two Unicode versions see differently; none combines with another.
@@ -32,6 +32,8 @@ _PROBE = ["It's we'LL I'm 12.5% \u00c9l\u00e8ve\u2026 snake_case\n\nnext \u2014
 #: Fixed value: the splitting pattern of byte-level tokenizers that name none.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BLANK = re.compile(r"(?<=\S) (?=\S)")
+#: Characters at which Python splits words though they aren't white space in tokenizers' patterns.
+_NOT_BLANK = re.compile("[\x1c-\x1f]")
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -59,6 +61,12 @@ def splitting_pattern(spec: dict) -> re.Pattern | None:
     return None if r"\p" in text else re.compile(text)
 
 
+def drops_white_space(spec: dict) -> bool:
+    """Whether the splitting pattern, of which only matches are kept, matches no white space."""
+    split = re.search(r'"Regex": "(.*?)"', json.dumps(spec["pre_tokenizer"]))
+    return split is not None and not re.search(r"\\s| ", json.loads(f'"{split[1]}"').replace(r"[^\s", "["))
+
+
 def byte_letters() -> dict[int, str]:
     """The letter by which byte-level tokenizers write each byte: printable Latin-1 as it is, the others from U+0100 on."""
     plain = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
@@ -130,19 +138,46 @@ class Encoder:
         self.model, self.letters = self.tok.model, byte_letters()
         self.lower = "Lowercase" in json.dumps(spec.get("normalizer"))
         self.splits = splitting_pattern(spec) if self.by_parts else None
+        self.drops_blanks = False
+        # Bytes of each id, where ids spell the text's bytes one after the other.
+        spells = self.by_parts and not spec.get("normalizer") and not spec["model"].get("end_of_word_suffix")
+        self.id_bytes = np.zeros(self.tok.get_vocab_size(), np.int64) if spells else None
+        if spells:
+            names = {t["id"]: len(t["content"].encode()) for t in spec.get("added_tokens", [])}
+            for name, k in spec["model"]["vocab"].items():
+                self.id_bytes[k] = names.get(k, len(name))
+            for k, size in names.items():
+                self.id_bytes[k] = size
         self.bound = Bound(cache_bytes)
         makers = (self._part, self._inner, lambda x: self._part(" " + x), self._piece)
         self.firsts, self.others, self.loose, self.pieces = (Cache(make, self.bound) for make in makers)
         if self.splits and [self._part(x) for x in _PROBE] != self._raw(_PROBE):
             self.splits = None
+        # Where white space is no part of any piece, parts lie between any white space; else each has a blank in front.
+        self.drops_blanks = self.splits is not None and drops_white_space(spec)
+        self.joint = "" if self.drops_blanks else " "
+        if self.drops_blanks:
+            self.others.make = self._part
+        for cache in self.bound.caches:
+            cache.clear()
 
     def _piece(self, piece: str) -> bytes:
         spelt = piece.encode().decode("latin-1").translate(self.letters)
         return array("I", [x.id for x in self.model.tokenize(spelt)]).tobytes()
 
+    def _cut(self, part: str) -> list[str]:
+        """The pieces of a part of common characters."""
+        return self.splits.findall(part.lower() if self.lower else part)
+
+    def _known(self, piece: str) -> bytes:
+        """The ids of one of several pieces of a part; a piece that is a part of its own is remembered as that."""
+        found = self.others.get(piece) if self.drops_blanks else self.others.get(piece[1:]) if piece[0] == " " else None
+        return self.pieces[piece] if found is None else found
+
     def _part(self, part: str) -> bytes:
         if self.splits and _COMMON.fullmatch(part):
-            return b"".join(map(self.pieces.__getitem__, self.splits.findall(part.lower() if self.lower else part)))
+            pieces = self._cut(part)
+            return self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self._known, pieces))
         return self._raw([part])[0]
 
     def _inner(self, part: str) -> bytes:
@@ -154,22 +189,50 @@ class Encoder:
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _slowly(self, text: str) -> bytes:
+        """Texts with white space beside blanks, or with added tokens."""
+        if not self.by_parts or any(m in text for m in self.marks):
+            return self._raw([text])[0]
+        if self.drops_blanks:
+            return b"".join(map(self.others.__getitem__, text.split(" ")))
+        first, *rest = _BLANK.split(text)
+        return self.firsts[first] + b"".join(map(self.loose.__getitem__, rest))
+
+    #: Remembers many new parts at once, before they are asked for one by one, if there is such a way.
+    learn: Callable[[set[str]], None] | None = None
+
     def _together(self, texts: list[str]) -> Iterator[bytes]:
         if not self.by_parts:
             yield from self._raw(texts)
             return
-        for text in texts:
-            if any(m in text for m in self.marks):
-                yield self._raw([text])[0]
-                continue
-            first, *rest = text.split(" ")
+        plain = [not any(m in t for m in self.marks) for t in texts]
+        if self.drops_blanks:
+            plain = [ok and not _NOT_BLANK.search(t) for t, ok in zip(texts, plain, strict=True)]
+            parts = [t.split() if ok else [] for t, ok in zip(texts, plain, strict=True)]
+        else:
+            parts = [t.split(" ") for t in texts]
+            plain = [ok and not (own[1:] and (not own[0] or own[0][-1].isspace())) for own, ok in zip(parts, plain, strict=True)]
+        firsts = 0 if self.drops_blanks else 1
+        if self.learn:
+            known = self.others
+            self.learn({p for own, ok in zip(parts, plain, strict=True) if ok for p in own[firsts:] if p not in known})
+        for t, ok, own in zip(texts, plain, parts, strict=True):
             try:
-                if rest and (not first or first[-1].isspace()):
+                if not ok:
                     raise NotBetweenBlanks
-                yield self.firsts[first] + b"".join(map(self.others.__getitem__, rest))
+                ids = b"".join(map(self.others.__getitem__, own[firsts:]))
+                yield self.firsts[own[0]] + ids if firsts else ids
             except NotBetweenBlanks:
-                first, *rest = _BLANK.split(text)
-                yield self.firsts[first] + b"".join(map(self.loose.__getitem__, rest))
+                yield self._slowly(t)
+
+    def prompt_ids(self, text: str, chars: int, ids: np.ndarray) -> int:
+        """How many of a text's ids begin within its first ``chars`` characters."""
+        if chars <= 0 or self.id_bytes is None:
+            return len(self._raw([text[:chars]])[0]) // 4 if chars > 0 else 0
+        end = len(text[:chars].encode())
+        # Ids of one byte each reach furthest, so no later one begins there.
+        starts = np.cumsum(self.id_bytes[ids[:end]])
+        return int(np.searchsorted(starts, end, side="left")) + 1 if len(starts) and starts[-1] >= end else len(starts)
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -184,8 +247,10 @@ class Encoder:
             yield from self._together(batch)
 
 
-def encoder(path: str, special_as_text: bool = False) -> Encoder:
-    """The process's encoder for the tokenizer at ``path``."""
+def encoder(path: str, special_as_text: bool = False, cache_bytes: int | None = None) -> Encoder:
+    """The process's encoder for the tokenizer at ``path``; ``cache_bytes`` holds from now on."""
     if (path, special_as_text) not in _encoders:
         _encoders[path, special_as_text] = Encoder(path, special_as_text)
-    return _encoders[path, special_as_text]
+    found = _encoders[path, special_as_text]
+    found.bound.most = cache_bytes
+    return found

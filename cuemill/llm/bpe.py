@@ -28,15 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm._tokens import _COMMON, Bound, Cache, Encoder, NotBetweenBlanks, byte_letters
+from cuemill.llm._tokens import _COMMON, Bound, Cache, Encoder, byte_letters
 
 #: Symbols of a piece at most that is merged in a forest, and pieces of a forest.
 SHORT, FOREST = 64, 1 << 14
 #: Bytes (about) that a worker remembers: no library holds alignments beside them, so it may be more than elsewhere.
 CACHE_BYTES = 320 << 20
 _NEVER = np.iinfo(np.int64).max
-#: Characters at which Python splits words though they aren't white space in tokenizers' patterns.
-_NOT_BLANK = re.compile("[\x1c-\x1f]")
 
 
 class Merges:
@@ -173,13 +171,6 @@ class TreeEncoder(Encoder):
         self.inner, self.final = (np.array([self.vocab.get(letters[b] + end, -1) for b in range(256)], np.int64) for end in ("", self.suffix))
         self.spelt = Cache(self._merge, Bound())
         super().__init__(path, cache_bytes=CACHE_BYTES if cache_bytes is None else cache_bytes)
-        # Where white space is no part of any piece, parts lie between any white space; else each has a blank in front.
-        split = re.search(r'"Regex": "(.*?)"', json.dumps(spec["pre_tokenizer"]))
-        pattern = json.loads(f'"{split[1]}"') if split else r"\s"
-        self.drops_blanks = self.splits is not None and not re.search(r"\\s| ", pattern.replace(r"[^\s", "["))
-        self.joint = "" if self.drops_blanks else " "
-        if self.drops_blanks:
-            self.others.make = self._part
         self.spelt.bound = self.bound
         self.bound.caches.append(self.spelt)
 
@@ -237,11 +228,13 @@ class TreeEncoder(Encoder):
         return out
 
     def learn(self, new: set[str]) -> None:
-        """Remember the ids of new parts that follow a blank; parts of rarer characters are left to ``_inner``."""
-        cut = {p: self.splits.findall((self.joint + p).lower() if self.lower else self.joint + p) for p in new if p and not p[0].isspace() and not p[-1].isspace() and _COMMON.fullmatch(p)}
-        done = self.merge_all(list({x for pieces in cut.values() for x in pieces if x not in self.pieces}))
+        """Remember the ids of new parts; those of rarer characters are left to ``_part``."""
+        if not self.splits:
+            return
+        cut = {p: self._cut(self.joint + p) for p in new if p and not p[0].isspace() and not p[-1].isspace() and _COMMON.fullmatch(p)}
+        done = self.merge_all(list({x for pieces in cut.values() for x in pieces if len(pieces) == 1 or x not in self.pieces}))
         for p, pieces in cut.items():
-            if len(pieces) == 1 and pieces[0] in done:
+            if len(pieces) == 1:
                 self.others.keep(p, done[pieces[0]])
                 continue
             for x in pieces:
@@ -249,33 +242,6 @@ class TreeEncoder(Encoder):
                     self.pieces.keep(x, done[x])
             self.others.keep(p, b"".join([done[x] if x in done else self.pieces[x] for x in pieces]))
 
-    def _together(self, texts: list[str]) -> Iterator[bytes]:
-        if not (self.by_parts and self.splits):
-            yield from super()._together(texts)
-            return
-        plain = [not any(m in t for m in self.marks) for t in texts]
-        if self.drops_blanks:
-            plain = [ok and not _NOT_BLANK.search(t) for t, ok in zip(texts, plain, strict=True)]
-            parts = [t.split() if ok else [] for t, ok in zip(texts, plain, strict=True)]
-        else:
-            parts = [t.split(" ") for t in texts]
-            # White space beside a blank is left to the other way.
-            plain = [ok and not (own[1:] and (not own[0] or own[0][-1].isspace())) for own, ok in zip(parts, plain, strict=True)]
-        firsts = 0 if self.drops_blanks else 1
-        found = [[*map(self.others.get, own[firsts:])] if ok else [] for own, ok in zip(parts, plain, strict=True)]
-        lacking = [None in f for f in found]
-        if any(lacking):
-            self.learn({p for own, f, lacks in zip(parts, found, lacking, strict=True) if lacks for p, ids in zip(own[firsts:], f, strict=True) if ids is None})
-        for t, ok, own, f, lacks in zip(texts, plain, parts, found, lacking, strict=True):
-            try:
-                if not ok:
-                    raise NotBetweenBlanks
-                # What is still lacking has rare characters, or has gone with a full cache.
-                f = map(self.others.__getitem__, own[firsts:]) if lacks else f
-                yield b"".join([self.firsts[own[0]] if firsts else b"", *f])
-            except NotBetweenBlanks:
-                yield from super()._together([t])
-
 
 class Decoder:
     """Texts of ids, as the tokenizer's decode without skipping special tokens; ids that it doesn't have are left out."""

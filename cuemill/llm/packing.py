@@ -169,13 +169,15 @@ def pack_documents(
     max_loss_tokens: int | None = None,
     prompt_chars: str | None = None,
     special_as_text: bool = False,
+    cache_bytes: int | None = None,
     text: str = "text",
     key: str = "doc_id",
 ) -> DataFrame:
     """Pieces of all rows of ``docs`` in sequences of at most ``max_tokens`` ids.
 
-    ``prompt_chars`` names a column with the number of leading characters that are prompt (null: none): the
-    ids of those characters bear no loss, all later ids of the row do. One row per piece, as in ``PIECE``. Null
+    ``prompt_chars`` names a column with the number of leading characters that are prompt (null: none): ids
+    that begin within them bear no loss, all later ids of the row do. ``cache_bytes`` bounds what a worker
+    remembers of the encoding. One row per piece, as in ``PIECE``. Null
     text is an empty text: its only id is ``end_id``. Repeated rows are packed each on its own; a null key
     stays null; an empty table gives no rows; other columns are not read. ``special_as_text``: see ``Encoder``.
     """
@@ -184,15 +186,14 @@ def pack_documents(
         raise ValueError("limits must be at least 1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end = encoder(tokenizer_path, special_as_text), np.array([end_id], "<u4").tobytes()
+        tok, end = encoder(tokenizer_path, special_as_text, cache_bytes), np.array([end_id], "<u4").tobytes()
         packer = Packer(max_tokens, max_segments, loss_limit, TaskContext.get().partitionId() << 33)
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            heads = [max(0, x or 0) for x in batch.column(2).to_pylist()]
+            keys, heads = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             texts = (x.as_py() or "" for x in batch.column(1))
-            prompts = (len(ids) // 4 for ids in tok.encode((x.as_py() or "")[:n] if n else "" for x, n in zip(batch.column(1), heads, strict=True)))
-            for k, prompt, ids in zip(keys, prompts, tok.encode(texts), strict=True):
-                packer.add(k, np.frombuffer(ids + end, "<u4"), prompt)
+            for k, x, head, raw in zip(keys, batch.column(1), heads, tok.encode(texts), strict=True):
+                ids = np.frombuffer(raw + end, "<u4")
+                packer.add(k, ids, tok.prompt_ids(x.as_py(), head, ids[:-1]) if head and x.is_valid else 0)
                 if len(packer.rows) >= 4096:
                     yield packer.drain()
         packer.close()

@@ -79,6 +79,22 @@ def test_all_three_limits_hold(spark):
     assert max(map(len, sequences.values())) == 4
 
 
+def test_prompts_end_where_their_characters_end():
+    rng = random.Random(4)
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = Encoder(public_tokenizers.path(name))
+        for _ in range(300):
+            text = "".join(rng.choice(["é", "a", " the", "\n", "中", " ", "<|endoftext|>", "1"]) for _ in range(rng.randint(0, 30)))
+            plain = e.tok.encode(text, add_special_tokens=False)
+            for n in (0, 1, 5, 100):
+                got = e.prompt_ids(text, n, np.array(plain.ids, np.int64))
+                if e.id_bytes is None:
+                    assert got == len(e.tok.encode(text[:n], add_special_tokens=False).ids)
+                else:
+                    at = np.cumsum([0, *e.id_bytes[plain.ids]])[:-1]
+                    assert sum(e.id_bytes[plain.ids]) == len(text.encode()) and got == int((at < len(text[:n].encode())).sum())
+
+
 def test_repeated_rows_are_packed_each(spark, make_docs):
     out = packing.pack_documents(make_docs([(1, "same text"), (1, "same text")]), PATH).collect()
     assert sum(r["length"] for r in out) == 2 * out[0]["doc_tokens"]
