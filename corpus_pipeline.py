@@ -38,7 +38,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in training sequences; a document's first line, if another follows, bears no loss."""
     docs = docs.withColumn("_prompt", F.expr(packing.FIRST_LINE))
-    return packing.pack_documents(docs, packing.default_tokenizer(), prompt_chars="_prompt", **packing.LIMITS)
+    return packing.pack_documents(docs, packing.default_tokenizer(), prompt_chars="_prompt", cache_bytes=96 << 20, **packing.LIMITS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
