@@ -6,7 +6,6 @@ Built-in expressions except where noted; the difflib ratio and the balanced chun
 from __future__ import annotations
 
 import difflib
-import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -129,12 +128,21 @@ def clean_reply(text: Column) -> Column:
     return F.regexp_replace(out, r"(?s)^[\"“«](.*)[\"”»]$", "$1")
 
 
+#: Inline markup and what of it is spoken.
+INLINE = [
+    (r"\[([^\]]+)\]\([^)]*\)", "$1"),
+    (r"(\*\*|__)(.+?)\1", "$2"),
+    (r"(?U)(?<![\w*])\*(?!\s)(.+?)(?<!\s)\*(?![\w*])", "$1"),
+    (r"(?U)(?<![\w_])_(?!\s)(.+?)(?<!\s)_(?![\w_])", "$1"),
+    ("`", ""),
+]
+
+
 def strip_markup(text: Column) -> Column:
-    """Links, emphasis and code ticks reduced to their text."""
-    out = F.regexp_replace(text, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
-    out = F.regexp_replace(out, r"(\*\*|__)(.+?)\1", "$2")
-    out = F.regexp_replace(out, r"(\*|_)(.+?)\1", "$2")
-    return F.regexp_replace(out, r"`([^`]*)`", "$1")
+    """Links, emphasis and code ticks reduced to their text, white space at the ends cut; underscores inside words stay."""
+    for pattern, kept in INLINE:
+        text = F.regexp_replace(text, pattern, kept)
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def name_head(token: Column) -> Column:
@@ -187,48 +195,51 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(flat, _STOP, "$1\u0001"), "\u0001"), lambda x: x != "")
 
 
-def _wrap(words: list[str], width: int) -> list[str]:
-    """Words in lines of at most ``width``; a longer word is a line of its own."""
-    lines: list[str] = []
-    for w in words:
-        if lines and len(lines[-1]) + 1 + len(w) <= width:
-            lines[-1] = f"{lines[-1]} {w}"
-        else:
-            lines.append(w)
-    return lines
-
-
-_CLAUSE = re.compile(r"(?<=[;:,—–])\s+")
+#: What a cut costs beside the squared share by which a piece differs from the even length: inside a clause, and behind
+#: a short clause that leads into the next one ("and third,"). A piece over the limit (a long word) costs nothing more.
+INSIDE_CLAUSE, BEHIND_LEAD_IN = 1.0, 2.0
+_CLAUSE_MARKS, _LEAD_IN = (";", ":", ",", "—", "–"), 14
 
 
-def _opening(line: str) -> bool:
-    """A short clause that leads into the next one ("and third,")."""
-    return len(line) <= 14 and line.endswith(",")
-
-
-def _clause_lines(clauses: list[str], width: int) -> list[str]:
-    """Lines of whole clauses; an opening clause isn't left behind at the end of a line that is well filled."""
-    lines: list[str] = []
-    for left, clause in zip(range(len(clauses) - 1, -1, -1), clauses, strict=True):
-        text = lines.pop() if lines else ""
-        waits = left > 0 and _opening(clause) and 10 * len(text) >= 4 * width
-        if text and len(text) + 1 + len(clause) <= width and not waits:
-            lines.append(f"{text} {clause}")
-        elif len(clause) > width or _opening(text):
-            lines += _wrap([*text.split(), *clause.split()], width)
-        else:
-            lines += [x for x in (text, clause) if x]
-    return lines
+def cut_costs(words: list[str]) -> list[float]:
+    """What a cut behind each word costs; nothing behind the last one."""
+    out, clause = [], -1
+    for w in words:
+        clause += 1 + len(w)
+        ends = w.endswith(_CLAUSE_MARKS)
+        out.append((0.0 if ends else INSIDE_CLAUSE) + (BEHIND_LEAD_IN if w.endswith(",") and clause <= _LEAD_IN else 0.0))
+        clause = -1 if ends else clause
+    return [*out[:-1], 0.0]
 
 
 def balanced_chunks(text: str | None, most: int) -> list[str]:
-    """Pieces of at most ``most`` characters, about equally long, cut at clauses where possible; a longer word stays whole."""
-    flat = " ".join((text or "").split())
+    """Pieces of at most ``most`` characters with the least total cost of their cuts and lengths; a longer word stays whole.
+
+    Blanks are collapsed. The even length is the text's over the fewest pieces it could have. The cheapest way to cut the
+    text before each word is found from those of the words before it, as far back as a piece can reach.
+    """
+    words = (text or "").split()
+    flat = " ".join(words)
     if len(flat) <= most:
         return [flat] if flat else []
-    clauses, count = [c for c in _CLAUSE.split(flat) if c], -(-len(flat) // most)
-    even = _clause_lines(clauses, min(most, -(-len(flat) // count) + 15))
-    return even if len(even) <= count + 1 else _clause_lines(clauses, most)
+    even = len(flat) / -(-len(flat) // most)
+    starts, at = [], 0
+    for w in words:
+        starts.append(at)
+        at += len(w) + 1
+    best, origin, first = [0.0], [0], 0
+    for k, (w, cost) in enumerate(zip(words, cut_costs(words), strict=True)):
+        end = starts[k] + len(w)
+        while first < k and end - starts[first] > most:
+            first += 1
+        found, where = min((best[i] + ((end - starts[i]) / even - 1) ** 2, i) for i in range(first, k + 1))
+        best.append(found + cost)
+        origin.append(where)
+    pieces, stop = [], len(words)
+    while stop:
+        pieces.append(flat[starts[origin[stop]] : starts[stop - 1] + len(words[stop - 1])])
+        stop = origin[stop]
+    return pieces[::-1]
 
 
 def chunks(text: Column, most: int) -> Column:
@@ -252,10 +263,13 @@ NAME = r"\b[A-Z][A-Za-z’'-]{2,}\b"
 
 def name_spots(text: Column, stopwords: list[str]) -> Column:
     """(name, initial) of a line's capitalised words, each once; ``initial``: it is the line's first word."""
-    first = F.regexp_like(text, F.lit(r"^\P{L}*" + NAME))
-    found = F.transform(F.regexp_extract_all(text, F.lit(NAME), 0), lambda w, i: F.struct(name_head(w).alias("name"), (first & (i == 0)).alias("initial")))
-    kept = F.filter(found, lambda x: (F.length(x["name"]) >= 3) & (x["name"] != F.upper(x["name"])) & ~F.lower(x["name"]).isin(stopwords or [""]))
-    return F.filter(kept, lambda x, i: ~F.exists(F.slice(kept, F.lit(1), i), lambda y: y["name"] == x["name"]))
+    found = F.transform(F.regexp_extract_all(text, F.lit(NAME), 0), name_head)
+    names = F.array_distinct(F.filter(found, lambda x: (F.length(x) >= 3) & (x != F.upper(x)) & ~F.lower(x).isin(stopwords or [""])))
+    # Only the first of them can begin the line.
+    leads = F.regexp_like(text, F.lit(r"^\P{L}*" + NAME)) & (F.get(found, F.lit(0)) == F.get(names, F.lit(0)))
+    spots = lambda some, initial: F.transform(some, lambda x: F.struct(x.alias("name"), initial.alias("initial")))
+    head = F.when(leads, spots(F.slice(names, 1, 1), F.lit(True))).otherwise(spots(F.slice(names, 1, 1), F.lit(False)))
+    return F.when(F.size(names) > 0, F.concat(head, spots(F.slice(names, 2, F.greatest(F.size(names), F.lit(1))), F.lit(False)))).otherwise(F.array().cast("array<struct<name:string,initial:boolean>>"))
 
 
 def target_candidates(text: Column, cased: bool) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cuemill.operators import quality, timeline
+from cuemill.sources import files
 from cuemill.sources.standin import SEGMENTS_SQL, segments
 
 
@@ -14,6 +15,17 @@ def placed(s, d):
     return p.select("job", "idx", F.col("start_ms").alias("src_start"), F.col("end_ms").alias("src_end"), "dub_start", "dub_end")
 
 
+def slides(s, d):
+    """Each job's segments as a Markdown script: every third one begins a slide, every fifth one is a list item with a comment ahead."""
+    idx, text = F.col("idx"), F.col("text")
+    lines = F.when(idx % 3 == 1, F.concat(F.lit("## *"), "speaker", F.lit("* ##\n"), text, F.lit("\n<!-- pause: "), (idx % 50).cast("string"), F.lit(" -->")))
+    lines = lines.when(idx % 5 == 0, F.concat(F.lit("<!-- un\nspoken -->\n\n- **"), text, F.lit("**"))).otherwise(text)
+    x = segments(s, d).where(~F.contains("text", F.lit("\n"))).select("job", F.struct(idx, lines.alias("l")).alias("x"))
+    whole = x.groupBy("job").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda e: e["l"]), "\n").alias("text"))
+    found = files.scripts(whole.withColumn("text", F.concat(F.lit("# Job\n"), "text")), key="job")
+    return found.select("job", "position", "id", "title", "pause_after", F.size("paragraphs").alias("n"), F.md5(F.array_join("paragraphs", "|")).alias("said"))
+
+
 def turns(s, d):
     """Speaker turns: the segments themselves, shifted and overlapping."""
     x = segments(s, d)
@@ -121,6 +133,7 @@ def thousandths(df, *names):
 
 
 QUERIES = {
+    "script_slides": slides,
     "overlap_speaker": lambda s, d: timeline.overlap_speaker(segments(s, d), turns(s, d)),
     "interval_coalesce": lambda s, d: timeline.coalesce_intervals(segments(s, d).where("end_ms - start_ms > 500").select("job", "start_ms", "end_ms"), pad=200),
     "longest_gap": lambda s, d: timeline.longest_gap(segments(s, d).where("end_ms > start_ms").select("job", "start_ms", "end_ms"), totals(s, d)),
@@ -188,6 +201,13 @@ _ARTIFACTS = """artifacts AS (SELECT job, idx, ['transcribe', 'translate', 'tts'
     no_speech / 10 AS fallback_ratio, cer / 4 AS failed_ratio FROM segments)"""
 
 ORACLES = {
+    "script_slides": f"""WITH {SEGMENTS_SQL}, x AS (SELECT job, idx, speaker, text, idx % 3 = 1 AS opens, idx % 3 != 1 AND idx % 5 = 0 AS apart FROM segments WHERE NOT contains(text, chr(10))),
+        n AS (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY job ORDER BY idx) AS nth, count(*) FILTER (opens OR apart) OVER (PARTITION BY job ORDER BY idx) AS para FROM x),
+        p AS (SELECT job, nth, para, string_agg(text, ' ' ORDER BY idx) AS said, max(speaker) FILTER (opens) AS title, max(least(idx % 50, 30)) FILTER (opens) AS pause FROM n GROUP BY job, nth, para),
+        s AS (SELECT job, nth, max(title) AS title, max(pause)::DOUBLE AS pause_after, count(*)::INTEGER AS n, md5(string_agg(said, '|' ORDER BY para)) AS said FROM p GROUP BY job, nth),
+        t AS (SELECT *, coalesce(title, 'Job') AS shown, (row_number() OVER (PARTITION BY job ORDER BY nth) - 1)::INTEGER AS position FROM s),
+        u AS (SELECT *, row_number() OVER (PARTITION BY job, lower(shown) ORDER BY nth) AS again FROM t)
+        SELECT job, position, lower(shown) || CASE WHEN again > 1 THEN '-' || again ELSE '' END AS id, shown AS title, pause_after, n, said FROM u""",
     "overlap_speaker": f"""WITH {SEGMENTS_SQL}, h AS (SELECT a.job, a.idx, b.speaker AS who, least(a.end_ms, b.end_ms + 1900) - greatest(a.start_ms, b.start_ms + 700) AS overlap_ms, b.idx AS pos
             FROM segments a JOIN segments b ON a.job = b.job AND a.start_ms < b.end_ms + 1900 AND a.end_ms > b.start_ms + 700),
         r AS (SELECT *, row_number() OVER (PARTITION BY job, idx ORDER BY overlap_ms DESC, pos) AS nth FROM h)

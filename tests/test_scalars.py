@@ -1,4 +1,5 @@
 import difflib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,6 +143,45 @@ def test_chunks_keep_all_words_within_the_limit():
     assert len(even) == 2 and min(map(len, even)) > 30
 
 
+def test_chunks_have_the_least_cost():
+    from itertools import product
+
+    rng = random.Random(6)
+
+    def cost(words, cuts, even):
+        """Of all pieces that the marks ``cuts`` (behind which words) make; None where one is too long."""
+        total, first, prices = 0.0, 0, tx.cut_costs(words)
+        for k, cut in enumerate((*cuts, True)):
+            if cut:
+                piece = " ".join(words[first : k + 1])
+                if len(piece) > 20 and k > first:
+                    return None, None
+                total += prices[k] + (len(piece) / even - 1) ** 2
+                first = k + 1
+        return total, cuts
+
+    for _ in range(40):
+        words = ["x" * rng.choice([1, 3, 5, 8, 25]) + rng.choice(["", "", ",", ";", "—"]) for _ in range(rng.randint(2, 9))]
+        flat = " ".join(words)
+        got = tx.balanced_chunks(flat, 20)
+        assert " ".join(got) == flat
+        if len(flat) <= 20:
+            continue
+        even = len(flat) / -(-len(flat) // 20)
+        least = min(c for c, _ in (cost(words, cuts, even) for cuts in product((False, True), repeat=len(words) - 1)) if c is not None)
+        ends, marks = 0, set()
+        for piece in got:
+            ends += len(piece.split())
+            marks.add(ends - 1)
+        assert abs(cost(words, tuple(k in marks for k in range(len(words) - 1)), even)[0] - least) < 1e-9
+
+
+def test_chunks_at_clauses():
+    got = tx.balanced_chunks("The court ordered a delimitation of the forest; second, it set a deadline of twelve months for the agency.", 60)
+    assert not any(c.endswith("second,") for c in got) and any(c.startswith("second,") for c in got)
+    assert [len(x) for x in tx.balanced_chunks("word " * 20_000, 80)][:3] == [79, 79, 79]
+
+
 def test_failed_downloads(spark):
     blob = lambda t: scalars.output_blob(F.lit(t), F.lit(None))
     shape = lambda t: one(spark, scalars.failure_class(blob(t), scalars.FAILURE_SHAPES))

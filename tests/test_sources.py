@@ -43,6 +43,23 @@ def test_json_script_and_bad_ones(spark):
     assert [(r["script"], r["id"], r["pause_after"], r["paragraphs"]) for r in got] == [(1, "slide-1", None, ["plain text"]), (1, "x", 30.0, ["a b", "c", "d"]), (1, "ber", None, ["e"])]
 
 
+def test_slide_ids_are_unique_and_paragraphs_end_at_blank_lines(spark):
+    doc = json.dumps([{"title": "Intro"}, {"id": "intro-2", "text": ["a"]}, {"title": "intro!"}, {"title": "INTRO"}, 7, {"narration": None, "text": "unread"}, {"paragraphs": "p\n \nq", "image": "c:\\x\\y.png"}])
+    md = "before\n\n  \nstill **before**\n# One #\n1. first\n``\n* snake_case _is_ kept\n> > said\n\n<!-- pause: 2 -->\n![](a b)\n![i](one.png)\n![i](two.png)\n<!-- pause: 45 -->\n<!-- open\nend"
+    rows = spark.createDataFrame([(1, doc), (2, md), (3, "# only a title"), (4, " ")], "position int, text string")
+    got = [tuple(r) for r in files.scripts(rows.withColumnRenamed("position", "script"), key="script").orderBy("script", "position").collect()]
+    assert got[:7] == [
+        (1, 0, "intro", "Intro", "", None, []),
+        (1, 1, "intro-2", "", "", None, ["a"]),
+        (1, 2, "intro-3", "intro!", "", None, []),
+        (1, 3, "intro-4", "INTRO", "", None, []),
+        (1, 4, "slide-5", "", "", None, []),
+        (1, 5, "slide-6", "", "", None, []),
+        (1, 6, "slide-7", "", "y.png", None, ["p", "q"]),
+    ]
+    assert got[7:] == [(2, 0, "slide-1", "", "", None, ["before", "still before"]), (2, 1, "one", "One", "one.png", 30.0, ["first snake_case is kept said", "![](a b)"])]
+
+
 def test_fixtures_and_hashes(spark, tmp_path):
     import hashlib
 
