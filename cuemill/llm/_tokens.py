@@ -136,6 +136,7 @@ class Encoder:
         self.marks = added_marks(spec)
         self.by_parts = splits_at_blanks(spec)
         self.model, self.letters = self.tok.model, byte_letters()
+        self.blank = self.letters[32]
         self.lower = "Lowercase" in json.dumps(spec.get("normalizer"))
         self.splits = splitting_pattern(spec) if self.by_parts else None
         self.drops_blanks = False
@@ -162,7 +163,9 @@ class Encoder:
             cache.clear()
 
     def _piece(self, piece: str) -> bytes:
-        spelt = piece.encode().decode("latin-1").translate(self.letters)
+        # Of printable ASCII characters only the blank isn't its own letter.
+        plain = piece.isascii() and piece.isprintable()
+        spelt = piece.replace(" ", self.blank) if plain else piece.encode().decode("latin-1").translate(self.letters)
         return array("I", [x.id for x in self.model.tokenize(spelt)]).tobytes()
 
     def _cut(self, part: str) -> list[str]:
@@ -175,7 +178,7 @@ class Encoder:
         return self.pieces[piece] if found is None else found
 
     def _part(self, part: str) -> bytes:
-        if self.splits and _COMMON.fullmatch(part):
+        if self.splits and (part.isascii() and part.isprintable() or _COMMON.fullmatch(part)):
             pieces = self._cut(part)
             return self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self._known, pieces))
         return self._raw([part])[0]
