@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cuemill.functions import scalars
 from cuemill.functions import text as tx
+from cuemill.operators import phrases
 
 #: How sure each finding is.
 SCORES = {"name_inconsistent": 0.95, "glossary_miss": 0.80, "name_untransliterated": 0.60, "low_asr": 0.30}
@@ -82,10 +83,16 @@ def untransliterated_names(segments: DataFrame, *, source: str, target: str, sto
     return _flag(first.select("job", "f.*"), "name", "name_untransliterated", F.col("word"), F.col("word"), F.array().cast("array<string>"))
 
 
+def missed_terms(segments: DataFrame, terms: DataFrame, key: list[str]) -> DataFrame:
+    """Lines joined with the settled terms (term, mapped) that stand in their text while the rendering lacks in the translation."""
+    some = terms.where((F.trim("term") != "") & (F.trim("mapped") != "")).select("term", "mapped")
+    rows = _lines(segments).where(F.trim("translated") != "")
+    return phrases.phrase_hits(rows, some, text="text", phrase="term", key=key).where(~tx.has_phrase(F.col("translated"), F.col("mapped")))
+
+
 def glossary_misses(segments: DataFrame, terms: DataFrame) -> DataFrame:
     """A settled term (term, mapped) whose rendering the translation lacks; once per term and job, in its first such line."""
-    some = terms.where((F.trim("term") != "") & (F.trim("mapped") != ""))
-    rows = _lines(segments).where(F.trim("translated") != "").join(some, tx.has_phrase(F.col("text"), F.col("term")) & ~tx.has_phrase(F.col("translated"), F.col("mapped")))
+    rows = missed_terms(segments, terms, ["job", "idx"])
     first = rows.groupBy("job", F.lower("term").alias("key")).agg(F.min(F.struct("idx", "start_ms", "term", "mapped")).alias("f")).select("job", "f.*")
     return _flag(first, "term", "glossary_miss", F.col("term"), F.col("mapped"), F.array("mapped"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from cuemill.operators import timeline
+from cuemill.sources import scratch
 
 SEGMENT = "job long, idx long, start_ms long, end_ms long, speaker string, text string"
 
@@ -206,18 +207,31 @@ def fallback_reference(segments: DataFrame, *, low: int = 1500, high: int = 12_0
 
 
 def greedy_pairs(scores: DataFrame) -> DataFrame:
-    """(grp, a, b, score): one-to-one pairs by descending score within each group; ties by a, then b."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right, out = set(), set(), []
-        for r in rows.sort_values(["score", "a", "b"], ascending=[False, True, True]).itertuples(index=False):
-            if r.a not in left and r.b not in right:
-                left.add(r.a)
-                right.add(r.b)
-                out.append((r.grp, r.a, r.b, r.score))
-        return pd.DataFrame(out, columns=["grp", "a", "b", "score"])
-
-    return scores.select("grp", "a", "b", "score").groupBy("grp").applyInPandas(run, "grp long, a long, b long, score double")
+    """(grp, a, b, score): one-to-one pairs by descending score within each group; ties by a, then b.
+
+    In rounds over all groups together: a pair that is the best of those that are left both for its a and for its b is one
+    that the greedy order takes, so all such pairs are taken at once, and what shares a side with them is left out. Each
+    round takes at least the best pair of each group. Repeated pairs count once, with their best score; a null on either
+    side or a null score takes no part.
+    """
+    spark = scores.sparkSession
+    rows = scores.where("a IS NOT NULL AND b IS NOT NULL AND score IS NOT NULL").groupBy("grp", "a", "b").agg(F.max("score").alias("score"))
+    # A null group is a group too.
+    left = scratch.written(rows.withColumn("g", F.struct("grp")), "pairs")
+    taken, order = [], F.struct((-F.col("score")).alias("s"), "a", "b")
+    while True:
+        by_a = left.groupBy("g", "a").agg(F.min(order).alias("o"))
+        by_b = left.groupBy("g", "b").agg(F.min(order).alias("o"))
+        both = by_a.select("g", "o").join(by_b.select("g", "o"), ["g", "o"])
+        now = scratch.written(both.select("g", F.col("o.a").alias("a"), F.col("o.b").alias("b"), (-F.col("o.s")).alias("score")), "taken")
+        if not now.limit(1).count():
+            break
+        taken.append(now)
+        left = scratch.written(left.join(now.select("g", "a"), ["g", "a"], "left_anti").join(now.select("g", "b"), ["g", "b"], "left_anti"), "pairs")
+    out = spark.createDataFrame([], left.select("g", "a", "b", "score").schema)
+    for now in taken:
+        out = out.unionByName(now)
+    return out.select("g.grp", "a", "b", "score")
 
 
 #: Fixed value: how a reply numbers its lines.

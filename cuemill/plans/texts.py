@@ -113,13 +113,22 @@ def upserted(s, d):
 def glossary_miss(s, d):
     """A term in the source without its mapping in the target, once per term: the first segment by job and idx."""
     terms = s.createDataFrame([("the", "ZZ"), ("der", "ab"), ("la", "QQ"), ("de", "x")], "term string, mapped string")
-    x = segments(s, d).where("trim(translated) != ''").crossJoin(terms)
-    low = lambda c: F.concat(F.lit(" "), F.lower(F.regexp_replace(c, r"[^\p{L}]+", " ")), F.lit(" "))
-    has = lambda c, t: F.contains(low(c), F.concat(F.lit(" "), F.lower(t), F.lit(" ")))
-    hit = x.where(has("text", F.col("term")) & ~has("translated", F.col("mapped")))
+    hit = flags.missed_terms(segments(s, d), terms, ["job", "idx"])
     return hit.groupBy("term").agg(F.min(F.struct("job", "idx")).alias("m"), F.count(F.lit(1)).alias("n")).select("term", "m.job", "m.idx", "n")
 
 
+def settled_terms(s, d):
+    """Terms of one to three words: the begins of all segments, each mapped to the word behind it."""
+    words = F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0)
+    x = segments(s, d).select(words.alias("w"), (F.col("idx") % 3 + 1).cast("int").alias("n")).where("size(w) > n")
+    return x.groupBy(F.lower(F.array_join(F.slice("w", 1, F.col("n")), " ")).alias("term")).agg(F.min(F.lower(F.expr("w[n]"))).alias("mapped"))
+
+
+def glossary_terms(s, d):
+    hit = flags.missed_terms(segments(s, d), settled_terms(s, d), ["job", "idx"])
+    return hit.groupBy("term", "mapped").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("job", "idx")).alias("m")).select("term", "mapped", "n", "m.job", "m.idx")
+
+
 def names(s, d):
     """Names by number of documents: capitalised words seen in several."""
     x = docs(s, d).select("doc_id", F.explode(tx.source_names(F.col("text"), STOPWORDS)).alias("name"))
@@ -193,6 +202,7 @@ QUERIES = {
     "names": names,
     "flags_inconsistent": renderings,
     "glossary_miss": glossary_miss,
+    "glossary_terms": glossary_terms,
     "word_coverage": coverage,
     "stage_audit": lambda s, d: corpus_audit.stage_audit(stage_rows(s, d)),
     "missing_segments": lambda s, d: corpus_audit.missing(stage_rows(s, d).where("stage = 'transcribe'"), stage_rows(s, d).where("stage = 'translate'"), ["job", "idx"]),
@@ -202,7 +212,7 @@ QUERIES = {
     "checklist_score": lambda s, d: corpus_audit.checklist(docs(s, d).select(F.col("lang").alias("subject"), "text"), rules(s)),
     "speech_rate": lambda s, d: corpus_audit.speech_rate(docs(s, d).select("lang", "text", ((F.col("n_chars") % 90) + 10).cast("double").alias("seconds")), anchor="en"),
     "centroid": lambda s, d: corpus_audit.centroids(vectors(s, d), "label", "embedding").select("label", F.posexplode("centroid").alias("pos", "x")).select("label", "pos", F.round("x", 6).alias("x")),
-    "greedy_match": lambda s, d: folds.greedy_pairs(all_profile_matches(s, d).select((F.col("vec_id") % 20).alias("grp"), F.col("vec_id").alias("a"), F.col("profile").alias("b"), "score")),
+    "greedy_match": lambda s, d: folds.greedy_pairs(all_profile_matches(s, d).select(F.floor(F.col("vec_id") / 25).alias("grp"), F.col("vec_id").alias("a"), F.col("profile").alias("b"), "score")),
     "stage_fingerprint": lambda s, d: fingerprints(s, d).groupBy("stage").agg(F.countDistinct("fingerprint").alias("distinct_prints"), F.count_if(F.col("fingerprint").isNull()).alias("without")),
     "reuse_plan": reuse,
     "upsert": upserted,
@@ -268,7 +278,7 @@ ORACLES = {
     "flags_inconsistent": f"""WITH {SEGMENTS_SQL}, n AS (SELECT job, count(*) FILTER (idx % 4 = 0) AS same, count(*) FILTER (idx % 4 = 2) AS other FROM segments GROUP BY job)
         SELECT job, 0::BIGINT AS idx, 'Kyoto' AS source_span, 'Kyoto' AS target_span, 'Kyoto|Kioto' AS variants FROM n WHERE same > 0 AND other > 0""",
     "greedy_match": f"""WITH RECURSIVE {_CENTROIDS.format(unit=_UNIT.format(v='embedding'), where='')}, p AS (SELECT label AS profile, list(x ORDER BY pos) AS centroid FROM c GROUP BY label),
-        s AS (SELECT vec_id % 20 AS grp, vec_id AS a, profile AS b, round(list_inner_product({_UNIT.format(v='embedding')}, {_UNIT.format(v='centroid')}), 6) AS score FROM embeddings, p),
+        s AS (SELECT vec_id // 25 AS grp, vec_id AS a, profile AS b, round(list_inner_product({_UNIT.format(v='embedding')}, {_UNIT.format(v='centroid')}), 6) AS score FROM embeddings, p),
         k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, a, b) AS nth FROM s WHERE score >= 0.1),
         f AS (SELECT grp, nth, [a] AS left_, [b] AS right_, a, b, score FROM k WHERE nth = 1
               UNION ALL (SELECT k.grp, k.nth, list_append(f.left_, k.a), list_append(f.right_, k.b), k.a, k.b, k.score FROM f JOIN k ON k.grp = f.grp AND k.nth > f.nth AND NOT list_contains(f.left_, k.a) AND NOT list_contains(f.right_, k.b)
@@ -307,6 +317,12 @@ ORACLES = {
         l AS (SELECT job, idx, ' ' || lower(regexp_replace(text, '[^\\pL]+', ' ', 'g')) || ' ' AS a, ' ' || lower(regexp_replace(translated, '[^\\pL]+', ' ', 'g')) || ' ' AS b FROM segments WHERE trim(translated) != ''),
         h AS (SELECT term, job, idx FROM l, t WHERE contains(a, ' ' || term || ' ') AND NOT contains(b, ' ' || mapped || ' '))
         SELECT term, min(job * 1000 + idx) // 1000 AS job, min(job * 1000 + idx) % 1000 AS idx, count(*) AS n FROM h GROUP BY term""",
+    "glossary_terms": f"""WITH {SEGMENTS_SQL}, w AS (SELECT regexp_extract_all(text, '\\pL+') AS w, idx % 3 + 1 AS n FROM segments),
+        t AS (SELECT lower(array_to_string(w[1:n], ' ')) AS term, min(lower(w[n + 1])) AS mapped FROM w WHERE len(w) > n GROUP BY 1),
+        l AS (SELECT job, idx, lower(text) AS low, ' ' || regexp_replace(lower(text), '\\PL+', ' ', 'g') || ' ' AS a, ' ' || regexp_replace(lower(translated), '\\PL+', ' ', 'g') || ' ' AS b FROM segments WHERE trim(translated) != ''),
+        c AS MATERIALIZED (SELECT * FROM l JOIN t ON contains(a, ' ' || term || ' ') AND NOT contains(b, ' ' || mapped || ' ')),
+        h AS (SELECT * FROM c WHERE NOT contains(term, ' ') OR regexp_matches(low, '(^|\\PL)' || term || '(\\PL|$)'))
+        SELECT term, mapped, count(*) AS n, min(job * 1000 + idx) // 1000 AS job, min(job * 1000 + idx) % 1000 AS idx FROM h GROUP BY term, mapped""",
     "stream_usage_daily": "SELECT strftime(ts, '%Y-%m-%d') AS bucket, sum(CAST(value AS DECIMAL(18,3)))::DOUBLE AS minutes, count(*) AS jobs FROM events GROUP BY 1",
     "stream_ring": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS nth, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS newest, greatest(max(n) - 4, 0) AS evicted FROM r WHERE nth <= 4 GROUP BY user_id",
 }
