@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task looks at together; bounds its arrays, not the text.
 SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch of a table that is written, about.
+BATCH_BYTES = 8 << 20
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -44,11 +48,31 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """While a table is written, a Python task gets its rows in batches of at most ``BATCH_BYTES``: texts may be long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def give_back() -> None:
+    """Return what a task has freed to the system: Spark keeps Python workers, and the next task may need it elsewhere."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared scratch folder and read it back."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    with _small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -114,6 +138,7 @@ def batches_of(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterato
         data, offsets = text_parts(batch.column(batch.schema.get_field_index(text)))
         for lo, hi in row_slices(offsets):
             yield batch.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+    give_back()
 
 
 # ---------------------------------------------------------------- word hashing

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm._common import without_rows
+from cuemill.llm._common import give_back, without_rows
 
 #: Labelled texts per class for the fit, and their greatest length in characters.
 FIT_ROWS, FIT_CHARS = 1000, 20_000
@@ -321,5 +321,6 @@ def without_toxic(docs: DataFrame, model: Model | None, *, text: str = "text") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, scores, _ in _scored(batches, text, shared.value):
             yield without_rows(part, np.array(scores) >= 0.5)
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
