@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("prompt", F.expr(packing.FIRST_LINE))
-    return packing.pack_documents(docs, packing.default_tokenizer(), prompt_chars="prompt", **packing.LIMITS)
+    return packing.pack_documents(docs, packing.default_tokenizer(), prompt_chars="prompt", cache_bytes=512 << 20, **packing.LIMITS)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
