@@ -49,7 +49,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 @contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
+def small_batches(spark: SparkSession) -> Iterator[None]:
     """While a table is written, a Python task gets its rows in batches of at most ``BATCH_BYTES``: texts may be long."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name)
@@ -71,7 +71,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared scratch folder and read it back."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    with _small_batches(spark):
+    with small_batches(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path

@@ -47,7 +47,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = tokenbin.new_folder(spark)
-    manifest = tokenbin.write_tokens(table(spark, sf_dir, "documents"), folder, tokenbin.default_tokenizer())
+    manifest = tokenbin.write_tokens(table(spark, sf_dir, "documents"), folder, tokenbin.default_tokenizer(), cache_bytes=288 << 20)
     return tokenbin.read_tokens(spark, folder, manifest).drop("ids")
 
 

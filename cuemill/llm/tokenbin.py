@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuemill.llm._common import broadcast_if_small, put_file, scratch_path
+from cuemill.llm._common import broadcast_if_small, put_file, scratch_path, small_batches
 from cuemill.llm._tokens import encoder
 
 MAGIC = b"CMTB1\0"
@@ -124,11 +124,12 @@ def write_tokens(
     text: str = "text",
     sample_docs: int = 2000,
     sample_chars: int = 20_000,
+    cache_bytes: int | None = None,
 ) -> DataFrame:
     """Write all rows of ``docs``; returns the manifest (file, part, piece, documents, ids), already executed.
 
     Rows are range-partitioned by key (null keys first, ties by text hash), so files follow the key
-    order; a task writes files of about ``FILE_BYTES``. File names hold a random part: a task that runs
+    order; a task writes files of about ``FILE_BYTES`` and remembers ``cache_bytes`` of the encoding at most. File names hold a random part: a task that runs
     twice leaves a file that the manifest does not name.
     """
     spark = docs.sparkSession
@@ -147,7 +148,7 @@ def write_tokens(
         from pyspark import TaskContext
 
         part, piece, made = TaskContext.get().partitionId(), 0, []
-        coder, out = encoder(tokenizer_path), TokenFileWriter(dictionary, width)
+        coder, out = encoder(tokenizer_path, cache_bytes=cache_bytes), TokenFileWriter(dictionary, width)
 
         def flush() -> None:
             nonlocal out, piece
@@ -169,7 +170,8 @@ def write_tokens(
 
     sorted_rows = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(F.col("k").asc_nulls_first(), F.col("h")).sortWithinPartitions(F.col("k").asc_nulls_first(), "h")
     manifest = sorted_rows.select("k", "t").mapInArrow(run, "file string, part long, piece long, n_docs long, n_ids long")
-    manifest.write.parquet(f"{folder}/_manifest")
+    with small_batches(spark):
+        manifest.write.parquet(f"{folder}/_manifest")
     return spark.read.parquet(f"{folder}/_manifest")
 
 
