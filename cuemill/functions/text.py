@@ -120,12 +120,48 @@ def digits(text: Column, language: str = "") -> Column:
     return F.length(F.regexp_replace(text, rf"[^\p{{Nd}}{more}]+", ""))
 
 
+#: Pairs of quotation marks that may wrap a whole reply.
+QUOTE_PAIRS = {'"': '"', "'": "'", "«": "»", "“": "”", "„": "“", "”": "”"}
+
+
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def clean_reply(text: Column) -> Column:
-    """A model's reply without thinking blocks, fences, labels and one pair of quotation marks."""
-    out = F.regexp_replace(text, r"(?is)<think>.*?</think>", "")
-    out = F.regexp_replace(out, r"(?m)^```[a-z]*\s*$", "")
-    out = F.trim(F.regexp_replace(F.trim(out), r"(?i)^(?:translation|translated text)\s*:\s*", ""))
-    return F.regexp_replace(out, r"(?s)^[\"“«](.*)[\"”»]$", "$1")
+    """A model's reply without what it adds to a translation.
+
+    That is: thinking blocks, a label in front, lines that repeat the task ("Text to translate: ..."), the token that
+    switches thinking off, code ticks, and one pair of quotation marks around the whole; quotation marks inside stay.
+    """
+    out = _bare(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?is)<(think|thinking|reasoning)>.*?</\1>", ""))
+    out = F.regexp_replace(out, r"(?iuU)\A\s*(?:Translation|Перевод)\s*:\s*", "")
+    out = F.regexp_replace(out, r"(?m)^\s*Text(?: to translate)?\s*:.*$", "")
+    out = F.regexp_replace(out, r"(?iU)/no_?think\b", "")
+    out = _bare(F.regexp_replace(_bare(out), "^`+|`+$", ""))
+    first, last, inner = F.left(out, F.lit(1)), F.right(out, F.lit(1)), F.substring(out, F.lit(2), F.length(out) - 2)
+    wrapped = F.lit(False)
+    for opening, closing in QUOTE_PAIRS.items():
+        wrapped = wrapped | ((first == opening) & (last == closing))
+    return _bare(F.when((F.length(out) > 1) & wrapped & ~F.contains(inner, last), inner).otherwise(out))
+
+
+def bleed(source: Column, target: Column, target_lang: str, source_lang: str = "") -> Column:
+    """What shows that a translation carries its source; empty if nothing does.
+
+    Letters that the target's alphabet lacks come first. Long words repeated from the source count only between two
+    languages of one script: across scripts they are names and numbers, which should carry over. Three words are shown.
+    """
+    ours, theirs = target_lang[:2].lower(), source_lang[:2].lower()
+    if not ours:
+        return F.lit("")
+    foreign = foreign_letters(target, target_lang)
+    out = F.when(foreign != "", F.concat(F.lit(f"non-{target_lang} letters '"), foreign, F.lit("'")))
+    if theirs and ours != theirs and SCRIPT_OF.get(ours) == SCRIPT_OF.get(theirs):
+        repeated = F.array_sort(repeated_source_words(source, target))
+        shown = F.concat(F.lit(f"verbatim {source_lang} word(s) ['"), F.array_join(F.slice(repeated, 1, 3), "', '"), F.lit("']"))
+        out = out.when(F.size(repeated) > 0, shown)
+    return out.otherwise("")
 
 
 #: Inline markup and what of it is spoken.

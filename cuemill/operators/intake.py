@@ -104,14 +104,18 @@ def public_keys(keys: DataFrame) -> DataFrame:
     return rows.withColumn("environment", F.coalesce("environment", F.lit("live")) if "environment" in keys.columns else F.lit("live"))
 
 
-def verified(tokens: DataFrame, keys: DataFrame, now: Column) -> DataFrame:
-    """(token, key_id): the active key whose salted hash a token has; null if there is none.
+def verified(tokens: DataFrame, keys: DataFrame, now: Column, *, order: str = "key_id") -> DataFrame:
+    """(token, key_id): the key whose salted hash a token has, if it is active; null otherwise.
 
-    Each key has its own salt, so a token is hashed with each: ``keys`` is a small table.
+    Of several keys with that hash the first by ``order`` decides, even if it is revoked or has expired. A token is hashed
+    once for each different salt; hashes then meet keys by equality. A blank or null token has no key.
     """
-    live = keys.where(~F.coalesce("revoked", F.lit(False)) & F.coalesce(F.col("expires") > now, F.lit(True))).select("key_id", "salt", "hash")
-    hits = tokens.join(live, F.col("hash") == scalars.salted_hash(F.col("token"), F.col("salt")))
-    return tokens.join(hits.groupBy("token").agg(F.min("key_id").alias("key_id")), "token", "left")
+    active = ~F.coalesce("revoked", F.lit(False)) & F.coalesce(F.col("expires") > now, F.lit(True))
+    some = tokens.where("token != ''").select("token").distinct()
+    hashed = some.join(keys.select("salt").distinct(), F.lit(True)).withColumn("hash", scalars.salted_hash(F.col("token"), F.col("salt")))
+    met = hashed.join(keys.select("salt", "hash", F.col(order).alias("_nth"), F.when(active, F.col("key_id")).alias("_key")), ["salt", "hash"])
+    first = met.groupBy("token").agg(F.min_by(F.struct("_key"), "_nth").alias("k"))
+    return tokens.join(first, "token", "left").select(*tokens.columns, F.col("k._key").alias("key_id"))
 
 
 def payload(jobs: DataFrame) -> DataFrame:

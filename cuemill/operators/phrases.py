@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuemill.functions import text as tx
+from cuemill.operators.rows import once
 
 #: Characters of a phrase without letters that are its key, at most.
 SIGNS = 3
@@ -22,11 +23,6 @@ def _folded(text: Column) -> Column:
     return F.lower(F.upper(F.lower(F.translate(text, "İ", "i"))))
 
 
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
-    """``df`` with columns that are computed once a row, not anew in each lambda that names them."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
-
-
 def _keyed(phrases: DataFrame, phrase: str) -> DataFrame:
     """``phrases`` with ``_size`` (runs of letters; below zero: characters) and ``_key``."""
     runs, signs = F.regexp_extract_all(F.col(phrase), F.lit(r"\p{L}+"), 0), F.left(F.trim(phrase), F.lit(SIGNS))
@@ -42,7 +38,7 @@ def _grams(items: Column, n: int, glue: str) -> Column:
 
 def _text_keys(rows: DataFrame, text: str, sizes: list[int]) -> DataFrame:
     """``_row``, ``_size``, ``_key`` of the rows' texts, each key once a row, for the sizes that phrases have."""
-    rows = _once(rows.select("_row", text), _runs=F.regexp_extract_all(_folded(F.col(text)), F.lit(r"\p{L}+"), 0), _signs=F.filter(F.split(F.col(text), r"\p{L}+"), lambda x: x != ""))
+    rows = once(rows.select("_row", text), _runs=F.regexp_extract_all(_folded(F.col(text)), F.lit(r"\p{L}+"), 0), _signs=F.filter(F.split(F.col(text), r"\p{L}+"), lambda x: x != ""))
     # A lambda's parameters are the element and its place: sizes come in from outside.
     found = [F.transform(F.array_distinct(_grams(F.col("_runs"), n, " ") if n > 0 else _pieces(F.col("_signs"), -n)), _struct_of(n)) for n in sizes]
     return rows.select("_row", F.inline(F.concat(F.array().cast("array<struct<_size:int,_key:string>>"), *found)))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuemill.functions import text as tx
+
 #: Fixed values of the scoring rules.
 LOGPROB_GOOD, LOGPROB_BAD, NO_SPEECH_HIGH = -0.2, -1.2, 0.6
 RATIO_HIGH, RATIO_LOW = 2.0, 0.3
@@ -47,6 +49,21 @@ def untranslated(source: Column, target: Column) -> Column:
     return (F.length(s) > 0) & ((F.length(t) == 0) | (t == s))
 
 
+def bleed_quality(segments: DataFrame, *, target: str, source: str = "") -> DataFrame:
+    """Per job: segments whose translation carries its source (count, the first 20 by index, evidence of the first five).
+
+    Blank sources and untranslated segments (blank, or equal to the source) are left out; a job with nothing else has a count of 0.
+    """
+    s, t = F.trim("text"), F.trim(F.coalesce("translated", F.lit("")))
+    rows = segments.where(F.length(s) > 0).withColumn("why", F.when(~untranslated(F.col("text"), F.col("translated")), tx.bleed(s, t, target, source)))
+    # At most 20 rows of a job are gathered.
+    found = rows.where("why != ''").withColumn("nth", F.row_number().over(Window.partitionBy("job").orderBy("idx")))
+    counts = rows.groupBy("job").agg(F.count_if(F.col("why") != "").alias("bleed_count"))
+    shown = found.where("nth <= 20").groupBy("job").agg(F.array_sort(F.collect_list(F.struct("nth", "idx", "why"))).alias("x"))
+    indices, examples = F.col("x.idx"), F.slice(F.col("x.why"), 1, 5)
+    return counts.join(shown, "job", "left").select("job", "bleed_count", indices.alias("bleed_indices"), examples.alias("bleed_examples"))
+
+
 def translation_quality(segments: DataFrame) -> DataFrame:
     """Per job: untranslated segments, length ratios and outliers (blank sources are left out)."""
     s, t = F.trim("text"), F.trim(F.coalesce("translated", F.lit("")))

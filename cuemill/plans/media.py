@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cuemill.operators import quality, timeline
+from cuemill.functions import text as tx
+from cuemill.operators import narration, quality, timeline
 from cuemill.sources import files
 from cuemill.sources.standin import SEGMENTS_SQL, segments
 
@@ -132,7 +133,30 @@ def thousandths(df, *names):
     return df.withColumns({n: F.floor(F.col(n) * 1000 + 0.500001) / 1000.0 for n in names})
 
 
+def replies(s, d):
+    """Segments as a model's replies, with what models add in one of eight ways."""
+    text, k = F.col("text"), F.col("idx") % 8
+    ways = [("", ""), ("<think>a\nb</think>\n", ""), (" translation: ", ""), ("Text: x\n", " /no_think"), ("```", "```"), ('"', '"'), ("„", "“"), ("«", '"')]
+    reply = F.lit(None).cast("string")
+    for n, (front, back) in enumerate(ways):
+        reply = F.when(k == n, F.concat(F.lit(front), text, F.lit(back))).otherwise(reply)
+    return segments(s, d).select("job", "idx", reply.alias("reply"))
+
+
+def bled(s, d):
+    """Jobs with letters of another alphabet in every fifth line, and with words of the source in others."""
+    marked = F.when(F.col("idx") % 5 == 0, F.concat("translated", F.lit(" Їжі"))).otherwise(F.col("translated"))
+    found = quality.bleed_quality(segments(s, d).withColumn("translated", marked), target="ru", source="uk")
+    other = quality.bleed_quality(segments(s, d), target="de", source="fr")
+    text = lambda c, glue: F.coalesce(F.array_join(c, glue), F.lit("")).alias(c)
+    columns = ["job", "bleed_count", text("bleed_indices", ","), text("bleed_examples", "; ")]
+    return found.select(F.lit("ru").alias("target"), *columns).unionByName(other.select(F.lit("de").alias("target"), *columns))
+
+
 QUERIES = {
+    "translation_bleed": bled,
+    "reply_cleaned": lambda s, d: replies(s, d).select("job", "idx", F.md5(tx.clean_reply(F.col("reply"))).alias("reply")),
+    "narration_cues": lambda s, d: narration.narration_cues(segments(s, d)),
     "script_slides": slides,
     "overlap_speaker": lambda s, d: timeline.overlap_speaker(segments(s, d), turns(s, d)),
     "interval_coalesce": lambda s, d: timeline.coalesce_intervals(segments(s, d).where("end_ms - start_ms > 500").select("job", "start_ms", "end_ms"), pad=200),
@@ -201,6 +225,27 @@ _ARTIFACTS = """artifacts AS (SELECT job, idx, ['transcribe', 'translate', 'tts'
     no_speech / 10 AS fallback_ratio, cer / 4 AS failed_ratio FROM segments)"""
 
 ORACLES = {
+    "translation_bleed": f"""WITH {SEGMENTS_SQL}, k AS (SELECT *, trim(translated) != '' AND trim(translated) != trim(text) AS whole, list_sort(list_filter(list_intersect(list_distinct(regexp_extract_all(lower(translated), '[\\pL\\pN_]{{5,}}')),
+              list_distinct(regexp_extract_all(lower(text), '[\\pL\\pN_]{{5,}}'))), lambda x: NOT regexp_matches(x, '[0-9]'))) AS w FROM segments WHERE trim(text) != ''),
+        p(target, source) AS (VALUES ('ru', 'uk'), ('de', 'fr')),
+        r AS (SELECT target, job, idx, CASE WHEN target = 'ru' AND idx % 5 = 0 THEN 'non-ru letters ''ії''' WHEN whole AND len(w) > 0 THEN 'verbatim ' || source || ' word(s) [''' || array_to_string(w[1:3], ''', ''') || ''']' END AS why FROM k, p),
+        n AS (SELECT *, row_number() OVER (PARTITION BY target, job ORDER BY why IS NULL, idx) AS nth FROM r)
+        SELECT target, job, count(why) AS bleed_count, coalesce(string_agg(idx::VARCHAR, ',' ORDER BY idx) FILTER (why IS NOT NULL AND nth <= 20), '') AS bleed_indices,
+               coalesce(string_agg(why, '; ' ORDER BY idx) FILTER (why IS NOT NULL AND nth <= 5), '') AS bleed_examples FROM n GROUP BY target, job""",
+    # What was added is gone; quotation marks that don't match, or that a text has of its own too, stay.
+    "reply_cleaned": f"""WITH {SEGMENTS_SQL} SELECT job, idx, md5(CASE WHEN idx % 8 = 7 THEN '«' || text || '"' WHEN idx % 8 = 5 AND contains(text, '"') THEN '"' || text || '"' ELSE trim(text) END) AS reply FROM segments""",
+    "narration_cues": f"""WITH RECURSIVE {SEGMENTS_SQL}, f AS (SELECT job, idx, start_ms, greatest(end_ms - start_ms, 0) AS span, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM segments),
+        p AS (SELECT job, idx, start_ms, span, 0::BIGINT AS pos, text FROM f WHERE text != ''
+              UNION ALL SELECT job, idx, start_ms, span, pos + h.pos, h.text FROM (
+                  SELECT * EXCLUDE text, unnest([{{'pos': 0, 'text': left(text, cut)}}, {{'pos': cut + 1, 'text': substr(text, cut + 2)}}]) AS h FROM (
+                      SELECT *, CASE WHEN l >= 0 AND (r = 0 OR m - l <= r - 1) THEN l WHEN r > 0 THEN m + r - 1 END AS cut FROM (
+                          SELECT *, length(regexp_replace(left(text, m + 1), '[^ ]*$', '')) - 1 AS l, instr(substr(text, m + 1), ' ') AS r FROM (
+                              SELECT *, length(text) // 2 AS m FROM p WHERE NOT regexp_matches(text, '^.{{0,42}}( .{{1,42}})?$')))) WHERE cut IS NOT NULL)),
+        c AS (SELECT *, sum(length(text)) OVER (PARTITION BY job, idx) AS total, sum(length(text)) OVER (PARTITION BY job, idx ORDER BY pos) AS upto FROM p
+              WHERE regexp_matches(text, '^.{{0,42}}( .{{1,42}})?$') OR NOT contains(text, ' ')),
+        t AS (SELECT job, idx, pos, text, (start_ms + (2 * span * (upto - length(text)) + total) // (2 * total))::BIGINT AS start_ms, (start_ms + (2 * span * upto + total) // (2 * total))::BIGINT AS end_ms FROM c),
+        n AS (SELECT *, (row_number() OVER (PARTITION BY job ORDER BY idx, pos) - 1)::INTEGER AS cue, lead(start_ms) OVER (PARTITION BY job ORDER BY idx, pos) AS nxt FROM t)
+        SELECT job, cue, idx, start_ms, CASE WHEN nxt - end_ms < 121 AND nxt - 121 - start_ms >= 300 THEN nxt - 121 ELSE end_ms END AS end_ms, text FROM n""",
     "script_slides": f"""WITH {SEGMENTS_SQL}, x AS (SELECT job, idx, speaker, text, idx % 3 = 1 AS opens, idx % 3 != 1 AND idx % 5 = 0 AS apart FROM segments WHERE NOT contains(text, chr(10))),
         n AS (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY job ORDER BY idx) AS nth, count(*) FILTER (opens OR apart) OVER (PARTITION BY job ORDER BY idx) AS para FROM x),
         p AS (SELECT job, nth, para, string_agg(text, ' ' ORDER BY idx) AS said, max(speaker) FILTER (opens) AS title, max(least(idx % 50, 30)) FILTER (opens) AS pause FROM n GROUP BY job, nth, para),

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from cuemill.functions import scalars
 from cuemill.functions import text as tx
-from cuemill.operators import corpus_audit, flags, folds
+from cuemill.operators import corpus_audit, flags, folds, prints, titles
+from cuemill.sources.scratch import folder
 from cuemill.sources.standin import JOBS_SQL, NOW, SEGMENTS_SQL, jobs, segments, table
-from cuemill.streaming import activity
+from cuemill.streaming import activity, log
 
 STOPWORDS = ["the", "and", "for", "der", "die", "les", "los", "las"]
 
@@ -19,7 +20,10 @@ def docs(s, d):
 
 def messages(s, d):
     """Error messages made of an event's numbers."""
-    e = table(s, d, "events")
+    return _messages_of(table(s, d, "events"))
+
+
+def _messages_of(e):
     k = F.col("event_id").cast("string")
     return e.select("event_id", F.col("event_type").alias("stage"), F.concat(F.lit("Cannot read /data/jobs/"), k, F.lit("/out.wav at 0x"), F.hex("event_id"), F.lit(" after "), k, F.lit(".5 s, token=abc"), k, F.lit(" hf_abcdefgh"), k).alias("message"))
 
@@ -34,17 +38,20 @@ def durations(s, d):
     return e.select("event_id", text.alias("text"))
 
 
-def candidate_pairs(s, d):
-    """Every part's name as a new title against the names of the 25 nations, a table of fixed size, as known titles."""
-    a = table(s, d, "part").select("p_partkey", scalars.normalise_title(F.col("p_name")).alias("title"))
-    b = table(s, d, "nation").select(F.col("n_nationkey").alias("other"), scalars.normalise_title(F.col("n_name")).alias("other_title"))
-    return a.join(F.broadcast(b), F.lit(True), "left")
+def duplicate_scores(s, d):
+    """Every part's name against all other parts' names."""
+    parts = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), (F.col("p_partkey") % 40).cast("double").alias("seconds"))
+    return titles.duplicate_titles(parts).withColumnRenamed("id", "p_partkey")
 
 
-def duplicate_scores(s, d):
-    scored = candidate_pairs(s, d).withColumn("ratio", tx.sequence_ratio("title", "other_title"))
-    best = F.max(F.when(F.col("other").isNotNull(), tx.duplicate_score(F.col("ratio"), F.col("p_partkey") % 40, F.col("other") % 40)))
-    return scored.groupBy("p_partkey").agg(best.alias("best")).withColumn("verdict", tx.duplicate_verdict(F.col("best")))
+def print_inputs(s, d):
+    """What decides the stages of each conversation as a job."""
+    x = segments(s, d)
+    seconds = x.select("job", "idx", (F.col("start_ms") / 1000.0).alias("start"), (F.col("end_ms") / 1000.0).alias("end"), "text", "translated", "speaker")
+    k = F.col("job")
+    rows = x.groupBy("job").agg(F.min_by("text", "idx").alias("initial_prompt"))
+    rows = rows.select("job", "initial_prompt", F.sha2(k.cast("string"), 256).alias("source_fingerprint"), (k % 2 == 0).alias("auto_denoise"), F.lit(True).alias("vad_enabled"), ((k % 8) / F.lit(16.0)).alias("vad_threshold"), F.lit('m"1').alias("whisper_model"), F.lit("none").alias("reference_audio_fingerprint"), F.when(k % 3 == 0, k).alias("min_speakers"), F.when(k % 7 != 0, "g").otherwise("").alias("glossary_fingerprint"), F.lit("r").alias("speaker_refs_fingerprint"), F.lit("de").alias("target_lang"))
+    return rows.join(prints.segment_prints(seconds), "job")
 
 
 def coverage(s, d):
@@ -157,8 +164,6 @@ def log_levels(s, d):
 
 def _streamed(s, d, make, mode, *, files_per_batch=100):
     """Output rows of a query over ``events`` as a stream of files, run to its end; ``batch`` tells which batch gave a row."""
-    from cuemill.sources.scratch import folder
-
     where = folder(s, "stream")
     # A pattern, as the table may be one file or a folder of files, and a stream's plain path must be a folder.
     source = f"{d}/events.parque[t]"
@@ -187,7 +192,35 @@ def stream_sessions(s, d, **options):
     return _complete(_streamed(s, d, lambda e: activity.sessions(e, late=None), "complete", **options))
 
 
+def _logged(s, d):
+    """The folder of a log and feed into which the error messages went as a stream."""
+    where = folder(s, "log")
+    stream = activity.watch_folder(s, f"{d}/events.parque[t]", table(s, d, "events").schema)
+    log.run_log(_messages_of(stream), where, order=["event_id"], secret=["message"])
+    return where
+
+
+def stream_log(s, d):
+    return s.read.parquet(f"{_logged(s, d)}/log").select("id", "event_id", "stage", "message")
+
+
+def stream_feed(s, d):
+    return log.feed(s, _logged(s, d)).select("id", "event_id")
+
+
+def stream_issues(s, d):
+    """Error messages as reports: the first of a signature opens an issue, later ones are comments."""
+    where = folder(s, "issues")
+    stream = _messages_of(activity.watch_folder(s, f"{d}/events.parque[t]", table(s, d, "events").schema))
+    reports = stream.select("event_id", scalars.error_signature(F.col("stage"), F.substring("message", 1, 12)).alias("signature"))
+    log.run_batches(reports, where, lambda batch, n: log.issue_batch(batch, n, where, order=["event_id"], title=F.concat(F.lit("[bug] "), "signature")))
+    return s.read.parquet(f"{where}/deliveries").select("event_id", "signature", "issue", "action", "title")
+
+
 QUERIES = {
+    "stream_log": stream_log,
+    "stream_feed": stream_feed,
+    "stream_issues": stream_issues,
     "redact": lambda s, d: messages(s, d).select("event_id", scalars.redact_secrets(F.col("message")).alias("message")),
     "error_signature": lambda s, d: messages(s, d).select("event_id", scalars.normalise_error(F.col("message")).alias("normal"), scalars.error_signature(F.col("stage"), F.col("message")).alias("signature")),
     "duration_parse": lambda s, d: durations(s, d).select("event_id", scalars.parse_duration(F.col("text")).alias("seconds")),
@@ -213,6 +246,7 @@ QUERIES = {
     "speech_rate": lambda s, d: corpus_audit.speech_rate(docs(s, d).select("lang", "text", ((F.col("n_chars") % 90) + 10).cast("double").alias("seconds")), anchor="en"),
     "centroid": lambda s, d: corpus_audit.centroids(vectors(s, d), "label", "embedding").select("label", F.posexplode("centroid").alias("pos", "x")).select("label", "pos", F.round("x", 6).alias("x")),
     "greedy_match": lambda s, d: folds.greedy_pairs(all_profile_matches(s, d).select(F.floor(F.col("vec_id") / 25).alias("grp"), F.col("vec_id").alias("a"), F.col("profile").alias("b"), "score")),
+    "stage_prints": lambda s, d: prints.stage_prints(print_inputs(s, d)),
     "stage_fingerprint": lambda s, d: fingerprints(s, d).groupBy("stage").agg(F.countDistinct("fingerprint").alias("distinct_prints"), F.count_if(F.col("fingerprint").isNull()).alias("without")),
     "reuse_plan": reuse,
     "upsert": upserted,
@@ -317,6 +351,23 @@ ORACLES = {
         l AS (SELECT job, idx, ' ' || lower(regexp_replace(text, '[^\\pL]+', ' ', 'g')) || ' ' AS a, ' ' || lower(regexp_replace(translated, '[^\\pL]+', ' ', 'g')) || ' ' AS b FROM segments WHERE trim(translated) != ''),
         h AS (SELECT term, job, idx FROM l, t WHERE contains(a, ' ' || term || ' ') AND NOT contains(b, ' ' || mapped || ' '))
         SELECT term, min(job * 1000 + idx) // 1000 AS job, min(job * 1000 + idx) % 1000 AS idx, count(*) AS n FROM h GROUP BY term""",
+    "stream_log": f"""WITH {_MESSAGES} SELECT row_number() OVER (ORDER BY event_id) AS id, event_id, stage,
+        regexp_replace(regexp_replace(message, '\\bhf_[A-Za-z0-9]{{8,}}', '[redacted]', 'g'), '(?i)((?:token|secret|api[_-]?key|password|authorization)\\s*[=:]\\s*)([^\\s\"'',}}]{{4,}})', '\\1[redacted]', 'g') AS message FROM messages""",
+    "stream_feed": "WITH r AS (SELECT row_number() OVER (ORDER BY event_id) AS id, event_id FROM events) SELECT id, event_id FROM r ORDER BY id DESC LIMIT 600",
+    "stream_issues": f"""WITH {_MESSAGES}, s AS (SELECT event_id, left(sha256(stage || '|' || trim(lower(left(message, 12)))), 12) AS signature FROM messages),
+        f AS (SELECT *, min(event_id) OVER (PARTITION BY signature) AS first_id FROM s)
+        SELECT event_id, signature, 'issue-' || first_id AS issue, CASE WHEN event_id = first_id THEN 'created' ELSE 'commented' END AS action, CASE WHEN event_id = first_id THEN '[bug] ' || signature END AS title FROM f""",
+    "stage_prints": f"""WITH {SEGMENTS_SQL}, r AS (SELECT job, arg_min(text, idx) AS prompt, '[' || string_agg('[' || round(start_ms / 1000.0, 3)::DOUBLE || ',' || round(end_ms / 1000.0, 3)::DOUBLE || ',' || to_json(trim(text)) || ']', ',' ORDER BY idx) || ']' AS heard,
+              '[' || string_agg('[' || round(start_ms / 1000.0, 3)::DOUBLE || ',' || to_json(trim(coalesce(nullif(translated, ''), text))) || ',"' || speaker || '"]', ',' ORDER BY idx) || ']' AS said FROM segments GROUP BY job),
+        i AS (SELECT *, '"source_fingerprint":"' || sha256(job::VARCHAR) || '"' AS src, sha256(heard) AS heard_print, sha256(said) AS said_print, CASE WHEN job % 2 = 0 THEN 'true' ELSE 'false' END AS denoise FROM r),
+        e AS (SELECT *, sha256('{{"__stage":"download","__version":1,' || src || '}}') AS p1,
+                     sha256('{{"__stage":"extract","__version":1,"auto_denoise":' || denoise || ',"keep_bg":null,' || src || ',"vad_enabled":true,"vad_threshold":' || (job % 8) / 16.0::DOUBLE || '}}') AS p2 FROM i),
+        a AS (SELECT *, sha256('{{"__stage":"transcribe","__version":1,"asr_backend":null,"audio_fingerprint":"' || p2 || '","initial_prompt":' || to_json(prompt) || ',"source_lang":null,"whisper_model":"m\\"1"}}') AS p3,
+                     sha256('{{"__stage":"diarize","__version":1,"audio_fingerprint":"' || p2 || '","diarization_model":null,"max_speakers":null,"min_speakers":' || CASE WHEN job % 3 = 0 THEN job::VARCHAR ELSE 'null' END
+                         || ',"reference_audio_fingerprint":"none","same_language":null,"skip_diarization":null,"speaker_mode":null}}') AS p4,
+                     CASE WHEN job % 7 != 0 THEN sha256('{{"__stage":"translate","__version":2,"context_hint":null,"glossary_fingerprint":"g","model":null,"segments_fingerprint":"' || heard_print || '","target_lang":"de"}}') END AS p5,
+                     sha256('{{"__stage":"tts","__version":1,"speaker_refs_fingerprint":"r","target_lang":"de","translation_fingerprint":"' || said_print || '","tts_engine":null,"tts_speed":null,"voice_preset":null,"voice_seed":null,"voice_style":null}}') AS p6 FROM e)
+        SELECT job, unnest(['download', 'extract', 'transcribe', 'diarize', 'translate', 'tts']) AS stage, unnest([p1, p2, p3, p4, p5, p6]) AS fingerprint FROM a""",
     "glossary_terms": f"""WITH {SEGMENTS_SQL}, w AS (SELECT regexp_extract_all(text, '\\pL+') AS w, idx % 3 + 1 AS n FROM segments),
         t AS (SELECT lower(array_to_string(w[1:n], ' ')) AS term, min(lower(w[n + 1])) AS mapped FROM w WHERE len(w) > n GROUP BY 1),
         l AS (SELECT job, idx, lower(text) AS low, ' ' || regexp_replace(lower(text), '\\PL+', ' ', 'g') || ' ' AS a, ' ' || regexp_replace(lower(translated), '\\PL+', ' ', 'g') || ' ' AS b FROM segments WHERE trim(translated) != ''),

@@ -107,3 +107,11 @@ def test_first_match_and_merges(spark):
     assert sorted(tuple(r) for r in intake.merged_events(kept, fresh, "id").collect()) == [(1, "old"), (2, "new"), (3, "new")]
     rows = spark.createDataFrame([(1, ["a", "b", "c"], ["x"]), (2, [], ["y"])], "k int, s array<string>, t array<string>")
     assert [(r["k"], r["pos"], r["s"], r["t"]) for r in intake.aligned(rows, "s", "t").collect()] == [(1, 0, "a", "x")]
+
+
+def test_the_first_key_with_a_tokens_hash_decides(spark):
+    sha = lambda salt, token: hashlib.sha256((salt + token).encode()).hexdigest()
+    keys = spark.createDataFrame([(1, "s", sha("s", "x"), True, None), (2, "s", sha("s", "x"), False, None), (3, "s", sha("s", "y"), False, 9), (4, "t", sha("t", "y"), True, None)], "key_id int, salt string, hash string, revoked boolean, expires int")
+    tokens = spark.createDataFrame([("x",), ("y",), ("y",), ("",), (None,)], "token string")
+    found = intake.verified(tokens, keys, F.lit(5))
+    assert sorted(((r["token"], r["key_id"]) for r in found.collect()), key=str) == sorted([("", None), (None, None), ("x", None), ("y", 3), ("y", 3)], key=str)

@@ -143,6 +143,35 @@ def test_chunks_keep_all_words_within_the_limit():
     assert len(even) == 2 and min(map(len, even)) > 30
 
 
+@pytest.mark.parametrize(
+    ("reply", "want"),
+    [
+        ('<think>hm\n</think> Translation: "Hola"', "Hola"),
+        ("<reasoning>a</reasoning>ПЕРЕВОД : «да»", "да"),
+        ("Text to translate: Hello\nHola /no_think", "Hola"),
+        ("/nothink Hola /nothinking", "Hola /nothinking"),
+        ("```Hola```", "Hola"),
+        ('"Hola" dijo "ella"', '"Hola" dijo "ella"'),
+        ('"Hola» y', '"Hola» y'),
+        ("„Guten Tag“", "Guten Tag"),
+        ("“Hola»", "“Hola»"),
+        ('"', '"'),
+        (None, ""),
+    ],
+)
+def test_replies_lose_their_scaffolding(spark, reply, want):
+    assert one(spark, tx.clean_reply(F.lit(reply).cast("string"))) == want
+
+
+def test_bleed_needs_foreign_letters_or_a_language_of_the_same_script(spark):
+    found = lambda s, t, *langs: one(spark, tx.bleed(F.lit(s), F.lit(t), *langs))
+    assert found("Вони прийшли", "Те дойдоха і ї", "bg", "uk") == "non-bg letters 'ії'"
+    assert found("прийшли вчора разом", "разом те прийшли вчора 12345", "bg", "mk") == "verbatim mk word(s) ['вчора', 'прийшли', 'разом']"
+    assert found("Madrid hello", "Мадрид hello", "ru", "en") == "" == found("hello there", "hello", "de", "de")
+    assert found("hello", "hello x", "de") == "" == found("hello", "hello", "", "en")
+    assert found("hello word1 hello", "hello word1", "de", "en") == "verbatim en word(s) ['hello']"
+
+
 def test_chunks_have_the_least_cost():
     from itertools import product
 
