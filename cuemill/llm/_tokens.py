@@ -102,7 +102,13 @@ class Cache(dict):
 
     def __missing__(self, key: str) -> bytes:
         found = self.make(key)
-        self.keep(key, found)
+        bound = self.bound
+        size = bound.held + _ENTRY + 2 * len(key) + len(found)
+        if size > (CACHE_BYTES if bound.most is None else bound.most):
+            bound.add(size - bound.held)
+        else:
+            bound.held = size
+        self[key] = found
         return found
 
     def keep(self, key: str, found: bytes) -> None:
@@ -164,8 +170,10 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         # Of printable ASCII characters only the blank isn't its own letter.
-        plain = piece.isascii() and piece.isprintable()
-        spelt = piece.replace(" ", self.blank) if plain else piece.encode().decode("latin-1").translate(self.letters)
+        if piece.isascii() and piece.isprintable():
+            spelt = piece.replace(" ", self.blank)
+        else:
+            spelt = piece.encode().decode("latin-1").translate(self.letters)
         return array("I", [x.id for x in self.model.tokenize(spelt)]).tobytes()
 
     def _cut(self, part: str) -> list[str]:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuemill.llm._common import batches_of, broadcast_if_small, byte_table, materialize, mix64, word_hashes
+from cuemill.llm._common import batches_of, broadcast_if_small, byte_table, give_back, materialize, mix64, word_hashes
 
 #: Words are runs of anything but blanks and the five ASCII control characters of white space.
 WORDS = byte_table({0x20, *range(0x09, 0x0E)})
@@ -47,6 +47,8 @@ REPORTED, HOT = 3, 4096
 #: Members from which the list of a shingle makes it a frequent one, and rounds of building lists at most.
 LONG, TRIES = 128, 2
 TOGETHER = 256
+#: Bytes of a group's rows from which a task returns freed memory behind it.
+LARGE = 4 << 20
 #: Members of a list that stay one block, and members of a block of a longer list (about).
 SHORT, BLOCK = 128, 1024
 
@@ -220,6 +222,12 @@ def index_lists(reps: DataFrame, frequent: DataFrame, n: int, percent: int, buck
         yield flush()
 
     def merge(t: pa.Table) -> pa.Table:
+        out = merged(t)
+        if t.nbytes > LARGE:
+            give_back()
+        return out
+
+    def merged(t: pa.Table) -> pa.Table:
         rows = np.frombuffer(b"".join(x.as_py() for x in t.column("rows")), posting)
         if t.num_rows and t.column("bucket")[0].as_py() < 0:
             return table_of(rows["g"].view(np.int64), rows, rows["pos"], 1)
@@ -343,6 +351,7 @@ def bounded_pairs(pairs: DataFrame, maps: DataFrame) -> DataFrame:
             sizes = [c.to_numpy() for c in batch.columns[2:4]]
             bounds = [most_shared(x.as_py(), int(m), y.as_py(), int(n)) for x, y, m, n in zip(batch.column(4), batch.column(5), *sizes, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(bounds, pa.int64())], ["a", "b", "size_a", "size_b", "most"])
+        give_back()
 
     return rows.mapInArrow(run, "a long, b long, size_a long, size_b long, most long")
 
@@ -382,6 +391,8 @@ def compare(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFram
             return out.empty_table()
         b, common, size_a, size_b = (np.array(x, np.int64) for x in zip(*got, strict=True))
         a = np.full(len(b), left.column("a")[0].as_py(), np.int64)
+        if left.nbytes > LARGE:
+            give_back()
         return pa.table({"a": a, "b": b, "common": common, "size_a": size_a, "size_b": size_b, "link": linked(common, size_a, size_b, percent)}, schema=out)
 
     return members.groupBy("a", "part").cogroup(heads.groupBy("h", "part")).applyInArrow(run, "a long, b long, common long, size_a long, size_b long, link boolean")
