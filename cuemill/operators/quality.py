@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuemill.functions import scalars
 from cuemill.functions import text as tx
 
 #: Fixed values of the scoring rules.
@@ -64,6 +65,21 @@ def bleed_quality(segments: DataFrame, *, target: str, source: str = "") -> Data
     return counts.join(shown, "job", "left").select("job", "bleed_count", indices.alias("bleed_indices"), examples.alias("bleed_examples"))
 
 
+def word_confidences(segments: DataFrame) -> DataFrame:
+    """Per job: mean of the segments' mean word confidence and the least of all words (null where none is known)."""
+    means, least = F.avg(scalars.finite(F.col("word_conf_mean").cast("string"))), F.min(scalars.finite(F.col("word_conf_min").cast("string")))
+    return segments.groupBy("job").agg(F.round(means, 4).alias("word_conf_mean"), F.round(least, 4).alias("word_conf_min"))
+
+
+def bleed_share(lines: DataFrame, *, target: str, source: str) -> DataFrame:
+    """Per run of a benchmark (run, idx, text, translated): lines that carry their source, the first ten of them, and their share in per cent."""
+    rows = lines.select("run", "idx", (tx.bleed(F.col("text"), F.coalesce("translated", F.lit("")), target, source) != "").alias("hit"))
+    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("run").orderBy(F.desc("hit"), "idx")))
+    shown = F.array_sort(F.collect_list(F.when(F.col("hit") & (F.col("nth") <= 10), F.col("idx"))))
+    out = first.groupBy("run").agg(F.count_if("hit").alias("bleed_count"), F.array_join(shown, ",").alias("bleed_indices"), F.count(F.lit(1)).alias("n"))
+    return out.select("run", "bleed_count", "bleed_indices", F.round(F.lit(100.0) * F.col("bleed_count") / F.col("n"), 1).alias("bleed_pct"))
+
+
 def translation_quality(segments: DataFrame) -> DataFrame:
     """Per job: untranslated segments, length ratios and outliers (blank sources are left out)."""
     s, t = F.trim("text"), F.trim(F.coalesce("translated", F.lit("")))
@@ -103,8 +119,8 @@ def timing_quality(placements: DataFrame) -> DataFrame:
     return g.withColumn("stretched_pct", F.col("stretched") / F.col("n_placed") * 100.0)
 
 
-def scores(asr: DataFrame, translation: DataFrame, tts: DataFrame, timing: DataFrame) -> DataFrame:
-    """Per job: the stages' scores from 0 to 100 (null where not measured) and their weighted mean."""
+def scores(asr: DataFrame, translation: DataFrame, tts: DataFrame, timing: DataFrame, loudness: DataFrame | None = None) -> DataFrame:
+    """Per job: the stages' scores from 0 to 100 (null where not measured) and their weighted mean; with ``loudness`` (job, lufs) its score too."""
     a = asr.select("job", _clamp(_clamp((F.col("mean_logprob") - LOGPROB_BAD) / F.lit(LOGPROB_GOOD - LOGPROB_BAD) * 100.0) - F.least(F.lit(20.0), F.col("high_no_speech") * 2.0)).alias("asr"))
     n = F.greatest(F.col("n_segments"), F.lit(1))
     r = translation.select("job", _clamp(F.lit(100.0) - F.col("untranslated") / n * 100.0 * 1.5 - F.col("outliers") / n * 100.0 * 0.5).alias("translation"))
@@ -112,7 +128,9 @@ def scores(asr: DataFrame, translation: DataFrame, tts: DataFrame, timing: DataF
     t = tts.select("job", F.when(F.col("measured_pct") > 0, _clamp(heard * F.coalesce("lang_match_rate", F.lit(1.0)))).alias("tts"))
     m = timing.select("job", _clamp(F.lit(100.0) - F.col("stretched_pct") * 0.5 - F.greatest(F.lit(0.0), F.col("max_stretch") - STRETCH_SEVERE) * 200.0).alias("timing"))
     rows = a.join(r, "job", "full").join(t, "job", "full").join(m, "job", "full")
-    present = [k for k in WEIGHTS if k != "loudness"]
+    present = [k for k in WEIGHTS if k != "loudness" or loudness is not None]
+    if loudness is not None:
+        rows = rows.join(loudness.select("job", F.when(F.col("lufs").isNotNull(), loudness_score(F.col("lufs"))).alias("loudness")), "job", "left")
     total = sum((F.when(F.col(k).isNotNull(), F.lit(WEIGHTS[k])).otherwise(F.lit(0.0)) for k in present), F.lit(0.0))
     mean = sum((F.coalesce(F.col(k), F.lit(0.0)) * F.lit(WEIGHTS[k]) for k in present), F.lit(0.0))
     return rows.withColumn("overall", F.when(total > 0, mean / total))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuemill.operators.rows import once
+
 GAP_MS, PAD_MS, JOIN_MS = 80, 100, 50
 
 
@@ -180,12 +182,19 @@ def line_batches(lines: DataFrame, *, most_lines: int = 8, most_chars: int = 800
 
 def split_long(segments: DataFrame, *, longest: int = 15_000) -> DataFrame:
     """(job, idx, part, start_ms, end_ms, text): segments over ``longest`` cut after the sentence end nearest the middle."""
-    n = F.length("text")
-    pieces = F.regexp_extract_all("text", F.lit(r"(?s).*?[.!?]\s"), 0)
-    ends = F.transform(pieces, lambda _, i: F.length(F.array_join(F.slice(pieces, F.lit(1), i + 1), "")))
-    inner = F.filter(ends, lambda e: (e > 20) & (e < n - 20))
-    near = F.array_min(F.transform(inner, lambda e: F.struct(F.abs(e * 2 - n).alias("d"), e.alias("e"))))["e"]
-    s = segments.withColumn("cut", F.when((F.col("end_ms") - F.col("start_ms") > longest) & (n >= 40), near))
+    s = once(segments, n=F.length("text"), _pieces=F.regexp_extract_all("text", F.lit(r"(?s).*?[.!?]\s"), 0))
+    none = F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("far"), F.lit(None).cast("int").alias("cut"))
+
+    def nearer(best: Column, piece: Column) -> Column:
+        at = best["at"] + F.length(piece)
+        far = F.abs(at * 2 - F.col("n"))
+        better = (at > 20) & (at < F.col("n") - 20) & (best["far"].isNull() | (far < best["far"]))
+        return F.struct(at.alias("at"), F.when(better, far).otherwise(best["far"]).alias("far"), F.when(better, at).otherwise(best["cut"]).alias("cut"))
+
+    # One pass over the sentences; of two ends as near the earlier one.
+    near = F.aggregate("_pieces", none, nearer, lambda best: best["cut"])
+    n = F.col("n")
+    s = s.withColumn("cut", F.when((F.col("end_ms") - F.col("start_ms") > longest) & (n >= 40), near)).drop("_pieces")
     at = (F.col("start_ms") + F.floor((F.col("end_ms") - F.col("start_ms")) * F.col("cut") / n)).cast("long")
     part = lambda k, a, b, t: F.struct(F.lit(k).alias("part"), a.alias("start_ms"), b.alias("end_ms"), t.alias("text"))
     whole = F.array(part(0, F.col("start_ms"), F.col("end_ms"), F.col("text")))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cuemill.functions import scalars
 from cuemill.functions import text as tx
-from cuemill.operators import flags, folds, intake, workbench
+from cuemill.operators import corpus_audit, flags, folds, intake, workbench
+from cuemill.sources import scratch, store, tail
 from cuemill.sources.standin import JOBS_SQL, NOW, SEGMENTS_SQL, jobs, segments, table
 
 #: Outputs of failed downloads, the shape and the class of each, and its error line's begin.
@@ -146,9 +147,13 @@ _RUNS = """runs AS (SELECT job AS run, text || ' 123' AS text, CASE WHEN idx % 5
 
 
 def languages(s, d):
-    names = s.createDataFrame([(x,) for x in ("de-DE", "ja", "zh-CN", "hi", "xx", "es")], "lang string")
-    rates = s.createDataFrame([("es", 12.75), ("ja", 4.8)], "code string, rate double")
-    return intake.speech_rates(names, rates)
+    """The languages of documents, and others for every second one, with rates as documents show them (not for French)."""
+    docs = table(s, d, "documents")
+    other = _pick(["ja", "zh-CN", "hi", "xx", "ko-KR", "th"], F.floor(F.col("doc_id") / 2))
+    names = docs.select(F.when(F.col("doc_id") % 2 == 0, F.concat("lang", F.lit("-XX"))).otherwise(other).alias("lang")).distinct()
+    spoken = docs.where("lang != 'fr'").select("lang", "text", ((F.col("n_chars") % 90) + 10).cast("double").alias("seconds"))
+    rates = corpus_audit.speech_rate(spoken, anchor="en")
+    return intake.speech_rates(names, rates.select(F.col("lang").alias("code"), "rate"))
 
 
 def reports(s, d):
@@ -282,7 +287,27 @@ def compacted(s, d):
     return intake.compact(rows, ["id", "status", "meta"], ["video_id", "thumbnail"]).select("id", "status", F.to_json("meta").alias("meta"))
 
 
+def stored_scan(s, d):
+    """Jobs stored as JSON by status, and of them the failed and paused ones of the last ten days."""
+    where = scratch.folder(s, "jobs")
+    j = jobs(s, d)
+    data = F.to_json(F.struct("status", F.unix_timestamp("created").cast("double").alias("created"), F.col("batch_id").cast("string").alias("batch_id"), "stage"))
+    store.store_jobs(j.select(F.col("id").cast("string").alias("id"), data.alias("data")), where)
+    found = store.stored_jobs(s, where, status=["error", "paused"], since=1705795200.0)
+    return found.select(F.col("id").cast("long").alias("id"), "status", F.col("batch_id").cast("long").alias("batch_id"))
+
+
+def log_tail(s, d):
+    """The newest hundred entries of a log of JSON lines, read from the ends of its files."""
+    where = scratch.folder(s, "lines")
+    rows = events(s, d).repartitionByRange("event_id").sortWithinPartitions("event_id")
+    rows.select(F.to_json(F.struct("event_id", "event_type", "value")).alias("value")).write.text(where)
+    return tail.recent(s, where, "event_id long, event_type string, value double", limit=100).select("event_id", "event_type", "value")
+
+
 QUERIES = {
+    "stored_scan": stored_scan,
+    "log_tail": log_tail,
     "failure_shape": lambda s, d: failed(s, d).select("event_id", scalars.failure_class(scalars.output_blob(F.col("stderr"), F.col("stdout")), scalars.FAILURE_SHAPES).alias("shape")),
     "download_failure": download_failures,
     "error_line": lambda s, d: failed(s, d).select("event_id", scalars.error_line(F.col("stderr"), F.col("stdout")).alias("line")),
@@ -334,6 +359,9 @@ QUERIES = {
 
 _SPEECH = "least(end_ms - start_ms, 15000)"
 ORACLES = {
+    "stored_scan": f"WITH {JOBS_SQL} SELECT id, status, batch_id FROM jobs WHERE status IN ('error', 'paused') AND created >= TIMESTAMP '2024-01-21'",
+    "log_tail": "SELECT event_id, event_type, value FROM events ORDER BY event_id DESC LIMIT 100",
+    "qa_text": "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^\\pL\\pN\\pM\\p{Pc}\\s\\x{0085}\\x{00A0}]', ' ', 'g'), '[\\s\\x{0085}\\x{00A0}]+', ' ', 'g'))) AS text FROM documents",
     "failure_shape": f"SELECT event_id, {_quoted(c for _, c, _ in OUTPUTS)}[event_id % {len(OUTPUTS)} + 1] AS shape FROM events",
     "download_failure": f"""WITH {_FAILED}, c AS (SELECT *, {_quoted(c for *_, c in OUTPUTS)}[event_id % {len(OUTPUTS)} + 1] AS failure_class, CASE WHEN source = '' THEN '<URL>' ELSE '''' || source || '''' END AS q FROM failed)
         SELECT event_id, failure_class, left(coalesce(errors[1], shown), 200) AS detail, CASE failure_class {_commands_sql()} END AS commands FROM c""",
@@ -365,7 +393,11 @@ ORACLES = {
             length(regexp_replace(text, '[^0-9]+', '', 'g')) AS a, length(regexp_replace(translated, '[^0-9]+', '', 'g')) AS b FROM runs)
         SELECT run, count(*) AS segments, count(*) FILTER (trim(text) = trim(translated)) AS fallback, count(*) FILTER (contains(translated, 'Here is the translation')) AS meta,
                count(*) FILTER (letters < 8 OR cyr >= letters * 0.3::DOUBLE) / count(*) AS script_ok, least(sum(b) / nullif(sum(a), 0), 1.0) AS digits_kept, avg(length(translated) / greatest(length(trim(text)), 1)) AS len_ratio FROM l GROUP BY run""",
-    "speech_rate_fallback": """SELECT * FROM (VALUES ('de-DE', 10.6::DOUBLE, false), ('ja', 4.8, true), ('zh-CN', 10.6::DOUBLE * 0.3::DOUBLE, false), ('hi', 10.6::DOUBLE * 0.85::DOUBLE, false), ('xx', 10.6, false), ('es', 12.75, true)) t(lang, rate, measured)""",
+    "speech_rate_fallback": """WITH o AS (SELECT lang, text, min((n_chars % 90) + 10)::DOUBLE AS seconds FROM documents WHERE lang != 'fr' GROUP BY lang, text), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY length(text) DESC, text) AS nth FROM o),
+        m AS (SELECT lang AS code, median(length(text) / seconds) AS known FROM r WHERE nth <= 8 GROUP BY lang),
+        n AS (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN lang || '-XX' ELSE ['ja', 'zh-CN', 'hi', 'xx', 'ko-KR', 'th'][doc_id // 2 % 6 + 1] END AS lang FROM documents),
+        s(code, share) AS (VALUES ('ja', 0.42::DOUBLE), ('zh', 0.3::DOUBLE), ('hi', 0.85::DOUBLE), ('ko', 0.55::DOUBLE), ('th', 0.8::DOUBLE))
+        SELECT lang, coalesce(known, 10.6::DOUBLE * coalesce(share, 1.0::DOUBLE)) AS rate, known IS NOT NULL AS measured FROM n LEFT JOIN m ON left(lang, 2) = m.code LEFT JOIN s ON left(lang, 2) = s.code""",
     "digit_counts": """WITH t AS (SELECT doc_id, text || ' ٤٠ 十八' AS t FROM documents) SELECT doc_id, length(regexp_replace(t, '[^\\p{Nd}]+', '', 'g')) AS digits,
         length(regexp_replace(t, '[^\\p{Nd}〇零一壹二貳贰三參叁四肆五伍六陸陆七柒八捌九玖十拾百佰千仟万萬億兆]+', '', 'g')) AS numerals FROM t""",
     "language_names": f"""WITH {JOBS_SQL} SELECT id, CASE WHEN id % 6 = 0 THEN 'Qx-1' ELSE CASE target_lang WHEN 'es' THEN 'Spanish' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' ELSE 'Japanese' END END AS name FROM jobs""",

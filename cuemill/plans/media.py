@@ -133,6 +133,27 @@ def thousandths(df, *names):
     return df.withColumns({n: F.floor(F.col(n) * 1000 + 0.500001) / 1000.0 for n in names})
 
 
+def loudnesses(s, d):
+    """Loudness in LUFS of four jobs in five."""
+    k = F.col("job")
+    return segments(s, d).select("job").distinct().where(k % 5 != 0).select("job", ((k % 13) / F.lit(2.0) - 19.0).alias("lufs"))
+
+
+def full_report(s, d):
+    return quality.scores(*quality_parts(s, d), loudness=loudnesses(s, d))
+
+
+def asr_words(s, d):
+    """Segments with the confidence of their words, for two jobs in three."""
+    k = F.col("job")
+    least = F.when((k % 3 != 0) & (F.col("idx") % 4 != 1), F.col("tier") / F.lit(8.0))
+    return quality.word_confidences(segments(s, d).withColumns({"word_conf_mean": least + 0.25, "word_conf_min": least}))
+
+
+def bench_bleed(s, d):
+    return quality.bleed_share(segments(s, d).withColumnRenamed("job", "run"), target="de", source="fr")
+
+
 def replies(s, d):
     """Segments as a model's replies, with what models add in one of eight ways."""
     text, k = F.col("text"), F.col("idx") % 8
@@ -155,6 +176,9 @@ def bled(s, d):
 
 QUERIES = {
     "translation_bleed": bled,
+    "quality_report": full_report,
+    "asr_words": asr_words,
+    "benchmark_bleed": bench_bleed,
     "reply_cleaned": lambda s, d: replies(s, d).select("job", "idx", F.md5(tx.clean_reply(F.col("reply"))).alias("reply")),
     "narration_cues": lambda s, d: narration.narration_cues(segments(s, d)),
     "script_slides": slides,
@@ -225,6 +249,23 @@ _ARTIFACTS = """artifacts AS (SELECT job, idx, ['transcribe', 'translate', 'tts'
     no_speech / 10 AS fallback_ratio, cer / 4 AS failed_ratio FROM segments)"""
 
 ORACLES = {
+    "quality_report": f"""WITH {_ALL}, {_SCORES}, l AS (SELECT DISTINCT job, (job % 13) / 2.0::DOUBLE - 19.0::DOUBLE AS lufs FROM segments WHERE job % 5 != 0),
+        f AS (SELECT job, asr, translation, tts, timing, m, w, {_CLAMP.format("100.0::DOUBLE - greatest(0.0::DOUBLE, abs(lufs + 16.0::DOUBLE) - 2.0::DOUBLE) * 10.0::DOUBLE")} AS loud, lufs IS NOT NULL AS known FROM scores LEFT JOIN l USING (job))
+        SELECT job, asr, translation, tts, timing, CASE WHEN known THEN loud END AS loudness,
+               CASE WHEN known THEN (m + loud * 0.1::DOUBLE) / (w + 0.1::DOUBLE) WHEN w > 0 THEN m / w END AS overall FROM f""",
+    "asr_words": f"""WITH {SEGMENTS_SQL}, w AS (SELECT job, CASE WHEN job % 3 != 0 AND idx % 4 != 1 THEN tier / 8.0::DOUBLE END AS least FROM segments)
+        SELECT job, round(avg(least + 0.25::DOUBLE), 4) AS word_conf_mean, round(min(least), 4) AS word_conf_min FROM w GROUP BY job""",
+    "benchmark_bleed": f"""WITH {SEGMENTS_SQL}, w AS (SELECT job AS run, idx, len(list_filter(list_intersect(list_distinct(regexp_extract_all(lower(translated), '[\\pL\\pN_]{{5,}}')),
+              list_distinct(regexp_extract_all(lower(text), '[\\pL\\pN_]{{5,}}'))), lambda x: NOT regexp_matches(x, '[0-9]'))) > 0 AS hit FROM segments),
+        n AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY NOT hit, idx) AS nth FROM w)
+        SELECT run, count(*) FILTER (hit) AS bleed_count, coalesce(string_agg(idx::VARCHAR, ',' ORDER BY idx) FILTER (hit AND nth <= 10), '') AS bleed_indices, round(100.0::DOUBLE * count(*) FILTER (hit) / count(*), 1) AS bleed_pct FROM n GROUP BY run""",
+    "split_long": f"""WITH {SEGMENTS_SQL}, l AS (SELECT *, length(text) AS n, regexp_extract_all(text, '(?s).*?[.!?]\\s') AS pieces FROM segments),
+        e AS (SELECT job, idx, n, unnest(generate_series(1, len(pieces))) AS k, pieces FROM l WHERE end_ms - start_ms > 15000 AND n >= 40),
+        p AS (SELECT job, idx, n, sum(length(pieces[k])) OVER (PARTITION BY job, idx ORDER BY k)::BIGINT AS at_ FROM e),
+        c AS (SELECT job, idx, arg_min(at_, abs(at_ * 2 - n) * 100000 + at_) AS cut FROM p WHERE at_ > 20 AND at_ < n - 20 GROUP BY job, idx),
+        t AS (SELECT l.*, cut, (start_ms + floor((end_ms - start_ms) * cut / n))::BIGINT AS middle FROM l LEFT JOIN c USING (job, idx))
+        SELECT job, idx, 0 AS part, start_ms, coalesce(middle, end_ms) AS end_ms, length(CASE WHEN cut IS NULL THEN text ELSE trim(left(text, cut), ' ') END)::INTEGER AS chars FROM t
+        UNION ALL SELECT job, idx, 1, middle, end_ms, length(trim(substr(text, cut + 1), ' '))::INTEGER FROM t WHERE cut IS NOT NULL""",
     "translation_bleed": f"""WITH {SEGMENTS_SQL}, k AS (SELECT *, trim(translated) != '' AND trim(translated) != trim(text) AS whole, list_sort(list_filter(list_intersect(list_distinct(regexp_extract_all(lower(translated), '[\\pL\\pN_]{{5,}}')),
               list_distinct(regexp_extract_all(lower(text), '[\\pL\\pN_]{{5,}}'))), lambda x: NOT regexp_matches(x, '[0-9]'))) AS w FROM segments WHERE trim(text) != ''),
         p(target, source) AS (VALUES ('ru', 'uk'), ('de', 'fr')),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cuemill.functions import scalars
-from cuemill.operators import metering, workbench
+from cuemill.operators import metering, speakers, workbench
 from cuemill.plans.usage import KEYS_SQL, keys
 from cuemill.sources import sinks
 from cuemill.sources.standin import JOBS_SQL, NOW, SEGMENTS_SQL, jobs, segments, table
@@ -126,7 +126,24 @@ def month(s, d):
     return workbench.month_to_date(jobs(s, d), now=NOW)
 
 
+def speaker_ops(s, d):
+    """Four edits of each job, one of them only where the job's number is even, in their order."""
+    of = lambda nth, op, speaker=None, becomes=None, idx=None, label=None: F.struct(F.lit(nth).alias("nth"), F.lit(op).alias("op"), F.lit(speaker).cast("string").alias("speaker"), F.lit(becomes).cast("string").alias("becomes"), F.lit(idx).cast("long").alias("idx"), F.lit(label).cast("string").alias("label"))
+    ops = [of(4, "merge", "guest", "host"), of(1, "merge", "user", "guest"), of(2, "reassign", None, "user", 2), of(3, "mark_non_speech", idx=1), of(5, "rename", "user", label="U")]
+    edits = segments(s, d).select("job").distinct().select("job", F.inline(F.array(*ops))).where("job % 2 = 0 OR nth != 4")
+    return speakers.edited(segments(s, d), edits)
+
+
+def sibling_targets(s, d):
+    """A request for each tenth job of the jobs of one day, about all jobs of its batch."""
+    rows = jobs(s, d).where("created < timestamp '2024-01-02'").select(F.col("id").alias("job"), "batch_id", F.when(F.col("status") == "running", "synthesizing").otherwise(F.col("status")).alias("status"), (F.col("id") % 3 != 0).alias("transcribed"))
+    requests = rows.where("job % 10 = 0").select(F.col("job").alias("request"), "job", (F.col("job") % 20 == 0).alias("apply_to_siblings"))
+    return speakers.targets(requests, rows)
+
+
 QUERIES = {
+    "speaker_ops": speaker_ops,
+    "sibling_targets": sibling_targets,
     "publish_transitions": publish,
     "attempts": attempts,
     "upstream_checkpoint": upstream,
@@ -176,6 +193,17 @@ def _clock(x: str, dot: str) -> str:
 
 
 ORACLES = {
+    "duplicate_suffix": """WITH b AS (SELECT doc_id, left(lower(regexp_replace(regexp_replace(text, '[^\\pL\\pN]+', '-', 'g'), '^-+|-+$', '', 'g')), 48) AS base FROM documents),
+        n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY doc_id) AS nth FROM b) SELECT doc_id, base || CASE WHEN nth > 1 THEN '-' || nth ELSE '' END AS unique_id FROM n""",
+    "webhook_deliveries": f"""WITH hooks(hook_id, enabled, kinds) AS (VALUES (1, true, ['error', 'purchase']), (2, false, ['error']), (3, true, ['view'])),
+        w AS (SELECT hook_id, event_id, event_type || ':' || event_id AS body FROM events JOIN hooks ON enabled AND list_contains(kinds, event_type))
+        SELECT hook_id, event_id, sha256(unhex('{bytes(x ^ 0x5C for x in SIGNING_KEY.ljust(64, bytes(1))).hex()}') || unhex(sha256(unhex('{bytes(x ^ 0x36 for x in SIGNING_KEY.ljust(64, bytes(1))).hex()}') || encode(body)))) AS signature FROM w""",
+    "speaker_ops": f"""WITH {SEGMENTS_SQL} SELECT job, idx, CASE WHEN idx = 2 THEN 'user' WHEN speaker IN ('user', 'guest') THEN CASE WHEN job % 2 = 0 THEN 'host' ELSE 'guest' END ELSE speaker END AS speaker, idx = 1 AS non_speech,
+        (CASE WHEN idx = 2 THEN 0 WHEN speaker = 'user' THEN 1 + (job % 2 = 0)::INTEGER WHEN speaker = 'guest' THEN (job % 2 = 0)::INTEGER ELSE 0 END)::INTEGER AS merged FROM segments""",
+    "sibling_targets": f"""WITH {JOBS_SQL}, r AS (SELECT id AS job, batch_id, CASE WHEN status = 'running' THEN 'synthesizing' ELSE status END AS status, id % 3 != 0 AS transcribed FROM jobs WHERE created < TIMESTAMP '2024-01-02'),
+        t AS (SELECT q.job AS request, o.job, o.status, o.transcribed FROM r q JOIN r o ON q.job % 10 = 0 AND (q.job = o.job OR q.job % 20 = 0 AND q.batch_id = o.batch_id)),
+        w AS (SELECT request, job, CASE WHEN status NOT IN ('review', 'paused', 'error') THEN 'busy' WHEN NOT transcribed THEN 'no checkpoint' END AS reason FROM t)
+        SELECT request, job, reason IS NULL AS ok, reason FROM w""",
     "publish_transitions": f"""WITH a(action, state) AS (VALUES {_ALLOWED}), e AS (SELECT event_id, {_ACTIONS}[event_id % 5 + 1] AS action, {_PUBLISHED}[event_id % 7 + 1] AS state FROM events)
         SELECT *, (action, state) IN (SELECT (action, state) FROM a) AS legal FROM e""",
     "attempts": f"""WITH {JOBS_SQL} SELECT id, batch_id, stage, row_number() OVER w AS attempt, row_number() OVER w = count(*) OVER (PARTITION BY batch_id, stage) AS latest

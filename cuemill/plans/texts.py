@@ -192,6 +192,14 @@ def stream_sessions(s, d, **options):
     return _complete(_streamed(s, d, lambda e: activity.sessions(e, late=None), "complete", **options))
 
 
+def rejections(s, d):
+    """Why lines can't be translations into Russian: Latin ones and ones with Cyrillic tails, some with prose about the task."""
+    front = F.when(F.col("idx") % 6 == 1, "Here is my translation: ").when(F.col("idx") % 6 == 2, "I'll translate ").otherwise("")
+    tail = F.when(F.col("idx") % 2 == 0, F.repeat(F.lit(" словами"), F.floor(F.length("translated") / 8).cast("int") + 1)).otherwise("")
+    rows = segments(s, d).withColumn("translated", F.when(F.col("translated") != "", F.concat(front, "translated", tail)).otherwise(""))
+    return rows.select("job", "idx", tx.rejected(F.col("text"), F.col("translated"), language="ru").alias("why"))
+
+
 def _logged(s, d):
     """The folder of a log and feed into which the error messages went as a stream."""
     where = folder(s, "log")
@@ -218,6 +226,7 @@ def stream_issues(s, d):
 
 
 QUERIES = {
+    "translation_verdicts": rejections,
     "stream_log": stream_log,
     "stream_feed": stream_feed,
     "stream_issues": stream_issues,
@@ -280,6 +289,14 @@ _CENTROIDS = """u AS (SELECT vec_id, label, unnest({unit}) AS x, generate_subscr
     c AS (SELECT label, pos, x / n AS x FROM m JOIN n USING (label))"""
 
 ORACLES = {
+    "foreign_letters": "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text || CASE WHEN doc_id % 3 = 0 THEN 'їжак ё' ELSE '' END), '[іїєґ]'))), '') AS letters FROM documents",
+    "missing_segments": f"WITH {SEGMENTS_SQL}, t AS (SELECT job, idx FROM segments WHERE idx % 4 != 3) SELECT DISTINCT job, idx FROM segments s WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.job = s.job AND t.idx = s.idx)",
+    "dup_idx": f"WITH {SEGMENTS_SQL}, r AS (SELECT job, idx FROM segments UNION ALL SELECT job, idx FROM segments WHERE idx % 4 != 3) SELECT job, idx, count(*) AS n FROM r GROUP BY job, idx HAVING count(*) > 1",
+    "translation_verdicts": f"""WITH {SEGMENTS_SQL}, r AS (SELECT job, idx, text, CASE WHEN translated != '' THEN CASE idx % 6 WHEN 1 THEN 'Here is my translation: ' WHEN 2 THEN 'I''ll translate ' ELSE '' END || translated
+              || CASE WHEN idx % 2 = 0 THEN repeat(' словами', (length(translated) // 8 + 1)::INTEGER) ELSE '' END ELSE '' END AS t FROM segments),
+        l AS (SELECT *, length(regexp_replace(t, '\\PL+', '', 'g')) AS letters, length(regexp_replace(t, '[^\\x{{0400}}-\\x{{052F}}]+', '', 'g')) AS inside FROM r)
+        SELECT job, idx, CASE WHEN length(trim(t)) = 0 THEN 'empty' WHEN length(trim(t)) > greatest(80, length(text) * 5) THEN 'too long' WHEN regexp_matches(t, '(?i)here(''s| is) (the|my) translation|i(''ll| will| can) translate') THEN 'prose about the task'
+               WHEN letters >= 8 AND inside < letters * 0.3::DOUBLE THEN 'wrong script' END AS why FROM l""",
     "redact": f"WITH {_MESSAGES} SELECT event_id, regexp_replace(regexp_replace(message, '\\bhf_[A-Za-z0-9]{{8,}}', '[redacted]', 'g'), '(?i)((?:token|secret|api[_-]?key|password|authorization)\\s*[=:]\\s*)([^\\s\"'',}}]{{4,}})', '\\1[redacted]', 'g') AS message FROM messages",
     "error_signature": f"""WITH {_MESSAGES}, l AS (SELECT event_id, stage, lower(message) AS m FROM messages),
         n AS (SELECT event_id, stage, left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(m, '(?:/[\\w.@-]+){{2,}}', '<path>', 'g'), '\\b[0-9a-f]{{8,}}\\b', '<hex>', 'g'), '0x[0-9a-f]+', '<hex>', 'g'),
@@ -321,15 +338,12 @@ ORACLES = {
     "duration_parse": """WITH t AS (SELECT event_id, event_id AS k FROM events) SELECT event_id, CASE k % 4 WHEN 0 THEN k WHEN 1 THEN (k % 60) * 60 + 7 WHEN 2 THEN (k % 9) * 3600 + 720 + (k % 50 + 10) END AS seconds FROM t""",
     "title_normalize": "SELECT doc_id, trim(regexp_replace(lower(text), '[^\\pL\\pN]+', ' ', 'g')) AS title FROM documents",
     "source_bleed": f"""WITH {SEGMENTS_SQL} SELECT job, idx, len(list_filter(list_intersect(list_distinct(regexp_extract_all(lower(translated), '[\\pL\\pN_]{{5,}}')), list_distinct(regexp_extract_all(lower(text), '[\\pL\\pN_]{{5,}}'))), lambda w: NOT regexp_matches(w, '[0-9]')))::INTEGER AS repeated FROM segments""",
-    "foreign_letters": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'ї' ELSE '' END AS letters FROM documents",
     "word_coverage": f"""WITH {SEGMENTS_SQL}, a AS (SELECT job, w, count(*) AS n FROM (SELECT job, unnest(regexp_extract_all(lower(text), '[\\pL\\pN_]+')) AS w FROM segments) GROUP BY job, w),
         b AS (SELECT job, w, count(*) AS m FROM (SELECT job, unnest(regexp_extract_all(lower(text), '[\\pL\\pN_]+')) AS w FROM segments WHERE idx % 5 != 4) GROUP BY job, w),
         g AS (SELECT job, sum(n)::BIGINT AS words, sum(greatest(n - coalesce(m, 0), 0))::BIGINT AS lost FROM a LEFT JOIN b USING (job, w) GROUP BY job)
         SELECT job, words, lost, lost / words * 100.0::DOUBLE AS lost_pct, CASE WHEN lost / words * 100.0::DOUBLE >= 0.5 THEN 'loss' WHEN lost > 0 THEN 'warn' ELSE 'info' END AS severity FROM g""",
     "stage_audit": f"""WITH {SEGMENTS_SQL}, r AS (SELECT 'transcribe' AS stage, job, idx, text FROM segments UNION ALL SELECT 'translate', job, idx, translated FROM segments WHERE idx % 4 != 3)
         SELECT stage, count(*) AS segments, count(DISTINCT (job, idx)) AS unique_segments, sum(len(regexp_extract_all(lower(text), '[\\pL\\pN_]+')))::BIGINT AS words FROM r GROUP BY stage""",
-    "missing_segments": "SELECT conv_id AS job, turn AS idx FROM conversations WHERE turn % 4 = 3",
-    "dup_idx": "SELECT conv_id AS job, turn AS idx, 2::BIGINT AS n FROM conversations WHERE turn % 4 != 3",
     "benchmark_grades": f"WITH {_RUNS} SELECT * FROM graded",
     "decision_matrix": f"WITH {_RUNS} SELECT model, max(grade) FILTER (target = 'click') AS click, max(grade) FILTER (target = 'error') AS error, max(grade) FILTER (target = 'purchase') AS purchase, max(grade) FILTER (target = 'signup') AS signup, max(grade) FILTER (target = 'view') AS view FROM graded GROUP BY model",
     "checklist_score": """SELECT lang AS subject, (count(*) FILTER (regexp_matches(text, '(?i)the')) + count(*) FILTER (regexp_matches(text, 'of') AND NOT regexp_matches(text, 'xyzzy')) + count(*) FILTER (regexp_matches(text, 'der') AND NOT regexp_matches(text, 'die')))::BIGINT AS passed,
