@@ -38,7 +38,20 @@ def durations(s, d):
     return e.select("event_id", text.alias("text"))
 
 
+def candidate_pairs(s, d):
+    """Every part's name as a new title against the names of the 25 nations, a table of fixed size, as known titles."""
+    a = table(s, d, "part").select("p_partkey", scalars.normalise_title(F.col("p_name")).alias("title"))
+    b = table(s, d, "nation").select(F.col("n_nationkey").alias("other"), scalars.normalise_title(F.col("n_name")).alias("other_title"))
+    return a.join(F.broadcast(b), F.lit(True), "left")
+
+
 def duplicate_scores(s, d):
+    scored = candidate_pairs(s, d).withColumn("ratio", tx.sequence_ratio("title", "other_title"))
+    best = F.max(F.when(F.col("other").isNotNull(), tx.duplicate_score(F.col("ratio"), F.col("p_partkey") % 40, F.col("other") % 40)))
+    return scored.groupBy("p_partkey").agg(best.alias("best")).withColumn("verdict", tx.duplicate_verdict(F.col("best")))
+
+
+def duplicate_titles(s, d):
     """Every part's name against all other parts' names."""
     parts = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), (F.col("p_partkey") % 40).cast("double").alias("seconds"))
     return titles.duplicate_titles(parts).withColumnRenamed("id", "p_partkey")
@@ -241,6 +254,7 @@ QUERIES = {
     "word_boundary_contains": lambda s, d: docs(s, d).where(scalars.word_contains(F.col("text"), "the")).select("doc_id"),
     "cer": lambda s, d: segments(s, d).select("job", "idx", scalars.error_rate(F.col("translated"), F.col("text")).alias("cer")),
     "duplicate_score": duplicate_scores,
+    "duplicate_titles": duplicate_titles,
     "names": names,
     "flags_inconsistent": renderings,
     "glossary_miss": glossary_miss,
@@ -254,7 +268,8 @@ QUERIES = {
     "checklist_score": lambda s, d: corpus_audit.checklist(docs(s, d).select(F.col("lang").alias("subject"), "text"), rules(s)),
     "speech_rate": lambda s, d: corpus_audit.speech_rate(docs(s, d).select("lang", "text", ((F.col("n_chars") % 90) + 10).cast("double").alias("seconds")), anchor="en"),
     "centroid": lambda s, d: corpus_audit.centroids(vectors(s, d), "label", "embedding").select("label", F.posexplode("centroid").alias("pos", "x")).select("label", "pos", F.round("x", 6).alias("x")),
-    "greedy_match": lambda s, d: folds.greedy_pairs(all_profile_matches(s, d).select(F.floor(F.col("vec_id") / 25).alias("grp"), F.col("vec_id").alias("a"), F.col("profile").alias("b"), "score")),
+    "greedy_match": lambda s, d: folds.greedy_pairs(all_profile_matches(s, d).select((F.col("vec_id") % 20).alias("grp"), F.col("vec_id").alias("a"), F.col("profile").alias("b"), "score")),
+    "profile_assignment": lambda s, d: folds.greedy_pairs(all_profile_matches(s, d).select(F.floor(F.col("vec_id") / 25).alias("grp"), F.col("vec_id").alias("a"), F.col("profile").alias("b"), "score")),
     "stage_prints": lambda s, d: prints.stage_prints(print_inputs(s, d)),
     "stage_fingerprint": lambda s, d: fingerprints(s, d).groupBy("stage").agg(F.countDistinct("fingerprint").alias("distinct_prints"), F.count_if(F.col("fingerprint").isNull()).alias("without")),
     "reuse_plan": reuse,
@@ -329,6 +344,13 @@ ORACLES = {
     "flags_inconsistent": f"""WITH {SEGMENTS_SQL}, n AS (SELECT job, count(*) FILTER (idx % 4 = 0) AS same, count(*) FILTER (idx % 4 = 2) AS other FROM segments GROUP BY job)
         SELECT job, 0::BIGINT AS idx, 'Kyoto' AS source_span, 'Kyoto' AS target_span, 'Kyoto|Kioto' AS variants FROM n WHERE same > 0 AND other > 0""",
     "greedy_match": f"""WITH RECURSIVE {_CENTROIDS.format(unit=_UNIT.format(v='embedding'), where='')}, p AS (SELECT label AS profile, list(x ORDER BY pos) AS centroid FROM c GROUP BY label),
+        s AS (SELECT vec_id % 20 AS grp, vec_id AS a, profile AS b, round(list_inner_product({_UNIT.format(v='embedding')}, {_UNIT.format(v='centroid')}), 6) AS score FROM embeddings, p),
+        k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, a, b) AS nth FROM s WHERE score >= 0.1),
+        f AS (SELECT grp, nth, [a] AS left_, [b] AS right_, a, b, score FROM k WHERE nth = 1
+              UNION ALL (SELECT k.grp, k.nth, list_append(f.left_, k.a), list_append(f.right_, k.b), k.a, k.b, k.score FROM f JOIN k ON k.grp = f.grp AND k.nth > f.nth AND NOT list_contains(f.left_, k.a) AND NOT list_contains(f.right_, k.b)
+                         QUALIFY row_number() OVER (PARTITION BY k.grp ORDER BY k.nth) = 1))
+        SELECT grp, a, b::BIGINT AS b, score FROM f""",
+    "profile_assignment": f"""WITH RECURSIVE {_CENTROIDS.format(unit=_UNIT.format(v='embedding'), where='')}, p AS (SELECT label AS profile, list(x ORDER BY pos) AS centroid FROM c GROUP BY label),
         s AS (SELECT vec_id // 25 AS grp, vec_id AS a, profile AS b, round(list_inner_product({_UNIT.format(v='embedding')}, {_UNIT.format(v='centroid')}), 6) AS score FROM embeddings, p),
         k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, a, b) AS nth FROM s WHERE score >= 0.1),
         f AS (SELECT grp, nth, [a] AS left_, [b] AS right_, a, b, score FROM k WHERE nth = 1
