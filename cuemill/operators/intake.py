@@ -68,17 +68,26 @@ def publish_meta(jobs: DataFrame, template: str = "Original: {source_url}") -> D
     return jobs.select("id", title.alias("title"), description.alias("description"), F.slice(tags, 1, 10).alias("tags"), F.lit(True).alias("is_private"))
 
 
-def candidate(raw: DataFrame, *, music: int = 10) -> DataFrame:
+def candidate(raw: DataFrame, *, music: int = 10, keep: list[str] | None = None) -> DataFrame:
     """Feed entries in one form: typed numbers (null where they aren't any), flags, the watch address."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     number = lambda c: F.col(c).try_cast("long")
     return raw.select(
         text("id").alias("video_id"), F.concat(F.lit("https://www.youtube.com/watch?v="), text("id")).alias("url"), text("title").alias("title"),
         scalars.parse_duration(F.col("duration")).alias("duration_sec"), number("view_count").alias("view_count"), number("rank").alias("rank"),
-        number("category_id").alias("category_id"), F.coalesce(number("category_id") == music, F.lit(False)).alias("is_music"),
+        number("category_id").alias("category_id"), F.coalesce(number("category_id") == music, F.lit(False)).alias("is_music"), *(keep or []),
     )
 
 
+def candidate_details(raw: DataFrame) -> DataFrame:
+    """``candidate`` with the channel, the change of rank, whether it is a short, and its picture's address."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    short = ~F.lower(F.trim(text("is_short"))).isin("", "0", "false", "none", "null")
+    rows = raw.select("*", text("channel_title").alias("channel"), F.col("rank_delta").try_cast("long").alias("_delta"), short.alias("_short"), text("thumb_url").alias("_thumb"))
+    extra = F.struct(F.col("channel"), F.col("_delta").alias("rank_delta"), F.col("_short").alias("is_short"), F.col("_thumb").alias("thumb_url"))
+    return candidate(rows.withColumn("_x", extra), keep=["_x"]).select("*", "_x.*").drop("_x")
+
+
 def first_match(left: DataFrame, right: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """``left`` with ``matched`` (the first ``value`` of the rows of ``right`` with its key) and whether there is one."""
     first = right.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(value, order).alias("matched"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The states of a job whose speakers may be edited.
@@ -72,3 +72,26 @@ def cast_after(cast: DataFrame, edits: DataFrame) -> DataFrame:
     """The voices (job, speaker, voice) without those of speakers that were merged into others."""
     gone = edits.where("op = 'merge'").select("job", "speaker").distinct()
     return cast.join(gone, ["job", "speaker"], "left_anti")
+
+
+def cards(segments: DataFrame, labels: DataFrame, matches: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """(job, nth, speaker, display, label, match, confirmed, talk_ms, lines): each job's speakers, who talks most first.
+
+    A speaker is shown by the confirmed name, else the label, else its own id; a match (job, speaker, match) is a suggestion
+    and never shown as the name. A segment that ends before it starts counts as a line without time.
+    """
+    talk = F.sum(F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0)))
+    rows = segments.groupBy("job", "speaker").agg(talk.alias("talk_ms"), F.count(F.lit(1)).alias("lines"))
+    for side in (labels, matches, confirmed):
+        rows = rows.join(side, ["job", "speaker"], "left")
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    nth = F.row_number().over(Window.partitionBy("job").orderBy(F.desc("talk_ms"), "speaker"))
+    return rows.select("job", nth.alias("nth"), "speaker", F.coalesce(some("confirmed"), some("label"), F.col("speaker")).alias("display"), some("label").alias("label"), "match", "confirmed", "talk_ms", "lines")
+
+
+def cast_findings(segments: DataFrame, cast: DataFrame) -> DataFrame:
+    """(job, findings): speakers without a voice of their own; none in a job with a single speaker."""
+    who = segments.where("speaker != ''").select("job", "speaker").distinct()
+    rows = who.join(cast.select("job", "speaker", F.lit(True).alias("_cast")).distinct(), ["job", "speaker"], "left")
+    counts = rows.groupBy("job").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_cast").isNull()).alias("open"))
+    return counts.select("job", F.when(F.col("n") > 1, F.col("open")).otherwise(0).alias("findings"))

@@ -203,6 +203,19 @@ def split_long(segments: DataFrame, *, longest: int = 15_000) -> DataFrame:
     return s.select("job", "idx", *who, F.explode(F.when(F.col("cut").isNull(), whole).otherwise(halves)).alias("p")).select("job", "idx", *who, "p.*")
 
 
+def fit_limits(segments: DataFrame, overrides: DataFrame, *, base: float) -> DataFrame:
+    """(job, idx, max_stretch, pad_ms): how far each segment's speech may be compressed, and how much earlier it may begin.
+
+    ``overrides`` (job, idx, max_stretch, pad_ms) replace the base, within 1 and 2.5; speech with an emotion in brackets in
+    front may take 0.07 more.
+    """
+    rows = segments.join(overrides.withColumnsRenamed({"max_stretch": "_own", "pad_ms": "_pad"}), ["job", "idx"], "left")
+    text = F.regexp_replace(F.coalesce("translated", F.lit("")), r"(?U)^\s+", "")
+    felt = F.startswith(text, F.lit("(")) & F.contains(F.left(text, F.lit(30)), F.lit(")"))
+    limit = F.when(F.col("_own").isNull(), base).otherwise(F.least(F.greatest(F.col("_own"), F.lit(1.0)), F.lit(2.5)))
+    return rows.select("job", "idx", (limit + F.when(felt, 0.07).otherwise(0.0)).alias("max_stretch"), F.greatest(F.coalesce("_pad", F.lit(0)), F.lit(0)).alias("pad_ms"))
+
+
 def take_longest(clips: DataFrame, *, total: int = 60_000, each: int = 15_000, least: int = 1000) -> DataFrame:
     """Per job and speaker: clips by length, each at most ``each``, until ``total``; parts under ``least`` are left out."""
     w = Window.partitionBy("job", "speaker").orderBy(F.desc("length_ms"), "idx")

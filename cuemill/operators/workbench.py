@@ -151,6 +151,20 @@ def around(log: DataFrame, key: str, failures: DataFrame, *, before: int = 20, a
     return rows.drop("at").withColumn("at", F.explode("near")).drop("near")
 
 
+def glossary_for(domains: DataFrame, language: str) -> DataFrame:
+    """(term, dst, say): a glossary's terms for one language; of several domains the last that has a value decides.
+
+    ``domains`` (pos, target_lang, term, dst, say) in their order ``pos``. A domain without a language is for all; without a
+    language asked for, all domains count. Translations keep their blanks, respellings and their terms lose them.
+    """
+    asked = F.lit(language.strip().lower()[:2])
+    own = F.left(F.lower(F.trim(F.coalesce("target_lang", F.lit("")))), F.lit(2))
+    rows = domains.where((own == "") | (asked == "") | (own == asked))
+    said = rows.where("trim(dst) != ''").groupBy("term").agg(F.max_by("dst", "pos").alias("dst"))
+    spoken = rows.where("trim(say) != '' AND trim(term) != ''").groupBy(F.trim("term").alias("term")).agg(F.max_by(F.trim("say"), "pos").alias("say"))
+    return said.join(spoken, "term", "full").where("term IS NOT NULL").select("term", "dst", "say")
+
+
 def merge_terms(old: DataFrame, new: DataFrame) -> DataFrame:
     """A glossary (term, dst, say) with new entries; a field that the new entry lacks keeps its old value."""
     a, b = old.select("term", F.col("dst").alias("d0"), F.col("say").alias("s0")), new.select("term", F.col("dst").alias("d1"), F.col("say").alias("s1"))

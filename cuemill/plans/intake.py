@@ -107,6 +107,13 @@ def feed(s, d):
     )
 
 
+def candidate_details(s, d):
+    k = F.col("event_id")
+    short = _pick(["0", "1", "", "false", "None", "0"], k)
+    raw = feed(s, d).withColumn("event_id", F.col("rank").cast("long")).withColumns({"channel_title": F.when(k % 7 != 0, F.concat(F.lit("ch "), "id")), "rank_delta": F.when(k % 4 != 1, (k % 11 - 5).cast("string")).otherwise("n/a"), "is_short": short, "thumb_url": F.lit(None).cast("string")})
+    return intake.candidate_details(raw).select("video_id", "channel", "rank_delta", "is_short", "rank")
+
+
 def first_jobs(s, d):
     done = jobs(s, d).where("status = 'complete'").select(F.col("batch_id").alias("user_id"), "id")
     return intake.first_match(events(s, d).select("event_id", "user_id"), done, "user_id", "id", "id")
@@ -315,6 +322,7 @@ QUERIES = {
     "metadata_curated": curated,
     "publish_meta": published,
     "candidates": lambda s, d: intake.candidate(feed(s, d)),
+    "candidate_details": candidate_details,
     "first_match": first_jobs,
     "gates_resolved": gates,
     "gates_refused": lambda s, d: intake.bad_gates(gate_jobs(s, d).withColumn("explicit", F.create_map(F.col("stage"), F.lit("on"), F.lit("subtitles"), F.lit("maybe")))),
@@ -359,6 +367,7 @@ QUERIES = {
 
 _SPEECH = "least(end_ms - start_ms, 15000)"
 ORACLES = {
+    "candidate_details": """SELECT user_id::VARCHAR AS video_id, CASE WHEN event_id % 7 != 0 THEN 'ch ' || user_id ELSE '' END AS channel, CASE WHEN event_id % 4 != 1 THEN event_id % 11 - 5 END AS rank_delta, event_id % 6 = 1 AS is_short, event_id AS rank FROM events""",
     "stored_scan": f"WITH {JOBS_SQL} SELECT id, status, batch_id FROM jobs WHERE status IN ('error', 'paused') AND created >= TIMESTAMP '2024-01-21'",
     "log_tail": "SELECT event_id, event_type, value FROM events ORDER BY event_id DESC LIMIT 100",
     "qa_text": "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^\\pL\\pN\\pM\\p{Pc}\\s\\x{0085}\\x{00A0}]', ' ', 'g'), '[\\s\\x{0085}\\x{00A0}]+', ' ', 'g'))) AS text FROM documents",

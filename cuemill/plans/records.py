@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cuemill.functions import scalars
-from cuemill.operators import metering, speakers, workbench
+from cuemill.operators import folds, metering, speakers, timeline, workbench
 from cuemill.plans.usage import KEYS_SQL, keys
 from cuemill.sources import sinks
 from cuemill.sources.standin import JOBS_SQL, NOW, SEGMENTS_SQL, jobs, segments, table
@@ -126,6 +126,46 @@ def month(s, d):
     return workbench.month_to_date(jobs(s, d), now=NOW)
 
 
+def speaker_cards(s, d):
+    x = segments(s, d)
+    who = x.select("job", "speaker").distinct()
+    k = F.col("job")
+    labels = who.where(k % 2 == 0).select("job", "speaker", F.when(k % 4 == 0, F.concat("speaker", F.lit(" L"))).otherwise("").alias("label"))
+    matches = who.where(k % 3 == 0).select("job", "speaker", F.lit("profile").alias("match"))
+    confirmed = who.where((k % 5 == 0) & (F.col("speaker") == "user")).select("job", "speaker", F.concat(F.lit("Guest "), k.cast("string")).alias("confirmed"))
+    return speakers.cards(x, labels, matches, confirmed)
+
+
+def uncast(s, d):
+    x = segments(s, d)
+    return speakers.cast_findings(x, x.where((F.col("job") % 3 == 0) & (F.col("speaker") == "user")).select("job", "speaker"))
+
+
+def fits(s, d):
+    x = segments(s, d).withColumn("translated", F.when(F.col("idx") % 4 == 0, F.concat(F.lit("  (happy) "), "translated")).when(F.col("idx") % 4 == 1, F.concat(F.lit("( "), F.repeat(F.lit("x"), 40), F.lit(")"))).otherwise(F.col("translated")))
+    own = x.where("idx % 3 = 1").select("job", "idx", (F.col("tier") * 0.9 + 0.5).alias("max_stretch"), (F.col("tier") * 100 - 100).alias("pad_ms"))
+    return timeline.fit_limits(x, own, base=1.4)
+
+
+def glossaries(s, d):
+    """Customers as terms of domains by nation: of each name's first digits, in one of three languages or in none."""
+    c = table(s, d, "customer")
+    k = F.col("c_custkey")
+    rows = c.select(k.alias("pos"), F.when(k % 4 == 0, "DE-de").when(k % 4 == 1, " fr ").when(k % 4 == 2, "").alias("target_lang"), F.concat(F.when(k % 6 == 0, " ").otherwise(""), F.lit("term "), (k % 50).cast("string")).alias("term"), F.when(k % 3 != 0, F.concat(F.lit("dst "), k.cast("string"))).otherwise(" ").alias("dst"), F.when(k % 5 == 0, F.concat(F.lit(" say "), k.cast("string"))).alias("say"))
+    return workbench.glossary_for(rows, "de")
+
+
+def numbered(s, d):
+    """Each job's segments as a numbered reply in one of three forms; every fifth job's lacks its second number."""
+    idx, text = F.col("idx"), F.col("text")
+    n = (idx + 1).cast("string")
+    form = F.when(F.col("job") % 3 == 0, F.concat(n, F.lit(". "), text)).when(F.col("job") % 3 == 1, F.concat(F.lit("["), n, F.lit("] "), text)).otherwise(F.concat(F.lit("**"), n, F.lit(":** "), text))
+    line = F.when((F.col("job") % 5 == 0) & (idx == 1), text).otherwise(form)
+    rows = segments(s, d).groupBy("job").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", line.alias("l")))), lambda x: x["l"]), "\n").alias("reply"), F.count(F.lit(1)).cast("int").alias("n"))
+    found = folds.numbered_reply(F.concat(F.lit("Sure:\n"), F.col("reply")), F.col("n"))
+    return rows.select("job", "n", F.md5(F.array_join(found, "|")).alias("lines"))
+
+
 def speaker_ops(s, d):
     """Four edits of each job, one of them only where the job's number is even, in their order."""
     of = lambda nth, op, speaker=None, becomes=None, idx=None, label=None: F.struct(F.lit(nth).alias("nth"), F.lit(op).alias("op"), F.lit(speaker).cast("string").alias("speaker"), F.lit(becomes).cast("string").alias("becomes"), F.lit(idx).cast("long").alias("idx"), F.lit(label).cast("string").alias("label"))
@@ -143,6 +183,11 @@ def sibling_targets(s, d):
 
 QUERIES = {
     "speaker_ops": speaker_ops,
+    "speaker_cards": speaker_cards,
+    "cast_findings": uncast,
+    "fit_limits": fits,
+    "glossary_flat": glossaries,
+    "numbered_lines": numbered,
     "sibling_targets": sibling_targets,
     "publish_transitions": publish,
     "attempts": attempts,
@@ -193,6 +238,17 @@ def _clock(x: str, dot: str) -> str:
 
 
 ORACLES = {
+    "speaker_cards": f"""WITH {SEGMENTS_SQL}, t AS (SELECT job, speaker, sum(greatest(end_ms - start_ms, 0))::BIGINT AS talk_ms, count(*) AS lines FROM segments GROUP BY ALL),
+        j AS (SELECT *, CASE WHEN job % 4 = 0 THEN speaker || ' L' END AS label, CASE WHEN job % 3 = 0 THEN 'profile' END AS match, CASE WHEN job % 5 = 0 AND speaker = 'user' THEN 'Guest ' || job END AS confirmed FROM t)
+        SELECT job, row_number() OVER (PARTITION BY job ORDER BY talk_ms DESC, speaker)::INTEGER AS nth, speaker, coalesce(confirmed, label, speaker) AS display, label, match, confirmed, talk_ms, lines FROM j""",
+    "cast_findings": f"""WITH {SEGMENTS_SQL}, w AS (SELECT DISTINCT job, speaker FROM segments WHERE speaker != '')
+        SELECT job, CASE WHEN count(*) > 1 THEN count(*) FILTER (NOT (job % 3 = 0 AND speaker = 'user')) ELSE 0 END AS findings FROM w GROUP BY job""",
+    "fit_limits": f"""WITH {SEGMENTS_SQL} SELECT job, idx, CASE WHEN idx % 3 = 1 THEN least(greatest(tier * 0.9::DOUBLE + 0.5::DOUBLE, 1.0::DOUBLE), 2.5::DOUBLE) ELSE 1.4::DOUBLE END + CASE WHEN idx % 4 = 0 THEN 0.07::DOUBLE ELSE 0.0::DOUBLE END AS max_stretch,
+        CASE WHEN idx % 3 = 1 THEN greatest(tier * 100 - 100, 0) ELSE 0 END AS pad_ms FROM segments""",
+    "glossary_flat": """WITH r AS (SELECT c_custkey AS pos, CASE WHEN c_custkey % 6 = 0 THEN ' ' ELSE '' END || 'term ' || (c_custkey % 50) AS term, CASE WHEN c_custkey % 3 != 0 THEN 'dst ' || c_custkey END AS dst, CASE WHEN c_custkey % 5 = 0 THEN 'say ' || c_custkey END AS say FROM customer WHERE c_custkey % 4 != 1),
+        a AS (SELECT term, arg_max(dst, pos) AS dst FROM r WHERE dst IS NOT NULL GROUP BY term), b AS (SELECT trim(term) AS term, arg_max(say, pos) AS say FROM r WHERE say IS NOT NULL GROUP BY trim(term))
+        SELECT term, dst, say FROM a FULL JOIN b USING (term)""",
+    "numbered_lines": f"""WITH {SEGMENTS_SQL} SELECT job, count(*)::INTEGER AS n, CASE WHEN job % 5 != 0 OR count(*) < 2 THEN md5(string_agg(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x != ''), ' '), '|' ORDER BY idx)) END AS lines FROM segments GROUP BY job""",
     "duplicate_suffix": """WITH b AS (SELECT doc_id, left(lower(regexp_replace(regexp_replace(text, '[^\\pL\\pN]+', '-', 'g'), '^-+|-+$', '', 'g')), 48) AS base FROM documents),
         n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY doc_id) AS nth FROM b) SELECT doc_id, base || CASE WHEN nth > 1 THEN '-' || nth ELSE '' END AS unique_id FROM n""",
     "webhook_deliveries": f"""WITH hooks(hook_id, enabled, kinds) AS (VALUES (1, true, ['error', 'purchase']), (2, false, ['error']), (3, true, ['view'])),

@@ -53,3 +53,16 @@ def test_edits_that_cannot_be_applied(spark):
     df = spark.createDataFrame(rows, "op string, speaker string, becomes string, idx int, label string")
     got = [r[0] for r in df.select(speakers.invalid_reason(*[F.col(c) for c in df.columns])).collect()]
     assert got == ["unknown op", "merge needs two speakers", "merge needs two speakers", "reassign needs a segment and a speaker", "rename needs a speaker and a label", "mark_non_speech needs segments", None, None, "unknown op"]
+
+
+def test_cards_show_confirmed_names_then_labels_then_ids(spark):
+    segments = spark.createDataFrame([(1, "S1", 0, 900), (1, "S2", 900, 3000), (1, "S3", 5000, 4000), (1, "S3", 0, 900)], "job int, speaker string, start_ms int, end_ms int")
+    side = lambda name, *rows: spark.createDataFrame(list(rows), f"job int, speaker string, {name} string")
+    got = speakers.cards(segments, side("label", (1, "S1", "Host"), (1, "S3", "")), side("match", (1, "S3", "Ann")), side("confirmed", (1, "S2", "Bob"))).orderBy("nth").collect()
+    assert [(r["speaker"], r["display"], r["talk_ms"], r["lines"]) for r in got] == [("S2", "Bob", 2100, 1), ("S1", "Host", 900, 1), ("S3", "S3", 900, 2)]
+
+
+def test_findings_of_the_cast(spark):
+    segments = spark.createDataFrame([(1, "S1"), (2, "S1"), (2, "S2"), (3, "S1"), (3, "S2")], "job int, speaker string")
+    cast = spark.createDataFrame([(3, "S1", "x"), (3, "S2", "y"), (2, "S9", "z")], "job int, speaker string, voice string")
+    assert {r["job"]: r["findings"] for r in speakers.cast_findings(segments, cast).collect()} == {1: 0, 2: 2, 3: 0}

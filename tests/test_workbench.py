@@ -143,3 +143,20 @@ def test_order_statistics_of_large_groups(spark, monkeypatch):
     assert "d" not in got
     near = {r["g"]: (r["p50"], r["samples"]) for r in console.nearest_rank(spark.createDataFrame(rows, "g string, v double"), "g", "v", {"p50": 0.5}).collect()}
     assert near["d"] == (None, 0) and near["a"] == (sorted(v for k, v in rows if k == "a")[18_999], 38_000)
+
+
+def test_glossary_for_a_language(spark):
+    rows = [(1, "de", "sun", "Sonne", None), (2, "", "sun", "SONNE", " zon "), (3, "fr", "sun", "soleil", "x"), (4, "DE-at", " sun ", " ", "son"), (5, None, "moon", None, None), (6, "de", "sky", "Himmel", "")]
+    df = spark.createDataFrame(rows, "pos int, target_lang string, term string, dst string, say string")
+    found = lambda lang: {r["term"]: (r["dst"], r["say"]) for r in workbench.glossary_for(df, lang).collect()}
+    assert found("de-DE") == {"sun": ("SONNE", "son"), "sky": ("Himmel", None)}
+    assert found("it") == {"sun": ("SONNE", "zon")} and found("") == {"sun": ("soleil", "son"), "sky": ("Himmel", None)}
+
+
+def test_limits_of_the_fit(spark):
+    from cuemill.operators import timeline
+
+    segments = spark.createDataFrame([(1, k, t) for k, t in enumerate(["plain", " (angry) x", "(" + "y" * 40 + ")", None, "z"])], "job int, idx int, translated string")
+    own = spark.createDataFrame([(1, 0, 9.0, -5), (1, 1, 0.5, 200), (1, 4, None, 10)], "job int, idx int, max_stretch double, pad_ms int")
+    got = sorted(tuple(r) for r in timeline.fit_limits(segments, own, base=1.4).collect())
+    assert got == [(1, 0, 2.5, 0), (1, 1, 1.07, 200), (1, 2, 1.4, 0), (1, 3, 1.4, 0), (1, 4, 1.4, 10)]
