@@ -52,6 +52,8 @@ _OPAQUE = r"^(?=.{24})(?=(?:[^0-9]*+[0-9]){6})(?=(?:[^A-Za-z]*+[A-Za-z]){6})"
 SEED_PERCENT = 40
 #: A pattern is trusted with this many distinct known instances and this precision, reckoned with so many unknown ones more.
 SUPPORT, PRECISION, CAUTION = 5, 0.6, 3
+#: Files of a round's trusted patterns.
+PATTERN_FILES = 16
 #: Characters of a piece in which text is cut for redaction.
 _CUT = 4096
 
@@ -182,7 +184,8 @@ def trusted_patterns(spans: DataFrame, *, rounds: int | None = None, support: in
         is_known = (F.col("hit").isNotNull() | (F.col("seed") > 0)).cast("int")
         scores = marked.groupBy("pattern").agg(F.sum(is_known).alias("good"), F.sum(stands).alias("like"), F.count(F.lit(1)).alias("all"))
         enough = (F.col("good") >= support) & (F.least("like", F.col("all").cast("double")) / (F.col("all") + caution) >= precision)
-        newer = materialize(scores.where(enough).select("pattern"), f"patterns-{turn}")
+        # Few rows are left of each task's: a few files hold them.
+        newer = materialize(scores.where(enough).select("pattern").repartition(PATTERN_FILES), f"patterns-{turn}")
         release(trusted)
         trusted, before, turn = newer, known, turn + 1
         known = trusted.count()
