@@ -102,3 +102,22 @@ def test_cut_near_the_best_of_small_graphs(spark, make_docs, seed):
 def test_registered_query(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     check(op2_sharding(spark, "/root/testdata/sf0.001").collect(), [(r[0], r[1]) for r in docs], 24)
+
+
+def test_no_python_in_any_plan(spark, make_docs, monkeypatch):
+    plans = []
+
+    def written(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, label)
+
+    keep = sharding.materialize
+    monkeypatch.setattr(sharding, "materialize", written)
+    found = sharding.assign_shards(make_docs([f"text {k % 7}" for k in range(60)]), shards=4)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 1 and not any("Python" in p or "Arrow" in p or "Pandas" in p for p in plans)
+
+
+def test_rows_without_id_and_text_are_spread(spark, make_docs):
+    texts = [(None, None)] * 90 + [(k, f"t{k}") for k in range(30)]
+    check(sharding.assign_shards(make_docs(texts), shards=6).collect(), texts, 6)

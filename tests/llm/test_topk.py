@@ -86,3 +86,14 @@ def test_queries_visit_few_shards_and_rounds_give_the_same(spark, monkeypatch):
     assert found.agg(F.sum("scored")).first()[0] < found.agg(F.sum("blocks")).first()[0]
     monkeypatch.setattr(topk, "BOUNDS", 12 * 2 * 5)
     assert result(spark, rows, 20) == brute(rows, 20)
+
+
+def test_clashing_extra_columns(spark):
+    rng = random.Random(2)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(5)]) for k in range(60)]
+    v = spark.createDataFrame([(i, x, 0) for i, x in rows], SCHEMA).select("vec_id", topk.quantise(F.col("embedding")).alias("v"), F.lit("x").alias("shard"), F.lit(1).alias("cell"), F.lit(2).alias("score"))
+    got = topk.top_k(v, v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id").withColumn("floor", F.lit("y")), k=4)
+    found = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert found == brute(rows, 4)
