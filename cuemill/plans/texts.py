@@ -38,17 +38,19 @@ def durations(s, d):
     return e.select("event_id", text.alias("text"))
 
 
-def candidate_pairs(s, d):
-    """Every part's name as a new title against the names of the 25 nations, a table of fixed size, as known titles."""
-    a = table(s, d, "part").select("p_partkey", scalars.normalise_title(F.col("p_name")).alias("title"))
-    b = table(s, d, "nation").select(F.col("n_nationkey").alias("other"), scalars.normalise_title(F.col("n_name")).alias("other_title"))
-    return a.join(F.broadcast(b), F.lit(True), "left")
-
-
 def duplicate_scores(s, d):
-    scored = candidate_pairs(s, d).withColumn("ratio", tx.sequence_ratio("title", "other_title"))
-    best = F.max(F.when(F.col("other").isNotNull(), tx.duplicate_score(F.col("ratio"), F.col("p_partkey") % 40, F.col("other") % 40)))
-    return scored.groupBy("p_partkey").agg(best.alias("best")).withColumn("verdict", tx.duplicate_verdict(F.col("best")))
+    """Every part's name as a new title against the names of the 25 nations, a table of fixed size, as known titles.
+
+    Different titles are compared, and parts of one title and duration have one score.
+    """
+    parts = table(s, d, "part").select("p_partkey", scalars.normalise_title(F.col("p_name")).alias("title"), (F.col("p_partkey") % 40).alias("seconds"))
+    known = table(s, d, "nation").select((F.col("n_nationkey") % 40).alias("other"), scalars.normalise_title(F.col("n_name")).alias("other_title")).where("other IS NOT NULL")
+    ratios = parts.select("title").distinct().crossJoin(F.broadcast(known.select("other_title").distinct())).select("title", "other_title", tx.sequence_ratio("title", "other_title").alias("ratio"))
+    asked = parts.select(F.col("title").alias("t"), F.col("seconds").alias("s")).distinct()
+    scored = asked.join(ratios.hint("merge"), F.col("t").eqNullSafe(F.col("title"))).join(F.broadcast(known.withColumnRenamed("other_title", "o")), F.col("o").eqNullSafe(F.col("other_title")))
+    best = scored.groupBy("t", "s").agg(F.max(tx.duplicate_score(F.col("ratio"), F.col("s"), F.col("other"))).alias("best"))
+    found = parts.join(best, F.col("title").eqNullSafe(F.col("t")) & F.col("seconds").eqNullSafe(F.col("s")), "left")
+    return found.groupBy("p_partkey").agg(F.max("best").alias("best")).withColumn("verdict", tx.duplicate_verdict(F.col("best")))
 
 
 def duplicate_titles(s, d):

@@ -27,3 +27,21 @@ def test_only_few_phrases_are_broadcast(spark, monkeypatch):
     monkeypatch.setattr(phrases, "SMALL_ROWS", 1)
     many = hits()
     assert "Broadcast" not in plan(many) and sorted(map(tuple, many.collect())) == want
+
+
+def test_equal_titles_are_compared_once(spark, tmp_path):
+    parts = [(k, ["The Title", "the title!", None, "other"][k % 4]) for k in range(400)] + [(1, "nation x"), (None, "nation x")]
+    spark.createDataFrame(parts, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    nations = [(k, f"Nation {chr(97 + k)}") for k in range(25)] + [(None, "the title"), (3, None)]
+    spark.createDataFrame(nations, "n_nationkey long, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    df = registry.QUERIES["duplicate_score"](spark, str(tmp_path))
+    got = {r["p_partkey"]: r["best"] for r in df.collect()}
+    ratio = lambda a, b: tx.difflib.SequenceMatcher(None, a, b).ratio()
+    plain = lambda t: re.sub(r"[^a-z0-9]+", " ", (t or "").lower()).strip()
+    want = {}
+    for k, t in parts:
+        best = max(ratio(plain(t), plain(n)) * (0.5 if k is not None and abs(k % 40 - j % 40) > 5 else 1) for j, n in nations if j is not None)
+        want[k] = max(best, want.get(k, best))
+    assert got == pytest.approx(want)
+    # Python gets what an aggregate over titles gave.
+    assert "HashAggregate" in plan(df).split("ArrowEvalPython")[1].split("ArrowEvalPython")[0]
