@@ -84,8 +84,9 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector over its length; all zeros stay."""
-    n = F.sqrt(dot(v, v))
-    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    # As an array's only element the length is found once, not anew for each component.
+    over = lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    return F.get(F.transform(F.array(F.sqrt(dot(v, v))), over), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -100,10 +101,11 @@ def centroids(vectors: DataFrame, by: str, value: str) -> DataFrame:
     return rows.withColumn("centroid", unit(F.col("centroid")))
 
 
-def profile_scores(vectors: DataFrame, profiles: DataFrame, *, threshold: float) -> DataFrame:
-    """(vec_id, label, score): each vector against each profile's centroid (a few rows)."""
-    pairs = vectors.crossJoin(profiles)
-    return pairs.select("vec_id", "label", cosine(F.col("embedding"), F.col("centroid")).alias("score")).where(F.col("score") >= threshold)
+def profile_scores(vectors: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(vec_id, label, score): the cosine of each vector and each profile's centroid (a few rows), each brought to length one once."""
+    ours = vectors.select("vec_id", unit(F.col("embedding")).alias("_u"))
+    pairs = ours.crossJoin(F.broadcast(profiles.select("label", unit(F.col("centroid")).alias("_c"))))
+    return pairs.select("vec_id", "label", F.when(F.size("_u") == F.size("_c"), dot(F.col("_u"), F.col("_c"))).otherwise(0.0).alias("score"))
 
 
 def fingerprint(columns: list[Column], required: list[Column], version: str) -> Column:

@@ -293,9 +293,8 @@ QUERIES = {
 
 def all_profile_matches(s, d):
     """All vectors against the centroids of all, by label."""
-    p = corpus_audit.centroids(vectors(s, d), "label", "embedding").select(F.col("label").alias("profile"), "centroid")
-    pairs = vectors(s, d).crossJoin(p)
-    return pairs.select("vec_id", "profile", F.round(corpus_audit.cosine(F.col("embedding"), F.col("centroid")), 6).alias("score")).where("score >= 0.1")
+    p = corpus_audit.centroids(vectors(s, d), "label", "embedding")
+    return corpus_audit.profile_scores(vectors(s, d), p).select("vec_id", F.col("label").alias("profile"), F.round("score", 6).alias("score")).where("score >= 0.1")
 
 
 QUERIES["cosine_topk"] = all_profile_matches
