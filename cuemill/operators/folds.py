@@ -213,12 +213,21 @@ def greedy_pairs(scores: DataFrame) -> DataFrame:
     that the greedy order takes, so all such pairs are taken at once, and what shares a side with them is left out. Each
     round takes at least the best pair of each group. Repeated pairs count once, with their best score; a null on either
     side or a null score takes no part.
+
+    A group has at most as many pairs as its smaller side has members. So what is better than a taken pair on either of its
+    sides, all of it lost to other pairs, is less than that many, and only so many of each side's best pairs go into the rounds.
     """
     spark = scores.sparkSession
     rows = scores.where("a IS NOT NULL AND b IS NOT NULL AND score IS NOT NULL").groupBy("grp", "a", "b").agg(F.max("score").alias("score"))
     # A null group is a group too.
     left = scratch.written(rows.withColumn("g", F.struct("grp")), "pairs")
     taken, order = [], F.struct((-F.col("score")).alias("s"), "a", "b")
+    sides = [left.select("g", c).distinct().groupBy("g").agg(F.count(F.lit(1)).alias(f"n_{c}")) for c in "ab"]
+    most = sides[0].join(sides[1], "g").agg(F.max(F.least("n_a", "n_b")).alias("n")).first()["n"] or 0
+    for side in "ba":
+        nth = F.row_number().over(Window.partitionBy("g", side).orderBy(order))
+        left = left.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
+    left = scratch.written(left, "pairs")
     while True:
         by_a = left.groupBy("g", "a").agg(F.min(order).alias("o"))
         by_b = left.groupBy("g", "b").agg(F.min(order).alias("o"))

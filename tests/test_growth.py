@@ -47,6 +47,22 @@ def test_equal_titles_are_compared_once(spark, tmp_path):
     assert "HashAggregate" in plan(df).split("ArrowEvalPython")[1].split("ArrowEvalPython")[0]
 
 
+def test_rounds_get_each_sides_best_pairs(spark, monkeypatch):
+    rng, written = random.Random(4), []
+    rows = [(k % 2, k, b, rng.choice([0.5, rng.random()])) for k in range(400) for b in range(3)]
+    keep = folds.scratch.written
+    monkeypatch.setattr(folds.scratch, "written", lambda df, label: written.append((label, out := keep(df, label))) or out)
+    got = folds.greedy_pairs(spark.createDataFrame(rows, "grp long, a long, b long, score double")).collect()
+    best, used = [], set()
+    for g, a, b, s in sorted(rows, key=lambda r: (-r[3], r[1], r[2])):
+        if not {(g, "a", a), (g, "b", b)} & used:
+            used |= {(g, "a", a), (g, "b", b)}
+            best.append((g, a, b, s))
+    assert sorted(map(tuple, got)) == sorted(best)
+    # Three pairs of each of three b in two groups.
+    assert [df.count() for label, df in written if label == "pairs"][1] <= 18
+
+
 def test_cosines_bring_vectors_to_length_one_once(spark):
     df = spark.createDataFrame([(k, [float(k + i) for i in range(1500)], k % 2) for k in range(40)], "vec_id long, embedding array<float>, label int").repartition(1).cache()
     df.count()
