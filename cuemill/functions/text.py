@@ -1,16 +1,21 @@
 """Text expressions: names, scripts, bleed, inflection, cleanup, similarity.
 
-Built-in expressions except where noted; the difflib ratio and the balanced chunks are small pandas functions.
+Built-in expressions except where noted; the difflib ratio is a small pandas function, balanced chunks come from an Arrow one.
 """
 
 from __future__ import annotations
 
 import difflib
+import re
+from array import array
+from collections.abc import Iterator
+from math import inf
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import DoubleType, IntegerType, StringType
 
 #: Letters that an alphabet lacks.
 FOREIGN = {"bg": "іїєґыэё", "ru": "іїєґ", "uk": "ыэёъ", "mk": "іїєґыэёщъ"}
@@ -235,17 +240,25 @@ def sentences(text: Column) -> Column:
 #: a short clause that leads into the next one ("and third,"). A piece over the limit (a long word) costs nothing more.
 INSIDE_CLAUSE, BEHIND_LEAD_IN = 1.0, 2.0
 _CLAUSE_MARKS, _LEAD_IN = (";", ":", ",", "—", "–"), 14
+#: Characters of chunks that a task gives on together.
+_HELD = 1 << 18
 
 
 def cut_costs(words: list[str]) -> list[float]:
     """What a cut behind each word costs; nothing behind the last one."""
-    out, clause = [], -1
-    for w in words:
+    out = [cost for _, cost in _priced(" ".join(words))]
+    return [*out[:-1], 0.0]
+
+
+def _priced(flat: str) -> Iterator[tuple[int, float]]:
+    """Where each word of a text with single blanks ends, and what a cut behind it costs, word by word."""
+    clause = -1
+    for m in re.finditer("[^ ]+", flat):
+        w = m[0]
         clause += 1 + len(w)
         ends = w.endswith(_CLAUSE_MARKS)
-        out.append((0.0 if ends else INSIDE_CLAUSE) + (BEHIND_LEAD_IN if w.endswith(",") and clause <= _LEAD_IN else 0.0))
+        yield m.end(), (0.0 if ends else INSIDE_CLAUSE) + (BEHIND_LEAD_IN if w.endswith(",") and clause <= _LEAD_IN else 0.0)
         clause = -1 if ends else clause
-    return [*out[:-1], 0.0]
 
 
 def balanced_chunks(text: str | None, most: int) -> list[str]:
@@ -254,36 +267,57 @@ def balanced_chunks(text: str | None, most: int) -> list[str]:
     Blanks are collapsed. The even length is the text's over the fewest pieces it could have. The cheapest way to cut the
     text before each word is found from those of the words before it, as far back as a piece can reach.
     """
-    words = (text or "").split()
-    flat = " ".join(words)
+    flat = re.sub(r"\s+", " ", text or "").strip(" ")
     if len(flat) <= most:
         return [flat] if flat else []
     even = len(flat) / -(-len(flat) // most)
-    starts, at = [], 0
-    for w in words:
-        starts.append(at)
-        at += len(w) + 1
-    best, origin, first = [0.0], [0], 0
-    for k, (w, cost) in enumerate(zip(words, cut_costs(words), strict=True)):
-        end = starts[k] + len(w)
+    # Numbers in arrays: a long text's words are never all held as objects.
+    starts, best, origin, first = array("q", [0]), array("d", [0.0]), array("q", [0]), 0
+    for k, (end, cost) in enumerate(_priced(flat)):
         while first < k and end - starts[first] > most:
             first += 1
-        found, where = min((best[i] + ((end - starts[i]) / even - 1) ** 2, i) for i in range(first, k + 1))
-        best.append(found + cost)
+        found, where = inf, first
+        for i in range(first, k + 1):
+            if (price := best[i] + ((end - starts[i]) / even - 1) ** 2) < found:
+                found, where = price, i
+        best.append(found + (cost if end < len(flat) else 0.0))
         origin.append(where)
-    pieces, stop = [], len(words)
+        starts.append(end + 1)
+    pieces, stop = [], len(origin) - 1
     while stop:
-        pieces.append(flat[starts[origin[stop]] : starts[stop - 1] + len(words[stop - 1])])
+        pieces.append(flat[starts[origin[stop]] : starts[stop] - 1])
         stop = origin[stop]
     return pieces[::-1]
 
 
-def chunks(text: Column, most: int) -> Column:
-    @F.pandas_udf(ArrayType(StringType()))
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: balanced_chunks(t, most))
+def chunk_rows(docs: DataFrame, most: int, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, pos, chunk): a row for each balanced chunk of each text; null and blank texts have none.
 
-    return run(text)
+    A task cuts one text after another and gives its rows on in small batches, so it holds one text's chunks and some rows.
+    """
+    fields = docs.select(key).schema.add("pos", IntegerType()).add("chunk", StringType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = ([], [], []), 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(out[0], kind), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string())], names)
+
+        names = [key, "pos", "chunk"]
+        for batch in batches:
+            kind = batch.column(0).type
+            for k, t in zip(batch.column(0), batch.column(1), strict=True):
+                for pos, piece in enumerate(balanced_chunks(t.as_py(), most)):
+                    for column, value in zip(out, (k.as_py(), pos, piece), strict=True):
+                        column.append(value)
+                    held += len(piece)
+                    if held > _HELD:
+                        yield flush()
+                        out, held = ([], [], []), 0
+        if held:
+            yield flush()
+
+    return docs.select(key, text).mapInArrow(run, fields)
 
 
 def is_latin(token: Column) -> Column:

@@ -358,7 +358,7 @@ QUERIES = {
     "guidance": lambda s, d: events(s, d).select("event_id", scalars.guidance(F.col("value"), F.when(F.col("event_id") % 4 == 0, F.lit(1.5)).when(F.col("event_id") % 4 == 1, F.lit(0.0)), 2.5, F.col("event_id") % 3 == 0).alias("cfg")),
     "aligned_lines": aligned,
     "qa_text": lambda s, d: table(s, d, "documents").select("doc_id", F.md5(scalars.qa_text(F.col("text"))).alias("text")),
-    "text_chunks": lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(tx.chunks(F.col("text"), 80)).alias("pos", "chunk")),
+    "text_chunks": lambda s, d: tx.chunk_rows(table(s, d, "documents"), 80),
     "fallback_reference": lambda s, d: folds.fallback_reference(segments(s, d)),
     "source_labels": lambda s, d: jobs(s, d).select("id", scalars.source_label(F.when(F.col("id") % 4 == 0, F.lit(" ")), F.when(F.col("id") % 3 == 0, F.col("stage")), F.concat("status", F.lit(" -> "), F.col("target_lang")), F.col("id")).alias("label")),
     "safe_numbers": lambda s, d: events(s, d).select("event_id", scalars.safe_number(_pick(["1.5", "NaN", "x", "-Infinity", " 7 "], F.col("event_id"))).alias("n")),

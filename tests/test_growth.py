@@ -63,6 +63,19 @@ def test_rounds_get_each_sides_best_pairs(spark, monkeypatch):
     assert [df.count() for label, df in written if label == "pairs"][1] <= 18
 
 
+def test_chunks_leave_a_task_in_small_batches(spark, monkeypatch):
+    texts = ["word, " * 3000, None, "  ", "a b\tc", "x" * 200 + " y"] * 8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    got = sorted(map(tuple, tx.chunk_rows(docs, 80).collect()))
+    assert got == [(k, p, c) for k, t in enumerate(texts) for p, c in enumerate(tx.balanced_chunks(t, 80))]
+    sent = []
+    docs_like = type("Docs", (), {"select": lambda self, *c: self, "schema": spark.range(1).select(F.col("id").alias("doc_id")).schema, "mapInArrow": lambda self, run, fields: sent.append(run)})()
+    tx.chunk_rows(docs_like, 80)
+    monkeypatch.setattr(tx, "_HELD", 1000)
+    out = list(sent[0](iter([pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})])))
+    assert sum(b.num_rows for b in out) == len(got) and max(b.num_rows for b in out) < 30
+
+
 def test_cosines_bring_vectors_to_length_one_once(spark):
     df = spark.createDataFrame([(k, [float(k + i) for i in range(1500)], k % 2) for k in range(40)], "vec_id long, embedding array<float>, label int").repartition(1).cache()
     df.count()
