@@ -223,10 +223,11 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 _OPENERS, _CLOSERS = r"\"'“‘(\[¿¡", r"\"'”’)\]"
-#: The end of a sentence: not inside a run of marks; a single period not after an abbreviation or an initial.
+#: The end of a sentence: not inside a run of marks; a single period not after an abbreviation or an initial. A mark comes
+#: first, so that what stands before it is looked at there and not at every character.
 _STOP = (
-    rf"(?<![.!?…])((?:(?<!(?:^| )[{_OPENERS}]{{0,4}}(?i:{'|'.join(a.replace('.', '[.]') for a in ABBREVIATIONS)}|\p{{L}}))\.(?!\.)|\.(?=\.)|[!?…])"
-    rf"[.!?…]*[{_CLOSERS}]*) (?=[\p{{Lu}}\p{{Nd}}{_OPENERS}])"
+    rf"(?=[.!?…])(?<![.!?…])((?:(?<!(?:^| )[{_OPENERS}]{{0,4}}(?i:{'|'.join(a.replace('.', '[.]') for a in ABBREVIATIONS)}|\p{{L}}))\.(?!\.)|\.(?=\.)|[!?…])"
+    rf"[.!?…]*+[{_CLOSERS}]*+) (?=[\p{{Lu}}\p{{Nd}}{_OPENERS}])"
 )
 
 

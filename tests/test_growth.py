@@ -83,3 +83,11 @@ def test_cosines_bring_vectors_to_length_one_once(spark):
     got = corpus_audit.profile_scores(df, corpus_audit.centroids(df, "label", "embedding")).collect()
     # Once: a hundred thousand steps; anew for each component of each pair: hundreds of millions.
     assert len(got) == 80 and all(0.9 < r["score"] <= 1.0000001 for r in got) and time.monotonic() - begin < 25
+
+
+def test_sentences_look_behind_at_marks_only(spark):
+    begin = tx._STOP[: tx._STOP.index("(?<!")]
+    assert begin == "(?=[.!?…])"
+    text = "Dr. Smith came... “Why?” he said. No. 5 left!! J. Doe stayed (etc.) 7 days. " * 3
+    got = spark.range(1).select(tx.sentences(F.lit(text)).alias("x")).first()["x"]
+    assert " ".join(got) == text.strip() and got[:3] == ["Dr. Smith came...", "“Why?” he said.", "No. 5 left!!"]
