@@ -321,7 +321,23 @@ def low_confidence(words: Column, mean: Column, least: Column, logprob: Column)
     return (words >= 3) & (((mean < 0.50) & (least < 0.15)) | (logprob < -0.9))
 
 
+#: Edits beyond the difference of lengths that are looked for first.
+BAND = 8
+
+
 def error_rate(heard: Column, said: Column) -> Column:
-    """Edit distance over the longer text's length; 0 or 1 if nothing was to be said."""
-    longest = F.greatest(F.length(heard), F.length(said))
-    return F.when(F.length(said) == 0, F.when(F.length(heard) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(heard, said) / longest)
+    """Edit distance over the longer text's length; 0 or 1 if nothing was to be said.
+
+    A text that stands within the other differs by what stands around it. Else a distance within a band about the difference
+    of lengths is found by looking at the band alone; a larger one takes the whole table.
+    """
+    longest, apart = F.greatest(F.length(heard), F.length(said)), F.abs(F.length(heard) - F.length(said))
+
+    def within(most: Column) -> Column:
+        # As an array's only element the distance is computed once; -1 says that it is larger.
+        found = F.array(F.call_function("levenshtein", heard, said, most.cast("int")))
+        return F.get(F.filter(found, lambda x: x >= 0), F.lit(0))
+
+    banded = F.coalesce(within(apart + BAND), within(apart + F.floor(longest / 8)), F.levenshtein(heard, said))
+    distance = F.when(F.contains(heard, said) | F.contains(said, heard), apart).otherwise(banded)
+    return F.when(F.length(said) == 0, F.when(F.length(heard) == 0, 0.0).otherwise(1.0)).otherwise(distance / longest)

@@ -91,3 +91,25 @@ def test_sentences_look_behind_at_marks_only(spark):
     text = "Dr. Smith came... “Why?” he said. No. 5 left!! J. Doe stayed (etc.) 7 days. " * 3
     got = spark.range(1).select(tx.sentences(F.lit(text)).alias("x")).first()["x"]
     assert " ".join(got) == text.strip() and got[:3] == ["Dr. Smith came...", "“Why?” he said.", "No. 5 left!!"]
+
+
+def test_error_rate_of_near_and_far_texts(spark):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcé日𝄞") for _ in range(n))
+    pairs = [(word(rng.randint(1, 60)), word(rng.randint(1, 60))) for _ in range(60)]
+    pairs += [(x[:k] + word(rng.randint(0, 12)) + x[k + 2 :], x) for x, _ in pairs for k in (0, 5, 30)]
+    pairs += [("x " + a + " ab ab", a) for a, _ in pairs[:20]] + [(a, "x " + a) for a, _ in pairs[:20]]
+    df = spark.createDataFrame([*pairs, (None, "a"), ("a", None)], "a string, b string").select("a", "b", scalars.error_rate(F.col("a"), F.col("b")).alias("x"))
+    got = [(r["a"], r["b"], r["x"]) for r in df.collect()]
+    assert [x for *_, x in got[:-2]] == pytest.approx([distance(a, b) / max(len(a), len(b)) for a, b in pairs]) and got[-2][2] is None and got[-1][2] is None
+    long = spark.createDataFrame([(word(10_000) + "x",) for _ in range(20)], "a string").select(scalars.error_rate(F.concat(F.lit("x "), "a"), F.col("a")).alias("x"))
+    begin = time.monotonic()
+    assert all(r["x"] < 0.01 for r in long.collect()) and time.monotonic() - begin < 10
