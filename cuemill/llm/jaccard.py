@@ -44,8 +44,8 @@ WORDS = byte_table({0x20, *range(0x09, 0x0E)})
 FREQUENT = 1 << 20
 #: Local occurrences from which a task reports a shingle, and known ones from which its list is dealt by document too.
 REPORTED, HOT = 3, 4096
-#: Members from which the list of a shingle makes it a frequent one, and rounds of building lists at most.
-LONG, TRIES = 128, 2
+#: Members from which the list of a shingle makes it a frequent one.
+LONG = 128
 TOGETHER = 256
 #: Bytes of a group's rows from which a task returns freed memory behind it.
 LARGE = 4 << 20
@@ -165,22 +165,85 @@ def components(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         labels = new.select("node", "root")
 
 
-def index_lists(reps: DataFrame, frequent: DataFrame, n: int, percent: int, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """(list, doc, size, pos, rank): members of each distinct index list of at least two representatives; and (g, n) of shingles with long lists.
-
-    ``pos`` is the earliest position that the list's shingle had in any equal list; ``rank`` orders heads.
-    """
+def _order(frequent: DataFrame):
+    """The frequent shingles and their numbers in order of shingles, and a mask of their low bits, sent to all tasks."""
     top = frequent.orderBy(F.desc("n"), "g").limit(FREQUENT).toArrow()  # bounded by FREQUENT
     grams = top.column("g").to_numpy().view(np.uint64)
     turn = np.argsort(grams)
     grams, counts = grams[turn], np.minimum(top.column("n").to_numpy()[turn], 1 << 20)
     mask = np.zeros(1 << 20, bool)
     mask[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-    shared = reps.sparkSession.sparkContext.broadcast((grams, counts, mask))
+    return frequent.sparkSession.sparkContext.broadcast((grams, counts, mask))
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], order: tuple, n: int, percent: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """(doc, size, shingles, often, rank) of each non-empty set: its prefix with how often each is known to occur."""
+    known, freq, bits = order
+    for batch, data, offsets in batches_of(batches, "t"):
+        for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(data, offsets, n), strict=True):
+            if not len(s):
+                continue
+            often = np.zeros(len(s), np.int64)
+            maybe = np.flatnonzero(bits[(s & np.uint64((1 << 20) - 1)).astype(np.int64)])
+            if len(maybe) and len(known):
+                spot = np.minimum(np.searchsorted(known, s[maybe]), len(known) - 1)
+                often[maybe] = np.where(known[spot] == s[maybe], freq[spot], 0)
+            size = len(s)
+            keep = size - least_common(size, percent) + 1
+            turn = np.argsort(often, kind="stable")[:keep] if often.any() else np.arange(keep)
+            yield doc, size, s[turn], often[turn], int(1e6 * (1 - np.mean(often > 0)))
+
+
+def _in_buckets(own: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    """(bucket, rows): the rows of each bucket as bytes."""
+    turn = np.argsort(own, kind="stable")
+    rows, own = rows[turn], own[turn]
+    begins = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.empty(0, int)
+    ends = np.r_[begins[1:], len(own)] if len(own) else begins
+    return pa.RecordBatch.from_arrays([pa.array(own[begins], pa.int64()), pa.array([rows[x:y].tobytes() for x, y in zip(begins, ends, strict=True)], pa.binary())], ["bucket", "rows"])
+
+
+def long_shingles(reps: DataFrame, frequent: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """(g, n) of the shingles, other than those dealt by document, whose lists would be long: prefixes counted, shingles alone."""
+    shared = _order(frequent)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        count = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held, count
+            grams = np.sort(np.concatenate(held)) if held else np.empty(0, np.uint64)
+            held, count = [], 0
+            return _in_buckets((mix64(grams) % np.uint64(buckets)).astype(np.int64), grams)
+
+        for _, _, s, often, _ in _prefixes(batches, shared.value, n, percent):
+            held.append(s[often < HOT])
+            count += len(held[-1])
+            if count > 250_000:
+                yield flush()
+        yield flush()
+
+    def counted(t: pa.Table) -> pa.Table:
+        grams, counts = np.unique(np.frombuffer(b"".join(x.as_py() for x in t.column("rows")), np.uint64), return_counts=True)
+        if t.nbytes > LARGE:
+            give_back()
+        many = counts >= LONG
+        return pa.table({"g": grams[many].view(np.int64), "n": counts[many].astype(np.int64)})
+
+    packed = reps.select("doc_id", F.col("text").alias("t")).mapInArrow(emit, "bucket long, rows binary")
+    return packed.groupBy("bucket").applyInArrow(counted, "g long, n long")
+
+
+def index_lists(reps: DataFrame, frequent: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """(list, doc, size, pos, rank): members of each distinct index list of at least two representatives.
+
+    ``pos`` is the earliest position that the list's shingle had in any equal list; ``rank`` orders heads.
+    """
+    shared = _order(frequent)
     posting = np.dtype([("g", "<u8"), ("doc", "<i8"), ("size", "<u4"), ("pos", "<u4"), ("rank", "<u4")])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, freq, bits = shared.value
         held: list[np.ndarray] = []
         hot: list[np.ndarray] = []
         count = 0
@@ -192,33 +255,16 @@ def index_lists(reps: DataFrame, frequent: DataFrame, n: int, percent: int, buck
             held, hot, count = [], [], 0
             # Buckets of frequent shingles are numbered from -1 downwards.
             own = (mix64(np.where(many, mix64(rows["g"]) + rows["doc"].view(np.uint64), rows["g"])) % np.uint64(buckets)).astype(np.int64)
-            own = np.where(many, -1 - own, own)
-            turn = np.argsort(own, kind="stable")
-            rows, own = rows[turn], own[turn]
-            begins = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.empty(0, int)
-            ends = np.r_[begins[1:], len(own)] if len(own) else begins
-            return pa.RecordBatch.from_arrays([pa.array(own[begins], pa.int64()), pa.array([rows[x:y].tobytes() for x, y in zip(begins, ends, strict=True)], pa.binary())], ["bucket", "rows"])
-
-        for batch, data, offsets in batches_of(batches, "t"):
-            for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(data, offsets, n), strict=True):
-                if not len(s):
-                    continue
-                often = np.zeros(len(s), np.int64)
-                maybe = np.flatnonzero(bits[(s & np.uint64((1 << 20) - 1)).astype(np.int64)])
-                if len(maybe) and len(known):
-                    spot = np.minimum(np.searchsorted(known, s[maybe]), len(known) - 1)
-                    often[maybe] = np.where(known[spot] == s[maybe], freq[spot], 0)
-                size = len(s)
-                keep = size - least_common(size, percent) + 1
-                order = np.argsort(often, kind="stable")[:keep] if often.any() else np.arange(keep)
-                rows = np.empty(keep, posting)
-                rows["g"], rows["doc"], rows["size"], rows["pos"] = s[order], doc, size, np.arange(keep)
-                rows["rank"] = int(1e6 * (1 - np.mean(often > 0)))
-                held.append(rows)
-                hot.append(often[order] >= HOT)
-                count += keep
-                if count > 250_000:
-                    yield flush()
+            return _in_buckets(np.where(many, -1 - own, own), rows)
+
+        for doc, size, s, often, rank in _prefixes(batches, shared.value, n, percent):
+            rows = np.empty(len(s), posting)
+            rows["g"], rows["doc"], rows["size"], rows["pos"], rows["rank"] = s, doc, size, np.arange(len(s)), rank
+            held.append(rows)
+            hot.append(often >= HOT)
+            count += len(s)
+            if count > 250_000:
+                yield flush()
         yield flush()
 
     def merge(t: pa.Table) -> pa.Table:
@@ -235,8 +281,6 @@ def index_lists(reps: DataFrame, frequent: DataFrame, n: int, percent: int, buck
         begins = np.flatnonzero(np.r_[True, rows["g"][1:] != rows["g"][:-1]])
         lengths = np.diff(np.r_[begins, len(rows)])
         begins, lengths = begins[lengths > 1], lengths[lengths > 1]
-        marks = np.zeros(int((lengths >= LONG).sum()), posting)
-        marks["g"], marks["size"] = rows["g"][begins[lengths >= LONG]], lengths[lengths >= LONG]
         lists: dict[tuple[int, int], tuple[int, int, np.ndarray]] = {}
         for b, m in zip(begins.tolist(), lengths.tolist(), strict=True):
             part = rows[b : b + m]
@@ -250,7 +294,7 @@ def index_lists(reps: DataFrame, frequent: DataFrame, n: int, percent: int, buck
         at = np.concatenate([np.arange(b, b + m) for b, m, _ in lists.values()]) if lists else np.empty(0, int)
         pos = np.concatenate([p for _, _, p in lists.values()]) if lists else np.empty(0, np.uint32)
         names = np.repeat(np.array([k[0] for k in lists], np.int64), [k[1] for k in lists])
-        return pa.concat_tables([table_of(names, rows[at], pos, 0), table_of(marks["g"].view(np.int64), marks, marks["pos"], 2)])
+        return table_of(names, rows[at], pos, 0)
 
     def table_of(names: np.ndarray, rows: np.ndarray, pos: np.ndarray, kind: int) -> pa.Table:
         columns = {"list": names, "doc": rows["doc"], "size": rows["size"].astype(np.int64), "pos": pos.astype(np.int64), "rank": rows["rank"].astype(np.int64)}
@@ -268,21 +312,18 @@ def index_lists(reps: DataFrame, frequent: DataFrame, n: int, percent: int, buck
     names = hot.groupBy("list").agg(F.count(F.lit(1)).alias("n"), *halves, F.sum("pos").alias("pos"))
     kept = names.where("n > 1").groupBy("n", "x", "y").agg(F.min_by("list", F.struct("pos", "list")).alias("list")).select("list")
     hot = hot.join(broadcast_if_small(materialize(kept, "hot-lists"), FREQUENT), "list")
-    return rare.unionByName(hot), found.where("kind = 2").select(F.col("list").alias("g"), F.col("size").alias("n"))
+    return rare.unionByName(hot)
 
 
 def best_lists(reps: DataFrame, frequent: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
-    """Index lists in an order of shingles that also knows those with long lists: built again with these as frequent ones.
+    """Index lists in an order of shingles that also knows those whose lists would be long in a first order.
 
-    The first order comes from what single tasks see, which leaves out shingles that are common in the whole
-    table but rare in each task. Their lists show them, as long as there are any.
+    The first order comes from what single tasks see, which leaves out shingles that are common in the whole table but
+    rare in each task. Counting the prefixes shows them; the lists are built once, whether there are any or not.
     """
-    for turn in range(TRIES):
-        lists, long = index_lists(reps, frequent, n, percent, buckets)
-        if turn + 1 == TRIES or long.isEmpty():
-            break
-        frequent = materialize(frequent.unionByName(long).groupBy("g").agg(F.max("n").alias("n")), "frequent")
-    return lists
+    long = long_shingles(reps, frequent, n, percent, buckets)
+    known = frequent.unionByName(long).groupBy("g").agg(F.max("n").alias("n"))
+    return index_lists(reps, materialize(known, "frequent"), n, percent, buckets)
 
 
 def head_pairs(lists: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
